@@ -143,6 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int
     schema = "query_id bigint, vec_id bigint, score bigint"
 
     def searched(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.toDF(*right.columns)  # so that both sides' columns differ
         return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searched(k), schema)
 
     blocks = asked.withColumn("block", block)

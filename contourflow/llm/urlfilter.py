@@ -67,15 +67,14 @@ def absolute(link: Column, base: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Rows (a, b) of normal forms that are aliases: a page's own with its canonical link's and its meta redirect's."""
+    """Rows (url, to): each page's address with that of its canonical link and of its meta redirect."""
     head = F.coalesce(F.col("html"), F.lit(""))
     canonical = F.regexp_extract(F.regexp_extract(head, _CANONICAL, 0), "(?i)" + _HREF, 1)
     found = F.array(
         F.when(F.lower(head).contains("canonical"), absolute(canonical, F.col("url"))),
         F.when(F.lower(head).contains("refresh"), absolute(F.regexp_extract(head, _REFRESH, 1), F.col("url"))),
     )
-    own = pages.where("url is not null").select("url", F.explode(F.filter(found, lambda x: x.isNotNull() & (x != ""))).alias("to"))
-    return own.select(normal_form(F.col("url")).alias("a"), normal_form(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    return pages.where("url is not null").select("url", F.explode(F.filter(found, lambda x: x.isNotNull() & (x != ""))).alias("to")).distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -83,18 +82,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
 
     A page that a rule fits has the rule's verdict, whatever its aliases say. Any other page has that of its aliases:
     allowed if a rule allows one of them, else blocked if a rule blocks one, else allowed. Aliases are the pages of one
-    connected component over normal forms, canonical links, meta redirects and, if given, redirects (a, b) from outside.
+    connected component over normal forms, canonical links, meta redirects and, if given, redirects (a, b: addresses) from outside.
     A null url, or one without ://, has empty host and path, no aliases, and is allowed. Repeated rows each get a row.
     Groups are aggregated before they are shuffled; rules are expressions, their number is the list's.
     """
     x = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     x = x.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_n", normal_form(F.col("url")))
-    edges = links(pages)
+    linked = links(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(normal_form(F.col("a")), normal_form(F.col("b"))).where("a is not null and b is not null"))
+        linked = linked.union(redirects.select("a", "b"))
+    linked = checkpointed(linked)
+    edges = linked.select(normal_form(F.col("url")).alias("a"), normal_form(F.col("to")).alias("b")).where("a is not null and b is not null")
+    # Addresses that pages only link to count as aliases too.
+    ends = linked.select(F.explode(F.array("url", "to")).alias("u"))
+    ends = ends.select(normal_form(F.col("u")).alias("_n"), rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("verdict"))
     own = checkpointed(x.select("page_id", "host", "path", "_r", "_n"))
     roots = components(edges, "string")
-    said = own.where("_n is not null").groupBy("_n").agg(F.bool_or(F.col("_r.verdict") == "allow").alias("allows"), F.bool_or(F.col("_r.verdict") == "block").alias("blocks"))
+    said = own.select("_n", "_r.verdict").union(ends).where("_n is not null")
+    said = said.groupBy("_n").agg(F.bool_or(F.col("verdict") == "allow").alias("allows"), F.bool_or(F.col("verdict") == "block").alias("blocks"))
     said = said.join(roots, said["_n"] == roots["node"], "left").select("_n", "allows", "blocks", F.coalesce("root", "_n").alias("root"))
     by_root = said.groupBy("root").agg(F.bool_or("allows").alias("allows"), F.bool_or("blocks").alias("blocks"))
     verdicts = said.select(F.col("_n").alias("_k"), "root").join(by_root, "root").select("_k", F.when(F.col("allows"), "allow").when(F.col("blocks"), "block").otherwise("allow").alias("_v"))
