@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, raw_text
@@ -75,61 +75,78 @@ class PerfectHash:
 class Codec:
     """Encoder and decoder of one vocabulary; memo_size bounds the pre-tokens whose ids are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 200_000):
-        self.ranks, self.find, self.memo_size = ranks, regex.compile(pattern).findall, memo_size
-        self.whole = PerfectHash(list(ranks))
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 500_000, whole: PerfectHash | None = None):
+        self.find = regex.compile(pattern).findall
+        self.whole = whole or PerfectHash(list(ranks))
         self.rank_at = [ranks[k] for k in self.whole.keys]
         size = max(ranks.values(), default=-1) + 1
         self.token = [b""] * size
         for k, r in ranks.items():
             self.token[r] = k
         self.digits = [str(i) for i in range(size)]
+        self.byte = [ranks.get(bytes([i]), -1) for i in range(256)]
+        #: What two tokens merge to, by the first's id times 2**20 plus the second's.
+        self.merged = {(ranks[k[:i]] << 20) | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
         codec = self
 
         class Memo(dict):
+            """Two generations of half the size each: what is still in use comes back from the older one."""
+
+            older: dict = {}
+
             def __missing__(self, piece: str):
-                if len(self) >= codec.memo_size:
+                if len(self) * 2 >= memo_size:
+                    self.older = dict(self)
                     self.clear()
-                raw = piece.encode()
-                slot = codec.whole.slot(raw)
-                ids = self[piece] = (codec.rank_at[slot],) if slot >= 0 else tuple(codec.merge(raw))
+                ids = self.older.get(piece)
+                if ids is None:
+                    raw = piece.encode()
+                    slot = codec.whole.slot(raw)
+                    ids = (codec.rank_at[slot],) if slot >= 0 else tuple(codec.merge(raw))
+                self[piece] = ids
                 return ids
 
         self.memo = Memo()
 
     def merge(self, raw: bytes) -> list[int]:
-        """The ids of one pre-token: the adjacent pair of lowest rank merges first, leftmost among equals."""
-        ranks, n = self.ranks, len(raw)
-        part = [raw[i : i + 1] for i in range(n)]
+        """The ids of one pre-token: the adjacent pair of lowest rank merges first, leftmost among equals.
+
+        ids[i] is the token that begins at byte i, after and before link those that are left, pair[i] is what the token
+        at i and the next would merge to. The heap holds rank and place; entries that pair no longer confirms are stale.
+        """
+        n, merged = len(raw), self.merged.get
+        ids = [self.byte[x] for x in raw]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [ranks.get(raw[i : i + 2], -1) for i in range(n - 1)] + [-1]
+        pair = [merged((a << 20) | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+        pair.append(-1)
         heap = [(r << 32) | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            x = heapq.heappop(heap)
+            x = pop(heap)
             i, r = x & 0xFFFFFFFF, x >> 32
             if pair[i] != r:
                 continue
             j = after[i]
-            part[i] += part[j]
-            pair[j] = -1
+            ids[i], pair[j] = r, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                pair[i] = r = ranks.get(part[i] + part[k], -1)
-                if r >= 0:
-                    heapq.heappush(heap, (r << 32) | i)
+                new = pair[i] = merged((r << 20) | ids[k], -1)
+                if new >= 0:
+                    push(heap, (new << 32) | i)
             else:
                 pair[i] = -1
-            if (h := before[i]) >= 0:
-                pair[h] = r = ranks.get(part[h] + part[i], -1)
-                if r >= 0:
-                    heapq.heappush(heap, (r << 32) | h)
-        ids, i = [], 0
+            h = before[i]
+            if h >= 0:
+                new = pair[h] = merged((ids[h] << 20) | r, -1)
+                if new >= 0:
+                    push(heap, (new << 32) | h)
+        out, i = [], 0
         while i < n:
-            ids.append(ranks[part[i]])
+            out.append(ids[i])
             i = after[i]
-        return ids
+        return out
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
@@ -146,14 +163,19 @@ _codecs: dict[tuple, Codec] = {}
 
 def _codec(settings) -> Codec:
     """The codec of a broadcast vocabulary, built once in each Python worker."""
-    ranks, pattern = settings.value
-    key = (id(settings), len(ranks), pattern)
+    ranks, pattern, whole, key = settings.value
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(ranks, pattern, whole=whole)
     return _codecs[key]
 
 
+def _shared(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
+    """The vocabulary and its perfect hash, made once on the driver; as large as the vocabulary file."""
+    key = (pattern, len(ranks), xxhash.xxh64_intdigest(b"\n".join(b"%b %d" % x for x in ranks.items())))
+    return spark.sparkContext.broadcast((ranks, pattern, PerfectHash(list(ranks)), key))
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, keep_ids: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Each text's token ids, and what decoding them gives back.
 
@@ -162,7 +184,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *,
     of nothing. Repeated rows stay; other columns than those named don't matter. ranks must hold all single bytes that
     occur; it is broadcast, its size is the vocabulary file's. One map over the rows, nothing is shuffled.
     """
-    settings = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    settings = _shared(docs.sparkSession, ranks, pattern)
     fields = [(c, docs.schema[c].dataType.simpleString()) for c in ("doc_id", *also)]
     fields += [("n_tokens", "bigint")] + [("ids", "array<int>")] * keep_ids + [("ids_sha256", "string"), ("decoded_sha256", "string")]
 
@@ -190,7 +212,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *,
 
 def decode_ids(tokens: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that the column ids stands for; null ids give null."""
-    settings = tokens.sparkSession.sparkContext.broadcast((ranks, "."))
+    settings = _shared(tokens.sparkSession, ranks, ".")
 
     @F.udf("binary", useArrow=True)
     def decoded(own):
