@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, checkpointed, components, raw_text, words_of
@@ -57,45 +58,50 @@ def _parity(x: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(x) & 1).astype(bool)
 
 
-#: The pairs of bits that an even fingerprint flips: those within the same half. Any three bits hold such a pair, so the
-#: third bit is left for the odd fingerprint to flip.
-_PAIRS = np.array([(i, j) for i in range(64) for j in range(i + 1, 64) if (i < 32) == (j < 32)])
+def _pairs(bits: int) -> np.ndarray:
+    """The pairs of bits that an even fingerprint flips: those within the same half. Any three bits hold such a pair, so
+    the third bit is left for the odd fingerprint to flip."""
+    return np.array([(i, j) for i in range(bits) for j in range(i + 1, bits) if (i < bits // 2) == (j < bits // 2)])
 
 
-def _variants(cell_bits: int, flips: int, parity_even: bool, cell_flip: int) -> tuple[np.ndarray, np.ndarray]:
+def _top(x: np.ndarray, bits: int, cell_bits: int) -> np.ndarray:
+    return x >> np.uint64(bits - cell_bits) if cell_bits else x * np.uint64(0)
+
+
+def _variants(bits: int, cell_bits: int, even: bool, cell_flip: int) -> tuple[np.ndarray, np.ndarray]:
     """Masks, and how many bits each flips, of the variants whose top cell_bits bits differ in just cell_flip."""
-    masks, sizes = [np.zeros(1, np.uint64)], [np.zeros(1, np.int8)]
-    masks.append(_BITS)
-    sizes.append(np.ones(64, np.int8))
-    if parity_even:
-        masks.append(_BITS[_PAIRS[:, 0]] | _BITS[_PAIRS[:, 1]])
-        sizes.append(np.full(len(_PAIRS), 2, np.int8))
+    masks, sizes = [np.zeros(1, np.uint64), _BITS[:bits]], [np.zeros(1, np.int8), np.ones(bits, np.int8)]
+    if even:
+        pairs = _pairs(bits)
+        masks.append(_BITS[pairs[:, 0]] | _BITS[pairs[:, 1]])
+        sizes.append(np.full(len(pairs), 2, np.int8))
     mask, size = np.concatenate(masks), np.concatenate(sizes)
-    at = (mask >> np.uint64(64 - cell_bits) if cell_bits else mask * np.uint64(0)) == np.uint64(cell_flip)
+    at = _top(mask, bits, cell_bits) == np.uint64(cell_flip)
     return mask[at], size[at]
 
 
-def _meet(fps: np.ndarray, cell: int, cell_bits: int, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints whose balls meet in variants with the top bits cell.
 
     All that share a variant and are at most one bit from it are linked to the smallest of them; so is each that is two
-    bits from it. Two that are both two bits away and linked at all also meet in a variant one bit from each.
+    bits from it. Two that are both two bits away and linked at all also meet in a variant one bit from each. Variants
+    are taken in 2**slice_bits parts by the bits below the top ones, which bounds memory.
     """
-    top = (fps >> np.uint64(64 - cell_bits)) if cell_bits else fps * np.uint64(0)
-    flips = top ^ np.uint64(cell)
+    flips = _top(fps, bits, cell_bits) ^ np.uint64(cell)
     odd = _parity(fps)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    balls: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for flip in np.unique(flips):
         for even in (True, False):
             own = np.flatnonzero((flips == flip) & (odd != even))
             if len(own):
-                masks, sizes = _variants(cell_bits, 0, even, int(flip))
-                found.append((own, masks, sizes))
+                masks, sizes = _variants(bits, cell_bits, even, int(flip))
+                if len(masks):
+                    balls.append((own, masks, sizes))
     out_a, out_b = [], []
-    down = np.uint64(64 - cell_bits - slice_bits)
+    down = np.uint64(max(0, bits - cell_bits - slice_bits))
     for part in range(1 << slice_bits):
         values, owners, dists = [], [], []
-        for own, masks, sizes in found:
+        for own, masks, sizes in balls:
             step = max(1, 2_000_000 // len(masks))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
@@ -137,42 +143,45 @@ def _meet(fps: np.ndarray, cell: int, cell_bits: int, slice_bits: int) -> tuple[
     return both[:, 0], both[:, 1]
 
 
-def ball_links(distinct: DataFrame, column: str = "fp", per_cell: int = 512) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints within three bits of each other into components.
+def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 512) -> DataFrame:
+    """Rows (t, a, b): links that join all fingerprints of one table t within three bits of each other into components.
 
-    Each fingerprint emits its variants: of even weight all within two bits (pairs in the same half of the word), of odd
-    weight all within one. Two within three bits share a variant. Variants are shuffled by their top bits, and what
-    travels is the fingerprint, once for each value of those bits that its variants have; the receiving task forms the
-    variants again. Top bits are as many as give about per_cell fingerprints to each value. Links through a shared
-    variant form a star, so they never grow with the square of a group. No cap anywhere.
+    distinct has t (int) and fp (bigint, of that many bits), each pair once. Each fingerprint emits its variants: of even
+    weight all within two bits (pairs in the same half of the word), of odd weight all within one. Two within three bits
+    share a variant. Variants are shuffled by their top bits, and what travels is the fingerprint, once for each value
+    of those bits that its variants have; the receiving task forms the variants again. Top bits are as many as give
+    about per_cell fingerprints to each value. Links through a shared variant form a star, so they never grow with the
+    square of a group. No cap anywhere.
     """
-    n = distinct.count()
+    n = distinct.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     cell_bits = max(0, min(28, math.ceil(math.log2(max(1, n / per_cell)))))
+    tops = [i for i in range(bits - cell_bits, bits)]
+    down = np.uint64(bits - cell_bits)
+    flips = {odd: {0, *[int(_BITS[i] >> down) for i in tops]} for odd in (True, False)}
+    if cell_bits:
+        flips[False] |= {int((_BITS[i] | _BITS[j]) >> down) for i, j in _pairs(bits).tolist() if i in tops and j in tops}
 
     def emit(parts):
         for part in parts:
-            fps = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            cells, owners = [], []
-            odd = _parity(fps)
-            top = (fps >> np.uint64(64 - cell_bits)) if cell_bits else fps * np.uint64(0)
-            for even in (True, False):
-                own = np.flatnonzero(odd != even)
-                masks = {0} | {int(_BITS[i] >> np.uint64(64 - cell_bits)) for i in range(64 - cell_bits, 64) if cell_bits}
-                if even and cell_bits:
-                    masks |= {int((_BITS[i] | _BITS[j]) >> np.uint64(64 - cell_bits)) for i, j in _PAIRS.tolist() if i >= 64 - cell_bits}
+            tables = part.column("t").to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(32)
+            fps = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            cells, owners, odd, top = [], [], _parity(fps), _top(fps, bits, cell_bits)
+            for is_odd, masks in flips.items():
+                own = np.flatnonzero(odd == is_odd)
                 for m in sorted(masks):
-                    cells.append(top[own] ^ np.uint64(m))
+                    cells.append(tables[own] | (top[own] ^ np.uint64(m)))
                     owners.append(fps[own])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], names=["cell", "fp"])
 
     def meet(key, group):
+        cell = key[0].as_py()
         fps = np.sort(group.column("fp").to_numpy().view(np.uint64))
         slices = max(0, math.ceil(math.log2(max(1, len(fps) / (4 * per_cell)))))
-        a, b = _meet(fps, int(np.int64(key[0].as_py()).view(np.uint64)), cell_bits, min(slices, 12))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = _meet(fps, cell & 0xFFFFFFFF, bits, cell_bits, min(slices, 12))
+        return pa.table({"t": np.full(len(a), cell >> 32, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = distinct.select(F.col(column).cast("bigint")).mapInArrow(emit, "cell bigint, fp bigint")
-    return sent.groupBy("cell").applyInArrow(meet, "a bigint, b bigint").distinct()
+    sent = distinct.select(F.col("t").cast("int"), F.col("fp").cast("bigint")).mapInArrow(emit, "cell bigint, fp bigint")
+    return sent.groupBy("cell").applyInArrow(meet, "t int, a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -185,10 +194,89 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     """
     own = checkpointed(fingerprints(docs, width, seed))
     distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(ball_links(distinct))
+    roots = components(ball_links(distinct.select(F.lit(0).alias("t"), "fp")).select("a", "b"))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = checkpointed(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = checkpointed(rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"))
     out = own.join(named, own.fp == named.fp_, "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of a document's distinct words that candidates for a similarity of 0.8 are sought by, and their bits.
+TABLES, TABLE_BITS = 8, 48
+_tokens = re.compile(r"\w+").findall
+
+
+def table_fingerprints(words: set[str]) -> np.ndarray:
+    """One fingerprint for each table, of the same word hashes mixed anew; no words: all zero."""
+    own = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    out = np.zeros(TABLES, dtype=np.uint64)
+    for t in range(TABLES):
+        h = (own ^ np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out[t] = majority(h ^ (h >> np.uint64(32))) & ((1 << TABLE_BITS) - 1)
+    return out
+
+
+def jaccard(a: list[str], b: list[str], width: int = 5) -> float:
+    """Of the sets of shingles of width words, all words if there are fewer; two texts without words are alike."""
+    x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows (doc_id, text_key, root): the near-duplicate group of each document, named by its smallest doc_id.
+
+    Texts whose words (runs of letters and digits, lower-cased) have a shingle Jaccard of at least least are linked.
+    Candidates: equal texts at once, by hash; else texts of which one of TABLES fingerprints of 48 bits is within three
+    bits. In each table equal fingerprints are linked to their smallest document, and near ones as in ball_links; every
+    such link is then checked exactly. So groups of copies make no more links than they have members. Measured recall of
+    groups is in the README. Rows without doc_id aren't listed.
+    """
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+
+    def mapped(parts):
+        for part in batches(parts, 4 << 20):
+            texts = part.column("text").to_pylist()
+            keys = [xxhash.xxh128_digest((t or "").encode()) for t in texts]
+            fps = np.concatenate([np.empty(0, np.uint64), *[table_fingerprints(set(_tokens((t or "").lower()))) for t in texts]])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * TABLES, pa.int32()), pa.array(fps.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), lists], names=["doc_id", "text_key", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = checkpointed(known.mapInArrow(mapped, f"doc_id {kind}, text_key binary, fps array<bigint>"))
+    texts = checkpointed(own.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")))
+    by_table = checkpointed(texts.select("rep", F.posexplode("fps").alias("t", "fp")).groupBy("t", "fp").agg(F.min("rep").alias("centre"), F.count("*").alias("n")))
+    alike = texts.select("rep", F.posexplode("fps").alias("t", "fp")).join(by_table.where("n > 1"), ["t", "fp"]).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    links = checkpointed(ball_links(by_table.select("t", "fp"), TABLE_BITS))
+    ends = by_table.select("t", "fp", "centre")
+    near = links.join(ends.toDF("t", "a", "x"), ["t", "a"]).join(ends.toDF("t", "b", "y"), ["t", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = alike.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpointed(pairs)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    bodies = checkpointed(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    both = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
+
+    def verified(parts):
+        for part in batches(parts, 4 << 20):
+            a, b = (part.column(c).to_pylist() for c in ("text_a", "text_b"))
+            ok = [jaccard(_tokens((x or "").lower()), _tokens((y or "").lower()), width) >= least for x, y in zip(a, b, strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    roots = components(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, f"a {kind}, b {kind}"), kind)
+    rooted = checkpointed(texts.join(roots, texts.rep == roots.node, "left").select("text_key", F.coalesce("root", "rep").alias("root")))
+    return own.select("doc_id", "text_key").join(rooted, "text_key")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of the smallest doc_id.
+
+    Groups are those of similar_roots. Of rows that share a doc_id one stays. Rows without doc_id stay.
+    """
+    roots = similar_roots(docs, width, least)
+    first = checkpointed(roots.where("doc_id = root").select(F.col("doc_id").alias("_id")).distinct())
+    chosen = docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
+    by = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text")
+    chosen = chosen.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    return chosen.union(docs.where("doc_id is null"))

@@ -47,9 +47,11 @@ def test_ball_links_find_every_component(spark):
             fps.add(x)
     links = [(a, b) for a, b in itertools.combinations(sorted(fps, key=signed), 2) if bin(a ^ b).count("1") <= 3]
     want = slow_components([signed(x) for x in fps], [(signed(a), signed(b)) for a, b in links])
-    df = spark.createDataFrame([(signed(x),) for x in fps], "fp bigint")
-    for per_cell in (8, 100, 10_000):
-        edges = simhash.ball_links(df, per_cell=per_cell)
+    df = spark.createDataFrame([(t, signed(x)) for x in fps for t in (0, 3)], "t int, fp bigint")
+    for per_cell in (8, 10_000):
+        every = simhash.ball_links(df, per_cell=per_cell)
+        edges = every.where("t = 3").select("a", "b")
+        assert every.where("t = 0").count() == edges.count()
         assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 3 for r in edges.collect())
         got = {n: n for n in want} | {r.node: r.root for r in components(edges).collect()}
         assert got == want
@@ -80,3 +82,26 @@ def test_documents(spark):
         same = [j for j, u in rows if roots[signed(slow_fingerprint(u))] == roots[signed(slow_fingerprint(t))] and j is not None]
         assert by[i].component_id == (min(same) if same else None)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_groups_of_similar_texts(spark):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(4000)]
+    rows = []
+    for g in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(60, 300))]
+        for _ in range(rng.randrange(1, 5)):
+            w = list(base)
+            for _ in range(len(w) // 100):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(500, None), (501, ""), (502, " "), (503, "two words"), (504, "Two, words!"), (505, "two other"), (505, "two other"), (None, "x"), (None, "x"), (506, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id bigint, text string, root string")
+    words = {i: simhash._tokens((t or "").lower()) for i, t in rows if i is not None}
+    links = [(a, b) for a, b in itertools.combinations(sorted(words), 2) if simhash.jaccard(words[a], words[b]) >= 0.8]
+    want = sorted(set(slow_components(words, links).values()))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert ids.count(None) == 2 and sorted(i for i in ids if i is not None) == want
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
