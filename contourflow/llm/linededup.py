@@ -57,14 +57,18 @@ def removals(docs: DataFrame) -> DataFrame:
     often = parts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     parts = parts.join(often, "h", "left_semi")
     listed = parts.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", "n", "h")).alias("chunks"))
-    own = docs.select("doc_id", "_th", "text").join(listed, ["doc_id", "_th"])
-    own = own.select("doc_id", "_th", F.explode("chunks").alias("c"), F.split("text", "\n").alias("lines"))
-    bytes_ = F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n")
-    own = checkpointed(own.select("doc_id", "_th", "c.start", "c.n", "c.h", bytes_.alias("bytes")).distinct())
+    # Shaped like the join in dedup_lines (an outer one, all columns of docs), so that both read one shuffle of docs.
+    rest = [c for c in docs.columns if c not in ("doc_id", "_th", "text")]
+    zero = F.pmod(F.hash(*rest), F.lit(1)) if rest else F.lit(0)
+    listed = listed.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "chunks")
+    own = docs.join(listed, (docs["doc_id"] == listed["_id"]) & (docs["_th"] == listed["_t"]), "left")
+    own = own.select("doc_id", "_th", F.explode_outer("chunks").alias("c"), F.when(F.col("chunks").isNotNull(), F.split("text", "\n")).alias("lines"), zero.alias("zero")).where("c is not null")
+    bytes_ = F.array_join(F.slice("lines", F.col("c.start") + F.col("zero") + 1, F.col("c.n")), "\n")
+    own = own.select("doc_id", "_th", "c.start", "c.n", "c.h", bytes_.alias("bytes"))
     # Equal hashes are compared byte by byte: the first of each content stays, whatever else shares its hash.
     first = own.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "_th", "start")).alias("first"))
     again = own.join(first, ["h", "bytes"]).where(F.struct("doc_id", "_th", "start") != F.col("first"))
-    again = again.select("doc_id", "_th", "start", "n", n_words(F.col("bytes")).alias("n_words"))
+    again = again.select("doc_id", "_th", "start", "n", n_words(F.col("bytes")).alias("n_words")).distinct()
     run = Window.partitionBy("doc_id", "_th").orderBy("start")
     joins = F.coalesce((F.lag(F.col("start") + F.col("n")).over(run) == F.col("start")).cast("int"), F.lit(0))
     again = again.withColumn("joins", joins)
@@ -85,12 +89,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_lines and n_removed of docs are replaced.
     """
     docs = keyed(docs.drop("n_lines", "n_removed"))
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "gone")
-    out = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (docs["_th"] == gone["_t"]), "left")
+    known = docs.where("doc_id is not null")
+    gone = removals(known).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "gone")
+    out = known.join(gone, (known["doc_id"] == gone["_id"]) & (known["_th"] == gone["_t"]), "left").select(*docs.columns, "gone")
+    out = out.union(docs.where("doc_id is null").select("*", F.lit(None).cast(out.schema["gone"].dataType)))
     lines = F.split("text", "\n")
     is_gone = lambda i: F.exists("gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["n"]))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~is_gone(i)), "\n"))
     n_gone = F.coalesce(F.aggregate("gone", F.lit(0).cast("bigint"), lambda a, g: a + g["n"]), F.lit(0).cast("bigint"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
     names = [c for c in docs.columns if c != "_th"]
-    return out.select(*[kept.alias("text") if c == "text" else docs[c] for c in names], n_lines.alias("n_lines"), n_gone.alias("n_removed"))
+    return out.select(*[kept.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), n_gone.alias("n_removed"))
