@@ -290,7 +290,7 @@ def rejects_anti(spark, d):
 
 
 @query("SELECT user_id, i, s, " + r6(
-    x="((1-t)*(1-t)*(1-t)*x0 + 3*(1-t)*(1-t)*t*x1 + 3*(1-t)*t*t*x2 + t*t*t*x3) / 7", y="((1-t)*(1-t)*(1-t)*y0 + 3*(1-t)*(1-t)*t*y1 + 3*(1-t)*t*t*y2 + t*t*t*y3) / 7",
+    x="((1-t)*(1-t)*(1-t)*x0 + 3*(1-t)*(1-t)*t*x1 + 3*(1-t)*t*t*x2 + t*t*t*x3) / pi()", y="((1-t)*(1-t)*(1-t)*y0 + 3*(1-t)*(1-t)*t*y1 + 3*(1-t)*t*t*y2 + t*t*t*y3) / pi()",
 ) + """ FROM (SELECT *, s / 8 AS t FROM (SELECT user_id, i, x AS x0, y AS y0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(x, 3) OVER w AS x3, lead(y, 3) OVER w AS y3
           FROM PL WINDOW w AS (PARTITION BY user_id ORDER BY i)), (SELECT unnest(range(1, 9)) AS s)) WHERE i % 3 = 0 AND x3 IS NOT NULL""")
 def bezier_flatten(spark, d):
@@ -300,7 +300,7 @@ def bezier_flatten(spark, d):
     p = fixtures.polylines(spark, d)
     cols = [F.lead(v, k).over(w).alias(f"{v}{k}") for v in ("x", "y") for k in (1, 2, 3)]
     c = p.select("user_id", "i", F.col("x").alias("x0"), F.col("y").alias("y0"), *cols, F.lit("c").alias("kind")).where("i % 3 = 0 and x3 is not null")
-    out = geometry.flatten_curves(c, ["user_id"]).select("user_id", F.col("i").cast("bigint").alias("i"), F.col("s").cast("bigint").alias("s"), (F.col("x") / 7).alias("x"), (F.col("y") / 7).alias("y"))  # sevenths: decimals would lie halfway between roundings
+    out = geometry.flatten_curves(c, ["user_id"]).select("user_id", F.col("i").cast("bigint").alias("i"), F.col("s").cast("bigint").alias("s"), (F.col("x") / F.pi()).alias("x"), (F.col("y") / F.pi()).alias("y"))  # over pi: decimals would lie halfway between roundings
     return rounded(out, "x", "y")
 
 
