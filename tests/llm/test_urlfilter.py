@@ -1,4 +1,5 @@
-from contourflow.llm import urlfilter
+import duckdb
+from contourflow.llm import sql, urlfilter
 from contourflow.llm.queries import URL_RULES
 
 
@@ -50,3 +51,14 @@ def test_redirects_from_outside(spark):
     pages = spark.createDataFrame([(1, "http://q.org/a", ""), (2, "http://r.net/es/b", "")], "page_id bigint, url string, html string")
     redirects = spark.createDataFrame([("http://q.org/a", "http://mid.org/"), ("http://mid.org", "http://r.net/es/b")], "a string, b string")
     assert {r.page_id: r.verdict for r in urlfilter.judge(pages, URL_RULES, redirects).collect()} == {1: "block", 2: "block"}
+
+
+def test_same_as_sql(spark):
+    rows = [r for r in ROWS if r[0] is not None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted(con.execute(sql.url_verdicts(URL_RULES)).fetchall(), key=repr)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=repr) == want
