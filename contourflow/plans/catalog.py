@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bce_with_logits, focal, leaky_relu, logit, sigmoid
-from ..operators import analyze, decode, generate, geometry, graph, metrics, score, split, store
+from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, score, split, store
 from ..operators.metrics import THRESHOLDS
 from ..sources import fixtures, readers
 from ..sources.fixtures import table
@@ -825,3 +825,9 @@ def hop_reach(spark, d):
           SELECT g, c, ch, min(r) AS r FROM q GROUP BY ALL) GROUP BY ALL)""")
 def connectivity_ceiling(spark, d):
     return rounded(analyze.connectivity_ceiling(_edges(spark, d), _owner(spark, d)), "ceiling")
+
+
+@query()
+def merge_candidates(spark, d):
+    c = _contours(spark, d).select("g", "c", "ch", "cx")
+    return candidates.merge_candidates(c, _pairs(spark, d)).withColumn("left", F.array_join(F.col("left").cast("array<string>"), ",")).withColumn("right", F.array_join(F.col("right").cast("array<string>"), ","))
