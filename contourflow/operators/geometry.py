@@ -84,15 +84,15 @@ def flatten_curves(curves: DataFrame, keys: list[str], steps: int = 8) -> DataFr
     return rows.select(*keys, "contour", "i", "s", at("x0", "x1", "x2", "x3").alias("x"), at("y0", "y1", "y2", "y3").alias("y"))
 
 
-def pen_positions(glyphs: DataFrame, line: str, order: list[str], advance: Column, tracking: Column) -> DataFrame:
-    """Adds pen: the advances and trackings before each glyph of its line. Filter empty glyphs afterwards, they advance too."""
+def pen_positions(marks: DataFrame, line: str, order: list[str], advance: Column, tracking: Column) -> DataFrame:
+    """Adds pen: the advances and trackings before each mark of its line. Filter empty marks afterwards, they advance too."""
     w = Window.partitionBy(line).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return glyphs.withColumn("pen", F.coalesce(F.sum(advance + tracking).over(w), F.lit(0.0)))
+    return marks.withColumn("pen", F.coalesce(F.sum(advance + tracking).over(w), F.lit(0.0)))
 
 
-def cluster_ids(glyphs: DataFrame, line: str, cluster: str) -> DataFrame:
+def cluster_ids(marks: DataFrame, line: str, cluster: str) -> DataFrame:
     """Adds char_id: the rank of each cluster among the distinct ones of its line, from 0."""
-    return glyphs.withColumn("char_id", (F.dense_rank().over(Window.partitionBy(line).orderBy(cluster)) - 1).cast("bigint"))
+    return marks.withColumn("char_id", (F.dense_rank().over(Window.partitionBy(line).orderBy(cluster)) - 1).cast("bigint"))
 
 
 def affine(points: DataFrame, dx: Column, dy: Column, noise_x: Column, noise_y: Column, aspect: Column) -> DataFrame:

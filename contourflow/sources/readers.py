@@ -96,15 +96,19 @@ def shards(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
     return files.select("content").mapInPandas(decoded, SHARD_SCHEMA)
 
 
+#: Fixed values of the weight dump's format.
+MAGIC, VERSION = b"GNNW", 1
+
+
 def read_weights(raw: bytes) -> tuple[dict, dict[str, np.ndarray]]:
-    """Options and tensors of a weight dump: magic GNNW, version 1, length of a JSON header, header, f32 little-endian.
+    """Options and tensors of a weight dump: magic, version, length of a JSON header, header, f32 little-endian.
 
     Tensors of other than two dimensions become one row.
     """
-    if raw[:4] != b"GNNW":
+    if raw[:4] != MAGIC:
         raise ValueError("not a weight dump")
     version, size = struct.unpack_from("<II", raw, 4)
-    if version != 1:
+    if version != VERSION:
         raise ValueError(f"weight dump of version {version}")
     if len(raw) < 12 + size:
         raise ValueError("the header is cut off")
@@ -124,7 +128,7 @@ def write_weights(options: dict, tensors: dict[str, np.ndarray]) -> bytes:
         entries.append({"name": name, "shape": list(x.shape), "offset": len(body)})
         body += np.ascontiguousarray(x, "<f4").tobytes()
     head = json.dumps({"hparams": options, "tensors": entries}).encode()
-    return b"GNNW" + struct.pack("<II", 1, len(head)) + head + body
+    return MAGIC + struct.pack("<II", VERSION, len(head)) + head + body
 
 
 def option(options: dict, name: str) -> bool:
