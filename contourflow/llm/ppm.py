@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, raw_text, words_of
+from .common import batches, raw_text, release, stored, words_of
 
 #: Bytes of context at most.
 ORDER = 5
@@ -54,85 +55,62 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
-def _counts(parts, at_once: int = 400_000):
-    """Partial counts of words and of bytes after contexts of each length; null raws (held out) count nothing."""
-    schema = pa.schema([("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    words: Counter = Counter()
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
+_COUNTED = pa.schema([("b", pa.int64()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
-    def out_words():
-        keys = pa.array(list(words), pa.binary()).cast(pa.string())
-        n = pa.array(words.values(), pa.int64())
-        words.clear()
-        return pa.RecordBatch.from_arrays([keys, pa.nulls(len(n), pa.int64()), n], schema=schema)
 
-    def out_grams():
-        u, n = _summed(np.concatenate([a for a, _ in seen]), np.concatenate([b for _, b in seen]))
-        seen.clear()
-        for k in range(ORDER, -1, -1):
-            u, n = _summed(u & _mask(k + 1), n)
-            key = (u | np.uint64(k << 48)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array(key), pa.array(n)], schema=schema)
-
-    for part in batches(parts, 4 << 20):
-        own = [words_of(raw) for raw in part.column("_raw").to_pylist() if raw is not None]
-        if not own:
-            continue
-        for w in own:
-            words.update(w)
-        words[b""] += len(own)
-        g, _ = grams([serial(w) for w in own])
-        seen.append(np.unique(g, return_counts=True))
-        if len(words) > at_once:
-            yield out_words()
-        if sum(len(a) for a, _ in seen) > 8 * at_once:
-            yield from out_grams()
-    if words:
-        yield out_words()
+def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words and grams of a block of documents, and how often its training rows have them, maybe never."""
+    words: dict[bool, Counter] = {True: Counter({b"": 0}), False: Counter({b"": 0})}
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    block = None
+    for part in batches(parts, 1 << 20):
+        block = part.column("b")[0].as_py() if part.num_rows else block
+        held = part.column("held_out").to_pylist()
+        own = [words_of(raw) for raw in part.column("_raw").to_pylist()]
+        for is_held in (True, False):
+            some = [w for w, h in zip(own, held, strict=True) if h == is_held]
+            if not some:
+                continue
+            for w in some:
+                words[is_held].update(w)
+            words[is_held][b""] += len(some)
+            u, n = np.unique(grams([serial(w) for w in some])[0], return_counts=True)
+            seen.append((u, n * (not is_held)))
+        if sum(len(x) for x, _ in seen) > 2_000_000:
+            seen = [_summed(np.concatenate([x for x, _ in seen]), np.concatenate([x for _, x in seen]))]
+    known = words[False]
+    known.update(dict.fromkeys(words.pop(True), 0))
+    while known:  # a part at a time, so that what is sent is no longer held
+        keys, counts = zip(*[known.popitem() for _ in range(min(len(known), 65_536))], strict=True)
+        n = len(keys)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), n), pa.array(keys, pa.binary()).cast(pa.string()), pa.nulls(n, pa.int64()), pa.array(counts, pa.int64())], schema=_COUNTED)
     if seen:
-        yield from out_grams()
+        u, n = _summed(np.concatenate([x for x, _ in seen]), np.concatenate([x for _, x in seen]))
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), len(u)), pa.nulls(len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(n)], schema=_COUNTED)
 
 
-def train(docs: DataFrame, use: Column) -> tuple[DataFrame, int, int]:
-    """The trie and the word counts of the rows where use holds, and the words' total and number.
+class Trie:
+    """Nodes of the depths 0 to ORDER over some training grams, sorted by context.
 
-    Rows (key, body). A word's key is the word (the end's is empty), its body its count. A trie node's key is a space,
-    then its depth times 2**48 plus its context as a number; its body holds, for each byte seen after the context,
-    256 times the count plus the byte. A node has 256 of them at most.
+    Depths below shared come from grams counted over the whole corpus (low, by depth); the deeper ones from the grams
+    given here, which hold every training gram of each of their contexts of that depth.
     """
-    raws = docs.select(F.when(use, raw_text()).alias("_raw"))
-    counts = checkpointed(raws.mapInArrow(_counts, "word string, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n")))
-    words = counts.where("word is not null")
-    total = words.agg(F.sum("n"), F.count("*")).first()
-    node = "(gram & -281474976710656) | ((gram & 281474976710655) >> 8)"
-    nodes = counts.where("gram is not null").select(F.expr(node).alias("node"), F.expr("n * 256 + (gram & 255)").alias("x"))
-    nodes = nodes.groupBy("node").agg(F.collect_list("x").alias("body"))
-    trie = nodes.select(F.concat(F.lit(" "), F.col("node").cast("string")).alias("key"), "body")
-    return words.select(F.col("word").alias("key"), F.array("n").alias("body")).union(trie), total[0] or 0, total[1]
 
-
-class Trie:
-    """A part of the trie that holds all contexts of the texts to score, and every suffix of those."""
-
-    def __init__(self, nodes: np.ndarray, ends: np.ndarray, body: np.ndarray):
-        sizes = np.diff(ends)
-        depth, context = nodes >> np.uint64(48), nodes & _mask(6)
+    def __init__(self, top: np.ndarray, counts: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]):
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        gram, count = _summed(top, counts)
+        for k in range(ORDER, len(low) - 1, -1):
+            gram, count = _summed(gram & _mask(k + 1), count)
+            levels.append((gram, count))
         self.at = []
         below = None
-        for k in range(ORDER + 1):
-            mine = depth == np.uint64(k)
-            take = np.repeat(mine, sizes)
-            own = body[take]
-            gram = (np.repeat(context[mine], sizes[mine]) << _EIGHT) | (own & np.uint64(255))
-            order = np.argsort(gram)
-            gram, count = gram[order], (own >> _EIGHT)[order].astype(np.float64)
+        for k, (gram, count) in enumerate([*low, *levels[::-1]]):
+            count = count.astype(np.float64)
             contexts = gram >> _EIGHT
             start = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(gram) else np.empty(0, np.int64)
             add = (lambda x, s=start: np.add.reduceat(x, s)) if len(start) else (lambda x: np.empty(0))
-            if k and len(gram):  # what these bytes weigh in the node of the next shorter context
-                weight = below[1][np.searchsorted(below[0], gram & _mask(k))]
-            else:
-                weight = np.zeros(len(gram))
+            # What these bytes weigh in the node of the next shorter context.
+            weight = below[1][np.searchsorted(below[0], gram & _mask(k))] if k and len(gram) else np.zeros(len(gram))
             self.at.append((contexts[start], add(count), np.diff(np.append(start, len(gram))).astype(np.float64), add(weight), gram, count))
             below = (gram, count)
 
@@ -168,89 +146,102 @@ class Trie:
         return out
 
 
-def looked_up(g: np.ndarray, log10) -> np.ndarray:
-    """log10(g), worked out once for each distinct value."""
-    u = np.unique(g)
-    p = log10(u)
-    shift = np.uint64(64 - min(22, max(4, 3 + int(len(u)).bit_length())))
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    keys, values = np.zeros(1 << int(64 - shift), np.uint64), np.zeros(1 << int(64 - shift))
-    slot = (u * spread) >> shift
-    keys[slot], values[slot] = u, p
-    slot = (g * spread) >> shift
-    out = values[slot]
-    if len(miss := np.flatnonzero(keys[slot] != g)):
-        out[miss] = p[np.searchsorted(u, g[miss])]
-    return out
-
-
-def _needs(group: pa.Table) -> pa.Table:
-    """The keys that a block of documents asks the model for."""
-    words: set[bytes] = {b""}
-    contexts: list[np.ndarray] = []
-    for part in batches(group.select(["_raw"]).to_batches(), 4 << 20):
-        own = [words_of(raw) for raw in part.column("_raw").to_pylist()]
-        for w in own:
-            words.update(w)
-        g, _ = grams([serial(w) for w in own])
-        contexts.append(np.unique(g >> _EIGHT))
-    u = np.unique(np.concatenate(contexts)) if contexts else np.empty(0, np.uint64)
-    nodes = [np.uint64(k << 48) | np.unique(u & _mask(k)) for k in range(ORDER + 1)]
-    numbers = pc.cast(pa.array(np.concatenate(nodes).view(np.int64)), pa.string())
-    keys = pa.concat_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pc.binary_join_element_wise(pa.scalar(" "), numbers, pa.scalar(""))])
-    return pa.table({"b": pa.repeat(group.column("b")[0].as_py(), len(keys)).cast(pa.int64()), "key": keys})
-
-
-def score_documents(docs: DataFrame, held_out: Column, order_of_block: int = 24 << 20, least_blocks: int = 48) -> DataFrame:
+class Lookup:
+    """Values of distinct grams by an open table of slots; grams that lost their slot are searched for."""
+
+    def __init__(self, u: np.ndarray, p: np.ndarray):
+        order = np.argsort(u)
+        self.u, self.p = np.append(u[order], np.uint64(0)), np.append(p[order], 0.0)
+        bits = min(22, max(4, 1 + len(u).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.at = np.full(1 << bits, len(u), dtype=np.int32)
+        self.at[self._slot(self.u[:-1])] = np.arange(len(u), dtype=np.int32)
+
+    def _slot(self, g: np.ndarray) -> np.ndarray:
+        return (g * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        at = self.at[self._slot(g)]
+        if len(miss := np.flatnonzero(self.u[at] != g)):
+            at[miss] = np.searchsorted(self.u[:-1], g[miss])
+        return self.p[at]
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(gram, v): log10 of the probability of each gram's last byte; counts has each gram once with its training count n.
+
+    Grams are dealt by the last two bytes of their context, so that a task has every context of depth two or more of its
+    grams whole. Of depths 0 and 1 there are 65,536 counts at most; they go to all tasks.
+    """
+    pairs = counts.where("n > 0").groupBy(F.expr("gram & 65535").alias("g")).agg(F.sum("n").alias("n")).collect()
+    one = _summed(np.array([r.g for r in pairs], dtype=np.uint64), np.array([r.n for r in pairs], dtype=np.int64))
+    low = [_summed(one[0] & _mask(1), one[1]), one]
+    n_parts = max(16, math.ceil(counts.count() / 250_000))
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+
+    def scored(group: pa.Table) -> pa.Table:
+        u, n = group.column("gram").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        trie = Trie(u[n > 0], n[n > 0], shared.value)
+        return pa.table({"gram": u.view(np.int64), "v": trie.log10(u)})
+
+    dealt = counts.select(F.pmod(F.xxhash64(F.expr("(gram >> 8) & 65535")), F.lit(n_parts)).alias("part"), "gram", "n")
+    return dealt.groupBy("part").applyInArrow(scored, "gram bigint, v double")
+
+
+def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 24 << 20, least_blocks: int = 12) -> DataFrame:
     """Scores every text under a model of the rows that aren't held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (of single words) and score: log10 of the
     probability that the trie gives the text, its words lower-cased and parted by single spaces, with its end. Each row
     gets its row, repeated or not; null texts are empty, one end token. Without training rows all bytes are alike.
 
-    Nothing of the model is broadcast or gathered in one place. Documents are dealt into blocks of about order_of_block
-    bytes by a hash of their id; each block asks for its distinct words and contexts, those are joined to the model by
-    key, and come back to the block.
+    Documents are dealt into blocks of about block_bytes by a hash of their id. Each block counts its words and grams,
+    the counts are summed by key, every distinct gram is scored once for the corpus, and the values go back to the blocks
+    that have the key. So what is gathered grows with the corpus, and no part of it is broadcast or cut.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(least_blocks, math.ceil(n_bytes / order_of_block))
-    model, n, v = train(docs, ~held_out)
-    whole = math.log10(n + 0.1 * (v + 1))
+    n_blocks = max(least_blocks, math.ceil(n_bytes / block_bytes))
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("bigint")
-    blocks = docs.select(block.alias("b"), "doc_id", held_out.alias("held_out"), raw_text().alias("_raw")).repartition("b")
-    asked = blocks.groupBy("b").applyInArrow(_needs, "b bigint, key string")
-    lent = asked.join(model, "key").select("b", F.col("key").cast("binary").alias("key"), "body")
+    blocks = docs.select(block.alias("b"), "doc_id", held_out.alias("held_out"), raw_text().alias("_raw"))
+    asked = stored(blocks.groupBy("b").applyInArrow(_counted, "b bigint, word string, gram bigint, n bigint"))
+    release(spark)
+    words = stored(asked.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    total = words.where("n > 0").agg(F.sum("n"), F.count("*")).first()
+    n, whole = total[0] or 0, math.log10((total[0] or 0) + 0.1 * (total[1] + 1))
+    values = stored(gram_scores(stored(asked.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")))))
+    release(spark)
+    lent = asked.where("word is not null").select("b", "word").join(words, "word").select("b", F.col("word").cast("binary").alias("word"), F.lit(None).cast("bigint").alias("gram"), F.col("n").cast("double").alias("v"))
+    lent = lent.unionByName(asked.where("gram is not null").select("b", "gram").join(values, "gram").select("b", F.lit(None).cast("binary").alias("word"), "gram", "v"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        keys, body = right.column("key").to_pylist(), right.column("body")
-        body = body.chunk(0) if body.num_chunks else pa.array([], pa.list_(pa.int64()))
-        ends, flat = np.asarray(body.offsets).astype(np.int64), np.asarray(body.values).view(np.uint64)
-        is_node = np.fromiter((k[:1] == b" " for k in keys), bool, len(keys))
+        known: dict[bytes, float] = {}
+        u, v = [np.empty(0, np.uint64)], [np.empty(0)]
+        for part in right.select(["word", "gram", "v"]).to_batches(max_chunksize=65_536):
+            is_word = pc.is_valid(part.column("word"))
+            logs = np.log10(part.column("v").filter(is_word).to_numpy(zero_copy_only=False) + 0.1)  # of a word's count
+            known.update(zip(part.column("word").filter(is_word).to_pylist(), logs.tolist(), strict=True))
+            rest = pc.invert(is_word)
+            u.append(part.column("gram").filter(rest).to_numpy(zero_copy_only=False).view(np.uint64))
+            v.append(part.column("v").filter(rest).to_numpy(zero_copy_only=False))
+        del right
+        lookup = Lookup(np.concatenate(u), np.concatenate(v))
+        del u, v
         floor = math.log10(0.1)
-        starts = ends[:-1]
-        known = {k: math.log10(int(flat[s]) + 0.1) for k, s, node in zip(keys, starts.tolist(), is_node.tolist(), strict=True) if not node}
-        at = np.flatnonzero(is_node)
-        sizes = np.diff(ends)
-        nodes = np.array([int(keys[i]) for i in at.tolist()], dtype=np.uint64)
-        trie = Trie(nodes, np.concatenate([[0], np.cumsum(sizes[at])]), flat[ends[0] : ends[-1]][np.repeat(is_node, sizes)] if len(keys) else flat[:0])
-        del keys
+        end = known.get(b"", floor)
         out: list[list] = [[], [], [], []]
-        for part in batches(left.select(["_raw"]).to_batches(), 4 << 20):
-            own = [words_of(raw) for raw in part.column("_raw").to_pylist()]
-            g, at = grams([serial(w) for w in own])
-            out[3].append(np.add.reduceat(looked_up(g, trie.log10), at))
-            for w in own:
+        for part in batches(left.select(["_raw"]).to_batches(), 1 << 20):
+            some = [words_of(raw) for raw in part.column("_raw").to_pylist()]
+            g, at = grams([serial(w) for w in some])
+            out[3].append(np.add.reduceat(lookup(g), at))
+            for w in some:
                 p = np.fromiter(map(known.get, w, repeat(floor)), np.float64, len(w))
-                end = known.get(b"", floor)
                 out[0].append(len(w) + 1)
-                out[1].append(int((p > floor).sum()) + (end > floor))
+                out[1].append(int((p > floor + 1e-9).sum()) + (end > floor + 1e-9))
                 out[2].append(float(p.sum()) + end - (len(w) + 1) * whole)
-        rows = left.num_rows
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()),
-            "train_tokens": pa.repeat(pa.scalar(n, pa.int64()), rows), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(np.concatenate([*out[3], np.empty(0)])),
+            "train_tokens": pa.repeat(pa.scalar(n, pa.int64()), left.num_rows), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(np.concatenate([*out[3], np.empty(0)])),
         })
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -56,7 +56,7 @@ def test_against_loops(spark):
     rows = [(i, " ".join(rng.choice(["the", "cat", "sät", "on", "Mat.", "zz", "a"]) for _ in range(rng.randrange(30)))) for i in range(60)]
     rows += [(60, None), (61, ""), (62, " \t\x0b\n "), (63, "ünïcode ☃ new word"), (63, "same id"), (None, "no id"), (64, "x" * 20_000)]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id bigint, text string, score double")
-    got = [tuple(r) for r in ppm.score_documents(docs, id_remainder("doc_id", 10) == 0, order_of_block=500, least_blocks=3).collect()]
+    got = [tuple(r) for r in ppm.score_documents(docs, id_remainder("doc_id", 10) == 0, block_bytes=500, least_blocks=3).collect()]
     same(got, slow_scores(rows))
 
 
