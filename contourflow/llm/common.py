@@ -96,10 +96,11 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("up"))
-        up = checkpointed(up.withColumn("moved", F.col("node") != F.col("up")))
-        while not up.where("moved").isEmpty():
+        moved = True
+        while moved:
             over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
             up = checkpointed(up.join(over, "up").select("node", F.col("over").alias("up"), (F.col("up") != F.col("over")).alias("moved")))
+            moved = not up.where("moved").isEmpty()
         if roots is None:
             roots = up.select("node", F.col("up").alias("root"))
         else:

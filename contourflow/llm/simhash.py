@@ -85,7 +85,8 @@ def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, slice_bits: int
 
     All that share a variant and are at most one bit from it are linked to the smallest of them; so is each that is two
     bits from it. Two that are both two bits away and linked at all also meet in a variant one bit from each. Variants
-    are taken in 2**slice_bits parts by the bits below the top ones, which bounds memory.
+    are taken in 2**slice_bits parts by the bits below the top ones, which bounds memory. Of all these links a spanning
+    forest is returned.
     """
     flips = _top(fps, bits, cell_bits) ^ np.uint64(cell)
     odd = _parity(fps)
@@ -140,7 +141,25 @@ def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, slice_bits: int
     if not out_a:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+    return _forest(both[:, 0], both[:, 1])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links those that a minimum spanning forest by Hamming distance takes: one fewer than members, the nearest."""
+    order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+    a, b = a[order], b[order]
+    _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = list(range(int(at.max(initial=-1)) + 1))
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[y] = x
+            keep[k] = True
+    return a[keep], b[keep]
 
 
 def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 512) -> DataFrame:
@@ -150,8 +169,8 @@ def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 512) -> Data
     weight all within two bits (pairs in the same half of the word), of odd weight all within one. Two within three bits
     share a variant. Variants are shuffled by their top bits, and what travels is the fingerprint, once for each value
     of those bits that its variants have; the receiving task forms the variants again. Top bits are as many as give
-    about per_cell fingerprints to each value. Links through a shared variant form a star, so they never grow with the
-    square of a group. No cap anywhere.
+    about per_cell fingerprints to each value. A task returns a spanning forest of the links that it finds, so they never
+    grow with the square of a group. No cap anywhere.
     """
     n = distinct.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     cell_bits = max(0, min(28, math.ceil(math.log2(max(1, n / per_cell)))))
@@ -213,7 +232,7 @@ def table_fingerprints(words: set[str]) -> np.ndarray:
     own = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
     out = np.zeros(TABLES, dtype=np.uint64)
     for t in range(TABLES):
-        h = (own ^ np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (own ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         out[t] = majority(h ^ (h >> np.uint64(32))) & ((1 << TABLE_BITS) - 1)
     return out
@@ -225,14 +244,29 @@ def jaccard(a: list[str], b: list[str], width: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
+def _verified(pairs: DataFrame, bodies: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b, ok): whether the texts of two documents are similar."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    both = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
+
+    def verified(parts):
+        for part in batches(parts, 4 << 20):
+            a, b = (part.column(c).to_pylist() for c in ("text_a", "text_b"))
+            ok = [jaccard(_tokens((x or "").lower()), _tokens((y or "").lower()), width) >= least for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, f"a {kind}, b {kind}, ok boolean")
+
+
 def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (doc_id, text_key, root): the near-duplicate group of each document, named by its smallest doc_id.
 
     Texts whose words (runs of letters and digits, lower-cased) have a shingle Jaccard of at least least are linked.
     Candidates: equal texts at once, by hash; else texts of which one of TABLES fingerprints of 48 bits is within three
     bits. In each table equal fingerprints are linked to their smallest document, and near ones as in ball_links; every
-    such link is then checked exactly. So groups of copies make no more links than they have members. Measured recall of
-    groups is in the README. Rows without doc_id aren't listed.
+    such link is then checked exactly, and where it fails also the smallest documents of the groups that it lies between.
+    So groups of copies make no more links than a few times their members. Measured recall of groups is in the README.
+    Rows without doc_id aren't listed.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
 
@@ -252,19 +286,18 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     links = checkpointed(ball_links(by_table.select("t", "fp"), TABLE_BITS))
     ends = by_table.select("t", "fp", "centre")
     near = links.join(ends.toDF("t", "a", "x"), ["t", "a"]).join(ends.toDF("t", "b", "y"), ["t", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = alike.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    pairs = checkpointed(alike.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     bodies = checkpointed(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    both = pairs.join(bodies.toDF("a", "text_a"), "a").join(bodies.toDF("b", "text_b"), "b")
-
-    def verified(parts):
-        for part in batches(parts, 4 << 20):
-            a, b = (part.column(c).to_pylist() for c in ("text_a", "text_b"))
-            ok = [jaccard(_tokens((x or "").lower()), _tokens((y or "").lower()), width) >= least for x, y in zip(a, b, strict=True)]
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    roots = components(both.select("a", "b", "text_a", "text_b").mapInArrow(verified, f"a {kind}, b {kind}"), kind)
+    checked = checkpointed(_verified(pairs, bodies, width, least))
+    roots = components(checked.where("ok"), kind)
+    # Where a link failed, the members may still be like the other's group: its smallest document is compared too.
+    left, right = roots.toDF("a", "x"), roots.toDF("b", "y")
+    failed = checked.where("not ok").join(left, "a", "left").join(right, "b", "left").withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).where("x <> y")
+    more = failed.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("b").alias("b")), F.struct("a", F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("y").alias("b")))).alias("p")).select("p.a", "p.b")
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    again = _verified(more, bodies, width, least)
+    roots = components(checked.where("ok").select("a", "b").union(again.where("ok").select("a", "b")), kind)
     rooted = checkpointed(texts.join(roots, texts.rep == roots.node, "left").select("text_key", F.coalesce("root", "rep").alias("root")))
     return own.select("doc_id", "text_key").join(rooted, "text_key")
 

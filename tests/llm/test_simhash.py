@@ -105,3 +105,13 @@ def test_groups_of_similar_texts(spark):
     ids = [r.doc_id for r in got.collect()]
     assert ids.count(None) == 2 and sorted(i for i in ids if i is not None) == want
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_forest_keeps_what_is_connected():
+    import numpy as np
+
+    none = np.empty(0, np.uint64)
+    assert [len(x) for x in simhash._forest(none, none)] == [0, 0]
+    a, b = np.array([1, 1, 2, 8], dtype=np.uint64), np.array([2, 3, 3, 9], dtype=np.uint64)
+    x, y = simhash._forest(a, b)
+    assert len(x) == 3 and {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} >= {(8, 9), (2, 3), (1, 3)}
