@@ -25,13 +25,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_th", F.xxhash64("text"))
 
 
+def _of(*columns: str) -> Column:
+    """A join key that no aggregation is dealt by, so that both sides of the join are dealt anew and Spark may split what
+    is hot."""
+    return F.struct(*columns).alias("k")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, _th, pos, h) of the lines whose hash occurs more than once in the corpus; docs is keyed."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", "_th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.where("length(line) > 0").select("doc_id", "_th", "pos", F.xxhash64("line").alias("h")).distinct()
     lines = checkpointed(lines)
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return lines.join(often, "h", "left_semi")
+    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_of("h"))
+    return lines.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
 
 
 def chunks(lines: DataFrame) -> DataFrame:
@@ -54,8 +60,8 @@ def chunks(lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, _th, gone): the lines of each document that go, as an array of (start, n); docs is keyed."""
     parts = checkpointed(chunks(repeated_lines(docs)))
-    often = parts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    parts = parts.join(often, "h", "left_semi")
+    often = parts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(_of("h"))
+    parts = parts.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
     listed = parts.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", "n", "h")).alias("chunks"))
     # Shaped like the join in dedup_lines (an outer one, all columns of docs), so that both read one shuffle of docs.
     rest = [c for c in docs.columns if c not in ("doc_id", "_th", "text")]
@@ -66,8 +72,8 @@ def removals(docs: DataFrame) -> DataFrame:
     bytes_ = F.array_join(F.slice("lines", F.col("c.start") + F.col("zero") + 1, F.col("c.n")), "\n")
     own = own.select("doc_id", "_th", "c.start", "c.n", "c.h", bytes_.alias("bytes"))
     # Equal hashes are compared byte by byte: the first of each content stays, whatever else shares its hash.
-    first = own.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "_th", "start")).alias("first"))
-    again = own.join(first, ["h", "bytes"]).where(F.struct("doc_id", "_th", "start") != F.col("first"))
+    first = own.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "_th", "start")).alias("first")).select(_of("h", "bytes"), "first")
+    again = own.withColumn("k", _of("h", "bytes")).join(first, "k").where(F.struct("doc_id", "_th", "start") != F.col("first"))
     again = again.select("doc_id", "_th", "start", "n", n_words(F.col("bytes")).alias("n_words")).distinct()
     run = Window.partitionBy("doc_id", "_th").orderBy("start")
     joins = F.coalesce((F.lag(F.col("start") + F.col("n")).over(run) == F.col("start")).cast("int"), F.lit(0))
