@@ -90,7 +90,7 @@ class Model:
         """Toxic passages (start, end, score, evidence), in words; evidence: minus log of the chance that a clean text
         of this length has one that scores so high. Those whose evidence is at most log 2 are left out."""
         out = []
-        for s, e, x in segments(self.token_scores(words)):
+        for s, e, x in segments(self.token_scores(words)) if words else []:
             expected = math.exp(min(700.0, self.log_k + math.log(len(words)) - self.lam * x))
             chance = -math.expm1(-expected)
             evidence = -math.log(max(chance, 1e-300))
@@ -98,13 +98,13 @@ class Model:
                 out.append((s, e, x, evidence))
         return out
 
-    def features(self, words: list[str]) -> tuple[float, float, float]:
-        found = self.passages(words) if words else []
+    @staticmethod
+    def features(found: list[tuple[int, int, float, float]]) -> tuple[float, float, float]:
         best = max((e for *_, e in found), default=0.0)
         return 1.0, math.log1p(best), math.log1p(sum(e for *_, e in found))
 
-    def probability(self, words: list[str]) -> float:
-        z = sum(w * x for w, x in zip(self.weights, self.features(words), strict=True))
+    def probability(self, found: list[tuple[int, int, float, float]]) -> float:
+        z = sum(w * x for w, x in zip(self.weights, self.features(found), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
 
     def featured(parts):
         for part in batches(parts, 4 << 20):
-            x = [law.features(tokens(text)) for text in part.column("text").to_pylist()]
+            x = [law.features(law.passages(tokens(text))) for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array([v[i] for v in x], pa.float64()) for i in range(3)]], names=["toxic", "x0", "x1", "x2"])
 
     rows = chosen.mapInArrow(featured, "toxic boolean, x0 double, x1 double, x2 double").collect()
@@ -232,9 +232,9 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         for part in batches(parts, 4 << 20):
             p, found = [], []
             for text in part.column("text").to_pylist():
-                words = tokens(text or "")
-                p.append(own.probability(words))
-                found.append([dict(zip(("start", "end", "score", "evidence"), x, strict=True)) for x in (own.passages(words) if words else [])])
+                passages = own.passages(tokens(text or ""))
+                p.append(own.probability(passages))
+                found.append([dict(zip(("start", "end", "score", "evidence"), x, strict=True)) for x in passages])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("held_out"), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array(list(map(len, found)), pa.int32()), pa.array(found, shape)],
                 names=["doc_id", "held_out", "score", "predicted", "n_passages", "passages"],
