@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, components, raw_text, words_of
+from .common import batches, checkpointed, components, raw_text, release, words_of
 
 RADIUS = 3
 _ONE = np.uint64(1)
@@ -238,6 +238,57 @@ def table_fingerprints(words: set[str]) -> np.ndarray:
     return out
 
 
+#: Of the exact path: documents of the sample that frequent shingles are looked up in, how many of them count, and words of 64 bits in
+#: a text's parity sketch. They bear on the cost alone, not on what is found.
+SAMPLE, FREQUENT, SKETCH = 8_000, 100_000, 16
+
+
+def shingle_set(words: list[str], width: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles that jaccard compares."""
+    size = min(width, len(words))
+    memo = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    own = np.array([memo[w] for w in words], dtype=np.uint64)
+    h = np.full(len(own) - size + 1, size, dtype=np.uint64)
+    for i in range(size):
+        h = (h ^ own[i : len(own) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in one order for all texts, the least frequent first, of which two texts share one at least if
+    their similarity is least or more."""
+    n = len(shingles)
+    rank = np.zeros(n, dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, ranks[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: n - math.ceil(least * n - 1e-9) + 1]]
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each of 64 * SKETCH cells: two texts' sketches differ in no more bits than
+    there are shingles that only one of the texts has."""
+    cells = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _frequent(known: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more documents of a sample hold, sorted, and in how many."""
+    share = max(1, math.ceil(known.count() / SAMPLE))
+
+    def mapped(parts):
+        for part in batches(parts, 1 << 20):
+            own = [shingle_set(_tokens((t or "").lower()), width) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64))], names=["h"])
+
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    rows = some.mapInArrow(mapped, "h bigint").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    hashes, counts = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
 def jaccard(a: list[str], b: list[str], width: int = 5) -> float:
     """Of the sets of shingles of width words, all words if there are fewer; two texts without words are alike."""
     x, y = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a, b))
@@ -258,46 +309,91 @@ def _verified(pairs: DataFrame, bodies: DataFrame, width: int, least: float) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verified, f"a {kind}, b {kind}, ok boolean")
 
 
+def _may_be_similar(x: str, y: str, least: float):
+    """False only where the sizes and sketches of two texts prove a similarity below least."""
+    sizes = F.least(f"{x}.n", f"{y}.n") >= F.lit(least) * F.greatest(f"{x}.n", f"{y}.n") - 1e-6
+    differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    return sizes & (differ <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
 def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (doc_id, text_key, root): the near-duplicate group of each document, named by its smallest doc_id.
 
-    Texts whose words (runs of letters and digits, lower-cased) have a shingle Jaccard of at least least are linked.
-    Candidates: equal texts at once, by hash; else texts of which one of TABLES fingerprints of 48 bits is within three
-    bits. In each table equal fingerprints are linked to their smallest document, and near ones as in ball_links; every
-    such link is then checked exactly, and where it fails also the smallest documents of the groups that it lies between.
-    So groups of copies make no more links than a few times their members. Measured recall of groups is in the README.
-    Rows without doc_id aren't listed.
+    Groups are the components of all pairs of texts whose words (runs of letters and digits, lower-cased) have a shingle
+    Jaccard of at least least. Equal texts are one at once, by hash. Then texts of which one of TABLES fingerprints of 48
+    bits is within three bits are linked, as stars and spanning forests, and each link is checked exactly: that finds
+    most, and large groups of copies make few links. What it leaves is found exactly: similar texts share one of their
+    prefix shingles, so a shingle whose texts are of one group already is done. Of any other its texts are compared with
+    the smallest first, and then all those pairs of different groups that sizes, sketches and the number of shared prefix
+    shingles do not rule out. The number of these is bounded by nothing but the texts. Rows without doc_id aren't listed.
     """
     known = docs.where("doc_id is not null").select("doc_id", "text")
+    frequent = known.sparkSession.sparkContext.broadcast(_frequent(known, width))
 
     def mapped(parts):
         for part in batches(parts, 4 << 20):
             texts = part.column("text").to_pylist()
-            keys = [xxhash.xxh128_digest((t or "").encode()) for t in texts]
-            fps = np.concatenate([np.empty(0, np.uint64), *[table_fingerprints(set(_tokens((t or "").lower()))) for t in texts]])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * TABLES, pa.int32()), pa.array(fps.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), lists], names=["doc_id", "text_key", "fps"])
+            keys, fps, sizes, prefixes, sketches = [], [np.empty(0, np.uint64)], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for t in texts:
+                words = _tokens((t or "").lower())
+                own = shingle_set(words, width)
+                keys.append(xxhash.xxh128_digest((t or "").encode()))
+                fps.append(table_fingerprints(set(words)))
+                sizes.append(len(own))
+                prefixes.append(prefix(own, *frequent.value, least))
+                sketches.append(sketch(own))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([len(v) for v in x]), pa.int32()), pa.array(np.concatenate(x).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(keys, pa.binary()), lists(fps), pa.array(sizes, pa.int32()), lists(prefixes), lists(sketches)],
+                names=["doc_id", "text_key", "fps", "n", "prefix", "sketch"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = checkpointed(known.mapInArrow(mapped, f"doc_id {kind}, text_key binary, fps array<bigint>"))
-    texts = checkpointed(own.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")))
+    own = checkpointed(known.mapInArrow(mapped, f"doc_id {kind}, text_key binary, fps array<bigint>, n int, prefix array<bigint>, sketch array<bigint>"))
+    texts = checkpointed(own.groupBy("text_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fps", "n", "sketch")]))
     by_table = checkpointed(texts.select("rep", F.posexplode("fps").alias("t", "fp")).groupBy("t", "fp").agg(F.min("rep").alias("centre"), F.count("*").alias("n")))
     alike = texts.select("rep", F.posexplode("fps").alias("t", "fp")).join(by_table.where("n > 1"), ["t", "fp"]).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     links = checkpointed(ball_links(by_table.select("t", "fp"), TABLE_BITS))
     ends = by_table.select("t", "fp", "centre")
     near = links.join(ends.toDF("t", "a", "x"), ["t", "a"]).join(ends.toDF("t", "b", "y"), ["t", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = checkpointed(alike.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bodies = checkpointed(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    checked = checkpointed(_verified(pairs, bodies, width, least))
-    roots = components(checked.where("ok"), kind)
-    # Where a link failed, the members may still be like the other's group: its smallest document is compared too.
-    left, right = roots.toDF("a", "x"), roots.toDF("b", "y")
-    failed = checked.where("not ok").join(left, "a", "left").join(right, "b", "left").withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).where("x <> y")
-    more = failed.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("b").alias("b")), F.struct("a", F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("y").alias("b")))).alias("p")).select("p.a", "p.b")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    again = _verified(more, bodies, width, least)
-    roots = components(checked.where("ok").select("a", "b").union(again.where("ok").select("a", "b")), kind)
+
+    def similar(pairs):
+        pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        bodies = checkpointed(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return checkpointed(_verified(pairs, bodies, width, least).where("ok").select("a", "b"))
+
+    def with_roots(rows, roots):
+        return rows.join(roots, rows["rep"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "rep").alias("root"))
+
+    def enough(shared):
+        """Of pairs with a row for each prefix shingle that both hold, those that may be similar: of the text whose prefix
+        ends first, all prefix shingles that the other's lacks are not in the other text at all."""
+        pairs = shared.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+        both = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-6)
+        fits = [F.col(n) - F.ceil(F.col(n) * least - 1e-9) + 1 - F.col("c") <= F.col(n) - both for n in ("n", "m")]
+        return pairs.where(fits[0] | fits[1]).select("a", "b")
+
+    found = similar(alike.union(near))
+    del by_table, alike, links, ends, near
+    release(known.sparkSession)
+    roots = components(found, kind)
+    reps = checkpointed(with_roots(texts.select("text_key", "rep"), roots))
+    keyed = own.select("doc_id", "text_key", "prefix").join(reps, "text_key").where("doc_id = rep").select("rep", "root", F.explode("prefix").alias("key"))
+    unsettled = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    left = checkpointed(keyed.join(unsettled, "key").select("key", "rep", "root").distinct())
+    del keyed, unsettled
+    release(known.sparkSession)
+    shape = texts.select("rep", F.struct("n", "sketch").alias("shape"))
+    first = left.join(left.groupBy("key").agg(F.min("rep").alias("a")), "key").where("rep <> a").select("a", F.col("rep").alias("b"))
+    first = first.join(shape.toDF("a", "x"), "a").join(shape.toDF("b", "y"), "b")
+    found = found.union(similar(enough(first.where(_may_be_similar("x", "y", least)))))
+    roots = components(found, kind)
+    left = checkpointed(with_roots(left.select("key", "rep"), roots).join(shape, "rep"))
+    x, y = left.toDF("a", "key", "x_root", "x"), left.toDF("b", "key", "y_root", "y")
+    rest = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["x_root"] != y["y_root"]) & _may_be_similar("x", "y", least)).select("a", "b", "x", "y")
+    found = found.union(similar(enough(rest)))
+    roots = components(found, kind)
     rooted = checkpointed(texts.join(roots, texts.rep == roots.node, "left").select("text_key", F.coalesce("root", "rep").alias("root")))
     return own.select("doc_id", "text_key").join(rooted, "text_key")
 

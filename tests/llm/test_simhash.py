@@ -115,3 +115,40 @@ def test_forest_keeps_what_is_connected():
     a, b = np.array([1, 1, 2, 8], dtype=np.uint64), np.array([2, 3, 3, 9], dtype=np.uint64)
     x, y = simhash._forest(a, b)
     assert len(x) == 3 and {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} >= {(8, 9), (2, 3), (1, 3)}
+
+
+def _whole_groups(rows):
+    words = {i: simhash._tokens((t or "").lower()) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(words), 2) if simhash.jaccard(words[a], words[b]) >= 0.8]
+    return sorted(set(slow_components(words, links).values()))
+
+
+def test_texts_that_differ_in_one_block(spark):
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(4000)]
+    rows = []
+    for _ in range(60):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(60, 400))]
+        block = [rng.choice(vocab) for _ in range(int(len(base) * rng.uniform(0.1, 0.24)))]
+        other = rng.choice([base + block, base[: -len(block)], base[:20] + block[: len(block) // 2] + base[20 + len(block) // 2 :]])
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    rows += [(900, ""), (901, "..."), (902, "one two"), (903, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == _whole_groups(rows)
+
+
+def test_prefix_and_sketch_rule_out_nothing_similar():
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(300):
+        x = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 90))]
+        y = list(x[: rng.randrange(len(x) + 1)] if rng.random() < 0.3 else x) + [f"w{rng.randrange(60)}" for _ in range(rng.randrange(8))]
+        a, b = simhash.shingle_set(x), simhash.shingle_set(y)
+        same = len(np.intersect1d(a, b))
+        assert abs(same / (len(a) + len(b) - same) - simhash.jaccard(x, y)) < 1e-12
+        frequent = np.sort(np.unique(np.concatenate([a[::3], b[::4]])))
+        if simhash.jaccard(x, y) >= 0.8:
+            assert len(np.intersect1d(simhash.prefix(a, frequent, np.arange(len(frequent)) + 3, 0.8), simhash.prefix(b, frequent, np.arange(len(frequent)) + 3, 0.8)))
+        differ = int(np.bitwise_count((simhash.sketch(a) ^ simhash.sketch(b)).view(np.uint64)).sum())
+        assert differ <= len(a) + len(b) - 2 * same
