@@ -152,3 +152,19 @@ def test_prefix_and_sketch_rule_out_nothing_similar():
             assert len(np.intersect1d(simhash.prefix(a, frequent, np.arange(len(frequent)) + 3, 0.8), simhash.prefix(b, frequent, np.arange(len(frequent)) + 3, 0.8)))
         differ = int(np.bitwise_count((simhash.sketch(a) ^ simhash.sketch(b)).view(np.uint64)).sum())
         assert differ <= len(a) + len(b) - 2 * same
+
+
+def test_copies_inside_a_family_of_letters(spark):
+    rng = random.Random(13)
+    vocab, fixed = [f"v{i}" for i in range(3000)], [f"f{i}" for i in range(100)]
+    pairs = []
+    for _ in range(800):
+        own = [rng.choice(vocab) if i % 12 == 6 else w for i, w in enumerate(fixed)]
+        copy = list(own)
+        copy[rng.randrange(100)] = rng.choice(vocab)
+        pairs.append((own, copy))
+    # Texts of different pairs have at most 0.6 of their shingles in common, those of one pair 0.9.
+    ids = rng.sample(range(1600), 1600)
+    rows = [(i, " ".join(w)) for i, w in zip(ids, itertools.chain(*pairs), strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(map(min, ids[::2], ids[1::2]))
