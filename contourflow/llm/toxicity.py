@@ -120,37 +120,40 @@ def _fit_lam(values: np.ndarray, shares: np.ndarray) -> float:
     return low
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Newton's method with a small ridge."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[float, ...]:
+    """Newton's method with a small ridge; v are the weights of the rows."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.01 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), grad)
+        grad = x.T @ (v * (p - y)) + 0.01 * w
+        step = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), grad)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
 
 
-def _chosen(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
-    """Rows (text, toxic) of at most SAMPLE documents of each class."""
+def _chosen(docs: DataFrame, labels: DataFrame, use: Column) -> tuple[DataFrame, dict[bool, int]]:
+    """Rows (text, toxic) of at most SAMPLE documents of each class, and how many documents have each label."""
     of = labels.where(use & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of = checkpointed(of)
+    labelled = {r.toxic: r["count"] for r in of.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     some = [of.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in ("toxic = 1", "toxic <> 1")]
     some = checkpointed(some[0].union(some[1]))
     # At most 2 * SAMPLE rows of two numbers are broadcast.
-    return checkpointed(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic")))
+    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
+    return checkpointed(chosen), labelled
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     """Fits the model on labelled documents for which use (of doc_id) holds.
 
     Token log-odds have an informative Dirichlet prior: the frequencies over both classes. Duplicate labels of a
-    document count once, the higher one; null labels don't count. Of no rows the model finds nothing and gives 0.5 at
+    document count once, the higher one; null labels don't count. The calibration weights each class by its share of all
+    labels, so chances don't depend on where SAMPLE cuts. Of no rows the model finds nothing and gives 0.5 at
     most. What comes to the driver is bounded: UNITS units, and three numbers for each document of the sample.
     """
-    chosen = _chosen(docs, labels, use)
+    chosen, labelled = _chosen(docs, labels, use)
 
     def counted(parts):
         schema = pa.schema([("unit", pa.string()), ("toxic", pa.bool_()), ("n", pa.int64())])
@@ -214,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
 
     rows = chosen.mapInArrow(featured, "toxic boolean, x0 double, x1 double, x2 double").collect()
     x, y = np.array([[r.x0, r.x1, r.x2] for r in rows]), np.array([float(r.toxic) for r in rows])
-    return Model(raw.scores, lam, log_k, _fit_logistic(x, y))
+    # The sample holds a share of each class; the weights, 1 on average, give each its part of all labels again.
+    v = np.where(y == 1, labelled[True] / max(1, min(SAMPLE, labelled[True])), labelled[False] / max(1, min(SAMPLE, labelled[False])))
+    return Model(raw.scores, lam, log_k, _fit_logistic(x, y, v / v.mean()))
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:

@@ -72,3 +72,16 @@ def test_nothing_to_learn_from(spark):
     model = toxicity.fit(docs, labels, F.lit(True))
     assert [r.predicted for r in toxicity.score(docs, model, F.lit(False)).collect()] == [0]
     assert toxicity.score(docs.limit(0), model, F.lit(False)).count() == 0
+
+
+def test_base_rate_does_not_depend_on_where_the_sample_is_cut(spark, monkeypatch):
+    rows, marks = made(random.Random(2), 1500)
+    # Toxic words in clean texts too, so that the classes overlap; an eighth of the labels is toxic.
+    rng = random.Random(3)
+    rows = [(i, t if y else t + " vilezz badqx" * rng.choice([0, 0, 1])) for (i, t), (_, _, y) in zip(rows, marks, strict=True)]
+    keep = [i for (i, _, y) in marks if not y or i % 3 == 0]
+    docs = spark.createDataFrame([rows[i] for i in keep], "doc_id bigint, text string")
+    labels = spark.createDataFrame([marks[i] for i in keep], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 140)
+    mean = toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True)), F.lit(False)).agg(F.avg("score")).first()[0]
+    assert abs(mean - sum(marks[i][2] for i in keep) / len(keep)) < 0.04
