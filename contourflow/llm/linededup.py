@@ -32,29 +32,34 @@ def _of(*columns: str) -> Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, _th, pos, h) of the lines whose hash occurs more than once in the corpus; docs is keyed."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", "_th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where("length(line) > 0").select("doc_id", "_th", "pos", F.xxhash64("line").alias("h")).distinct()
+    """Rows (doc_id, _th, pos, seq, h) of the lines whose hash occurs more than once in the corpus; docs is keyed.
+
+    pos numbers all lines of the document, seq those that aren't empty.
+    """
+    filled = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"] != "")
+    lines = docs.where("doc_id is not null and text is not null").select("doc_id", "_th", F.posexplode(filled).alias("seq", "x"))
+    lines = lines.select("doc_id", "_th", "x.pos", "seq", F.xxhash64("x.line").alias("h")).distinct()
     lines = checkpointed(lines)
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_of("h"))
     return lines.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
 
 
 def chunks(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, _th, start, n, h): the chunks of neighbouring repeated lines of each document.
+    """Rows (doc_id, _th, start, end, seq, n, h): the chunks of neighbouring repeated lines of each document, from line
+    start to before line end; n lines of them, from the one numbered seq on, aren't empty.
 
     A line that occurs once in the corpus can't be in a repeated chunk and ends one. Inside a stretch of repeated lines
     a chunk ends where the hash rolled over the last two lines says so, and so at the same lines wherever the stretch
-    occurs, whatever stands around it.
+    occurs, whatever stands around it. Empty lines neither end a stretch nor count.
     """
     by = Window.partitionBy("doc_id", "_th").orderBy("pos")
-    rows = lines.withColumn("stretch", F.col("pos") - F.row_number().over(by))
+    rows = lines.withColumn("stretch", F.col("seq") - F.row_number().over(by))
     inside = Window.partitionBy("doc_id", "_th", "stretch").orderBy("pos")
     rolled = F.xxhash64(F.lag("h").over(inside), "h")
     rows = rows.withColumn("ends", (F.pmod(rolled, F.lit(DIVISOR)) == 0).cast("int"))
     rows = rows.withColumn("chunk", F.coalesce(F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     of = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    return rows.groupBy("doc_id", "_th", "stretch", "chunk").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n"), F.xxhash64(of).alias("h"))
+    return rows.groupBy("doc_id", "_th", "stretch", "chunk").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min("seq").alias("seq"), F.count("*").cast("int").alias("n"), F.xxhash64(of).alias("h"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -62,26 +67,26 @@ def removals(docs: DataFrame) -> DataFrame:
     parts = checkpointed(chunks(repeated_lines(docs)))
     often = parts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(_of("h"))
     parts = parts.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
-    listed = parts.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", "n", "h")).alias("chunks"))
+    listed = parts.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", "end", "seq", "n", "h")).alias("chunks"))
     # Shaped like the join in dedup_lines (an outer one, all columns of docs), so that both read one shuffle of docs.
     rest = [c for c in docs.columns if c not in ("doc_id", "_th", "text")]
     zero = F.pmod(F.hash(*rest), F.lit(1)) if rest else F.lit(0)
     listed = listed.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "chunks")
     own = docs.join(listed, (docs["doc_id"] == listed["_id"]) & (docs["_th"] == listed["_t"]), "left")
     own = own.select("doc_id", "_th", F.explode_outer("chunks").alias("c"), F.when(F.col("chunks").isNotNull(), F.split("text", "\n")).alias("lines"), zero.alias("zero")).where("c is not null")
-    bytes_ = F.array_join(F.slice("lines", F.col("c.start") + F.col("zero") + 1, F.col("c.n")), "\n")
-    own = own.select("doc_id", "_th", "c.start", "c.n", "c.h", bytes_.alias("bytes"))
+    bytes_ = F.array_join(F.filter(F.slice("lines", F.col("c.start") + F.col("zero") + 1, F.col("c.end") - F.col("c.start")), lambda x: x != ""), "\n")
+    own = own.select("doc_id", "_th", "c.start", "c.end", "c.seq", "c.n", "c.h", bytes_.alias("bytes"))
     # Equal hashes are compared byte by byte: the first of each content stays, whatever else shares its hash.
     first = own.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "_th", "start")).alias("first")).select(_of("h", "bytes"), "first")
     again = own.withColumn("k", _of("h", "bytes")).join(first, "k").where(F.struct("doc_id", "_th", "start") != F.col("first"))
-    again = again.select("doc_id", "_th", "start", "n", n_words(F.col("bytes")).alias("n_words")).distinct()
+    again = again.select("doc_id", "_th", "start", "end", "seq", "n", n_words(F.col("bytes")).alias("n_words")).distinct()
     run = Window.partitionBy("doc_id", "_th").orderBy("start")
-    joins = F.coalesce((F.lag(F.col("start") + F.col("n")).over(run) == F.col("start")).cast("int"), F.lit(0))
+    joins = F.coalesce((F.lag(F.col("seq") + F.col("n")).over(run) == F.col("seq")).cast("int"), F.lit(0))
     again = again.withColumn("joins", joins)
     again = again.withColumn("run", F.sum(1 - F.col("joins")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = again.groupBy("doc_id", "_th", "run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.sum("n_words").alias("n_words"))
+    runs = again.groupBy("doc_id", "_th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("n_words").alias("n_words"))
     runs = runs.where((F.col("n") >= LEAST_LINES) & (F.col("n_words") >= LEAST_WORDS) | (F.col("n_words") >= LONE_WORDS))
-    return runs.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    return runs.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("n"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -89,7 +94,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A chunk is one to a few neighbouring lines, cut by content. Of each chunk that the corpus holds more than once, byte
     for byte, the occurrence of the smallest doc_id, then the first in it, stays. Neighbouring repeats count as one run;
-    it goes if it has two lines and 20 words or more, or 40 words. Empty lines belong to no chunk and stay. A null text
+    it goes if it has two lines and 20 words or more, or 40 words. Empty lines between neighbouring
+    lines don't part them, and go with a run that they stand in; others stay. A null text
     stays null and has no lines. Repeated rows are one document: each gives its row, and they don't repeat each other.
     Rows of the same doc_id but other texts are documents of their own. Rows without doc_id stay as they are. Columns
     n_lines and n_removed of docs are replaced.

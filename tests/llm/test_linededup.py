@@ -35,3 +35,12 @@ def test_repeats_within_a_document(spark):
     assert linededup.dedup_lines(docs).first().text == f"{block}\n{long('m')}"
 
 
+
+
+def test_empty_lines_part_no_passage(spark):
+    parts = [long("p", 27), long("q", 27)]
+    rows = [(i, f"{long(f'a{i}q')}\n\n{(chr(10) * (2 + i % 2)).join(parts)}\n\n{long(f'b{i}q')}") for i in range(5)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed == 0
+    for i in range(1, 5):
+        assert got[i].text == f"{long(f'a{i}q')}\n\n\n{long(f'b{i}q')}" and got[i].n_removed == 3 + i % 2
