@@ -10,105 +10,143 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: A chunk ends after a line if the rolling hash of it and the line before is 0 modulo this.
+#: A chunk ends after a line if the hash rolled over it and the line before is 0 modulo this.
 DIVISOR = 4
-#: A run of repeated chunks goes if it has so many lines and words, or so many words in a single line.
-LEAST_LINES, LEAST_WORDS, LONE_WORDS = 2, 20, 40
+#: A single repeated line goes if it has so many words.
+LONE_WORDS = 40
+#: What can't be told from an empty line.
+_BLANK = r"^[\x20\x09-\x0D]*$"
+CHUNK, PAIR, LINE = 0, 1, 2
 
 
 def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """A document is a doc_id and the hash of its text, so that repeated rows are one and rows that share an id are not."""
-    return docs.withColumn("_th", F.xxhash64("text"))
-
-
 def _of(*columns: str) -> Column:
     """A join key that no aggregation is dealt by, so that both sides of the join are dealt anew and Spark may split what
     is hot."""
     return F.struct(*columns).alias("k")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, _th, pos, seq, h) of the lines whose hash occurs more than once in the corpus; docs is keyed.
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """Rows (id, th, seq, pos, to, h, p, starts, ends, size), one for each line that isn't blank; docs has id, th, text.
 
-    pos numbers all lines of the document, seq those that aren't empty.
+    pos numbers all lines of the document, seq those that aren't blank, to is the next such line's pos plus one. h is
+    the line's hash, p that of it and the next. ends: the hash rolled over the line and the one before is 0 modulo
+    DIVISOR, or the document ends; starts: the line before ends. So boundaries come from the lines alone and are the same wherever two
+    lines occur, whatever stands around them.
     """
-    filled = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"] != "")
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", "_th", F.posexplode(filled).alias("seq", "x"))
-    lines = lines.select("doc_id", "_th", "x.pos", "seq", F.xxhash64("x.line").alias("h")).distinct()
-    lines = checkpointed(lines)
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_of("h"))
-    return lines.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    filled = F.filter(numbered, lambda x: ~x["line"].rlike(_BLANK))
+    own = F.transform(filled, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("h"), F.octet_length(x["line"]).alias("size")))
+    # Repeated rows become one before lines are rows; those of a document are then together, and no window deals them anew.
+    once = docs.where("id is not null and text is not null").select("id", "th", own.alias("x")).dropDuplicates(["id", "th"])
+    rows = once.select("id", "th", F.posexplode("x").alias("seq", "x")).select("id", "th", "seq", "x.*")
+    by = Window.partitionBy("id", "th").orderBy("seq")
+    cut = lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(DIVISOR)) == 0
+    one, two, on = F.lag("h").over(by), F.lag("h", 2).over(by), F.lead("h").over(by)
+    starts = one.isNull() | (two.isNotNull() & cut(two, one))
+    ends = on.isNull() | (one.isNotNull() & cut(one, F.col("h")))
+    return rows.select("id", "th", "seq", "pos", (F.lead("pos").over(by) + 1).alias("to"), "h", F.when(on.isNotNull(), F.xxhash64("h", on)).alias("p"), starts.alias("starts"), ends.alias("ends"), "size")
+
+
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """rows whose key occurs more than once, with again: whether an earlier row of that key exists."""
+    place = F.struct("id", "th", "seq")
+    often = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(_of(key), "first")
+    return rows.withColumn("k", _of(key)).join(often, "k").withColumn("again", place != F.col("first")).drop("k", "first")
 
 
 def chunks(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, _th, start, end, seq, n, h): the chunks of neighbouring repeated lines of each document, from line
-    start to before line end; n lines of them, from the one numbered seq on, aren't empty.
+    """Rows (id, th, seq, n, pos, to, h): the chunks of two lines or more that hold only repeated lines.
+
+    lines has just the repeated lines: a chunk is whole if it begins where a chunk starts, ends where one ends and has
+    no gap.
+    """
+    rows = lines.withColumn("chunk", F.col("start"))
+    of = F.transform(F.array_sort(F.collect_list(F.struct("seq", "h"))), lambda x: x["h"])
+    whole = rows.groupBy("id", "th", "chunk").agg(F.min("seq").alias("seq"), F.count("*").cast("int").alias("n"), F.min("pos").alias("pos"), (F.max("pos") + 1).alias("to"), F.min_by("starts", "seq").alias("starts"), F.max_by("ends", "seq").alias("ends"), F.xxhash64(of).alias("h"))
+    return whole.where("starts and ends and n > 1").select("id", "th", "seq", "n", "pos", "to", "h")
 
-    A line that occurs once in the corpus can't be in a repeated chunk and ends one. Inside a stretch of repeated lines
-    a chunk ends where the hash rolled over the last two lines says so, and so at the same lines wherever the stretch
-    occurs, whatever stands around it. Empty lines neither end a stretch nor count.
+
+def candidates(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
+    """Rows (id, th, kind, seq, n, pos, to, h) of what occurs more than once by its hash; docs has id, th, text.
+
+    First whole chunks. What stands at the ends of a repeated passage shares its chunk with other lines; it is found at
+    the finest scale, as pairs of neighbouring lines. Pairs inside a chunk that an earlier one repeats are left out: they
+    occur in the earlier one. Lines long enough for lone_words words are candidates too.
+    """
+    lines = checkpointed(hashed_lines(docs))
+    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_of("h"))
+    lines = lines.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
+    by = Window.partitionBy("id", "th").orderBy("seq")
+    lines = lines.withColumn("fresh", F.coalesce(F.col("starts") | (F.lag("seq").over(by) != F.col("seq") - 1), F.lit(True)))
+    lines = lines.withColumn("start", F.max(F.when(F.col("fresh"), F.col("seq"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = checkpointed(lines.drop("fresh"))
+    whole = checkpointed(repeated(chunks(lines), "h"))
+    gone = whole.where("again").select("id", "th", F.col("seq").alias("start"), F.col("n").alias("long"))
+    left = lines.join(gone, ["id", "th", "start"], "left")
+    pairs = left.where("p is not null and (long is null or seq = start + long - 1)").select("id", "th", "seq", F.lit(2).alias("n"), "pos", "to", F.col("p").alias("h"))
+    out = whole.select("id", "th", F.lit(CHUNK).alias("kind"), "seq", "n", "pos", "to", "h")
+    out = out.union(repeated(pairs, "h").select("id", "th", F.lit(PAIR), "seq", "n", "pos", "to", "h"))
+    if lone_words is not None:
+        out = out.union(lines.where(F.col("size") >= 2 * lone_words - 1).select("id", "th", F.lit(LINE), "seq", F.lit(1), "pos", F.col("pos") + 1, "h"))
+    return out
+
+
+def removals(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
+    """Rows (id, th, kept, n_gone): of documents that lose lines, the stretches (from, n) of lines that stay, and how many go.
+
+    docs has id, th, text and row.
     """
-    by = Window.partitionBy("doc_id", "_th").orderBy("pos")
-    rows = lines.withColumn("stretch", F.col("seq") - F.row_number().over(by))
-    inside = Window.partitionBy("doc_id", "_th", "stretch").orderBy("pos")
-    rolled = F.xxhash64(F.lag("h").over(inside), "h")
-    rows = rows.withColumn("ends", (F.pmod(rolled, F.lit(DIVISOR)) == 0).cast("int"))
-    rows = rows.withColumn("chunk", F.coalesce(F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    of = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    return rows.groupBy("doc_id", "_th", "stretch", "chunk").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min("seq").alias("seq"), F.count("*").cast("int").alias("n"), F.xxhash64(of).alias("h"))
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, _th, gone): the lines of each document that go, as an array of (start, n); docs is keyed."""
-    parts = checkpointed(chunks(repeated_lines(docs)))
-    often = parts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(_of("h"))
-    parts = parts.withColumn("k", _of("h")).join(often, "k", "left_semi").drop("k")
-    listed = parts.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", "end", "seq", "n", "h")).alias("chunks"))
-    # Shaped like the join in dedup_lines (an outer one, all columns of docs), so that both read one shuffle of docs.
-    rest = [c for c in docs.columns if c not in ("doc_id", "_th", "text")]
-    zero = F.pmod(F.hash(*rest), F.lit(1)) if rest else F.lit(0)
-    listed = listed.select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "chunks")
-    own = docs.join(listed, (docs["doc_id"] == listed["_id"]) & (docs["_th"] == listed["_t"]), "left")
-    own = own.select("doc_id", "_th", F.explode_outer("chunks").alias("c"), F.when(F.col("chunks").isNotNull(), F.split("text", "\n")).alias("lines"), zero.alias("zero")).where("c is not null")
-    bytes_ = F.array_join(F.filter(F.slice("lines", F.col("c.start") + F.col("zero") + 1, F.col("c.end") - F.col("c.start")), lambda x: x != ""), "\n")
-    own = own.select("doc_id", "_th", "c.start", "c.end", "c.seq", "c.n", "c.h", bytes_.alias("bytes"))
+    listed = candidates(docs, lone_words).groupBy("id", "th").agg(F.collect_list(F.struct("kind", "seq", "n", "pos", "to", "h")).alias("parts"))
+    own = docs.join(listed.toDF("i", "t", "parts"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left")
+    # An outer join that reads row, as the last one does: so both read the same shuffle of the documents.
+    filled = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_BLANK))
+    own = own.where("parts is not null").select("id", "th", "parts", filled.alias("lines"), F.hash("row").alias("read"))
+    held = F.transform("parts", lambda c: F.struct(c.alias("c"), F.array_join(F.slice("lines", c["seq"] + 1, c["n"]), "\n").alias("bytes")))
+    own = own.where("read is not null").select("id", "th", F.explode(held).alias("x")).select("id", "th", "x.c.*", "x.bytes")
+    if lone_words is not None:
+        own = own.where((F.col("kind") != LINE) | (n_words(F.col("bytes")) >= lone_words))
     # Equal hashes are compared byte by byte: the first of each content stays, whatever else shares its hash.
-    first = own.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "_th", "start")).alias("first")).select(_of("h", "bytes"), "first")
-    again = own.withColumn("k", _of("h", "bytes")).join(first, "k").where(F.struct("doc_id", "_th", "start") != F.col("first"))
-    again = again.select("doc_id", "_th", "start", "end", "seq", "n", n_words(F.col("bytes")).alias("n_words")).distinct()
-    run = Window.partitionBy("doc_id", "_th").orderBy("start")
-    joins = F.coalesce((F.lag(F.col("seq") + F.col("n")).over(run) == F.col("seq")).cast("int"), F.lit(0))
-    again = again.withColumn("joins", joins)
-    again = again.withColumn("run", F.sum(1 - F.col("joins")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = again.groupBy("doc_id", "_th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.sum("n_words").alias("n_words"))
-    runs = runs.where((F.col("n") >= LEAST_LINES) & (F.col("n_words") >= LEAST_WORDS) | (F.col("n_words") >= LONE_WORDS))
-    return runs.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("n"))).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks of lines removed from text, and the counts n_lines and n_removed added.
-
-    A chunk is one to a few neighbouring lines, cut by content. Of each chunk that the corpus holds more than once, byte
-    for byte, the occurrence of the smallest doc_id, then the first in it, stays. Neighbouring repeats count as one run;
-    it goes if it has two lines and 20 words or more, or 40 words. Empty lines between neighbouring
-    lines don't part them, and go with a run that they stand in; others stay. A null text
-    stays null and has no lines. Repeated rows are one document: each gives its row, and they don't repeat each other.
-    Rows of the same doc_id but other texts are documents of their own. Rows without doc_id stay as they are. Columns
-    n_lines and n_removed of docs are replaced.
+    first = own.groupBy("kind", "h", "bytes").agg(F.min(F.struct("id", "th", "seq")).alias("first")).select(_of("kind", "h", "bytes"), "first")
+    again = own.withColumn("k", _of("kind", "h", "bytes")).join(first, "k").where(F.struct("id", "th", "seq") != F.col("first"))
+    again = again.select("id", "th", "seq", (F.col("seq") + F.col("n")).alias("end"), "pos", "to")
+    by = Window.partitionBy("id", "th").orderBy("seq", "end")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("seq") > F.max("end").over(before), F.lit(True))
+    again = again.withColumn("run", F.sum(apart.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = again.groupBy("id", "th", "run").agg(F.min("pos").alias("pos"), F.max("to").alias("to"))
+    since = F.coalesce(F.lag("to").over(Window.partitionBy("id", "th").orderBy("run")), F.lit(0))
+    runs = runs.withColumn("since", since)
+    stay = F.sort_array(F.collect_list(F.struct(F.col("since").alias("from"), (F.col("pos") - F.col("since")).alias("n"))))
+    rest = F.array(F.struct(F.max("to").alias("from"), F.lit(2**31 - 1).alias("n")))
+    return runs.groupBy("id", "th").agg(F.concat(stay, rest).alias("kept"), F.sum(F.col("to") - F.col("pos")).cast("bigint").alias("n_gone"))
+
+
+def dedup_lines(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
+    """docs with repeated runs of lines removed from text, and the counts n_lines and n_removed added.
+
+    A run is two neighbouring lines or more, or a single line of lone_words words (None: no single line). Of each run that the corpus holds
+    more than once, byte for byte, the occurrence of the smallest doc_id, then the first in it, stays: a line goes if it
+    and a neighbour stand side by side somewhere earlier too. So the first occurrence of each line always stays. Runs
+    are found as content-defined chunks, and at their ends as pairs of lines, whatever lines stand before and after.
+    Blank lines (empty or white space) part no run; between lines that go they go too, others stay. Only equal bytes are ever
+    removed; of two runs that differ but share a 64-bit hash the later's repeats may stay.
+
+    A null text stays null and has no lines; empty texts and texts of any length are taken whole. Repeated rows are one
+    document: each gives its row, and they don't repeat each other. Rows of the same doc_id but other texts are
+    documents of their own, in order of their hash. Rows without doc_id stay as they are and repeat nothing. Columns
+    n_lines and n_removed of docs are replaced; any other names are free. An empty table gives none.
     """
-    docs = keyed(docs.drop("n_lines", "n_removed"))
-    known = docs.where("doc_id is not null")
-    gone = removals(known).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_t"), "gone")
-    out = known.join(gone, (known["doc_id"] == gone["_id"]) & (known["_th"] == gone["_t"]), "left").select(*docs.columns, "gone")
-    out = out.union(docs.where("doc_id is null").select("*", F.lit(None).cast(out.schema["gone"].dataType)))
-    lines = F.split("text", "\n")
-    is_gone = lambda i: F.exists("gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["n"]))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~is_gone(i)), "\n"))
-    n_gone = F.coalesce(F.aggregate("gone", F.lit(0).cast("bigint"), lambda a, g: a + g["n"]), F.lit(0).cast("bigint"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    names = [c for c in docs.columns if c != "_th"]
-    return out.select(*[kept.alias("text") if c == "text" else F.col(c) for c in names], n_lines.alias("n_lines"), n_gone.alias("n_removed"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    gone = removals(docs.where("id is not null"), lone_words).toDF("i", "t", "kept", "n_gone")
+    out = docs.where("id is not null").join(gone, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left").select("text", "row", "kept", "n_gone")
+    out = out.union(docs.where("id is null").select("text", "row", F.lit(None).cast(out.schema["kept"].dataType), F.lit(None).cast("bigint")))
+    out = out.select("text", "row", "kept", "n_gone", F.split("text", "\n").alias("lines"))
+    stretches = F.transform(F.filter("kept", lambda g: (g["n"] > 0) & (g["from"] < F.size("lines"))), lambda g: F.array_join(F.slice("lines", g["from"] + 1, F.least(g["n"], F.size("lines") - g["from"])), "\n"))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(stretches, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept], n_lines.alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("bigint").alias("n_removed"))

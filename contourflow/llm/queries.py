@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op2_kdsearch": sql.TOP_K, "op8_urlfilter": sql.url_verdicts(URL_RULES)}
+ORACLES: dict[str, str] = {"op2_kdsearch": sql.TOP_K, "op5_linededup": sql.LINE_DEDUP, "op8_urlfilter": sql.url_verdicts(URL_RULES)}

@@ -1,10 +1,73 @@
+import random
+
+import pytest
 from contourflow.llm import linededup
+from pyspark.sql import functions as F
 
 
 def long(tag, n=30):
     return " ".join(f"{tag}{i}" for i in range(n))
 
 
+def brute(rows, lone=40):
+    """(doc_id, hash) -> (text, lines removed); rows of (doc_id, hash, text)."""
+    out, seen = {}, set()
+    for i, h, text in sorted({r for r in rows if r[0] is not None and r[2] is not None}):
+        lines = text.split("\n")
+        filled = [p for p, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        gone = set()
+        for a, p in enumerate(filled):
+            for key, own in [((lines[p], *[lines[q] for q in filled[a + 1 : a + 2]]), {a, a + 1}), ((lines[p],), {a})]:
+                if len(key) == 2 or len(own) == 1 and len(lines[p].split()) >= lone:
+                    gone |= own if key in seen else set()
+                    seen.add(key)
+        drop = {filled[a] for a in gone} | {p for a in gone if a + 1 in gone for p in range(filled[a], filled[a + 1])}
+        out[i, h] = "\n".join(x for p, x in enumerate(lines) if p not in drop), len(drop)
+    return out
+
+
+def same_as_brute(spark, rows):
+    docs = spark.createDataFrame([(*r, "x", 1, 2, "k", 3, 4) for r in rows], "doc_id bigint, text string, gone string, _id int, _th int, k string, row int, id int").withColumn("h", F.xxhash64("text"))
+    want = brute([(r.doc_id, r.h, r.text) for r in docs.collect()])
+    got = linededup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = got.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.gone, r._id, r._th, r.k, r.row, r.id) == ("x", 1, 2, "k", 3, 4)
+        if r.doc_id is not None and (r.doc_id, r.h) in want:
+            assert (r.text, r.n_removed) == want[r.doc_id, r.h]
+    return got
+
+
+@pytest.mark.parametrize("n", [1, 2, 8])
+def test_equals_brute_force(spark, n):
+    rng = random.Random(n)
+    line = lambda k: " ".join(f"w{rng.randrange(300)}" for _ in range(k))
+    common, passages = [line(3) for _ in range(30)], ["\n".join(line(rng.choice([5, 8, 50])) for _ in range(n)) for _ in range(30)]
+    pick = [lambda: rng.choice(passages), lambda: rng.choice(common), lambda: line(6), lambda: "", lambda: " \r"]
+    rows = [(d, "\n".join(rng.choice(pick)() for _ in range(rng.randint(1, 6)))) for d in range(200)]
+    rows += [*rows[:5], (7, "another"), (None, passages[0]), (900, None), (901, ""), (902, "\n\n"), (903, "a\na\na\nb\na\na")]
+    same_as_brute(spark, rows)
+
+
+@pytest.mark.parametrize("n", [2, 4, 16])
+def test_passages_after_a_common_line_go_whole(spark, n):
+    rows = []
+    for k in range(20):
+        passage = "\n".join(long(f"p{k}x{j}y", 3) for j in range(n))
+        rows += [(3 * k, f"{long(f'a{k}q')}\n{passage}\n{long(f'b{k}q')}"), (3 * k + 1, f"common line\n{passage}\nanother common line"), (3 * k + 2, f"{long(f'c{k}q')}\ncommon line\n{long(f'd{k}q')}")]
+    got = {r.doc_id: r for r in same_as_brute(spark, rows)}
+    assert all(got[3 * k + 1].text == "common line\nanother common line" and got[3 * k].n_removed == 0 for k in range(20))
+
+
+def test_long_texts(spark):
+    block = "\n".join(f"line {i} of the block" for i in range(5_000))
+    rows = [(1, block), (2, f"before\n{block}\nafter"), (3, "\n".join(f"line {i} of the block\nnew {i}" for i in range(5_000))), (4, "word " * 300_000), (5, "word " * 300_000)]
+    got = {r.doc_id: r for r in same_as_brute(spark, rows)}
+    assert got[2].text == "before\nafter" and got[3].n_removed == 0 and got[5].text == ""
+
+
 def test_passages_go_wherever_they_stand(spark):
     passage = "\n".join(long(f"p{k}x", 15) for k in range(4))
     lone = long("lone", 55)
@@ -27,6 +90,7 @@ def test_passages_go_wherever_they_stand(spark):
     assert [r.text for r in by[20]] == [long("e")] * 2 and by[None][0].text == passage
     assert sorted(r.text for r in by[21]) == ["", "same id, other text"]
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+    assert linededup.dedup_lines(docs, lone_words=None).where("doc_id = 11").first().text == f"{lone}\n{long('d')}"
 
 
 def test_repeats_within_a_document(spark):
@@ -35,8 +99,6 @@ def test_repeats_within_a_document(spark):
     assert linededup.dedup_lines(docs).first().text == f"{block}\n{long('m')}"
 
 
-
-
 def test_empty_lines_part_no_passage(spark):
     parts = [long("p", 27), long("q", 27)]
     rows = [(i, f"{long(f'a{i}q')}\n\n{(chr(10) * (2 + i % 2)).join(parts)}\n\n{long(f'b{i}q')}") for i in range(5)]
