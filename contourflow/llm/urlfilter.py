@@ -10,9 +10,10 @@ from .common import checkpointed, components
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that name a visit and not a page.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref|source|sessionid|sid)"
-_HREF = r"""\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?i)<meta\b[^>]{0,500}?http-equiv\s*=\s*["']?refresh\b[^>]{0,500}?\burl\s*=\s*["']?([^"'\s>]+)"""
-_CANONICAL = r"""(?i)<link\b[^>]{0,500}?\brel\s*=\s*["']?canonical\b[^>]{0,2000}>|<link\b[^>]{0,2000}?\brel\s*=\s*["']?canonical\b"""
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+_CANONICAL = r"""(?i)\brel\s*=\s*["']?canonical\b"""
+_REFRESH = r"""(?is)http-equiv\s*=\s*["']?refresh\b(.*)"""
 
 
 def lower_ascii(x: Column) -> Column:
@@ -66,13 +67,20 @@ def absolute(link: Column, base: Column) -> Column:
     )
 
 
+def _tags(html: Column, name: str) -> Column:
+    """What follows <name in each stretch between two >, one step for each character however long a tag is."""
+    return F.transform(F.filter(html, lambda x: x.rlike(rf"(?i)<{name}\b")), lambda x: F.regexp_extract(x, rf"(?is)<{name}\b(.*)", 1))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Rows (url, to): each page's address with that of its canonical link and of its meta redirect."""
-    head = F.coalesce(F.col("html"), F.lit(""))
-    canonical = F.regexp_extract(F.regexp_extract(head, _CANONICAL, 0), "(?i)" + _HREF, 1)
+    """Rows (url, to): each page's address with that of its canonical link and of its meta redirect, tags of any length."""
+    head, parts = F.coalesce(F.col("html"), F.lit("")), F.split("html", ">")
+    closed = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    canonical = F.regexp_extract(F.get(F.filter(_tags(closed, "link"), lambda x: x.rlike(_CANONICAL)), F.lit(0)), _HREF, 1)
+    refresh = F.filter(F.transform(_tags(parts, "meta"), lambda x: F.regexp_extract(F.regexp_extract(x, _REFRESH, 1), _URL, 1)), lambda x: x != "")
     found = F.array(
         F.when(F.lower(head).contains("canonical"), absolute(canonical, F.col("url"))),
-        F.when(F.lower(head).contains("refresh"), absolute(F.regexp_extract(head, _REFRESH, 1), F.col("url"))),
+        F.when(F.lower(head).contains("refresh"), absolute(F.get(refresh, F.lit(0)), F.col("url"))),
     )
     return pages.where("url is not null").select("url", F.explode(F.filter(found, lambda x: x.isNotNull() & (x != ""))).alias("to")).distinct()
 
@@ -83,7 +91,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     A page that a rule fits has the rule's verdict, whatever its aliases say. Any other page has that of its aliases:
     allowed if a rule allows one of them, else blocked if a rule blocks one, else allowed. Aliases are the pages of one
     connected component over normal forms, canonical links, meta redirects and, if given, redirects (a, b: addresses) from outside.
-    A null url, or one without ://, has empty host and path, no aliases, and is allowed. Repeated rows each get a row.
+    A null url, or one without ://, has empty host and path, no aliases, and is allowed. Null and empty pages link to
+    nothing; tags and pages may be of any length. Of two links of one kind the first in the page counts, of equally long
+    rules the first in the list. Repeated rows each get a row, rows of one url are one address whatever they hold; other
+    columns of pages don't matter, whatever their names. An empty table gives none.
     Groups are aggregated before they are shuffled; rules are expressions, their number is the list's.
     """
     x = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))

@@ -62,3 +62,19 @@ def test_same_as_sql(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_tags_of_any_length_equal_the_sql(spark):
+    import pandas as pd
+
+    pad = "x" * 100_000
+    rows = [
+        (1, "http://a.net/1", f'<link data-x="{pad}" rel="canonical" href="http://b.net/es/1">'), (2, "http://b.net/es/1", ""), (3, "http://c.net/1", f'<meta data="{pad}" http-equiv=refresh content="0; {pad} url=http://d.net/fr/x">'),
+        (4, "http://e.net/1", '<link rel=canonical href="http://d.net/fr/x"'), (5, "http://f.net/1", '<meta http-equiv="refresh" content="0;url=http://d.net/fr/y"'),
+        (6, "http://g.net/1", "<LINK REL=stylesheet HREF=z><link rel=Canonical><link rel=canonical href=http://d.net/fr/q>"), (7, "http://h.net/1", "<link " * 50_000 + "canonical refresh" + "<meta " * 50_000),
+        (8, None, None), (9, "nope", "<link rel=canonical href=/x>"), (10, "http://i.net/a/b", '<p><link href="../q" rel="canonical"/>'), (11, "http://j.net/1", "<meta http-equiv=refresh content=1><meta http-equiv=refresh url=//d.net/es/k>"),
+    ]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), URL_RULES).collect()
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841  DuckDB reads it by name
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql.url_verdicts(URL_RULES)).fetchall())
+    assert [r.verdict for r in sorted(got)[:5]] == ["block", "block", "block", "allow", "block"]
