@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, components, raw_text, release, words_of
+from .common import batches, checkpointed, components, raw_text, release, stored, words_of
 
 RADIUS = 3
 _ONE = np.uint64(1)
@@ -162,45 +162,77 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 512) -> DataFrame:
+def _flips(bits: int, cell_bits: int, even: bool) -> np.ndarray:
+    """What the variants of a fingerprint change in its top cell_bits bits."""
+    down, tops = np.uint64(bits - cell_bits), range(bits - cell_bits, bits)
+    out = {0, *[int(_BITS[i] >> down) for i in tops]}
+    if even:
+        out |= {int((_BITS[i] | _BITS[j]) >> down) for i, j in _pairs(bits).tolist() if i in tops and j in tops}
+    return np.array(sorted(out), dtype=np.uint64)
+
+
+def _emit(bits: int, before: int, after: int):
+    """Rows (t, cell, fp), cell of before bits, become one row for each value of after bits that variants in the cell have."""
+    flips = {odd: _flips(bits, after, not odd) for odd in (True, False)}
+    coarse = {odd: _top(f, after, before) for odd, f in flips.items()}
+
+    def emit(parts):
+        for part in parts:
+            t, cell, fps = (part.column(c).to_numpy(zero_copy_only=False) for c in ("t", "cell", "fp"))
+            fps = fps.view(np.uint64)
+            flip, top, odd = _top(fps, bits, before) ^ cell.view(np.uint64), _top(fps, bits, after), _parity(fps)
+            rows, cells = [], []
+            for is_odd in (True, False):
+                for f in np.unique(flip[odd == is_odd]):
+                    own = np.flatnonzero((odd == is_odd) & (flip == f))
+                    masks = flips[is_odd][coarse[is_odd] == f]
+                    rows.append(np.repeat(own, len(masks)))
+                    cells.append((top[own][:, None] ^ masks[None, :]).ravel())
+            at = np.concatenate([*rows, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(t[at], pa.int32()), pa.array(np.concatenate([*cells, np.empty(0, np.uint64)]).view(np.int64)), pa.array(fps[at].view(np.int64))], names=["t", "cell", "fp"])
+
+    return emit
+
+
+def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 4096, most: int = 16) -> DataFrame:
     """Rows (t, a, b): links that join all fingerprints of one table t within three bits of each other into components.
 
     distinct has t (int) and fp (bigint, of that many bits), each pair once. Each fingerprint emits its variants: of even
     weight all within two bits (pairs in the same half of the word), of odd weight all within one. Two within three bits
     share a variant. Variants are shuffled by their top bits, and what travels is the fingerprint, once for each value
     of those bits that its variants have; the receiving task forms the variants again. Top bits are as many as give
-    about per_cell fingerprints to each value. A task returns a spanning forest of the links that it finds, so they never
-    grow with the square of a group. No cap anywhere.
+    about per_cell fingerprints to each value; cells of over most times that are dealt again by eight bits more, until
+    none is left: fingerprints are distinct, so no cell stays dense to the last bit. A task returns a spanning forest of
+    the links that it finds, so they never grow with the square of a group. No cap anywhere.
     """
+    schema = "t int, cell bigint, fp bigint"
     n = distinct.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    cell_bits = max(0, min(28, math.ceil(math.log2(max(1, n / per_cell)))))
-    tops = [i for i in range(bits - cell_bits, bits)]
-    down = np.uint64(bits - cell_bits)
-    flips = {odd: {0, *[int(_BITS[i] >> down) for i in tops]} for odd in (True, False)}
-    if cell_bits:
-        flips[False] |= {int((_BITS[i] | _BITS[j]) >> down) for i, j in _pairs(bits).tolist() if i in tops and j in tops}
-
-    def emit(parts):
-        for part in parts:
-            tables = part.column("t").to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(32)
-            fps = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            cells, owners, odd, top = [], [], _parity(fps), _top(fps, bits, cell_bits)
-            for is_odd, masks in flips.items():
-                own = np.flatnonzero(odd == is_odd)
-                for m in sorted(masks):
-                    cells.append(tables[own] | (top[own] ^ np.uint64(m)))
-                    owners.append(fps[own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], names=["cell", "fp"])
-
-    def meet(key, group):
-        cell = key[0].as_py()
-        fps = np.sort(group.column("fp").to_numpy().view(np.uint64))
-        slices = max(0, math.ceil(math.log2(max(1, len(fps) / (4 * per_cell)))))
-        a, b = _meet(fps, cell & 0xFFFFFFFF, bits, cell_bits, min(slices, 12))
-        return pa.table({"t": np.full(len(a), cell >> 32, np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
-
-    sent = distinct.select(F.col("t").cast("int"), F.col("fp").cast("bigint")).mapInArrow(emit, "cell bigint, fp bigint")
-    return sent.groupBy("cell").applyInArrow(meet, "t int, a bigint, b bigint").distinct()
+    before, after = 0, max(0, min(28, math.ceil(math.log2(max(1, n / per_cell)))))
+    sent = distinct.select(F.col("t").cast("int"), F.lit(0).cast("bigint").alias("cell"), F.col("fp").cast("bigint"))
+
+    def meet_by(cell_bits: int):
+        def meet(key, group):
+            fps = np.sort(group.column("fp").to_numpy().view(np.uint64))
+            slices = max(0, math.ceil(math.log2(max(1, len(fps) / 2048))))
+            a, b = _meet(fps, key[1].as_py(), bits, cell_bits, min(slices, 12, bits - cell_bits))
+            return pa.table({"t": np.full(len(a), key[0].as_py(), np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
+
+        return meet
+
+    out = None
+    while True:
+        sent = sent.mapInArrow(_emit(bits, before, after), schema)
+        dense = None
+        if after < bits:
+            dense = sent.groupBy("t", "cell").count().where(F.col("count") > most * per_cell).select("t", "cell")
+            dense = None if dense.isEmpty() else checkpointed(dense)
+        calm = sent if dense is None else sent.join(dense, ["t", "cell"], "left_anti")
+        links = calm.groupBy("t", "cell").applyInArrow(meet_by(after), "t int, a bigint, b bigint")
+        out = links if out is None else out.union(links)
+        if dense is None:
+            return out.distinct()
+        sent = checkpointed(sent.join(dense, ["t", "cell"], "left_semi").select("t", "cell", "fp"))
+        before, after = after, min(bits, after + 8)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
@@ -222,8 +254,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a document's distinct words that candidates for a similarity of 0.8 are sought by, and their bits.
-TABLES, TABLE_BITS = 8, 48
+#: Fingerprints of a document's distinct words that candidates for a similarity of 0.8 are sought by, their bits, and how many
+#: of them meet in one value of their top bits. These bear on the cost alone, what they miss the exact path finds.
+TABLES, TABLE_BITS, TABLE_CELL = 2, 48, 4096
 _tokens = re.compile(r"\w+").findall
 
 
@@ -327,40 +360,37 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     the smallest first, and then all those pairs of different groups that sizes, sketches and the number of shared prefix
     shingles do not rule out. The number of these is bounded by nothing but the texts. Rows without doc_id aren't listed.
     """
-    known = docs.where("doc_id is not null").select("doc_id", "text")
+    known = docs.where("doc_id is not null").select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
     frequent = known.sparkSession.sparkContext.broadcast(_frequent(known, width))
 
     def mapped(parts):
         for part in batches(parts, 4 << 20):
-            texts = part.column("text").to_pylist()
-            keys, fps, sizes, prefixes, sketches = [], [np.empty(0, np.uint64)], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for t in texts:
+            fps, sizes, prefixes, sketches = [np.empty(0, np.uint64)], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for t in part.column("text").to_pylist():
                 words = _tokens((t or "").lower())
                 own = shingle_set(words, width)
-                keys.append(xxhash.xxh128_digest((t or "").encode()))
                 fps.append(table_fingerprints(set(words)))
                 sizes.append(len(own))
                 prefixes.append(prefix(own, *frequent.value, least))
                 sketches.append(sketch(own))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([len(v) for v in x]), pa.int32()), pa.array(np.concatenate(x).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(keys, pa.binary()), lists(fps), pa.array(sizes, pa.int32()), lists(prefixes), lists(sketches)],
-                names=["doc_id", "text_key", "fps", "n", "prefix", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists(fps), pa.array(sizes, pa.int32()), lists(prefixes), lists(sketches)], names=["doc_id", "text_key", "fps", "n", "prefix", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = checkpointed(known.mapInArrow(mapped, f"doc_id {kind}, text_key binary, fps array<bigint>, n int, prefix array<bigint>, sketch array<bigint>"))
-    texts = checkpointed(own.groupBy("text_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fps", "n", "sketch")]))
+    made = known.mapInArrow(mapped, f"doc_id {kind}, text_key binary, fps array<bigint>, n int, prefix array<bigint>, sketch array<bigint>")
+    texts = stored(made.groupBy("text_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("fps", "n", "prefix", "sketch")]))
+    release(known.sparkSession)
     by_table = checkpointed(texts.select("rep", F.posexplode("fps").alias("t", "fp")).groupBy("t", "fp").agg(F.min("rep").alias("centre"), F.count("*").alias("n")))
     alike = texts.select("rep", F.posexplode("fps").alias("t", "fp")).join(by_table.where("n > 1"), ["t", "fp"]).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    links = checkpointed(ball_links(by_table.select("t", "fp"), TABLE_BITS))
+    links = checkpointed(ball_links(by_table.select("t", "fp"), TABLE_BITS, TABLE_CELL))
     ends = by_table.select("t", "fp", "centre")
     near = links.join(ends.toDF("t", "a", "x"), ["t", "a"]).join(ends.toDF("t", "b", "y"), ["t", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def similar(pairs):
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        bodies = checkpointed(known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        bodies = known.join(texts.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi")
+        bodies = stored(bodies.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
         return checkpointed(_verified(pairs, bodies, width, least).where("ok").select("a", "b"))
 
     def with_roots(rows, roots):
@@ -377,25 +407,29 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     found = similar(alike.union(near))
     del by_table, alike, links, ends, near
     release(known.sparkSession)
-    roots = components(found, kind)
-    reps = checkpointed(with_roots(texts.select("text_key", "rep"), roots))
-    keyed = own.select("doc_id", "text_key", "prefix").join(reps, "text_key").where("doc_id = rep").select("rep", "root", F.explode("prefix").alias("key"))
-    unsettled = keyed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    left = checkpointed(keyed.join(unsettled, "key").select("key", "rep", "root").distinct())
-    del keyed, unsettled
+    keyed = texts.select("rep", F.explode("prefix").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select(F.struct("key").alias("k"))
+    left = stored(keyed.withColumn("k", F.struct("key")).join(several, "k", "left_semi").select("key", "rep"))
     release(known.sparkSession)
+
+    def unsettled(left):
+        """The rows of left whose key has texts of different groups, with root."""
+        left = with_roots(left.select("key", "rep"), components(found, kind))
+        keys = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("rep").alias("first")).where("least <> most").select(F.struct("key").alias("k"), "first")
+        return stored(left.withColumn("k", F.struct("key")).join(keys, "k").select("key", "rep", "root", "first"))
+
     shape = texts.select("rep", F.struct("n", "sketch").alias("shape"))
-    first = left.join(left.groupBy("key").agg(F.min("rep").alias("a")), "key").where("rep <> a").select("a", F.col("rep").alias("b"))
+    left = unsettled(left)
+    first = left.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     first = first.join(shape.toDF("a", "x"), "a").join(shape.toDF("b", "y"), "b")
     found = found.union(similar(enough(first.where(_may_be_similar("x", "y", least)))))
-    roots = components(found, kind)
-    left = checkpointed(with_roots(left.select("key", "rep"), roots).join(shape, "rep"))
+    left = unsettled(left).join(shape, "rep").select("rep", "key", "root", "shape")
     x, y = left.toDF("a", "key", "x_root", "x"), left.toDF("b", "key", "y_root", "y")
     rest = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["x_root"] != y["y_root"]) & _may_be_similar("x", "y", least)).select("a", "b", "x", "y")
     found = found.union(similar(enough(rest)))
     roots = components(found, kind)
     rooted = checkpointed(texts.join(roots, texts.rep == roots.node, "left").select("text_key", F.coalesce("root", "rep").alias("root")))
-    return own.select("doc_id", "text_key").join(rooted, "text_key")
+    return known.select("doc_id", "text_key").join(rooted, "text_key")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -404,8 +438,9 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     Groups are those of similar_roots. Of rows that share a doc_id one stays. Rows without doc_id stay.
     """
     roots = similar_roots(docs, width, least)
-    first = checkpointed(roots.where("doc_id = root").select(F.col("doc_id").alias("_id")).distinct())
-    chosen = docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
+    first = checkpointed(roots.where("doc_id = root").select("doc_id").distinct())
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     by = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text")
-    chosen = chosen.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
-    return chosen.union(docs.where("doc_id is null"))
+    chosen = rows.join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(by)).where("n = 1")
+    chosen = chosen.select("row").union(rows.where("doc_id is null").select("row"))
+    return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
