@@ -98,15 +98,16 @@ def candidates(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFram
 def removals(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
     """Rows (id, th, kept, n_gone): of documents that lose lines, the stretches (from, n) of lines that stay, and how many go.
 
-    docs has id, th, text and row.
+    docs has id, th, text and row (all other columns).
     """
     listed = candidates(docs, lone_words).groupBy("id", "th").agg(F.collect_list(F.struct("kind", "seq", "n", "pos", "to", "h")).alias("parts"))
     own = docs.join(listed.toDF("i", "t", "parts"), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left")
-    # An outer join that reads row, as the last one does: so both read the same shuffle of the documents.
+    # dedup_lines joins the documents once more. Spark shuffles them once for both joins if both are outer and read all
+    # columns, so this one adds a 0 made of row to a place, and rows without parts go only after explode_outer.
     filled = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_BLANK))
-    own = own.where("parts is not null").select("id", "th", "parts", filled.alias("lines"), F.hash("row").alias("read"))
-    held = F.transform("parts", lambda c: F.struct(c.alias("c"), F.array_join(F.slice("lines", c["seq"] + 1, c["n"]), "\n").alias("bytes")))
-    own = own.where("read is not null").select("id", "th", F.explode(held).alias("x")).select("id", "th", "x.c.*", "x.bytes")
+    own = own.select("id", "th", "parts", F.when(F.col("parts").isNotNull(), filled).alias("lines"), F.pmod(F.hash("row"), F.lit(1)).alias("zero"))
+    held = F.transform("parts", lambda c: F.struct(c.alias("c"), F.array_join(F.slice("lines", c["seq"] + 1 + F.col("zero"), c["n"]), "\n").alias("bytes")))
+    own = own.select("id", "th", F.explode_outer(held).alias("x")).where("x is not null").select("id", "th", "x.c.*", "x.bytes")
     if lone_words is not None:
         own = own.where((F.col("kind") != LINE) | (n_words(F.col("bytes")) >= lone_words))
     # Equal hashes are compared byte by byte: the first of each content stays, whatever else shares its hash.
@@ -141,7 +142,7 @@ def dedup_lines(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFra
     n_lines and n_removed of docs are replaced; any other names are free. An empty table gives none.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    docs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text", F.struct(*[F.col(f"`{c}`") for c in kept if c != "text"]).alias("row"))
     gone = removals(docs.where("id is not null"), lone_words).toDF("i", "t", "kept", "n_gone")
     out = docs.where("id is not null").join(gone, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left").select("text", "row", "kept", "n_gone")
     out = out.union(docs.where("id is null").select("text", "row", F.lit(None).cast(out.schema["kept"].dataType), F.lit(None).cast("bigint")))
