@@ -12,14 +12,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import batches
+from .common import batches, stored
 from .simhash import majority
 
 WIDTH, LEAST = 5, 0.8
-#: Texts of equal length whose weighted-shingle similarity is 0.8 share 8/9 of their shingles; fingerprints then differ
-#: in 64 * acos(8/9) / pi = 9.7 bits, with a deviation of 2.9. This is five deviations more.
-RADIUS = 24
+#: Bits of a fingerprint. Texts of equal length whose weighted-shingle similarity is 0.8 share 8/9 of their shingles;
+#: fingerprints then differ in 128 * acos(8/9) / pi = 19.4 bits, with a deviation of 4.1. RADIUS is 4.8 deviations more.
+BITS, RADIUS = 128, 39
 #: Bytes of benchmark that one pass over the documents is held against.
 SLICE = 32 << 20
 
@@ -43,35 +45,42 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def simhash(grams: list[tuple]) -> int:
-    """Each shingle counts as often as it occurs."""
-    return majority(np.array([xxhash.xxh64_intdigest(" ".join(g)) for g in grams], dtype=np.uint64))
+    """BITS bits, of two hashes; each shingle counts as often as it occurs."""
+    joined = [" ".join(g) for g in grams]
+    halves = [majority(np.array([xxhash.xxh64_intdigest(g, seed) for g in joined], dtype=np.uint64)) for seed in range(BITS // 64)]
+    return sum(h << (64 * i) for i, h in enumerate(halves))
 
 
 class HammingIndex:
     """All stored fingerprints within radius of a query, by blocks.
 
-    64 bits are cut into n_blocks; of radius differing bits some block has at most radius // n_blocks. So a query looks
-    up each of its blocks with all changes of so few bits, and misses nothing; what it finds is verified.
+    The bits are cut into n_blocks; of radius differing bits some block has at most radius // n_blocks. Each block's
+    distinct values are a table; a query takes from each table the values within so many bits and misses nothing; what
+    it finds is verified. Of four blocks of 32 bits, within nine bits each, an unrelated fingerprint passes one in 4 %.
     """
 
-    def __init__(self, fingerprints: list[int], radius: int = RADIUS, n_blocks: int = 16):
-        self.fps, self.radius, self.n = fingerprints, radius, n_blocks
-        self.size = 64 // n_blocks
-        masks = [0]
-        for _ in range(radius // n_blocks):
-            masks = sorted({m ^ b for m in masks for b in [0, *[1 << i for i in range(self.size)]]})
-        self.masks = masks
-        self.tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(n_blocks)]
-        for i, fp in enumerate(fingerprints):
-            for t, x in zip(self.tables, self._blocks(fp), strict=True):
-                t[x].append(i)
+    def __init__(self, fingerprints: list[int], radius: int = RADIUS, n_blocks: int = 4, bits: int = BITS):
+        self.fps, self.radius, self.n, self.size = fingerprints, radius, n_blocks, bits // n_blocks
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        blocks = np.array([self._blocks(fp) for fp in fingerprints], dtype=np.uint64).reshape(-1, n_blocks)
+        for b in range(n_blocks):
+            order = np.argsort(blocks[:, b], kind="stable")
+            values, starts = np.unique(blocks[order, b], return_index=True)
+            self.tables.append((values, np.append(starts, len(order)), order))
 
     def _blocks(self, fp: int) -> list[int]:
         return [(fp >> (self.size * i)) & ((1 << self.size) - 1) for i in range(self.n)]
 
+    def proposed(self, fp: int) -> set[int]:
+        """What some block finds."""
+        found: set[int] = set()
+        for (values, starts, order), x in zip(self.tables, self._blocks(fp), strict=True):
+            for v in np.flatnonzero(np.bitwise_count(values ^ np.uint64(x)) <= self.radius // self.n).tolist():
+                found.update(order[starts[v] : starts[v + 1]].tolist())
+        return found
+
     def near(self, fp: int) -> list[int]:
-        found = {i for t, x in zip(self.tables, self._blocks(fp), strict=True) for m in self.masks for i in t.get(x ^ m, ())}
-        return sorted(i for i in found if (self.fps[i] ^ fp).bit_count() <= self.radius)
+        return sorted(i for i in self.proposed(fp) if (self.fps[i] ^ fp).bit_count() <= self.radius)
 
 
 class Benchmark:
@@ -121,9 +130,10 @@ class Benchmark:
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
         """For each text (item_id, start, number of words, similarity) of the best window of each item that it holds.
 
-        Windows are as long as the item, or the whole text if that is shorter. A window as similar as LEAST shares so
-        many shingles with the item; only where the text holds that many of an item's shingles is a window
-        fingerprinted. Its fingerprint finds the items of its length, and those are compared exactly.
+        Windows are as long as the item, or the whole text if that is shorter. A window as similar as LEAST to an item
+        shares so many shingles with it; only windows that hold that many shingles of some item are fingerprinted, which
+        loses none. The fingerprint proposes the items of its length, and those are compared exactly. A whole text
+        shorter than the item has another length than any fingerprint; it is compared with the item itself.
         """
         words = [words_of(t) if t else [] for t in texts]
         sizes = np.array([len(w) for w in words])
@@ -147,7 +157,7 @@ class Benchmark:
                 for k in items[c]:
                     hits[d, k].append(p)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        tried: dict[tuple[int, int, int], list[int]] = {}
+        tried: set[tuple[int, int, int]] = set()
         for (d, k), places in hits.items():
             n = len(self.items[k][1])
             need = LEAST * max(1, n - WIDTH + 1) - 1e-9
@@ -160,16 +170,19 @@ class Benchmark:
             starts = np.unique(np.concatenate([np.arange(max(0, a - 1), min(int(sizes[d]) - size, a + 1) + 1) for a in starts.tolist()]))
             inside = np.searchsorted(p, starts + span, side="right") - np.searchsorted(p, starts, side="left")
             for s in starts[inside >= need].tolist():
+                if size == n and (d, s, n) in tried:
+                    continue
                 grams = shingles(words[d][s : s + size])
+                proposed = [k]
                 if size == n:
-                    if (d, s, n) not in tried:
-                        own, index = self.indexes[n]
-                        tried[d, s, n] = [own[i] for i in index.near(simhash(grams))]
-                    if k not in tried[d, s, n]:
-                        continue
-                x = similarity(Counter(grams), self.counts[k])
-                if x >= LEAST and (x, -s) > best.get((d, k), (0.0, 0, 0))[:2]:
-                    best[d, k] = x, -s, size
+                    tried.add((d, s, n))
+                    own, index = self.indexes[n]
+                    proposed = [own[i] for i in index.near(simhash(grams))]
+                counts = Counter(grams)
+                for j in proposed:
+                    x = similarity(counts, self.counts[j])
+                    if x >= LEAST and (x, -s) > best.get((d, j), (0.0, 0, 0))[:2]:
+                        best[d, j] = x, -s, size
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         for (d, k), (x, s, size) in sorted(best.items()):
             out[d].append((self.items[k][0], -s, size, x))
@@ -177,26 +190,31 @@ class Benchmark:
 
 
 def _slices(items: DataFrame, limit: int = SLICE):
-    """The items in parts of about limit bytes, each small enough to be sent to all executors."""
+    """The items in parts of about limit bytes, each small enough to be sent to all executors, and how many parts there are."""
     items = items.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / limit))
     for i in range(n):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item_id", "text").collect()], n
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, limit: int = SLICE) -> DataFrame:
     """Rows (doc_id, item_id, start, n_words, similarity): the passages of documents that repeat benchmark items.
 
     start counts words. Per row of docs and item the most similar window, the first of equals. Null and empty texts and
-    items leak nothing. Items of fewer than five words must match whole. A benchmark larger than limit is taken in
+    items leak nothing; texts and items of any length are read whole, and a repeated row of docs gives its rows again, a
+    repeated item too. Items of fewer than five words must match whole. Other columns don't matter, whatever their names. A benchmark larger than limit is taken in
     slices, each with a pass of its own over the documents.
     """
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, start int, n_words int, similarity double"
+    schema = StructType.fromDDL(f"doc_id {kind}, item_id {item_kind}, start int, n_words int, similarity double")
     out = None
-    for part in _slices(items, limit):
-        found = docs.select("doc_id", "text").mapInArrow(_leaks_by(docs, part, item_kind), schema)
+    for part, n in _slices(items, limit):
+        shared = _send(docs, part)
+        found = docs.select("doc_id", "text").mapInArrow(_leaks_by(shared, schema), schema)
+        if n > 1:  # written before the next slice is sent, so that the driver holds one at a time
+            found = stored(found)
+            shared.destroy()
         out = found if out is None else out.union(found)
     return out
 
@@ -216,21 +234,21 @@ def _send(docs: DataFrame, part: list):
     return docs.sparkSession.sparkContext.broadcast((xxhash.xxh64_intdigest(repr(part)), part))
 
 
-def _leaks_by(docs: DataFrame, part: list, item_kind: str):
-    shared = _send(docs, part)
-
+def _leaks_by(shared, schema: StructType):
     def mapped(parts):
-        own = _benchmark(shared)
+        own, shape = _benchmark(shared), to_arrow_schema(schema)
         for batch in batches(parts, 4 << 20):
             rows = [(i, *x) for i, found in zip(batch.column("doc_id").to_pylist(), own.leaks(batch.column("text").to_pylist()), strict=True) for x in found]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, pa.string() if item_kind == "string" else pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "start", "n_words", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, shape.types, strict=True)], schema=shape)
 
     return mapped
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, limit: int = SLICE) -> DataFrame:
-    """docs without the rows whose text holds a passage that find_leaks would report. A map over the rows."""
+    """docs without the rows whose text holds a passage that find_leaks would report. A map over the rows.
+
+    Rows of null or empty texts stay, repeated rows and extra columns too; an empty benchmark leaves all.
+    """
     schema = docs.schema
 
     def keep(shared):
@@ -242,6 +260,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, limit: int = SLICE) -> Data
 
         return mapped
 
-    for part in _slices(items, limit):
-        docs = docs.mapInArrow(keep(_send(docs, part)), schema)
+    for part, n in _slices(items, limit):
+        shared = _send(docs, part)
+        docs = docs.mapInArrow(keep(shared), schema)
+        if n > 1:
+            docs = stored(docs)
+            shared.destroy()
     return docs

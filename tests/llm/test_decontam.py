@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from contourflow.llm import decontam
+from pyspark.sql import functions as F
 
 
 def slow(docs, items):
@@ -56,8 +57,42 @@ def test_against_every_window(spark):
 
 def test_index_finds_all_within_radius():
     rng = random.Random(3)
-    fps = [rng.getrandbits(64) for _ in range(50)]
-    index = decontam.HammingIndex(fps, radius=24)
+    fps = [rng.getrandbits(decontam.BITS) for _ in range(50)]
+    index = decontam.HammingIndex(fps)
     for fp in fps[:20]:
-        q = fp ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(27)))
-        assert index.near(q) == [i for i, x in enumerate(fps) if (x ^ q).bit_count() <= 24]
+        q = fp ^ sum(1 << b for b in rng.sample(range(decontam.BITS), rng.randrange(45)))
+        assert index.near(q) == [i for i, x in enumerate(fps) if (x ^ q).bit_count() <= decontam.RADIUS]
+
+
+def test_index_proposes_few_of_unrelated_items():
+    rng = random.Random(4)
+    index = decontam.HammingIndex([rng.getrandbits(decontam.BITS) for _ in range(2_000)])
+    share = sum(len(index.proposed(rng.getrandbits(decontam.BITS))) for _ in range(100)) / 200_000
+    assert share < 0.05
+
+
+def test_radius_loses_nothing_at_the_least_similarity():
+    rng = random.Random(5)
+    worst = 0
+    for _ in range(300):
+        n = rng.choice([13, 22, 40, 100])
+        words = [str(rng.random()) for _ in range(n + 4)]
+        other = list(words)
+        cut = n // 9  # as many shingles differ as similarity 0.8 allows
+        other[:cut] = [str(rng.random()) for _ in range(cut)]
+        a, b = decontam.shingles(words), decontam.shingles(other)
+        if decontam.similarity(Counter(a), Counter(b)) >= 0.8:
+            worst = max(worst, (decontam.simhash(a) ^ decontam.simhash(b)).bit_count())
+    assert 0 < worst <= decontam.RADIUS
+
+
+def test_ids_of_any_type_long_texts_and_clashing_columns(spark):
+    rng = random.Random(6)
+    item = " ".join(f"v{rng.randrange(500)}" for _ in range(30))
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}", 0.5, 7), (2, long, 0.5, 7)], "doc_id int, text string, similarity double, start int")
+    for kind in ("int", "string", "bigint"):
+        bench = spark.createDataFrame([(5, item, "x")], "item_id int, text string, doc_id string").withColumn("item_id", F.col("item_id").cast(kind))
+        got = decontam.find_leaks(docs, bench)
+        assert got.schema["item_id"].dataType.simpleString() == kind and [(r.doc_id, str(r.item_id), r.start, r.similarity) for r in got.collect()] == [(1, "5", 200_000, 1.0)]
+        assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [2]
