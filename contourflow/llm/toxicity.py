@@ -141,7 +141,9 @@ def _chosen(docs: DataFrame, labels: DataFrame, use: Column) -> tuple[DataFrame,
     some = [of.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in ("toxic = 1", "toxic <> 1")]
     some = checkpointed(some[0].union(some[1]))
     # At most 2 * SAMPLE rows of two numbers are broadcast.
-    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic"))
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # Of rows that share a doc_id one counts, so that what is fitted on stays bounded.
+    chosen = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", (F.col("toxic") == 1).alias("toxic"))
     return checkpointed(chosen), labelled
 
 
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     """Fits the model on labelled documents for which use (of doc_id) holds.
 
     Token log-odds have an informative Dirichlet prior: the frequencies over both classes. Duplicate labels of a
-    document count once, the higher one; null labels don't count. The calibration weights each class by its share of all
+    document count once, the higher one; null labels don't count; of several texts of one doc_id the smallest counts. The calibration weights each class by its share of all
     labels, so chances don't depend on where SAMPLE cuts. Of no rows the model finds nothing and gives 0.5 at
     most. What comes to the driver is bounded: UNITS units, and three numbers for each document of the sample.
     """
@@ -226,7 +228,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted, n_passages, passages): each whole text's chance of being toxic.
 
     passages: array of (start, end, score, evidence), start and end in words. Null and empty texts, and those without
-    letters, have none. Repeated rows each get a row. A map over the rows; the model is broadcast, UNITS bounds it.
+    letters, have none. Repeated rows each get a row; other columns of docs don't matter, whatever their names. A map over the rows; the model is broadcast, UNITS bounds it.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.scores, model.lam, model.log_k, model.weights))
     kind = docs.schema["doc_id"].dataType.simpleString()
