@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, checkpointed
 
-#: Labelled documents that the classifier is fitted on, at most (those of the smallest id hashes), and how long each may be.
-SAMPLE, LONGEST = 3_000, 65_536
+#: Labelled documents that the classifier is fitted on, at most: as many of each language, those of the smallest id hashes.
+SAMPLE = 3_000
 #: Documents of the sample that serve as landmarks; ridge; n-grams are of 1 to this many letters.
 LANDMARKS, RIDGE, BLEND = 160, 1e-2, 3
 UNKNOWN = "und"
@@ -80,18 +80,48 @@ class Classifier:
         return names, scores
 
 
-def fit(docs: DataFrame, use: Column) -> Classifier:
-    """Fits on rows for which use holds and whose text and lang aren't null.
+def chosen(own: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """Rows (doc_id, lang, weight) of a sample of at most most documents of own, as many of each language.
 
-    The sample is bounded by SAMPLE and LONGEST and comes to the driver. Its first documents, language by language in
-    turn, are the landmarks. The kernel of all sample documents with the landmarks (Nyström's approximation) is
-    regressed on +1 for the own language, -1 for others, with a ridge in the landmarks' own kernel. Of no rows, every
-    text is UNKNOWN.
+    The languages are all that occur, or the most most frequent. Of each the documents of the smallest id hashes are
+    drawn, repeated rows once; weight is how many documents of the language each stands for. What is shuffled is one
+    row for each language, and about twice the sample: larger hashes go before.
     """
-    own = docs.where(use & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(F.octet_length("text") <= LONGEST)
-    ids = checkpointed(own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct())
-    rows = own.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").select("text", "lang").limit(SAMPLE).collect()
-    sample = [(s, r.lang) for r in rows if (s := presence(r.text)) is not None]
+    found = own.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    found = checkpointed(found)
+    each = max(1, most // max(1, found.count()))
+    place = F.xxhash64("doc_id")
+    some = own.join(F.broadcast(found), "lang").where((place / F.lit(2.0**64) + 0.5) * F.col("n") <= 4 * each + 40).select("lang", "doc_id", "n").distinct()
+    by = Window.partitionBy("lang").orderBy(place, "doc_id")
+    some = some.withColumn("place", F.row_number().over(by)).where(F.col("place") <= each)
+    taken = some.groupBy("lang").agg(F.count("*").alias("taken"))
+    return checkpointed(some.join(F.broadcast(taken), "lang").select("doc_id", "lang", (F.greatest("n", "taken") / F.col("taken")).alias("weight")))
+
+
+def fit(docs: DataFrame, use: Column) -> Classifier:
+    """Fits on rows for which use holds and whose doc_id, text and lang aren't null.
+
+    The sample is bounded by SAMPLE, texts of any length; a language however rare is in it. What comes to the driver is
+    the n-grams of each document, at most as many as there are slots. Of a document with several texts the smallest
+    counts, ties of hashes go to the smaller doc_id. The first documents, language by
+    language in turn, are the landmarks. The kernel of all sample documents with the landmarks (Nyström's approximation)
+    is regressed on +1 for the own language, -1 for others, each language weighing its share of all rows, with a ridge
+    in the landmarks' own kernel. Of no rows, every text is UNKNOWN.
+    """
+    own = docs.where(use & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    texts = own.join(F.broadcast(chosen(own)), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.first("weight").alias("weight"))
+
+    def mapped(parts):
+        for part in batches(parts, 4 << 20):
+            sets = [presence(t) for t in part.column("text").to_pylist()]
+            packed = [None if x is None else x.astype(np.uint16).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("place", "id", "lang", "weight")], pa.array(packed, pa.binary())], names=["place", "id", "lang", "weight", "slots"])
+
+    rows = texts.select(F.xxhash64("doc_id").alias("place"), F.col("doc_id").cast("string").alias("id"), "lang", "weight", "text").mapInArrow(mapped, "place bigint, id string, lang string, weight double, slots binary")
+    rows = sorted(rows.where("slots is not null").collect(), key=lambda r: (r.place, r.id, r.lang))
+    sample = [(np.frombuffer(r.slots, np.uint16).astype(np.int64), r.lang) for r in rows]
+    weight = np.array([r.weight for r in rows])
+    weight = weight / max(1e-9, weight.mean()) if len(weight) else weight
     classes = sorted({g for _, g in sample})
     by = {g: [s for s, x in sample if x == g] for g in classes}
     marks = [by[g][i] for i in range(LANDMARKS) for g in classes if i < len(by[g])][:LANDMARKS]
@@ -107,7 +137,8 @@ def fit(docs: DataFrame, use: Column) -> Classifier:
     k = np.concatenate([plain.kernel([s for s, _ in sample[i : i + 256]]) for i in range(0, len(sample), 256)]).astype(np.float64)
     k_mm = plain.kernel(marks).astype(np.float64)
     y = np.array([[1.0 if g == c else -1.0 for c in classes] for _, g in sample])
-    alpha = np.linalg.solve(k.T @ k + RIDGE * len(sample) / 10 * k_mm + 1e-6 * np.eye(len(marks)), k.T @ y)
+    kw = k * weight[:, None]
+    alpha = np.linalg.solve(kw.T @ k + RIDGE * len(sample) / 10 * k_mm + 1e-6 * np.eye(len(marks)), kw.T @ y)
     return Classifier(classes, column, scaled, alpha.astype(np.float32))
 
 
@@ -115,6 +146,7 @@ def predict(docs: DataFrame, model: Classifier, held_out: Column | None = None,
     """Rows (doc_id, held_out, lang_pred, score), or with keep_all docs with lang_pred and score added.
 
     Null texts and texts without any letter are UNKNOWN with score 0. Whole texts are read; repeated rows each get a row.
+    Of languages of equal value the first by name is predicted. Columns lang_pred and score of docs are replaced.
     A map over the rows; the model that is broadcast is bounded by LANDMARKS and the number of slots.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.column, model.landmarks, model.alpha))

@@ -54,3 +54,33 @@ def test_nothing_to_learn_from(spark):
     model = langid.fit(docs, F.lit(True))
     assert [(r.lang_pred, r.score) for r in langid.predict(docs, model, F.lit(False)).collect()] == [("und", 0.0)]
     assert langid.predict(docs.limit(0), model, F.lit(False)).count() == 0
+
+
+def test_repeated_rows_do_not_fill_the_sample_and_rare_languages_stay(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, "bb"), "bb") for i in range(100)] + [(200, text(rng, "aa"), "aa")] * 4_000 + [(300, text(rng, "cc", 30_000), "cc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    some = langid.chosen(docs, 30).collect()
+    assert sorted({r.lang for r in some}) == ["aa", "bb", "cc"] and len(some) == 12
+    assert abs(sum(r.weight for r in some if r.lang == "bb") - 100) < 10
+    model = langid.fit(docs, F.lit(True))
+    assert model.classes == ["aa", "bb", "cc"]
+    assert [langid.Classifier.predict(model, [text(rng, g)])[0] for g in ("aa", "bb", "cc")] == [["aa"], ["bb"], ["cc"]]
+
+
+def test_fit_equals_plain_kernel_ridge_regression(spark):
+    docs = spark.createDataFrame([(i, text(random.Random(i), g), g) for i, g in enumerate(["aa", "bb", "bb"] * 12)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    rows = docs.withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect()
+    sets = [set(langid.presence(r.text).tolist()) for r in rows]
+    by = {g: [s for s, r in zip(sets, rows, strict=True) if r.lang == g] for g in ("aa", "bb")}
+    marks = [by[g][i] for i in range(langid.LANDMARKS) for g in ("aa", "bb") if i < len(by[g])][: langid.LANDMARKS]
+    k = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    y = np.array([[1.0 if r.lang == g else -1.0 for g in ("aa", "bb")] for r in rows])
+    k_nm, k_mm = k(sets, marks), k(marks, marks)
+    alpha = np.linalg.solve(k_nm.T @ k_nm + langid.RIDGE * len(rows) / 10 * k_mm + 1e-6 * np.eye(len(marks)), k_nm.T @ y)
+    test = [text(random.Random(1000 + i), g) for i, g in enumerate(["aa", "bb"] * 5)]
+    f = k([set(langid.presence(t).tolist()) for t in test], marks) @ alpha
+    p = np.exp(4 * f) / np.exp(4 * f).sum(axis=1, keepdims=True)
+    names, scores = model.predict(test)
+    assert names == [["aa", "bb"][j] for j in f.argmax(axis=1)] and np.allclose(scores, p.max(axis=1), atol=2e-3)
