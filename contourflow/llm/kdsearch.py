@@ -1,4 +1,5 @@
-"""Exact top-k by inner product: a KD-tree for each shard, searched best box first with a bound that shards hand on."""
+"""Exact top-k by inner product: shards by median splits, a KD-tree in each, searched best box first; a query goes only to
+shards whose box can still beat the kth score that it brings along."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import batches, checkpointed
 
 LEAF = 256
 
@@ -65,16 +66,16 @@ class KDTree:
                     heapq.heappush(todo, (-bound(child), child))
                 continue
             rows = self.rows[node]
+            rows = rows[self.ids[rows] != own_id]
             scores = self.vectors[rows] @ query
             if least is not None:
                 fits = np.flatnonzero(scores >= least)
                 rows, scores = rows[fits], scores[fits]
-            if len(rows) > k + 1:  # of equal scores the smaller ids, which come first
-                fits = np.lexsort((self.ids[rows], -scores))[: k + 1]
+            if len(rows) > k:  # of equal scores the smaller ids, which come first
+                fits = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[fits], scores[fits]
             for row, score in zip(rows.tolist(), scores.tolist(), strict=True):
-                if (i := int(self.ids[row])) == own_id:
-                    continue
+                i = int(self.ids[row])
                 if len(best) < k:
                     heapq.heappush(best, (int(score), -i))
                 elif (int(score), -i) > best[0]:
@@ -124,40 +125,153 @@ def _searched(k: int):
     return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
+#: Boxes that meet a block of queries at once.
+GROUP = 1024
+#: Vectors that the shards' median splits are fitted on, at most. Every vector is in a shard, whatever the sample.
+SAMPLE = 16_384
+
+
+class Splits:
+    """A tree of median splits along the widest side, of a sample; its leaves are the shards."""
+
+    def __init__(self, sample: np.ndarray, n_shards: int):
+        self.nodes: list[tuple[int, float, int, int] | int] = []
+        self.n = 0
+        self._build(sample, n_shards)
+
+    def _build(self, own: np.ndarray, n: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(-1)
+        side = own.max(axis=0) - own.min(axis=0) if len(own) else np.zeros(0)
+        if n < 2 or not side.size or side.max() <= 0:
+            self.nodes[at], self.n = self.n, self.n + 1
+            return at
+        axis = int(side.argmax())
+        cut = float(np.quantile(own[:, axis], (n // 2) / n, method="lower"))
+        low = own[:, axis] <= cut
+        if low.all():  # so many equal ones that the median is the largest
+            cut = float(own[:, axis][own[:, axis] < cut].max())
+            low = own[:, axis] <= cut
+        a, b = self._build(own[low], n // 2), self._build(own[~low], n - n // 2)
+        self.nodes[at] = axis, cut, a, b
+        return at
+
+    def shard_of(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vectors), np.int64)
+        todo = [(0, np.arange(len(vectors)))]
+        while todo:
+            at, rows = todo.pop()
+            node = self.nodes[at]
+            if isinstance(node, int):
+                out[rows] = node
+                continue
+            axis, cut, a, b = node
+            low = vectors[rows, axis] <= cut if axis < vectors.shape[1] else np.full(len(rows), 0.0 <= cut)
+            todo += [(a, rows[low]), (b, rows[~low])]
+        return out
+
+
+def sharded(given: DataFrame, shard_rows: int) -> DataFrame:
+    """given (vec_id, v), which is written, with shard: about shard_rows to a shard.
+
+    Shards are the leaves of median splits of a sample; one that holds more rows, of equal or hardly differing vectors,
+    is dealt into parts by row number, so that no value makes a large one.
+    """
+    n = given.count()
+    sample = given.orderBy(F.xxhash64("vec_id", "v")).select("v").limit(min(SAMPLE, n)).toArrow()
+    splits = given.sparkSession.sparkContext.broadcast(Splits(_matrix(sample.column("v")), max(1, math.ceil(n / shard_rows))))
+
+    def dealt(parts):
+        for part in batches(parts, 8 << 20):
+            leaf = splits.value.shard_of(_matrix(pa.chunked_array([part.column("v")])))
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), part.column("row"), pa.array(leaf, pa.int64())], names=["vec_id", "v", "row", "leaf"])
+
+    # given is written, so its rows are numbered alike whenever a task runs again.
+    leaves = given.withColumn("row", F.monotonically_increasing_id()).mapInArrow(dealt, "vec_id bigint, v array<double>, row bigint, leaf bigint")
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(shard_rows)).alias("parts"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("parts").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each leaf
+    return leaves.join(sizes, "leaf").select("vec_id", "v", (F.col("before") + F.pmod(F.xxhash64("row"), F.col("parts"))).alias("shard"))
+
+
+def boxes(shards: DataFrame) -> DataFrame:
+    """(shard, low, high): the tight bounding box of each shard's vectors; shorter vectors count as filled with zeros."""
+
+    def boxed(key, group):
+        own = _matrix(group.column("v"))
+        return pa.table({"shard": [key[0].as_py()], "low": pa.array([own.min(axis=0)], pa.list_(pa.float64())), "high": pa.array([own.max(axis=0)], pa.list_(pa.float64()))})
+
+    return shards.groupBy("shard").applyInArrow(boxed, "shard bigint, low array<double>, high array<double>")
+
+
+def _reaching(best_only: bool):
+    """Pairs (q, shard, reach) of queries and boxes: of each query the box that reaches highest, or those beyond its floor.
+
+    reach is the largest inner product with any point of the box, a little more where doubles round.
+    """
+
+    def reaching(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            low, high, queries = (_matrix(t.column(c)) for t, c in ((left, "low"), (left, "high"), (right, "v")))
+            width = max(low.shape[1], queries.shape[1])
+            low, high, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (low, high, queries))
+            shards, q = left.column("shard").to_numpy(), right.column("q").to_numpy()
+            floors = np.array([-np.inf if f is None else float(f) for f in right.column("floor").to_pylist()])
+            for at in range(0, len(q), 1024):
+                up, down = np.maximum(queries[at : at + 1024], 0), np.minimum(queries[at : at + 1024], 0)
+                reach = up @ high.T + down @ low.T
+                reach += 1e-9 * (up @ np.abs(high).T - down @ np.abs(low).T) + 1
+                if best_only:
+                    row, col = np.arange(len(up)), reach.argmax(axis=1)
+                else:
+                    row, col = np.nonzero(reach >= floors[at : at + 1024, None])
+                out[0].append(q[at + row])
+                out[1].append(shards[col])
+                out[2].append(reach[row, col])
+        return pa.table({n: pa.array(np.concatenate([*x, np.empty(0, d)]), t) for n, x, d, t in zip(("q", "shard", "reach"), out, (np.int64, np.int64, float), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return reaching
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, shard_rows: int = 8192, block_rows: int = 8192) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query the k vectors of highest inner product, exactly.
 
-    vectors and queries have vec_id and v, an array of integral doubles. Rows without v or vec_id take no part; a query
-    doesn't find the vector of its own id. Equal scores rank by smaller vec_id; a vec_id given twice with one vector is
-    one vector, and with two vectors any of them (ids are keys). Vectors of fewer components are filled with zeros.
+    vectors and queries have vec_id and v, an array of integral doubles; other columns don't matter, whatever their
+    names. Rows without v or vec_id take no part; a query finds no row of its own id. Equal scores rank by smaller
+    vec_id. Every row is a candidate: a vector given twice is found twice. Query rows of one id are one query, whose
+    scores are those of all its rows. Vectors of fewer components are filled with zeros. Empty tables give no rows.
 
-    Shards of about shard_rows vectors and blocks of about block_rows queries are dealt by hash, so that no value makes
-    a large one. First each block searches one shard; the kth score found there is a bound below which no other shard
-    needs to look. Then every other pair of shard and block is searched. Scores outside of 64 bits are clamped.
+    Shards are leaves of median splits, each with its box. A query first searches the shard whose box reaches highest;
+    the kth score found there is a bound, and of the other shards only those are searched whose box reaches it. Queries
+    to one shard come in blocks of about block_rows; a tree is built for each shard and block. Where boxes tell nothing
+    (directions without any structure) all shards are searched, and the work grows with vectors times queries. Scores
+    outside of 64 bits are clamped.
     """
-    given = checkpointed(vectors.where("vec_id is not null and v is not null").select("vec_id", "v").dropDuplicates(["vec_id"]))
-    asked = queries.where("vec_id is not null and v is not null").select("vec_id", "v").dropDuplicates(["vec_id"])
-    n_shards, n_blocks = max(1, math.ceil(given.count() / shard_rows)), max(1, math.ceil(asked.count() / block_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks))
-    schema = "query_id bigint, vec_id bigint, score bigint"
-
-    def searched(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.toDF(*right.columns)  # so that both sides' columns differ
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searched(k), schema)
-
-    blocks = asked.withColumn("block", block)
-    shards = given.withColumn("shard", shard)
-    pilot = F.pmod(F.col("block"), F.lit(n_shards))
-    first_blocks = blocks.withColumn("shard", pilot).withColumn("floor", F.lit(None).cast("bigint"))
-    # The blocks of which a shard is the first.
-    first_shards = shards.withColumn("block", F.explode(F.expr(f"filter(sequence(0L, {n_blocks - 1}L), b -> b % {n_shards} = shard)")))
-    first = checkpointed(searched(first_shards, first_blocks))
-    if n_shards > 1:
-        enough = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        floors = enough.where(f"n >= {k}").select(F.col("query_id").alias("vec_id"), F.col("least").alias("floor"))
-        other = blocks.join(floors, "vec_id", "left").withColumn("shard", F.explode(F.expr(f"filter(sequence(0L, {n_shards - 1}L), s -> s <> block % {n_shards})")))
-        other_shards = shards.withColumn("block", F.explode(F.expr(f"filter(sequence(0L, {n_blocks - 1}L), b -> b % {n_shards} <> shard)")))
-        first = first.union(searched(other_shards, other.select("shard", "block", "vec_id", "v", "floor")))
+    given = checkpointed(vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("v").cast("array<double>").alias("v")))
+    asked = queries.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
+    asked = checkpointed(asked)
+    shards = checkpointed(sharded(given, shard_rows))
+    n_blocks, n_groups = max(1, math.ceil(asked.count() / block_rows)), 1 + (shards.agg(F.max("shard")).first()[0] or 0) // GROUP
+    rows = asked.withColumn("q", F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64("q"), F.lit(n_blocks))
+    boxed = checkpointed(boxes(shards)).withColumn("group", F.expr(f"shard div {GROUP}")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+    blocked = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+
+    def reaching(asking: DataFrame, best_only: bool) -> DataFrame:
+        right = asking.withColumn("block", block).withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_groups - 1).cast("bigint"))))
+        return boxed.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(_reaching(best_only), "q bigint, shard bigint, reach double")
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        right = pairs.join(rows, "q").select("shard", block.alias("block"), "vec_id", "v", "floor")
+        return blocked.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searched(k), "query_id bigint, vec_id bigint, score bigint")
+
+    none = F.lit(None).cast("bigint")
+    best = reaching(rows.withColumn("floor", none), True).groupBy("q").agg(F.max(F.struct("reach", "shard")).alias("m")).select("q", F.col("m.shard").alias("shard"))
+    best = checkpointed(best)
+    first = checkpointed(searched(best.withColumn("floor", none)))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(by)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    kth = first.withColumn("rank", F.row_number().over(by)).where(f"rank <= {k}").where(f"rank = {k} and score > {-(2**63)}")
+    floors = rows.join(kth.select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")), "vec_id", "left").select("q", "vec_id", "v", "floor")
+    other = reaching(floors, False).join(best, ["q", "shard"], "left_anti").join(floors.select("q", "floor"), "q").select("q", "shard", "floor")
+    every = first.union(searched(other))
+    return every.withColumn("rank", F.row_number().over(by)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

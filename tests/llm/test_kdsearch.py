@@ -50,3 +50,28 @@ def test_tree_is_exact_below_a_floor():
         want = sorted(((int(x), i) for i, x in enumerate(s)), key=lambda x: (-x[0], x[1]))[:5]
         assert tree.search(q, -1, 5, None) == want
         assert tree.search(q, -1, 5, want[4][0]) == want
+
+
+def test_repeated_rows_are_rows_and_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+    from contourflow.llm import sql
+
+    rng = random.Random(3)
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.25, 1.0]), (50, [0.0, 1.0]), (50, [1.0, 1.0])]
+    rows += [(60 + i % 40, [float(rng.randrange(-4, 5)), 0.5]) for i in range(200)] + [(100, [2.0, 2.0])] * 300
+    embeddings = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841  DuckDB reads it by name
+    want = sorted(duckdb.sql(sql.TOP_K).fetchall())
+    assert run(spark, rows, 50) == want and run(spark, rows, 50, shard_rows=40, block_rows=3) == want
+
+
+def test_boxes_spare_shards_of_clustered_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.05, 8) + 4 * np.eye(8)[i % 8])]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").select("vec_id", kdsearch.integers(F.col("embedding")).alias("v"))
+    shards = kdsearch.sharded(df.checkpoint() if spark.sparkContext.getCheckpointDir() else df, 100)
+    sizes = [r["count"] for r in shards.groupBy("shard").count().collect()]
+    assert sum(sizes) == 1600 and max(sizes) <= 130
+    assert run(spark, rows, 50, shard_rows=100) == slow(rows, 50, 5)
