@@ -36,10 +36,5 @@ def focal(x: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0) -> Colu
     return a_t * F.pow(1 - p_t, F.lit(gamma)) * bce_with_logits(x, y)
 
 
-def hashed(*parts: Column) -> Column:
-    """A reproducible uniform number in [0, 1) for each row from the given columns: the same in any partitioning."""
-    return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / F.lit(float(1 << 53))
-
-
 def logit(p: Column) -> Column:
     return F.log(p / (1 - p))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..sources.shared import checkpointed
+from .buckets import by_graph, dealt
+from .model import agglomerated
 
 
 def pair_max(edges: DataFrame) -> DataFrame:
@@ -25,8 +31,10 @@ def at_thresholds(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     return pairs.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where("prob >= threshold")
 
 
-def _union_find(rows: pd.DataFrame) -> pd.DataFrame:
-    root = {int(c): int(c) for c in pd.unique(rows[["ca", "cb"]].to_numpy().ravel())}
+def falling(contours: list[int], pairs: list[tuple[float, int, int]], thresholds: list[float]):
+    """(threshold, root of each contour) from the highest threshold down: each adds the links that it lets in, none is
+    gone through twice. Roots are the smallest contour of a group."""
+    root = {c: c for c in contours}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -34,37 +42,61 @@ def _union_find(rows: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    for a, b in zip(rows.ca.tolist(), rows.cb.tolist(), strict=True):
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    members = sorted(root)
-    return pd.DataFrame({"g": rows.g.iloc[0], "threshold": rows.threshold.iloc[0], "c": members, "grp": [find(c) for c in members]})
+    links, at = sorted(pairs, key=lambda x: -x[0]), 0
+    for threshold in sorted(thresholds, reverse=True):
+        while at < len(links) and links[at][0] >= threshold:
+            a, b = find(links[at][1]), find(links[at][2])
+            root[max(a, b)] = min(a, b)
+            at += 1
+        yield threshold, {c: find(c) for c in contours}
+
+
+def in_buckets(pairs: DataFrame, contours: DataFrame, run, names: list[str], schema: str) -> DataFrame:
+    """run(contours, pairs) of each graph, lists of rows without g and in order, gives rows; contours has g, c and names."""
+    columns, shape = [["c", *names], ["ca", "cb", "prob", "label"]], to_arrow_schema(StructType.fromDDL(schema))
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, links = ([t.column(c).to_pylist() for c in names_] for t, names_ in zip((left, right), columns, strict=True))
+        rows = []
+        for g, a, b in by_graph((left, ["c"]), (right, ["ca", "cb"])) if left.num_rows else ():
+            rows += [(g, *r) for r in run([tuple(v[i] for v in own) for i in a.tolist()], [tuple(v[i] for v in links) for i in b.tolist()])]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * len(shape), shape.types, strict=True)], schema=shape)
+
+    links = pairs.select("g", F.col("ca").cast("bigint").alias("ca"), F.col("cb").cast("bigint").alias("cb"), "prob", F.col("label") if "label" in pairs.columns else F.lit(False).alias("label"))
+    return dealt(contours.select("g", F.col("c").cast("bigint").alias("c"), *names), links, whole, schema)
 
 
 def char_groups(pairs: DataFrame, contours: DataFrame, thresholds: list[float]) -> DataFrame:
     """(g, threshold, c, grp): connected contours at each threshold, grp the smallest of the group; lone ones too.
 
-    Graphs are small and independent, so each (graph, threshold) is one union-find; only links at or above the threshold
-    are shuffled, with a loop at each contour that stands for its being there.
+    Graphs are small and independent: one union-find for each, over its links once, gives all thresholds.
     """
-    loops = contours.select("g", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"), F.col("c").cast("bigint").alias("ca"), F.col("c").cast("bigint").alias("cb"))
-    links = at_thresholds(pairs, thresholds).select("g", "threshold", F.col("ca").cast("bigint"), F.col("cb").cast("bigint"))
-    return links.union(loops).groupBy("g", "threshold").applyInPandas(_union_find, "g bigint, threshold double, c bigint, grp bigint")
 
+    def run(own, links):
+        return [(t, c, r) for t, roots in falling([x[0] for x in own], [(p, a, b) for a, b, p, _ in links], thresholds) for c, r in roots.items()]
 
-def char_groups_by_labels(links: DataFrame, contours: DataFrame, rounds: int = 64) -> DataFrame:
-    """(g, c, grp): the same at one threshold for graphs too large for a task, by passing on least labels until no label
-    changes; labels are checkpointed every round."""
-    both = links.select("g", "ca", "cb").union(links.select("g", F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct()
+    return in_buckets(pairs, contours, run, [], "g bigint, threshold double, c bigint, grp bigint")
+
+
+def char_groups_by_labels(links: DataFrame, contours: DataFrame) -> DataFrame:
+    """(g, c, grp): the same at one threshold for graphs too large for a task.
+
+    Each round every contour takes the least label around it and then the label of its label, so that chains shorten by
+    half; rounds go on until no label changes, and are checkpointed.
+    """
+    both = checkpointed(links.select("g", "ca", "cb").union(links.select("g", F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct())
     labels = contours.select("g", "c", F.col("c").alias("grp"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("c", "cb"), ["g", "cb"]).groupBy("g", F.col("ca").alias("c")).agg(F.min("grp").alias("least"))
-        new = labels.join(near, ["g", "c"], "left").select("g", "c", F.least("grp", F.coalesce("least", "grp")).alias("grp"), (F.coalesce("least", "grp") < F.col("grp")).alias("moved"))
-        new = new.checkpoint()
+        new = labels.join(near, ["g", "c"], "left").select("g", "c", F.col("grp").alias("old"), F.least("grp", F.coalesce("least", "grp")).alias("grp"))
+        # What a root has learned, its whole tree takes over: the tree's label may only fall.
+        fallen = new.groupBy("g", F.col("old").alias("c")).agg(F.min("grp").alias("least"))
+        new = new.join(fallen.select("g", F.col("c").alias("old"), "least"), ["g", "old"]).select("g", "c", "old", F.least("grp", "least").alias("grp"))
+        over = new.select("g", F.col("c").alias("grp"), F.col("grp").alias("over"))
+        new = checkpointed(new.join(over, ["g", "grp"]).select("g", "c", F.col("over").alias("grp"), (F.col("over") < F.col("old")).alias("moved")))
         labels = new.select("g", "c", "grp")
         if new.where("moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def ordered_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,18 +146,15 @@ def group_scalars(acc: DataFrame) -> DataFrame:
 
 def greedy_groups(pairs: DataFrame, contours: DataFrame, scorer: Callable, threshold: float = 0.5, floor: float = 0.1) -> DataFrame:
     """(g, c, grp): pairs from floor up, in order of falling probability then contours, each scored on the groups as they
-    are, merged from threshold up. scorer(left, right, prob) takes two sorted tuples of contours."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        of = {int(c): (int(c),) for c in pd.unique(rows[["ca", "cb"]].to_numpy().ravel())}
-        for r in rows[(rows.ca != rows.cb) & (rows.prob >= floor)].sort_values(["prob", "ca", "cb"], ascending=[False, True, True]).itertuples():
-            left, right = of[int(r.ca)], of[int(r.cb)]
-            if left != right and scorer(left, right, float(r.prob)) >= threshold:
-                both = tuple(sorted(left + right))
-                for c in both:
-                    of[c] = both
-        return pd.DataFrame({"g": rows.g.iloc[0], "c": sorted(of), "grp": [of[c][0] for c in sorted(of)]})
-
-    loops = contours.select("g", F.col("c").cast("bigint").alias("ca"), F.col("c").cast("bigint").alias("cb"), F.lit(1.0).alias("prob"))
-    links = pairs.select("g", F.col("ca").cast("bigint"), F.col("cb").cast("bigint"), "prob")
-    return links.union(loops).groupBy("g").applyInPandas(fold, "g bigint, c bigint, grp bigint")
+    are, merged from threshold up. scorer(left, right, link) takes two sorted tuples of contours and the highest
+    probability between them. With the model's own scorer: model.merged_groups."""
+
+    def run(own, links):
+        ids = [x[0] for x in own]
+        at = {c: i for i, c in enumerate(ids)}
+        named = lambda members: tuple(ids[i] for i in members)
+        merges = lambda left, right, link: scorer(named(left), named(right), link) >= threshold
+        found = agglomerated(len(ids), [(at[a], at[b], p) for a, b, p, _ in links if a != b], merges, floor)
+        return [(c, ids[r]) for c, r in zip(ids, found, strict=True)]
+
+    return in_buckets(pairs, contours, run, [], "g bigint, c bigint, grp bigint")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashed
+from ..sources.shared import checkpointed
 
 DECORATIVE = 0.3
 
 
 def draw(seed: int, row: Column, what: str, k: Column | int = 0) -> Column:
-    """A uniform number in [0, 1) for a row, a purpose and a counter."""
-    return hashed(F.lit(seed), row.cast("bigint"), F.lit(what), (k if isinstance(k, Column) else F.lit(k)).cast("bigint"))
+    """A uniform number in [0, 1) for a row, a purpose and a counter: 52 bits of a hash of the four as text."""
+    parts = F.concat_ws("|", F.lit(str(seed)), row.cast("string"), F.lit(what), (k if isinstance(k, Column) else F.lit(k)).cast("string"))
+    return F.conv(F.substring(F.md5(parts), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def between(u: Column, low, high) -> Column:
@@ -37,13 +38,51 @@ def list_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn(column, x).where((F.col(column) != "") & ~F.col(column).startswith("#"))
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds pos: the place of each row in the order, from 0.
+
+    Rows are sorted into ranges and written, each range is counted, and places count on from the ranges before: no task
+    sees all rows. What comes to the driver is one number for each range.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    before, total = {}, 0
+    for k in sorted(counts):
+        before[k], total = total, total + counts[k]
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("pos", (start + place).cast("bigint")).drop("_range")
+
+
 def charset(lines: DataFrame, order: str, column: str = "value") -> DataFrame:
-    """(pos, ch): all characters of the kept lines in order, repeats included, which weigh. An empty pool is an error."""
-    kept = list_lines(lines, column)
-    chars = kept.select(order, F.posexplode(F.split(column, "")).alias("i", "ch")).where("ch <> ''")
-    out = chars.select((F.row_number().over(Window.orderBy(order, "i")) - 1).alias("pos"), "ch")
-    if out.isEmpty():
+    """(pos, ch): all characters of the kept lines in order, repeats included, which weigh. An empty pool is an error.
+
+    Lines are placed by the sizes of those before (numbered by ranges), characters within their line.
+    """
+    kept = list_lines(lines, column).select(F.col(order).alias("line"), F.filter(F.split(column, ""), lambda c: c != "").alias("chars")).where("size(chars) > 0")
+    ranged = checkpointed(kept.repartitionByRange("line").sortWithinPartitions("line").withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum(F.size("chars")).alias("n")).collect()}
+    if not sizes:
         raise ValueError("the character pool is empty")
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("range"))
+    so_far = F.coalesce(F.sum(F.size("chars")).over(Window.partitionBy("range").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("start", start + so_far).select("start", F.posexplode("chars").alias("i", "ch")).select((F.col("start") + F.col("i")).cast("bigint").alias("pos"), "ch")
+
+
+def weights(rows: DataFrame, column: str) -> DataFrame:
+    """(ch, weight): how often each code point occurs in a text column."""
+    chars = rows.where(F.col(column).isNotNull()).select(F.explode(F.split(column, "")).alias("ch")).where("ch <> ''")
+    return chars.groupBy("ch").agg(F.count("*").alias("weight"))
+
+
+def fixed_texts(lines: DataFrame, order: str, column: str = "value") -> DataFrame:
+    """(pos, text): the kept lines of a list in order, numbered from 0. An empty list is an error."""
+    out = numbered(list_lines(lines, column).select(order, F.col(column).alias("text")), [order]).select("pos", "text")
+    if out.isEmpty():
+        raise ValueError("the list of texts is empty")
     return out
 
 
@@ -52,6 +91,22 @@ def round_robin(rows: DataFrame, index: str, texts: DataFrame, n: int) -> DataFr
     return rows.withColumn("pos", F.pmod(F.col(index), F.lit(n))).join(texts, "pos")
 
 
+def rejected(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't among those kept."""
+    return rows.join(kept.select(key), key, "left_anti")
+
+
+def layout_draws(rows: DataFrame, row: str, tracking: tuple[float, float] = (0.0, 0.0), skew: float = 1.0, aspect: tuple[float, float] = (1.0, 1.0), jitter: float = 0.0, noise: float = 0.0, seed: int = 0) -> DataFrame:
+    """Adds tracking, aspect, and the caps jitter and noise, each drawn once for a row."""
+    u = lambda what: draw(seed, F.col(row), what)
+    return (
+        rows.withColumn("tracking", skewed(u("tracking"), F.lit(float(tracking[0])), F.lit(float(tracking[1])), skew))
+        .withColumn("aspect", between(u("aspect"), float(aspect[0]), float(aspect[1])))
+        .withColumn("jitter", between(u("jitter"), 0.0, float(jitter)))
+        .withColumn("noise", between(u("noise"), 0.0, float(noise)))
+    )
+
+
 def random_text(rows: DataFrame, row: str, pool: list[str], low: int = 2, high: int = 12, seed: int = 0) -> DataFrame:
     """Adds text: between low and high characters of the pool, drawn with replacement."""
     chars = F.array(*[F.lit(c) for c in pool])

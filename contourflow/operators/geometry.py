@@ -59,6 +59,11 @@ def resample(points: DataFrame, keys: list[str], spacing: float = SPACING, fewes
     return rows.select(*keys, "k", (F.col("target") / F.col("total")).alias("t"), (F.col("x") + dx * f).alias("x"), (F.col("y") + dy * f).alias("y"), (dx / floor_).alias("tx"), (dy / floor_).alias("ty"))
 
 
+def moved_left(points: DataFrame) -> DataFrame:
+    """Points moved so that the leftmost of each line is at 0; y stays."""
+    return points.join(points.groupBy("g").agg(F.min("x").alias("_left")), "g").withColumn("x", F.col("x") - F.col("_left")).drop("_left")
+
+
 def phase(t: Column) -> tuple[Column, Column]:
     """Cosine and sine of a share of the way round."""
     return F.cos(2 * math.pi * t), F.sin(2 * math.pi * t)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import by_graph, dealt
 from .geometry import EPSILON
 
 KNN, RADIUS, CONTOUR_BRIDGE, STACK_BRIDGE = 8, 0.25, 0.35, 1.0
@@ -25,11 +28,15 @@ def _d2():
 def neighbours(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFrame:
     """(g, a, b, d2): of each node a the k nearest others within radius, inclusive, ties to smaller b.
 
-    A join on the graph, with the distance as residual, then a limited window. For graphs of more than a few thousand
-    nodes take neighbours_by_cell, which gives the same.
+    Nodes meet only those of their own and the eight surrounding cells of a grid of side radius: a join on graph and
+    cell with the distance as residual, then a limited window.
     """
-    a, b = _two(nodes, ["n", "x", "y"])
-    near = a.join(b, "g").where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
+    side = F.lit(radius if radius > 0 else 1.0)
+    cell = nodes.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    a = cell.select("g", F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), "cx", "cy")
+    b = cell.select("g", F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy")
+    b = b.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    near = a.join(b, ["g", "cx", "cy"]).where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
     return _nearest(near, k)
 
 
@@ -38,13 +45,10 @@ def _nearest(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("g", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d2")
 
 
-def neighbours_by_cell(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFrame:
-    """As neighbours, but nodes meet only those of their own and the eight surrounding cells of a grid of side radius."""
-    cell = nodes.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
-    a = cell.select("g", F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), "cx", "cy")
-    b = cell.select("g", F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy")
-    b = b.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-    near = a.join(b, ["g", "cx", "cy"]).where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
+def neighbours_all_pairs(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFrame:
+    """As neighbours, by meeting all nodes of a graph: for small graphs whose nodes all lie within radius."""
+    a, b = _two(nodes, ["n", "x", "y"])
+    near = a.join(b, "g").where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
     return _nearest(near, k)
 
 
@@ -53,15 +57,39 @@ def undirected(pairs: DataFrame) -> DataFrame:
     return pairs.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def closest_pairs(nodes: DataFrame) -> DataFrame:
+def closest_pairs(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(g, ca, cb, d2, a, b): the closest nodes of each two contours of a line, ties to smaller a, then b.
 
-    The minimum of structs is aggregated before the shuffle, so what moves is one row for each pair and task.
+    wanted: (g, ca, cb) with ca < cb, the only pairs sought. Distances are a matrix for each two contours, in blocks.
     """
-    a, b = _two(nodes, ["n", "c", "x", "y"])
-    rows = a.join(b, "g").where(F.col("c_a") < F.col("c_b")).withColumn("d2", _d2())
-    best = rows.groupBy("g", F.col("c_a").alias("ca"), F.col("c_b").alias("cb")).agg(F.min(F.struct("d2", "n_a", "n_b")).alias("m"))
-    return best.select("g", "ca", "cb", "m.d2", F.col("m.n_a").alias("a"), F.col("m.n_b").alias("b"))
+    if wanted is None:
+        c = nodes.select("g", "c").distinct()
+        wanted = c.withColumnRenamed("c", "ca").join(c.withColumnRenamed("c", "cb"), "g").where("ca < cb")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], [], [], []]
+        if left.num_rows and right.num_rows:
+            n, c, x, y = (left.column(k).to_numpy() for k in ("n", "c", "x", "y"))
+            ca, cb = right.column("ca").to_numpy(), right.column("cb").to_numpy()
+            for g, rows, pairs in by_graph((left, ["c", "n"]), (right, ["ca", "cb"])):
+                ends = np.searchsorted(c[rows], [ca[pairs], cb[pairs]]), np.searchsorted(c[rows], [ca[pairs], cb[pairs]], side="right")
+                for k, p in enumerate(pairs.tolist()):
+                    one, two = (rows[ends[0][i][k] : ends[1][i][k]] for i in (0, 1))
+                    best = None
+                    for at in range(0, len(one) if len(two) else 0, 1024):
+                        some = one[at : at + 1024]
+                        d2 = (x[some][:, None] - x[two][None, :]) ** 2 + (y[some][:, None] - y[two][None, :]) ** 2
+                        i, j = divmod(int(d2.argmin()), len(two))
+                        if best is None or d2[i, j] < best[0]:
+                            best = float(d2[i, j]), int(n[some[i]]), int(n[two[j]])
+                    if best is not None:
+                        for column, value in zip(out, (g, int(ca[p]), int(cb[p]), *best), strict=True):
+                            column.append(value)
+        names, types = ("g", "ca", "cb", "d2", "a", "b"), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(names, out, types, strict=True)})
+
+    own = nodes.select("g", F.col("n").cast("bigint").alias("n"), F.col("c").cast("bigint").alias("c"), "x", "y")
+    return dealt(own, wanted.select("g", F.col("ca").cast("bigint").alias("ca"), F.col("cb").cast("bigint").alias("cb")), run, "g bigint, ca bigint, cb bigint, d2 double, a bigint, b bigint", nodes.count())
 
 
 def near_closest_pairs(nodes: DataFrame, contours: DataFrame, bridge: float = CONTOUR_BRIDGE, stack: float = STACK_BRIDGE) -> DataFrame:
@@ -75,10 +103,7 @@ def near_closest_pairs(nodes: DataFrame, contours: DataFrame, bridge: float = CO
     gap_y = F.greatest(F.col("min_y_b") - F.col("max_y_a"), F.col("min_y_a") - F.col("max_y_b"), F.lit(0.0))
     near = a.join(b, "g").where((F.col("c_a") < F.col("c_b")) & (gap_x * gap_x + gap_y * gap_y <= bridge * bridge)).select("g", F.col("c_a").alias("ca"), F.col("c_b").alias("cb"))
     wanted = near.union(stacked_pairs(contours, stack).select("g", "ca", "cb")).distinct()
-    p, q = _two(nodes, ["n", "c", "x", "y"])
-    rows = wanted.join(p.withColumnRenamed("c_a", "ca"), ["g", "ca"]).join(q.withColumnRenamed("c_b", "cb"), ["g", "cb"]).withColumn("d2", _d2())
-    best = rows.groupBy("g", "ca", "cb").agg(F.min(F.struct("d2", "n_a", "n_b")).alias("m"))
-    return best.select("g", "ca", "cb", "m.d2", F.col("m.n_a").alias("a"), F.col("m.n_b").alias("b"))
+    return closest_pairs(nodes, wanted)
 
 
 def stacked_pairs(contours: DataFrame, limit: float = STACK_BRIDGE) -> DataFrame:

@@ -1,11 +1,7 @@
-"""Scoring: the relational parts of the model, its losses, and a per-graph forward pass in numpy."""
+"""Scoring: the relational parts of the model and its losses. The model itself is in model.py."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,73 +83,6 @@ def two_level_loss(edges: DataFrame, pair_weight: float = 0.5, inner_weight: flo
     return point.join(pair).select("point", "pair", ((1 - w) * F.col("point") + w * F.coalesce("pair", F.lit(0.0))).alias("loss"))
 
 
-@dataclass(frozen=True)
-class Layers:
-    """Seeded weights of a small forward pass; hidden is the width of node states, heads the attention heads."""
-
-    seed: int = 0
-    node_dim: int = 2
-    hidden: int = 16
-    heads: int = 2
-    layers: int = 2
-
-    def weights(self) -> dict[str, np.ndarray]:
-        rng = np.random.default_rng(self.seed)
-        d = self.hidden
-        shapes = {"enc1": (d, self.node_dim), "enc2": (d, d), "out": (1, 3 * d + 4)}
-        for i in range(self.layers):
-            shapes |= {f"{i}.src": (d, d), f"{i}.dst": (d, d), f"{i}.edge": (d, 4), f"{i}.att": (self.heads, d // self.heads)}
-        return {k: rng.standard_normal(s) / np.sqrt(s[-1]) for k, s in shapes.items()}
-
-
-def norm_rows(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
-    return (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + eps)
-
-
-def forward(nodes: np.ndarray, src: np.ndarray, dst: np.ndarray, edge: np.ndarray, scored: np.ndarray, w: dict[str, np.ndarray], cfg: Layers) -> np.ndarray:
-    """Probabilities of the scored edges of one graph: encoder, attention over incoming edges, edge classifier."""
-    h = norm_rows(np.maximum(nodes @ w["enc1"].T, 0) @ w["enc2"].T)
-    order = np.argsort(dst, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], dst[order][1:] != dst[order][:-1]])) if len(dst) else np.empty(0, int)
-    for i in range(cfg.layers):
-        hs = h @ w[f"{i}.src"].T
-        x = hs[src] + (h @ w[f"{i}.dst"].T)[dst] + edge @ w[f"{i}.edge"].T
-        x = np.where(x >= 0, x, 0.2 * x).reshape(len(src), cfg.heads, -1)
-        logit = (x * w[f"{i}.att"]).sum(axis=2)
-        e = np.exp(logit - (logit.max() if logit.size else 0.0))
-        message = hs[src].reshape(len(src), cfg.heads, -1) * e[:, :, None]
-        total, summed = np.zeros((len(nodes), cfg.heads)), np.zeros((len(nodes), cfg.heads, cfg.hidden // cfg.heads))
-        if len(starts):
-            at = dst[order][starts]
-            total[at] = np.add.reduceat(e[order], starts)
-            summed[at] = np.add.reduceat(message[order], starts)
-        h = norm_rows(h + (summed / (total[:, :, None] + 1e-9)).reshape(len(nodes), -1))
-    s, d = h[src[scored]], h[dst[scored]]
-    return 1 / (1 + np.exp(-(np.concatenate([s, d, np.abs(s - d), edge[scored]], axis=1) @ w["out"].T)[:, 0]))
-
-
 def scored_edges(edges: DataFrame) -> DataFrame:
     """The edges that the classifier needs: those between contours."""
     return edges.where("ca <> cb")
-
-
-def model_scores(nodes: DataFrame, edges: DataFrame, cfg: Layers = Layers()) -> DataFrame:
-    """(g, e, prob) of the edges between contours, one numpy pass for each graph; graphs without any aren't scored."""
-    weights = cfg.weights()
-    n = nodes.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "x", "y"))).alias("nodes"))
-    e = edges.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("e", "src", "dst", "dx", "dy", "dist", "same"))).alias("edges")).where(F.exists("edges", lambda x: ~x["same"]))
-
-    def run(parts):
-        for pdf in parts:
-            out = []
-            for g, ns, es in zip(pdf.g, pdf.nodes, pdf.edges, strict=True):
-                ids = {r["n"]: k for k, r in enumerate(ns)}
-                x = np.array([[r["x"], r["y"]] for r in ns])
-                src, dst = np.array([ids[r["src"]] for r in es]), np.array([ids[r["dst"]] for r in es])
-                edge = np.array([[r["dx"], r["dy"], r["dist"], float(r["same"])] for r in es])
-                scored = np.flatnonzero(edge[:, 3] == 0)
-                p = forward(x, src, dst, edge, scored, weights, cfg)
-                out.append(pd.DataFrame({"g": g, "e": [es[k]["e"] for k in scored], "prob": p}))
-            yield pd.concat(out) if out else pd.DataFrame({"g": [], "e": [], "prob": []})
-
-    return n.join(e, "g").mapInPandas(run, "g bigint, e bigint, prob double")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from . import model
 
 FORMAT_VERSION = 4
 U16 = 65535
@@ -24,6 +26,50 @@ def validate(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> DataFra
     return functools.reduce(lambda a, b: a.join(b), [n, lost, bare, loops])
 
 
+def record_violations(records: DataFrame) -> DataFrame:
+    """One row: how many nested records (readers.SHARD_SCHEMA) break each rule, nulls as breaks.
+
+    Dimensions and sizes of the arrays, edges within the nodes, contour ids with a contour, ids within 16 bits, and flags
+    that are 0 or 1. Everything is aggregated before the shuffle; no array leaves its row.
+    """
+    size, n, e, k = F.size, F.col("num_nodes"), F.size("edge_labels"), F.col("num_contours")
+    top = lambda c: F.coalesce(F.array_max(c).cast("bigint"), F.lit(-1).cast("bigint"))
+    same = F.filter("edge_features", lambda x, i: i % len(model.EDGE) == 3)
+    rules = {
+        "nodes_dim": (F.col("node_dim") == len(model.NODE)) & (size("node_features") == n * F.col("node_dim")),
+        "edges_dim": size("edge_features") == e * len(model.EDGE),
+        "edges_size": size("edge_index") == 2 * e,
+        "contours_dim": size("contour_features") == k * len(model.CONTOUR),
+        "ids_size": (size("node_contour_ids") == n) & (size("node_char_ids") == n),
+        "edges_range": top("edge_index") < n,
+        "contours_range": top("node_contour_ids") < k,
+        "wide": (n <= U16) & (top("node_contour_ids") <= U16) & (top("node_char_ids") <= U16),
+        "flags": F.forall(same, lambda x: x.isin(0.0, 1.0)) & F.forall("edge_labels", lambda x: x.isin(0, 1)),
+    }
+    return records.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+
+
+def narrowed(nodes: DataFrame) -> DataFrame:
+    """nodes with n, c and ch as 32-bit integers that hold 16; a value beyond fails the query."""
+    fits = lambda c: F.when(F.col(c).isNull() | F.col(c).between(0, U16), F.col(c).cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"{c} is beyond 16 bits: "), F.col(c).cast("string"))).cast("int"))
+    return nodes.withColumns({c: fits(c) for c in ("n", "c", "ch")})
+
+
+def check_widths(records: DataFrame) -> int:
+    """The node width of all records, which is what a model over them must take; ValueError if they differ."""
+    widths = [r.node_dim for r in records.select("node_dim").distinct().orderBy("node_dim").limit(9).collect()]
+    if len(widths) > 1:
+        raise ValueError(f"records have nodes of different widths: {widths}")
+    return widths[0] if widths else len(model.NODE)
+
+
+def warmed(df: DataFrame) -> DataFrame:
+    """df kept by the executors, on disk what doesn't fit in memory, and read once."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def checked(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> None:
     """Raises ValueError with the counts if validate finds any."""
     counts = validate(nodes, edges, contours).first().asDict()
@@ -82,8 +128,10 @@ def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def statistics(graphs: DataFrame) -> DataFrame:
-    """One row: graphs, nodes, edges and the share of positive edges, 0 without edges."""
-    rows = graphs.agg(F.count("*").alias("graphs"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("num_edges"), F.lit(0)).alias("edges"), F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"))
+    """One row: graphs, nodes, edges and the share of positive edges, 0 without edges, and distinct fonts if there is a
+    column font."""
+    fonts = [F.count_distinct("font").alias("fonts")] if "font" in graphs.columns else []
+    rows = graphs.agg(*fonts, F.count("*").alias("graphs"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("num_edges"), F.lit(0)).alias("edges"), F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"))
     return rows.withColumn("pos_ratio", ratio(F.col("positives"), F.col("edges")))
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bce_with_logits, focal, leaky_relu, logit, sigmoid
-from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, score, split, store
+from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, split, store
 from ..operators.metrics import THRESHOLDS
 from ..sources import fixtures, readers
 from ..sources.fixtures import table
+from ..sources.shared import folder
+from . import engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,8 +74,8 @@ PARTS = {
     "FX6": """SELECT d.doc_id, quality = 1 AS truth, n_chars >= 500 AS hit, greatest(least(n_chars / 20000::DOUBLE, 0.999::DOUBLE), 0.001::DOUBLE) AS prob FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
     "LG": "SELECT *, ln(prob / (1 - prob)) AS logit, truth::INT::DOUBLE AS y, (doc_id % 3 + 1)::DOUBLE AS weight FROM FX6",
     "EL": "SELECT *, ln(p / (1 - p)) AS logit, label::INT::DOUBLE AS y FROM (SELECT *, greatest(least(exp(-40 * dist), 0.999::DOUBLE), 0.001::DOUBLE) AS p FROM EF)",
-    "CH": "SELECT doc_id, i, substring(text, i, 1) AS ch FROM (SELECT doc_id, text, unnest(range(1, least(50, length(text)) + 1)) AS i FROM documents WHERE text IS NOT NULL)",
-    "BL": "SELECT item_id, trim(value, chr(32) || chr(9) || chr(10) || chr(13)) AS value FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS value FROM benchmark)",
+    "BL": """SELECT item_id, i, trim(value, chr(32) || chr(9) || chr(10) || chr(13)) AS value FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark)""",
+    "KL": "SELECT item_id, i, value FROM BL WHERE value <> '' AND value NOT LIKE '#%'",
 }
 
 
@@ -166,39 +170,55 @@ def _edge_logits(spark, d):
 
 
 def _lines(spark, d):
-    return generate.list_lines(table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("value")))
+    return generate.list_lines(table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("i", "value"))).withColumn("line", F.struct("item_id", "i"))
 
 
 # A: scans, lists, payloads
 
 
-@query("SELECT item_id, value FROM BL WHERE value <> '' AND value NOT LIKE '#%'")
+@query("SELECT item_id, value FROM KL")
 def list_lines(spark, d):
-    return _lines(spark, d)
+    return _lines(spark, d).select("item_id", "value")
 
 
-@query("SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, ch FROM CH WHERE doc_id < 40 AND ch NOT IN (' ', chr(10))")
+@query("SELECT row_number() OVER (ORDER BY item_id, i, j) - 1 AS pos, ch FROM (SELECT item_id, i, unnest(string_split(value, '')) AS ch, generate_subscripts(string_split(value, ''), 1) AS j FROM KL)")
 def charset_pool(spark, d):
-    chars = fixtures.characters(spark, d).where("doc_id < 40").where(~F.col("ch").isin(" ", "\n"))
-    lines = chars.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "ch"))), lambda x: x["ch"]), "").alias("value"))
-    return generate.charset(lines, "doc_id").select(F.col("pos").cast("bigint").alias("pos"), "ch")
+    return generate.charset(_lines(spark, d), "line")
 
 
-@query("SELECT ch, count(*) AS weight FROM CH GROUP BY ch")
+@query("SELECT ch, count(*) AS weight FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> '') GROUP BY ch")
 def charset_weights(spark, d):
-    return fixtures.characters(spark, d).groupBy("ch").agg(F.count("*").alias("weight"))
+    return generate.weights(table(spark, d, "documents"), "text")
+
+
+@query("SELECT row_number() OVER (ORDER BY item_id, i) - 1 AS pos, value AS text FROM KL")
+def fixed_texts(spark, d):
+    return generate.fixed_texts(_lines(spark, d), "line")
+
+
+def _stored(spark, d):
+    """documents as a packed store of a hundred to a shard."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    store.write({"documents": table(spark, d, "documents").withColumnRenamed("doc_id", "g").select("g", "source", "n_chars")}, path, 100)
+    return path
 
 
 @query("SELECT doc_id, doc_id // 100 AS shard FROM documents WHERE doc_id // 100 < 3")
 def limit_shards(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.expr("doc_id div 100").alias("shard")).where("shard < 3")
+    return readers.packed(spark, _stored(spark, d), "documents", shards=3).select(F.col("g").alias("doc_id"), F.col("shard").cast("bigint").alias("shard"))
 
 
-@query("SELECT 0 AS lim, count(*) AS n FROM documents UNION ALL SELECT 7, least(7, count(*)) FROM documents")
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def store_subset(spark, d):
+    ids = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("g"))
+    return readers.packed(spark, _stored(spark, d), "documents", ids).select(F.col("g").alias("doc_id"), "n_chars")
+
+
+@query("SELECT 0 AS lim, count(*) AS n FROM documents UNION ALL SELECT 7, count(*) FROM documents WHERE doc_id // 100 < 7")
 def limit_zero_is_all(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    some = lambda n: docs.limit(n) if n else docs
-    return some(0).agg(F.lit(0).alias("lim"), F.count("*").alias("n")).union(some(7).agg(F.lit(7), F.count("*")))
+    path = _stored(spark, d)
+    count = lambda n: readers.packed(spark, path, "documents", shards=n).agg(F.lit(n).alias("lim"), F.count("*").alias("n"))
+    return count(0).union(count(7))
 
 
 @query("SELECT doc_id // 100 AS shard, count(*) AS n FROM documents GROUP BY 1")
@@ -231,9 +251,7 @@ def json_roundtrip(spark, d):
 
 @query(f"SELECT g, c, i, {r6(x='x - l', y='y')} FROM (SELECT *, min(x) OVER (PARTITION BY g) AS l FROM PT)")
 def normalize_points(spark, d):
-    p = fixtures.points(spark, d)
-    left = p.groupBy("g").agg(F.min("x").alias("l"))
-    return rounded(p.join(left, "g").select("g", "c", F.col("i").cast("bigint").alias("i"), (F.col("x") - F.col("l")).alias("x"), "y"), "x", "y")
+    return rounded(geometry.moved_left(fixtures.points(spark, d)).select("g", "c", F.col("i").cast("bigint").alias("i"), "x", "y"), "x", "y")
 
 
 @query("SELECT threshold, lpad(printf('%.2f', threshold), 6, ' ') || lpad(printf('%.4f', grouping_acc), 9, ' ') || lpad(printf('%.4f', char_split_rate), 9, ' ') || lpad(printf('%.4f', char_merge_rate), 9, ' ') || lpad(printf('%.4f', pair_f1), 9, ' ') AS line FROM SW")
@@ -246,12 +264,10 @@ def sweep_report(spark, d):
 POOL = list("abcdefghijklmnop")
 
 
-@query("SELECT d.doc_id, b.text FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark WHERE item_id < 20) b ON b.pos = d.doc_id % 20")
+@query("SELECT d.doc_id, b.value AS text FROM documents d JOIN (SELECT value, row_number() OVER (ORDER BY item_id, i) - 1 AS pos, count(*) OVER () AS n FROM KL) b ON b.pos = d.doc_id % b.n")
 def round_robin(spark, d):
-    from pyspark.sql import Window
-
-    texts = table(spark, d, "benchmark").where("item_id < 20").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("pos"), "text")
-    return generate.round_robin(table(spark, d, "documents").select("doc_id"), "doc_id", texts, 20).select("doc_id", "text")
+    texts = generate.fixed_texts(_lines(spark, d), "line")
+    return generate.round_robin(table(spark, d, "documents").select("doc_id"), "doc_id", texts, texts.count()).select("doc_id", "text")
 
 
 @query("SELECT event_id, " + r6(tracking="0.1::DOUBLE - 0.3::DOUBLE * pow(value / 1000, 2)") + " FROM events")
@@ -286,7 +302,7 @@ def scale_shift(spark, d):
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def rejects_anti(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return generate.rejected(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT user_id, i, s, " + r6(
@@ -312,38 +328,83 @@ def reject_small(spark, d):
     return store.reject_small(store.graph_sizes(high, e)).select("g", "num_nodes", "num_edges")
 
 
-@query()
+def _draw(row: str, what: str, k: str = "0", seed: int = 0) -> str:
+    """SQL of generate.draw."""
+    return f"(('0x' || substr(md5('{seed}|' || {row} || '|{what}|' || {k}), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
+@query("SELECT doc_id, " + r6(jitter="0.2::DOUBLE * " + _draw("doc_id", "jitter"), aspect="0.8::DOUBLE + (1.2::DOUBLE - 0.8::DOUBLE) * " + _draw("doc_id", "aspect"), noise="0.1::DOUBLE * " + _draw("doc_id", "noise"), tracking="0.1::DOUBLE - 0.3::DOUBLE * pow(" + _draw("doc_id", "tracking") + ", 2)") + " FROM documents")
 def seeded_draws(spark, d):
-    return table(spark, d, "documents").select("doc_id", generate.draw(7, F.col("doc_id"), "jitter").alias("jitter"), generate.between(generate.draw(7, F.col("doc_id"), "aspect"), 0.8, 1.2).alias("aspect"))
+    rows = generate.layout_draws(table(spark, d, "documents").select("doc_id"), "doc_id", (-0.2, 0.1), 2.0, (0.8, 1.2), 0.2, 0.1)
+    return rounded(rows, "jitter", "aspect", "noise", "tracking")
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN {_draw('doc_id', 'pool')} < 0.3 THEN ['deco a', 'deco b'][1 + floor({_draw('doc_id', 'deco')} * 2)::INT] ELSE ['body a', 'body b', 'body c'][1 + floor({_draw('doc_id', 'body')} * 3)::INT] END AS font FROM documents")
 def pool_choice(spark, d):
     return generate.pool_choice(table(spark, d, "documents").select("doc_id"), "doc_id", ["body a", "body b", "body c"], ["deco a", "deco b"])
 
 
-@query()
+def _some(row: str, what: str, n: str) -> str:
+    """SQL of n characters of the pool."""
+    return f"array_to_string(list_transform(range(1, {n} + 1), lambda i: {POOL}[1 + floor({_draw(row, what, 'i')} * {len(POOL)})::INT]), '')"
+
+
+@query(f"SELECT doc_id, {_some('doc_id', 'char', 'n')} AS text FROM (SELECT doc_id, 2 + floor({_draw('doc_id', 'length')} * 11)::INT AS n FROM documents)")
 def random_text(spark, d):
     return generate.random_text(table(spark, d, "documents").select("doc_id"), "doc_id", POOL)
 
 
-@query()
+@query(f"""SELECT row, pattern, {_some('row', 'left', 'before')} || pattern || {_some('row', 'right', '(pad - before)')} AS text FROM (
+          SELECT row, pattern, pad, floor({_draw('row', 'before')} * (pad + 1))::INT AS before FROM (
+          SELECT row, pattern, greatest(2, size) + floor({_draw('row', 'total')} * (greatest(400, size) - greatest(2, size) + 1))::INT - size AS pad FROM (
+          SELECT item_id * 1000 + i - 1 AS row, value AS pattern, length(value) AS size FROM KL)))""")
 def embed_pattern(spark, d):
-    return generate.embed_pattern(table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 5).alias("pattern")), "item_id", "pattern", POOL)
+    rows = _lines(spark, d).select((F.col("item_id") * 1000 + F.col("i")).alias("row"), F.col("value").alias("pattern"))
+    return generate.embed_pattern(rows, "row", "pattern", POOL, high=400)
+
+
+def _corpus(spark, d):
+    fonts = ["body a", "body b", "deco a"]
+    options = engine.CorpusOptions(count=table(spark, d, "conversations").count(), tracking=(-0.1, 0.2), aspect=(0.9, 1.1), jitter=0.02, noise=0.005)
+    lines = engine.lines(spark, options, [*fonts[:2], "lost font"], fonts[2:], [*POOL, " "])
+    return lines, *fixtures.glyphs(spark, d, POOL, fonts), options
 
 
 @query()
-def scan_binary_pool(spark, d):
-    files = spark.read.format("binaryFile").load(d).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.hex(F.substring("content", 1, 4)).alias("head"))
-    return files.where(F.col("name").rlike(r"(?i)\.parquet$")).select("name", (F.col("head") == "50415231").alias("valid"))
+def corpus_records(spark, d):
+    """A generated corpus: one line for each row of conversations."""
+    r, _ = engine.generate_corpus(*_corpus(spark, d))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return r.select("g", "text", "font", "num_nodes", "num_edges", "num_contours", total("node_char_ids").alias("char_sum"), total("edge_index").alias("edge_sum"))
 
 
 @query()
+def corpus_rejects(spark, d):
+    return engine.generate_corpus(*_corpus(spark, d))[1]
+
+
+@query(f"""SELECT g, c, ch, i, """ + r6("x", "y") + f""" FROM (SELECT g, dense_rank() OVER (PARTITION BY g ORDER BY mark) - 1 AS c, rank - 1 AS ch, i,
+          (ox + (rank - 1) * (600 + tracking * 1000) + {_draw("g || ',' || mark || ',0,' || i", 'noise x')} * 2 * noise * 1000 - noise * 1000) * aspect / 1000 AS x,
+          (oy + 10 + {_draw("g || ',' || mark", 'baseline')} * 2 * jitter * 1000 - jitter * 1000 + {_draw("g || ',' || mark || ',0,' || i", 'noise y')} * 2 * noise * 1000 - noise * 1000) / 1000 AS y FROM (
+          SELECT *, 0.02::DOUBLE * {_draw('g', 'jitter')} AS jitter, 0.005::DOUBLE * {_draw('g', 'noise')} AS noise, 0.9::DOUBLE + (1.1::DOUBLE - 0.9::DOUBLE) * {_draw('g', 'aspect')} AS aspect, 0.2::DOUBLE - 0.3::DOUBLE * pow({_draw('g', 'tracking')}, 1) AS tracking FROM (
+          SELECT g, mark, rank, i, x * 200 AS ox, y * 200 AS oy FROM (SELECT g, mark, mark + 1 AS rank, {POOL}[1 + k] AS char, k FROM (SELECT g, mark, floor({_draw('g', 'char', '(mark + 1)')} * 16)::INT AS k FROM (
+          SELECT g, unnest(range(n)) AS mark FROM (SELECT g, 2 + floor({_draw('g', 'length')} * 11)::INT AS n FROM (SELECT unnest(range((SELECT count(*) FROM conversations))) AS g))))) t
+          JOIN (SELECT g AS pg, c AS pc, i, x, y FROM PT) p ON p.pg = t.k // 8 AND p.pc = t.k % 8)))""")
+def layout_points(spark, d):
+    """Lines of the first font, so that every character has a glyph."""
+    options = engine.CorpusOptions(count=table(spark, d, "conversations").count(), tracking=(-0.1, 0.2), aspect=(0.9, 1.1), jitter=0.02, noise=0.005)
+    points = engine.laid_out(engine.lines(spark, options, ["body a"], [], POOL), *fixtures.glyphs(spark, d, POOL, ["body a"]), options)
+    return rounded(points.select("g", "c", "ch", F.col("i").cast("bigint").alias("i"), "x", "y"), "x", "y")
+
+
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name, true AS valid")
+def scan_binary_pool(spark, d):
+    return readers.binary_pool(spark, d, ("parquet",), ("50415231",)).select("name", "valid")
+
+
+@query(f"SELECT doc_id, coalesce(length(text) * 2 - length(regexp_replace(text, '{metrics.WIDE}', '', 'g')), 0)::BIGINT AS width FROM documents")
 def display_width(spark, d):
-    """Two columns for wide and full-width characters, one for others, by the ranges that Unicode gives them."""
-    wide = "[ᄀ-ᅟ⺀-〾ぁ-꓏ꥠ-ꥼ가-힣豈-﫿︰-﹯！-｠￠-￦\U0001f300-\U0001f64f\U0001f900-\U0001f9ff\U00020000-\U0003fffd]"
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", (F.length(text) * 2 - F.length(F.regexp_replace(text, wide, ""))).cast("bigint").alias("width"))
+    return table(spark, d, "documents").select("doc_id", metrics.display_width(F.col("text")).alias("width"))
 
 
 # C: contour geometry
@@ -402,8 +463,8 @@ def knn_radius(spark, d):
 
 
 @query("SELECT g, a, b, " + r6("d2") + " FROM KN")
-def knn_radius_grid(spark, d):
-    return rounded(graph.neighbours_by_cell(fixtures.nodes(spark, d)), "d2")
+def knn_radius_all_pairs(spark, d):
+    return rounded(graph.neighbours_all_pairs(fixtures.nodes(spark, d)), "d2")
 
 
 @query("SELECT g, a, b FROM UD")
@@ -446,20 +507,51 @@ def contour_features(spark, d):
     return rounded(graph.contour_features(_contours(spark, d)), "cx", "cy", "w", "h", "min_x", "min_y", "arc", "area")
 
 
-@query()
+@query("""SELECT n.g, 'line ' || n.g AS text, 'font ' || n.g % 3 AS font, n.num_nodes, e.num_edges, k.num_contours, n.char_sum, e.end_sum, e.labels, """ + r6("x_sum", "dist_sum", "area_sum") + """ FROM (SELECT g, count(*) AS num_nodes, sum(ch)::BIGINT AS char_sum, sum(x::FLOAT::DOUBLE) AS x_sum FROM ND GROUP BY g) n
+          JOIN (SELECT g, count(*) AS num_edges, sum(src + dst)::BIGINT AS end_sum, count(*) FILTER (label) AS labels, sum(dist::FLOAT::DOUBLE) AS dist_sum FROM EF GROUP BY g) e ON e.g = n.g JOIN (SELECT g, count(*) AS num_contours, sum(area::FLOAT::DOUBLE) AS area_sum FROM CT GROUP BY g) k ON k.g = n.g""")
 def graph_records(spark, d):
-    """Nested records, as they are exchanged."""
-    n = fixtures.nodes(spark, d).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "c", "x", "y"))).alias("nodes"))
-    e = _edges(spark, d).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("e", "src", "dst", "label"))).alias("edges"))
-    return n.join(e, "g").select("g", F.size("nodes").alias("num_nodes"), F.size("edges").alias("num_edges"), "nodes", "edges")
+    r = _records(spark, d)
+    total = lambda c, kind: F.aggregate(c, F.lit(0).cast(kind), lambda a, x: a + x.cast(kind))
+    every = lambda c, step, at: F.filter(c, lambda _, i: i % step == at)
+    sums = [total(every("node_features", 13, 0), "double").alias("x_sum"), total(every("edge_features", 4, 2), "double").alias("dist_sum"), total(every("contour_features", 8, 7), "double").alias("area_sum")]
+    whole = [total("node_char_ids", "bigint").alias("char_sum"), total("edge_index", "bigint").alias("end_sum"), total("edge_labels", "bigint").alias("labels")]
+    return rounded(r.select("g", "text", "font", "num_nodes", "num_edges", "num_contours", *whole, *sums), "x_sum", "dist_sum", "area_sum")
+
+
+def _records(spark, d):
+    n = fixtures.nodes(spark, d)
+    n = n.select(*n.columns, *[F.lit(0.0).alias(c) for c in model.NODE if c not in n.columns])
+    names = n.select("g").distinct().select("g", F.concat(F.lit("line "), F.col("g")).alias("text"), F.concat(F.lit("font "), F.col("g") % 3).alias("font"))
+    return readers.records(n, _edges(spark, d), graph.contour_features(_contours(spark, d)), names)
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (g % 10 = {k})::BIGINT AS {n}" for k, n in enumerate(["nodes_dim", "edges_dim", "edges_size", "contours_dim", "ids_size", "edges_range", "contours_range", "wide", "flags"])) + " FROM (SELECT DISTINCT g FROM ND)")
+def validate_records(spark, d):
+    """A tenth of the records breaks each rule, just that one."""
+    bad = lambda k, good, broken: F.when(F.col("g") % 10 == k, broken).otherwise(good)
+    longer = lambda c: F.concat(c, F.slice(c, 1, 1))
+    r = _records(spark, d)
+    r = r.withColumn("node_features", bad(0, F.col("node_features"), longer("node_features"))).withColumn("edge_features", bad(1, F.col("edge_features"), longer("edge_features")))
+    r = r.withColumn("edge_index", bad(2, F.col("edge_index"), longer("edge_index"))).withColumn("contour_features", bad(3, F.col("contour_features"), longer("contour_features")))
+    r = r.withColumn("node_char_ids", bad(4, F.col("node_char_ids"), longer("node_char_ids"))).withColumn("edge_index", bad(5, F.col("edge_index"), F.transform("edge_index", lambda x, i: F.when(i == 0, F.col("num_nodes")).otherwise(x))))
+    r = r.withColumn("node_contour_ids", bad(6, F.col("node_contour_ids"), F.transform("node_contour_ids", lambda x, i: F.when(i == 0, F.col("num_contours")).otherwise(x))))
+    r = r.withColumn("node_char_ids", bad(7, F.col("node_char_ids"), F.transform("node_char_ids", lambda x, i: F.when(i == 0, F.lit(70_000)).otherwise(x))))
+    return store.record_violations(r.withColumn("edge_labels", bad(8, F.col("edge_labels"), F.transform("edge_labels", lambda x, i: F.when(i == 0, F.lit(2)).otherwise(x).cast("smallint")))))
 
 
 # E: store
 
 
-@query("SELECT 0::BIGINT AS wide_nodes, 0::BIGINT AS wide_contours, 0::BIGINT AS wide_chars, 0::BIGINT AS lost_ends, 0::BIGINT AS bare_contours, 0::BIGINT AS self_edges")
+@query("""SELECT (SELECT count(*) FROM ND WHERE g % 5 = 0 AND n = 3) AS wide_nodes, (SELECT count(*) FROM ND WHERE g % 5 = 1 AND c = 2) AS wide_contours, (SELECT count(*) FROM ND WHERE g % 5 = 2 AND ch = 1) AS wide_chars,
+          (SELECT count(*) FILTER (src = 3) + count(*) FILTER (dst = 3) FROM EF WHERE g % 5 = 0) AS lost_ends, (SELECT count(DISTINCT (g, c)) FROM ND WHERE (g % 5 = 3 AND c = 4) OR (g % 5 = 1 AND c = 2)) AS bare_contours, (SELECT count(*) FROM EF WHERE g % 5 = 4 AND e % 7 = 0) AS self_edges""")
 def validate_store(spark, d):
-    return store.validate(fixtures.nodes(spark, d), _edges(spark, d), _contours(spark, d))
+    """A store with a fault of each kind in a fifth of its graphs."""
+    far = lambda g, rule, c: F.when((F.col("g") % 5 == g) & rule, F.col(c) + 70_000).otherwise(F.col(c))
+    n = fixtures.nodes(spark, d)
+    n = n.withColumns({"n": far(0, F.col("n") == 3, "n"), "c": far(1, F.col("c") == 2, "c"), "ch": far(2, F.col("ch") == 1, "ch")})
+    e = _edges(spark, d)
+    e = e.withColumn("dst", F.when((F.col("g") % 5 == 4) & (F.col("e") % 7 == 0), F.col("src")).otherwise(F.col("dst")))
+    return store.validate(n, e, _contours(spark, d).where("not (g % 5 = 3 and c = 4)"))
 
 
 @query("SELECT g, e, " + r6(dist="sqrt(dx::FLOAT::DOUBLE * dx::FLOAT::DOUBLE + dy::FLOAT::DOUBLE * dy::FLOAT::DOUBLE)") + " FROM EF")
@@ -489,9 +581,10 @@ def prefix_offsets(spark, d):
     return store.offsets(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n")
 
 
-@query("SELECT count(DISTINCT n.g) AS graphs, count(*) AS nodes, (SELECT count(*) FROM EF) AS edges, (SELECT count(*) FILTER (label) FROM EF) AS positives, " + r6(pos_ratio="(SELECT count(*) FILTER (label) / count(*) FROM EF)") + " FROM ND n")
+@query("SELECT count(DISTINCT n.g) AS graphs, count(DISTINCT n.g % 3) AS fonts, count(*) AS nodes, (SELECT count(*) FROM EF) AS edges, (SELECT count(*) FILTER (label) FROM EF) AS positives, " + r6(pos_ratio="(SELECT count(*) FILTER (label) / count(*) FROM EF)") + " FROM ND n")
 def store_stats(spark, d):
-    return rounded(store.statistics(store.graph_sizes(fixtures.nodes(spark, d), _edges(spark, d))), "pos_ratio")
+    sizes = store.graph_sizes(fixtures.nodes(spark, d), _edges(spark, d)).withColumn("font", F.concat(F.lit("font "), F.col("g") % 3))
+    return rounded(store.statistics(sizes), "pos_ratio")
 
 
 # F: split, sample, batch
@@ -513,16 +606,15 @@ def random_split_exact(spark, d):
           SELECT 0, o.r, o.id, o.weight, CASE WHEN held >= 8 OR total + o.weight > 20000 THEN batch + 1 ELSE batch END, CASE WHEN held >= 8 OR total + o.weight > 20000 THEN o.weight ELSE total + o.weight END,
           CASE WHEN held >= 8 OR total + o.weight > 20000 THEN 1 ELSE held + 1 END FROM f JOIN o ON o.r = f.r + 1) SELECT * FROM f)""")
 def edge_budget_batches(spark, d):
-    return split.edge_budget_batches(table(spark, d, "documents"), "doc_id", "n_chars", 20000, 8)
+    return split.edge_budget_batches(table(spark, d, "documents"), "doc_id", "n_chars", 20000, 8, lanes=1)
 
 
-@query()
+@query("""SELECT lane, pos, doc_id, weight, b.batch, turn FROM (WITH RECURSIVE o AS (SELECT doc_id, n_chars AS weight, row_number() OVER (ORDER BY md5('10|' || doc_id), doc_id) AS r FROM documents),
+          f AS (SELECT 0 AS lane, r, doc_id, weight, 0::BIGINT AS batch, weight AS total, 1 AS held FROM o WHERE r = 1 UNION ALL
+          SELECT 0, o.r, o.doc_id, o.weight, CASE WHEN held >= 8 OR total + o.weight > 20000 THEN batch + 1 ELSE batch END, CASE WHEN held >= 8 OR total + o.weight > 20000 THEN o.weight ELSE total + o.weight END,
+          CASE WHEN held >= 8 OR total + o.weight > 20000 THEN 1 ELSE held + 1 END FROM f JOIN o ON o.r = f.r + 1) SELECT lane, r - 1 AS pos, doc_id, weight, batch, dense_rank() OVER (ORDER BY md5('10|0|' || batch), batch) - 1 AS turn FROM f) b""")
 def epoch_batches(spark, d):
-    docs = split.epoch_order(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 7, 3)
-    from pyspark.sql import Window
-
-    placed = docs.withColumn("pos", F.row_number().over(Window.orderBy("place", "doc_id")))
-    return split.edge_budget_batches(placed, "pos", "n_chars", 20000, 8)
+    return split.epoch_batches(table(spark, d, "documents"), "doc_id", "n_chars", 20000, 8, 7, 3, lanes=1)
 
 
 @query("SELECT CT.g, c, ch, c + dc AS flat_c, ch + dch AS flat_ch FROM CT JOIN (SELECT g, coalesce(sum(nc) OVER w, 0)::BIGINT AS dc, coalesce(sum(nch) OVER w, 0)::BIGINT AS dch FROM (SELECT g, max(c) + 1 AS nc, max(ch) + 1 AS nch FROM CT GROUP BY g) WINDOW w AS (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) s ON s.g = CT.g")
@@ -562,7 +654,7 @@ def softmax_rows(spark, d):
 @query("SELECT g, dst, " + r6(total="sum(dx)") + " FROM EF GROUP BY ALL")
 def segment_sum(spark, d):
     e = _edges(spark, d)
-    return rounded(e.groupBy("g", "dst").agg(F.sum("dx").alias("total")), "total")
+    return rounded(score.segment(e.select("g", "dst").distinct(), e, ["g", "dst"], "dx").select("g", "dst", "total"), "total")
 
 
 @query("SELECT ND.g, ND.n, " + r6(mean="coalesce(avg(EF.dist), 0)") + " FROM ND LEFT JOIN EF ON EF.g = ND.g AND EF.dst = ND.n AND NOT EF.same GROUP BY ALL")
@@ -628,7 +720,14 @@ def group_scalars(spark, d):
 
 @query()
 def model_scores(spark, d):
-    return rounded(score.model_scores(fixtures.nodes(spark, d), _edges(spark, d)), "prob")
+    """A seeded model with all its parts over resampled outlines."""
+    contours, nodes, edges = engine.build(fixtures.points(spark, d))
+    return rounded(engine.seeded_scorer(nodes, edges, contours), "prob")
+
+
+@query()
+def merge_scorer_sweep(spark, d):
+    return rounded(engine.evaluate_merging(fixtures.points(spark, d)), "grouping_acc", "char_split_rate", "char_merge_rate")
 
 
 # H: losses
@@ -679,13 +778,7 @@ def char_groups(spark, d):
 
 @query("SELECT g, c, grp FROM GR WHERE threshold = 0.3::DOUBLE")
 def char_groups_by_labels(spark, d):
-    owner = _owner(spark, d)
-    links = _pairs(spark, d).where("prob >= 0.3").select("g", "ca", "cb")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return decode.char_groups_by_labels(links, owner.select("g", "c"))
+    return decode.char_groups_by_labels(_pairs(spark, d).where("prob >= 0.3").select("g", "ca", "cb"), _owner(spark, d).select("g", "c"))
 
 
 _ORDERED = "SELECT g, threshold, row_number() OVER (PARTITION BY g, threshold ORDER BY x, grp) - 1 AS pos, grp, members FROM (SELECT GR.g, threshold, grp, min(x) AS x, list(GR.c ORDER BY GR.c) AS members FROM GR JOIN (SELECT g, c, min(x) AS x FROM ND GROUP BY ALL) l ON l.g = GR.g AND l.c = GR.c GROUP BY ALL)"
@@ -722,9 +815,36 @@ def bridge_symmetric(spark, d):
     return rounded(decode.symmetric(_pairs(spark, d)), "prob")
 
 
-@query()
+def _greedy(margins: str) -> str:
+    """SQL of decode.greedy_groups by _halved, one candidate after the other."""
+    end = lambda x, f: f"{f}(par[{x}.ca + 1], par[{x}.cb + 1])"
+    return f"""(WITH RECURSIVE gp AS (SELECT g, list({{'ca': ca, 'cb': cb, 'prob': prob}}) AS ps FROM PR GROUP BY g),
+          go AS (SELECT g, ca, cb, row_number() OVER (PARTITION BY g ORDER BY prob DESC, ca, cb) AS r FROM PR WHERE prob >= 0.1),
+          gs AS (SELECT g, margin, 0::BIGINT AS r, range(8) AS par FROM (SELECT DISTINCT g FROM ND), (SELECT unnest({margins})::DOUBLE AS margin) UNION ALL
+          SELECT g, margin, r, CASE WHEN a <> b AND (CASE WHEN len(list_filter(par, lambda v: v IN (a, b))) <= 3 THEN link ELSE link / 2 END) >= margin THEN list_transform(par, lambda v: CASE WHEN v = b THEN a ELSE v END) ELSE par END FROM (
+          SELECT *, list_max(list_transform(list_filter(ps, lambda q: {end('q', 'least')} = a AND {end('q', 'greatest')} = b), lambda q: q.prob)) AS link FROM (
+          SELECT gs.g, margin, go.r, par, ps, {end('go', 'least')} AS a, {end('go', 'greatest')} AS b FROM gs JOIN go ON go.g = gs.g AND go.r = gs.r + 1 JOIN gp ON gp.g = gs.g)))
+          SELECT f.g, margin AS threshold, OW.c, par[OW.c + 1] AS grp FROM (SELECT g, margin, max_by(par, r) AS par FROM gs GROUP BY ALL) f JOIN OW ON OW.g = f.g)"""
+
+
+def _halved(left, right, link):
+    """A stand-in for the merge scorer: links of more than three contours count half."""
+    return link if len(left) + len(right) <= 3 else link / 2
+
+
+@query(f"SELECT g, c, grp FROM {_greedy('[0.3]')}")
 def greedy_groups(spark, d):
-    return decode.greedy_groups(_pairs(spark, d), _owner(spark, d), lambda left, right, p: p if len(left) + len(right) <= 3 else p / 2)
+    return decode.greedy_groups(_pairs(spark, d), _owner(spark, d), _halved, 0.3)
+
+
+@query(f"""SELECT e.margin, graphs, chars, """ + r6(grouping_acc="e.acc", char_split_rate="split / chars", char_merge_rate="merged / chars") + f""" FROM (WITH ce AS MATERIALIZED (SELECT DISTINCT x.g, threshold AS margin, grp, ch FROM {_greedy('[0.2, 0.3, 0.5]')} x JOIN OW ON OW.g = x.g AND OW.c = x.c)
+          SELECT a.margin, acc, graphs, chars, split, merged FROM (SELECT margin, avg(ok::INT) AS acc, count(*) AS graphs FROM (SELECT g, margin, count(DISTINCT grp) = count(DISTINCT ch) AND count(DISTINCT ch) = count(*) AS ok FROM ce GROUP BY ALL) GROUP BY ALL) a
+          JOIN (SELECT margin, count(*) AS chars, count(*) FILTER (s) AS split, count(*) FILTER (m) AS merged FROM (SELECT ce.margin, ce.g, ch, count(*) > 1 AS s, max(k) > 1 AS m FROM ce JOIN (SELECT margin, g, grp, count(*) AS k FROM ce GROUP BY ALL) w ON w.margin = ce.margin AND w.g = ce.g AND w.grp = ce.grp GROUP BY ALL) GROUP BY ALL) b ON b.margin = a.margin) e""")
+def greedy_sweep(spark, d):
+    pairs, owner = _pairs(spark, d), _owner(spark, d)
+    margins = [0.2, 0.3, 0.5]
+    groups = [decode.greedy_groups(pairs, owner, _halved, m).withColumn("threshold", F.lit(m)) for m in margins]
+    return rounded(metrics.group_sweep(functools.reduce(DataFrame.union, groups), owner, _graphs(spark, d), margins), "grouping_acc", "char_split_rate", "char_merge_rate")
 
 
 # J: evaluation
@@ -784,10 +904,23 @@ def best_threshold(spark, d):
     return metrics.best(_sweep(spark, d))
 
 
-@query("SELECT text, n, correct, " + r6(accuracy="correct / n") + " FROM (SELECT 'line ' || (g % 5) AS text, count(*) AS n, count(*) FILTER (correct) AS correct FROM EX WHERE threshold = 0.3::DOUBLE GROUP BY 1)")
-def text_breakdown(spark, d):
+_BROKEN = "(SELECT 'line ' || (g % 5) AS text, count(*) AS n, count(*) FILTER (correct) AS correct FROM EX WHERE threshold = 0.3::DOUBLE GROUP BY 1)"
+
+
+def _breakdown(spark, d, top):
     e = metrics.exact_graphs(_cells(spark, d), _graphs(spark, d), THRESHOLDS).where("threshold = 0.3").withColumn("text", F.concat(F.lit("line "), F.col("g") % 5))
-    return rounded(metrics.breakdown(e, "text", 10), "accuracy")
+    return metrics.breakdown(e, "text", top)
+
+
+@query("SELECT text, n, correct, 2::BIGINT AS more, " + r6(accuracy="correct / n") + f" FROM {_BROKEN} ORDER BY correct / n, n DESC, text LIMIT 3")
+def text_breakdown(spark, d):
+    return rounded(_breakdown(spark, d, 3), "accuracy")
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY correct / n, n DESC, text) AS pos, text || lpad(n::VARCHAR, 7, ' ') || lpad(correct::VARCHAR, 9, ' ') || lpad(printf('%.4f', correct / n), 9, ' ') AS line FROM (SELECT * FROM {_BROKEN} ORDER BY correct / n, n DESC, text LIMIT 3)
+          UNION ALL SELECT 4, '... 2 more'""")
+def breakdown_report(spark, d):
+    return metrics.breakdown_report(_breakdown(spark, d, 3))
 
 
 @query("SELECT 'all' AS kind, count(*) FILTER (label) AS tp, count(*) FILTER (NOT label) AS fp, 0::BIGINT AS fn FROM PR UNION ALL SELECT 'oracle', count(*) FILTER (label), 0, 0 FROM PR UNION ALL SELECT 'none', 0, 0, count(*) FILTER (label) FROM PR")
@@ -820,6 +953,14 @@ def hop_reach(spark, d):
     return rounded(analyze.hop_reach(_edges(spark, d), n, n.where("n % 64 = 0"), 4), "reach", "width", "share")
 
 
+@query("SELECT " + r6("mean", "median", "p95", "line_width", share="mean / greatest(line_width, 1e-9::DOUBLE)") + """ FROM (SELECT avg(reach) AS mean, quantile_cont(reach, 0.5) AS median, quantile_cont(reach, 0.95) AS p95 FROM (SELECT w.g, start, max(abs(a.x - b.x)) AS reach FROM (
+          WITH RECURSIVE w AS (SELECT g, n AS start, n, 0 AS h FROM ND WHERE n % 64 = 0 UNION SELECT w.g, start, EF.dst, h + 1 FROM w JOIN EF ON EF.g = w.g AND EF.src = w.n WHERE h < 8) SELECT DISTINCT g, start, n FROM w) w
+          JOIN ND a ON a.g = w.g AND a.n = w.n JOIN ND b ON b.g = w.g AND b.n = start GROUP BY ALL)), (SELECT avg(width) AS line_width FROM (SELECT g, max(x) - min(x) AS width FROM ND GROUP BY g))""")
+def receptive_field(spark, d):
+    n = fixtures.nodes(spark, d)
+    return rounded(analyze.receptive_field(analyze.hop_reach(_edges(spark, d), n, n.where("n % 64 = 0"), 8)), "mean", "median", "p95", "line_width", "share")
+
+
 @query("""SELECT count(*) AS chars, count(*) FILTER (k > 1) AS multi, count(*) FILTER (parts > 1) AS broken, """ + r6(ceiling="1 - count(*) FILTER (parts > 1) / count(*)") + """ FROM (SELECT g, ch, count(*) AS k, count(DISTINCT r) AS parts FROM (
           WITH RECURSIVE l AS (SELECT DISTINCT EF.g, ca, cb FROM EF WHERE ca <> cb AND label), q AS (SELECT g, c, ch, c AS r FROM OW UNION SELECT q.g, q.c, q.ch, l.cb FROM q JOIN l ON l.g = q.g AND l.ca = q.r)
           SELECT g, c, ch, min(r) AS r FROM q GROUP BY ALL) GROUP BY ALL)""")
@@ -827,7 +968,17 @@ def connectivity_ceiling(spark, d):
     return rounded(analyze.connectivity_ceiling(_edges(spark, d), _owner(spark, d)), "ceiling")
 
 
-@query()
+_CANDIDATES = f"""(WITH ch AS (SELECT g, ch, list(c ORDER BY c) AS m, avg(cx) AS x FROM CT GROUP BY ALL),
+          nb AS (SELECT a.g, a.ch, min({{'gap': abs(a.x - b.x), 'other': b.ch}}).other AS other FROM ch a JOIN ch b ON a.g = b.g AND a.ch <> b.ch GROUP BY ALL),
+          cuts AS (SELECT g, ch, m, unnest(range(least(len(m) - 1, 3))) AS k FROM ch WHERE len(m) > 1),
+          own AS (SELECT g, ch, 'cut' AS kind, k, list_filter(m, lambda c: c = m[1] OR (c <> m[len(m)] AND {_draw("(g || ',' || ch || ',' || k || ',' || c)", 'cut')} < 0.5)) AS l, m, 1 AS label FROM cuts),
+          every AS (SELECT g, ch, kind, k, l AS "left", list_filter(m, lambda c: NOT list_contains(l, c)) AS "right", label FROM own
+          UNION ALL SELECT ch.g, ch.ch, 'whole', 0, ch.m, o.m, 0 FROM ch JOIN nb ON nb.g = ch.g AND nb.ch = ch.ch JOIN ch o ON o.g = ch.g AND o.ch = nb.other
+          UNION ALL SELECT ch.g, ch.ch, 'part', 0, ch.m[:len(ch.m) - 1], o.m, 0 FROM ch JOIN nb ON nb.g = ch.g AND nb.ch = ch.ch JOIN ch o ON o.g = ch.g AND o.ch = nb.other WHERE len(ch.m) > 1)
+          SELECT e.g, ch, kind, k, array_to_string("left", ',') AS "left", array_to_string("right", ',') AS "right", e.label, coalesce(max(prob), 0) AS link FROM every e LEFT JOIN PR ON PR.g = e.g AND ((list_contains("left", ca) AND list_contains("right", cb)) OR (list_contains("left", cb) AND list_contains("right", ca))) GROUP BY ALL)"""
+
+
+@query('SELECT g, ch, kind, k, "left", "right", label, ' + r6("link") + f" FROM {_CANDIDATES}")
 def merge_candidates(spark, d):
     c = _contours(spark, d).select("g", "c", "ch", "cx")
-    return candidates.merge_candidates(c, _pairs(spark, d)).withColumn("left", F.array_join(F.col("left").cast("array<string>"), ",")).withColumn("right", F.array_join(F.col("right").cast("array<string>"), ","))
+    return candidates.merge_candidates(c, _pairs(spark, d)).withColumn("left", F.array_join(F.col("left").cast("array<string>"), ",")).withColumn("right", F.array_join(F.col("right").cast("array<string>"), ",")).withColumn("link", F.round("link", 6) + F.lit(0.0))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import decode, generate, geometry, graph, metrics, score
+from ..operators import decode, generate, geometry, graph, metrics, model, score, store
 from ..sources import readers
+from ..sources.shared import checkpointed
 
 
 @dataclass(frozen=True)
@@ -37,10 +40,15 @@ class CorpusOptions:
     tracking: tuple[float, float] = (0.0, 0.0)
     tracking_skew: float = 1.0
     decorative: float = generate.DECORATIVE
+    jitter: float = 0.0
+    noise: float = 0.0
+    em_scale: float = 1.0
+    baseline: float = 0.0
+    text_ratio: float = 1.0
     graph: GraphOptions = field(default_factory=GraphOptions)
 
     def __post_init__(self):
-        generate.check_bounds(text_length=self.text_length, aspect=self.aspect, tracking=self.tracking)
+        generate.check_bounds(text_length=self.text_length, aspect=self.aspect, tracking=self.tracking, jitter=(0.0, self.jitter), noise=(0.0, self.noise))
         if self.count < 0 or self.shard_size < 1:
             raise ValueError("count must not be negative and shard_size must be positive")
 
@@ -57,30 +65,181 @@ def build(points: DataFrame, options: GraphOptions = GraphOptions()) -> tuple[Da
     return kept, nodes, graph.edge_features(graph.directed(pairs), nodes)
 
 
-def scored(nodes: DataFrame, edges: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame] = score.model_scores) -> DataFrame:
+def seeded_scorer(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> DataFrame:
+    """What a model that learned nothing says."""
+    return model.model_scores(nodes, edges, graph.contour_features(contours))
+
+
+def trained_scorer(raw: bytes) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """The scorer of a weight dump (readers.write_weights)."""
+    options, weights = model_of(raw)
+    return lambda nodes, edges, contours: model.model_scores(nodes, edges, graph.contour_features(contours), options, weights)
+
+
+def model_of(raw: bytes) -> tuple[model.Options, dict[str, np.ndarray]]:
+    """Options and checked weights of a dump."""
+    named, weights = readers.read_weights(raw)
+    options = model.Options.of(named)
+    return options, model.checked(options, weights)
+
+
+def scored(nodes: DataFrame, edges: DataFrame, contours: DataFrame, scorer: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = seeded_scorer) -> DataFrame:
     """edges with prob: the scorer's (g, e, prob) between contours, 1 within."""
-    return decode.filled(edges, scorer(nodes, edges))
+    return decode.filled(edges, scorer(nodes, edges, contours))
 
 
-def segment(points: DataFrame, scorer=score.model_scores, threshold: float = 0.5, options: GraphOptions = GraphOptions()) -> DataFrame:
+def segment(points: DataFrame, scorer=seeded_scorer, threshold: float = 0.5, options: GraphOptions = GraphOptions()) -> DataFrame:
     """(g, threshold, pos, grp, members): the characters of each line, from left to right."""
     contours, nodes, edges = build(points, options)
-    groups = decode.char_groups(decode.pair_max(scored(nodes, edges, scorer)), contours, [threshold])
+    groups = decode.char_groups(decode.pair_max(scored(nodes, edges, contours, scorer)), contours, [threshold])
     return decode.ordered_groups(groups, nodes)
 
 
-def evaluate(points: DataFrame, scorer=score.model_scores, thresholds: list[float] = metrics.THRESHOLDS, options: GraphOptions = GraphOptions()) -> DataFrame:
+def evaluate(points: DataFrame, scorer=seeded_scorer, thresholds: list[float] = metrics.THRESHOLDS, options: GraphOptions = GraphOptions()) -> DataFrame:
     """A row of metrics for each threshold, on lines whose characters are known."""
     contours, nodes, edges = build(points, options)
-    return metrics.sweep(decode.pair_max(scored(nodes, edges, scorer)), contours.select("g", "c", "ch"), contours.select("g").distinct(), thresholds)
+    return metrics.sweep(decode.pair_max(scored(nodes, edges, contours, scorer)), contours.select("g", "c", "ch"), contours.select("g").distinct(), thresholds)
 
 
-def export_json(points: DataFrame, texts: DataFrame, scorer=score.model_scores, options: GraphOptions = GraphOptions()) -> DataFrame:
-    """(g, payload): each line's text, nodes and scored edges as JSON; texts has g and text."""
-    _, nodes, edges = build(points, options)
-    return readers.payloads(texts, nodes, scored(nodes, edges, scorer))
+def evaluate_merging(points: DataFrame, raw: bytes | None = None, margins: list[float] = model.MARGINS, options: GraphOptions = GraphOptions()) -> DataFrame:
+    """A row of metrics for each margin of the merge scorer: of a weight dump, or of a model that learned nothing."""
+    contours, nodes, edges = build(points, options)
+    how, weights = model_of(raw) if raw else (model.Options(), None)
+    groups = model.merged_groups(nodes, edges, graph.contour_features(contours), margins, how, weights)
+    return metrics.group_sweep(groups, contours.select("g", "c", "ch"), contours.select("g").distinct(), margins)
+
+
+def export_json(points: DataFrame, texts: DataFrame, scorer=seeded_scorer, options: GraphOptions = GraphOptions(), timing: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(g, payload): each line's text, outlines, nodes and scored edges as JSON; texts has g and text."""
+    contours, nodes, edges = build(points, options)
+    ids = graph.dense_contours(geometry.contour_stats(points, ["g", "c"])).select("g", "c", "new_c")
+    outlines = points.join(ids, ["g", "c"]).drop("c").withColumnRenamed("new_c", "c")
+    return readers.payloads(texts, nodes, scored(nodes, edges, contours, scorer), outlines, timing)
 
 
-def oracle_scorer(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def oracle_scorer(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> DataFrame:
     """Scores edges by their labels: what a perfect model would say."""
     return score.scored_edges(edges).select("g", "e", F.col("label").cast("double").alias("prob"))
+
+
+def lines(spark, options: CorpusOptions, body: list[str], decorative: list[str], pool: list[str], texts: DataFrame | None = None, n_texts: int = 0) -> DataFrame:
+    """(g, text, font, tracking, aspect, jitter, noise): what each line of a corpus is drawn as, by its number g.
+
+    texts (pos, text) with pos from 0 to n_texts - 1 are taken in turn; below a text_ratio of 1 that share of the lines
+    holds one among characters of the pool, the others are of the pool alone. Every number is drawn from (seed, g, purpose).
+    """
+    low, high = options.text_length
+    rows = generate.pool_choice(spark.range(options.count).withColumnRenamed("id", "g"), "g", body, decorative, options.decorative, options.seed)
+    if not n_texts:
+        rows = generate.random_text(rows, "g", pool, low, high, options.seed)
+    else:
+        rows = generate.round_robin(rows, "g", texts.select("pos", F.col("text").alias("pattern")), n_texts).drop("pos").withColumn("text", F.col("pattern"))
+        if options.text_ratio < 1:
+            fixed = generate.draw(options.seed, F.col("g"), "mixed") < options.text_ratio
+            rows = generate.embed_pattern(rows, "g", "pattern", pool, low, high, options.seed).withColumnRenamed("text", "mixed")
+            rows = generate.random_text(rows, "g", pool, low, high, options.seed).withColumn("text", F.when(fixed, F.col("mixed")).otherwise(F.col("text"))).drop("mixed")
+        rows = rows.drop("pattern")
+    return generate.layout_draws(rows, "g", options.tracking, options.tracking_skew, options.aspect, options.jitter, options.noise, options.seed)
+
+
+def laid_out(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions()) -> DataFrame:
+    """(g, c, ch, i, x, y) in em: the outlines of each line's characters, set side by side.
+
+    glyphs has font, char, upem, advance, dx, dy; outlines font, char, k, i, x, y, all in font units. Characters without
+    a glyph take no room, glyphs without an outline (spaces) only room. Each point is moved by pen and offset, by the
+    glyph's own baseline jitter and its own noise, then scaled in x.
+    """
+    seed = options.seed
+    marks = lines.select("g", "font", "tracking", "aspect", "jitter", "noise", F.posexplode(F.split("text", "")).alias("at", "char")).where("char <> ''")
+    marks = geometry.cluster_ids(marks, "g", "at").join(glyphs, ["font", "char"])
+    marks = geometry.pen_positions(marks, "g", ["at"], F.col("advance"), F.col("tracking") * F.col("upem"))
+    spread = lambda what, cap, *of: (2 * generate.draw(seed, F.concat_ws(",", "g", "at", *of), what) - 1) * F.col(cap) * F.col("upem")
+    marks = marks.withColumn("up", F.col("dy") + F.when(F.col("jitter") > 0, spread("baseline", "jitter")).otherwise(0.0))
+    points = marks.join(outlines, ["font", "char"])
+    noise = [F.when(F.col("noise") > 0, spread(what, "noise", "k", "i")).otherwise(0.0) for what in ("noise x", "noise y")]
+    points = geometry.affine(points, F.col("pen") + F.col("dx"), F.col("up"), *noise, F.col("aspect"))
+    em = F.col("upem") * options.em_scale
+    number = F.dense_rank().over(Window.partitionBy("g").orderBy("at", "k")) - 1
+    return points.select("g", number.cast("bigint").alias("c"), F.col("char_id").alias("ch"), "i", (F.col("x") / em).alias("x"), ((F.col("y") + F.lit(options.baseline) * F.col("upem")) / em).alias("y"))
+
+
+def generate_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions()) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): a nested record for each line, with its text and font, and (g, reason) of the lines that gave none.
+
+    Reasons: no font, no glyphs (nothing to draw), small (fewer than eight nodes, or no edge).
+    """
+    lines = checkpointed(lines)
+    contours, nodes, edges = map(checkpointed, build(checkpointed(laid_out(lines, glyphs, outlines, options)), options.graph))
+    kept = store.reject_small(store.graph_sizes(nodes, edges)).select("g")
+    records = readers.records(nodes, edges, graph.contour_features(contours), lines.join(kept, "g", "left_semi").select("g", "text", "font"))
+    drawn = contours.select("g").distinct().withColumn("drawn", F.lit(True))
+    known = glyphs.select("font").distinct().withColumn("known", F.lit(True))
+    reason = F.when(F.col("known").isNull(), "no font").when(F.col("drawn").isNull(), "no glyphs").otherwise("small")
+    rejects = generate.rejected(lines.select("g", "font"), kept, "g").join(known, "font", "left").join(drawn, "g", "left")
+    return records, rejects.select("g", reason.alias("reason"))
+
+
+def write_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, folder: str, options: CorpusOptions = CorpusOptions()) -> DataFrame:
+    """Writes a corpus to the shards of a folder; (shard, n) of each."""
+    return readers.write_shards(generate_corpus(lines, glyphs, outlines, options)[0], folder, options.shard_size, options.count)
+
+
+@dataclass
+class Clock:
+    """Wall time by stage, in milliseconds; the first skip rounds of each stage warm up and don't count."""
+
+    skip: int = 0
+    rounds: dict[str, list[float]] = field(default_factory=dict)
+
+    def run(self, stage: str, work: Callable):
+        began = time.perf_counter()
+        out = work()
+        self.rounds.setdefault(stage, []).append(1000 * (time.perf_counter() - began))
+        return out
+
+    def means(self) -> list[tuple[str, float]]:
+        """Stages with their mean, the longest first."""
+        counted = {k: v[self.skip :] for k, v in self.rounds.items()}
+        return sorted(((k, sum(v) / len(v)) for k, v in counted.items() if v), key=lambda x: (-x[1], x[0]))
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """sweep, merge, segment or export of the outlines in a Parquet table (g, c, ch, i, x, y)."""
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    options = argparse.ArgumentParser(description=main.__doc__)
+    options.add_argument("what", choices=["sweep", "merge", "segment", "export"])
+    options.add_argument("points")
+    options.add_argument("--out", help="folder for the rows as Parquet; else they are shown")
+    options.add_argument("--weights", help="a weight dump")
+    options.add_argument("--threshold", type=float, default=0.5)
+    options.add_argument("--knn", type=int, default=graph.KNN)
+    options.add_argument("--radius", type=float, default=graph.RADIUS)
+    options.add_argument("--contour-bridge", type=float, default=graph.CONTOUR_BRIDGE)
+    options.add_argument("--stack-bridge", type=float, default=graph.STACK_BRIDGE)
+    given = options.parse_args(arguments)
+    points = SparkSession.builder.getOrCreate().read.parquet(given.points)
+    how = GraphOptions(given.knn, given.radius, given.contour_bridge, given.stack_bridge)
+    raw = None
+    if given.weights:
+        with open(given.weights, "rb") as f:
+            raw = f.read()
+    scorer = trained_scorer(raw) if raw else seeded_scorer
+    if given.what == "sweep":
+        rows = metrics.report(evaluate(points, scorer, options=how)).orderBy("threshold")
+    elif given.what == "merge":
+        rows = metrics.group_report(evaluate_merging(points, raw, options=how)).orderBy("margin")
+    elif given.what == "segment":
+        rows = segment(points, scorer, given.threshold, how).orderBy("g", "pos")
+    else:
+        rows = export_json(points, points.select("g").distinct().withColumn("text", F.lit("")), scorer, how)
+    if given.out:
+        rows.write.mode("overwrite").parquet(given.out)
+    else:
+        rows.show(100, truncate=False)
+
+
+if __name__ == "__main__":
+    main()

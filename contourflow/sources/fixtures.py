@@ -38,7 +38,9 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "i", ((F.col("p.t") - F.lit(EPOCH_US)) / F.lit(DAY_US)).alias("x"), (F.col("p.value") / 100).alias("y"))
 
 
-def characters(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
-    """(doc_id, i, ch): the first code points of each document, the pool that charsets are tested on."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.posexplode(F.expr(f"transform(sequence(1, least({most}, greatest(1, length(text)))), i -> substring(text, i, 1))")).alias("i", "ch")).where("ch <> ''")
+def glyphs(spark: SparkSession, sf_dir: str, pool: list[str], fonts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Glyph table and outlines: line j's eight contours are the outlines of eight characters of the pool in one font."""
+    p = points(spark, sf_dir).where(F.col("g") < 2 * len(fonts))
+    named = p.select(F.element_at(F.array(*[F.lit(f) for f in fonts]), (F.expr("g div 2") + 1).cast("int")).alias("font"), F.element_at(F.array(*[F.lit(c) for c in pool]), ((F.col("g") % 2) * 8 + F.col("c") + 1).cast("int")).alias("char"), "i", (F.col("x") * 200).alias("x"), (F.col("y") * 200).alias("y"))
+    table_ = named.groupBy("font", "char").agg(F.lit(1000.0).alias("upem"), F.lit(600.0).alias("advance"), F.lit(0.0).alias("dx"), F.lit(10.0).alias("dy"))
+    return table_, named.select("font", "char", F.lit(0).alias("k"), "i", "x", "y")

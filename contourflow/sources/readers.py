@@ -7,9 +7,13 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..operators import model, store
 from ..operators.generate import list_lines
 
 SHARD_SCHEMA = (
@@ -18,11 +22,30 @@ SHARD_SCHEMA = (
 )
 
 
-def binary_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content, valid) of the ttf, otf and ttc files right in a folder, by name; valid: it begins as such a file does."""
-    files = spark.read.format("binaryFile").load(folder).where(F.col("path").rlike(r"(?i)\.(ttf|otf|ttc)$"))
-    head = F.hex(F.substring("content", 1, 4))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", head.isin("00010000", "4F54544F", "74746366", "74727565").alias("valid")).orderBy("name")
+#: The first four bytes of the font files that are taken.
+FONT_MAGIC = ("00010000", "4F54544F", "74746366", "74727565")
+
+
+def binary_pool(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("ttf", "otf", "ttc"), magic: tuple[str, ...] = FONT_MAGIC) -> DataFrame:
+    """(name, length, valid) of the files of those kinds right in a folder, by name; valid: they begin with one of magic,
+    in hex. Files that can't be read, by name or content, are flagged and not skipped; drop them by where("valid").
+
+    Only the paths are listed by Spark; of each file the first four bytes are read, whatever its size."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", "length").where(F.col("path").rlike(rf"(?i)\.({'|'.join(kinds)})$"))
+
+    def heads(parts):
+        for part in parts:
+            out = []
+            for path in part.column("path").to_pylist():
+                try:
+                    fs, at = pa.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                    with fs.open_input_stream(at) as f:
+                        out.append(f.read(4).hex().upper() in magic)
+                except (OSError, pa.ArrowInvalid):
+                    out.append(False)
+            yield pa.RecordBatch.from_arrays([part.column("path"), part.column("length"), pa.array(out, pa.bool_())], names=["path", "length", "valid"])
+
+    return names.mapInArrow(heads, "path string, length bigint, valid boolean").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "valid").orderBy("name")
 
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +102,89 @@ def _pairs(b: memoryview, at: int, n: int):
     return dict(zip(flat[::2], flat[1::2], strict=True)), at
 
 
+def _sized(n: int, short: int, limit: int, tags: str) -> bytes:
+    """The head of a string, list or map of n parts: short + n up to limit, else a tag for 8 (strings only), 16 or 32 bits."""
+    if n <= limit:
+        return bytes([short | n])
+    for tag, (top, form) in zip(bytes.fromhex(tags), [(0xFF, ">B"), (0xFFFF, ">H"), (0xFFFFFFFF, ">I")][-len(tags) // 2 :], strict=True):
+        if n <= top:
+            return bytes([tag]) + struct.pack(form, n)
+    raise ValueError(f"{n} parts are too many")
+
+
+def pack(x) -> bytes:
+    """One value as MessagePack: None, booleans, numbers, strings, bytes, lists, numpy arrays (f32, u32 or u8) and dicts."""
+    if isinstance(x, np.ndarray):
+        tag, form = {"f": (0xCA, ">f4"), "u": (0xCE, ">u4") if x.dtype.itemsize > 1 else (0xCC, "u1"), "i": (0xCE, ">u4")}[x.dtype.kind]
+        rows = np.empty(len(x), dtype=[("t", "u1"), ("v", form)])
+        rows["t"], rows["v"] = tag, x
+        return _sized(len(x), 0x90, 15, "dcdd") + rows.tobytes()
+    if x is None or isinstance(x, bool):
+        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[x]
+    if isinstance(x, int):
+        if 0 <= x < 0x80:
+            return bytes([x])
+        return struct.pack(">BQ", 0xCF, x) if x >= 0 else struct.pack(">Bq", 0xD3, x)
+    if isinstance(x, float):
+        return struct.pack(">Bd", 0xCB, x)
+    if isinstance(x, str):
+        raw = x.encode()
+        return _sized(len(raw), 0xA0, 31, "d9dadb") + raw
+    if isinstance(x, bytes):
+        return _sized(len(x), 0, -1, "c4c5c6") + x
+    if isinstance(x, dict):
+        return _sized(len(x), 0x80, 15, "dedf") + b"".join(pack(k) + pack(v) for k, v in x.items())
+    return _sized(len(x), 0x90, 15, "dcdd") + b"".join(map(pack, x))
+
+
+def records(nodes: DataFrame, edges: DataFrame, contours: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(g, and the columns of SHARD_SCHEMA): one nested row for each graph that has an edge, as records are exchanged.
+
+    nodes has g, n, c, ch and model.NODE, edges g, e, src, dst, label and model.EDGE, contours g, c and model.CONTOUR,
+    provenance g, text, font. Node ids of edges become places in the order of n, contours are in the order of c. Edges are
+    listed as all sources, then all ends.
+    """
+    single = lambda columns: F.array(*[F.col(c).cast("float") for c in columns])
+    in_order = lambda key, *cs: F.sort_array(F.collect_list(F.struct(key, *cs)))
+    n = nodes.withColumn("at", (F.row_number().over(Window.partitionBy("g").orderBy("n")) - 1).cast("bigint"))
+    e = edges.join(n.select("g", F.col("n").alias("src"), F.col("at").alias("from")), ["g", "src"]).join(n.select("g", F.col("n").alias("dst"), F.col("at").alias("to")), ["g", "dst"])
+    n = n.groupBy("g").agg(in_order("at", single(model.NODE).alias("f"), F.col("ch").cast("bigint").alias("ch"), F.col("c").cast("bigint").alias("c")).alias("n"))
+    e = e.groupBy("g").agg(in_order("e", "from", "to", single(model.EDGE).alias("f"), F.col("label").cast("smallint").alias("label")).alias("e"))
+    c = contours.groupBy("g").agg(in_order("c", single(model.CONTOUR).alias("f")).alias("k"))
+    rows = provenance.select("g", "text", "font").join(n, "g").join(e, "g").join(c, "g")
+    return rows.select(
+        "g", "text", "font", F.size("n").cast("bigint").alias("num_nodes"), F.lit(len(model.NODE)).alias("node_dim"), F.size("e").cast("bigint").alias("num_edges"), F.size("k").cast("bigint").alias("num_contours"),
+        F.flatten("n.f").alias("node_features"), F.concat("e.from", "e.to").alias("edge_index"), F.flatten("e.f").alias("edge_features"), F.flatten("k.f").alias("contour_features"),
+        F.col("e.label").alias("edge_labels"), F.col("n.ch").alias("node_char_ids"), F.col("n.c").alias("node_contour_ids"),
+    )
+
+
+def write_shards(rows: DataFrame, folder: str, size: int, count: int) -> DataFrame:
+    """Writes records (SHARD_SCHEMA and g) to shard_00000.msgpack and on in folder, graph g to shard g div size; (shard, n).
+
+    There is a file for each shard of count graphs; graphs that were filtered out leave shorter ones. A shard is one
+    task's, its size records bound it; a task that runs again writes the same file anew. folder is any address that
+    pyarrow opens and all executors reach.
+    """
+    names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
+
+    def write(key, group):
+        out = []
+        for r in group[group["num_nodes"].notna()].sort_values("g").to_dict("records"):
+            arrays = {c: np.asarray(r[c], dtype) for c, dtype in [("node_features", "f4"), ("edge_index", "u4"), ("edge_features", "f4"), ("contour_features", "f4"), ("edge_labels", "u1"), ("node_char_ids", "u4"), ("node_contour_ids", "u4")]}
+            numbers = {c: int(r[c]) for c in ("num_nodes", "node_dim", "num_contours")}
+            out.append({**numbers, "edge_dim": len(model.EDGE), "contour_dim": len(model.CONTOUR), **arrays, "text": r["text"], "font": r["font"]})
+        fs, at = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+        fs.create_dir(at, recursive=True)
+        with fs.open_output_stream(f"{at}/shard_{int(key[0]):05}.msgpack") as f:
+            f.write(pack(out))
+        return pd.DataFrame({"shard": [int(key[0])], "n": [len(out)]})
+
+    own = rows.select("g", *names).withColumn("shard", F.expr(f"g div {size}"))
+    every = rows.sparkSession.range((count + size - 1) // size).select(F.col("id").alias("shard"))
+    return own.unionByName(every, allowMissingColumns=True).groupBy("shard").applyInPandas(write, "shard bigint, n bigint")
+
+
 def shards(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
     """Records of a folder's .msgpack shards, in order of name; the first limit shards unless that is 0."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.msgpack").load(folder)
@@ -87,11 +193,14 @@ def shards(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
     if limit:
         files = files.orderBy("path").limit(limit)
 
+    names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
+
     def decoded(parts):
         for pdf in parts:
             for raw in pdf.content:
-                rows = [{"text": "", "font": "", **r} for r in unpack(raw)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
+                rows = [{"text": "", "font": "", "num_edges": len(r.get("edge_labels", ())), **r} for r in unpack(bytes(raw))]
+                for at in range(0, len(rows), 64):  # a few records at a time
+                    yield pd.DataFrame(rows[at : at + 64], columns=names)
 
     return files.select("content").mapInPandas(decoded, SHARD_SCHEMA)
 
@@ -136,17 +245,32 @@ def option(options: dict, name: str) -> bool:
     return bool(options.get(name, False))
 
 
-PAYLOAD = "struct<text:string,nodes:struct<x:array<double>,y:array<double>,contour_id:array<bigint>>,edges:struct<src:array<bigint>,dst:array<bigint>,prob:array<double>>>"
+PAYLOAD = (
+    "struct<text:string,contours:array<array<array<double>>>,nodes:struct<x:array<double>,y:array<double>,contour_id:array<bigint>>,"
+    "edges:struct<src:array<bigint>,dst:array<bigint>,prob:array<double>>,timing_ms:struct<preprocess:double,inference:double>>"
+)
+
 
+def payloads(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, points: DataFrame | None = None, timing: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(g, payload): each graph as JSON, nodes in order of n, edges in order of e; one row's size is its graph's.
 
-def payloads(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, payload): each graph as JSON, nodes in order of n, edges in order of e; one row's size is its graph's."""
+    contours are the outlines in order of c and i: those of points (g, c, i, x, y), or else the nodes of each contour.
+    timing: milliseconds of building and of scoring, for each graph, as the caller measured them.
+    """
+    if points is None:
+        points = nodes.select("g", "c", F.col("n").alias("i"), "x", "y")
     n = nodes.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "x", "y", "c"))).alias("n"))
     e = edges.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("e", "src", "dst", "prob"))).alias("e"))
+    c = points.groupBy("g", "c").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    c = c.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "p"))).alias("c"))
+    outline = F.transform("c", lambda x: F.transform(x["p"], lambda q: F.array(q["x"], q["y"])))
     node = F.struct(F.col("n.x").alias("x"), F.col("n.y").alias("y"), F.col("n.c").alias("contour_id"))
+    none = F.expr("cast(array() as array<struct<e:bigint,src:bigint,dst:bigint,prob:double>>)")
+    e = e.select("g", F.col("e").cast("array<struct<e:bigint,src:bigint,dst:bigint,prob:double>>").alias("e"))
     edge = F.struct(F.col("e.src").alias("src"), F.col("e.dst").alias("dst"), F.col("e.prob").alias("prob"))
-    rows = graphs.join(n, "g").join(e, "g", "left")
-    return rows.select("g", F.to_json(F.struct(F.col("text"), node.alias("nodes"), edge.alias("edges"))).alias("payload"))
+    took = F.struct(F.lit(timing[0]).alias("preprocess"), F.lit(timing[1]).alias("inference"))
+    rows = graphs.join(n, "g").join(c, "g", "left").join(e, "g", "left").withColumn("e", F.coalesce("e", none))
+    return rows.select("g", F.to_json(F.struct(F.col("text"), outline.alias("contours"), node.alias("nodes"), edge.alias("edges"), took.alias("timing_ms"))).alias("payload"))
 
 
 def from_payload(payload: Column) -> Column:
@@ -158,3 +282,45 @@ def opened(spark: SparkSession, path: str) -> DataFrame:
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/graphs")
     packed = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
     return spark.read.parquet(f"{path}/graphs") if packed else shards(spark, path)
+
+
+def packed(spark: SparkSession, path: str, name: str, ids: DataFrame | list[int] | None = None, shards: int = 0) -> DataFrame:
+    """A table of a packed store, of all graphs or only those of ids (a list, or a table with g); their order is free.
+
+    A list becomes a pushed-down filter, and both it and shards prune the partitions that can't hold them; ranges of
+    rows by graph are what offsets are for elsewhere (store.offsets).
+    """
+    rows = store.read(spark, path, name, shards)
+    if ids is None:
+        return rows
+    if isinstance(ids, DataFrame):
+        return rows.join(ids.select("g").distinct(), "g", "left_semi")
+    return rows.where(F.col("g").isin([int(i) for i in ids]))
+
+
+def session_scorer(path: str, columns: list[str], output: str, providers: tuple[str, ...] = ("CUDAExecutionProvider", "CPUExecutionProvider")):
+    """A function of frames that adds column output: what an ONNX model at path makes of columns, in Arrow batches.
+
+    The session is opened once in each worker; providers that the machine lacks are left out with a warning, the CPU
+    stays. path must be reachable from all executors; the model takes one float matrix and gives one value a row.
+    """
+
+    def scored(frame: DataFrame) -> DataFrame:
+        def run(parts):
+            import warnings
+
+            import onnxruntime
+
+            there = [p for p in providers if p in onnxruntime.get_available_providers()]
+            if there[:1] != list(providers[:1]):
+                warnings.warn(f"{providers[0]} isn't there, {there or ['CPUExecutionProvider']} is used", stacklevel=1)
+            session = onnxruntime.InferenceSession(path, providers=there or ["CPUExecutionProvider"])
+            name = session.get_inputs()[0].name
+            for part in parts:
+                x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float32)
+                y = np.asarray(session.run(None, {name: x})[0]).reshape(len(x)) if len(x) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y.astype(np.float64))], names=[*part.schema.names, output])
+
+        return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(output, DoubleType())]))
+
+    return scored

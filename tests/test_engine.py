@@ -29,6 +29,7 @@ def test_payload(spark):
     p = outlines(spark)
     texts = p.select("g").distinct().withColumn("text", F.lit("Ag"))
     payload = json.loads(engine.export_json(p, texts, engine.oracle_scorer).where("g = 0").first().payload)
+    assert [len(c) for c in payload["contours"]] == [4, 4, 4, 4] and payload["contours"][0][0] == [0.0, -0.1] and payload["timing_ms"] == {"preprocess": 0.0, "inference": 0.0}
     assert payload["text"] == "Ag" and len(payload["nodes"]["x"]) == len(payload["nodes"]["contour_id"]) and set(payload["edges"]["prob"]) <= {0.0, 1.0}
 
 

@@ -1,10 +1,12 @@
 """Literal cases: squares in em units (coordinates of 1000 to the em), pooling limits, decoders against loops."""
 
+import math
 import random
 
 import numpy as np
 import pytest
-from contourflow.operators import analyze, decode, generate, geometry, graph, metrics, score, split, store
+from contourflow.operators import analyze, buckets, decode, generate, geometry, graph, metrics, model, score, split, store
+from contourflow.plans import engine
 from contourflow.sources import readers
 from contourflow.streaming import streamed_pairs
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ def test_relations_of_a_contour_with_itself(spark):
 def test_grid_and_plain_neighbours_agree(spark):
     rng = random.Random(1)
     nodes = spark.createDataFrame([(g, i, rng.random(), rng.random()) for g in range(3) for i in range(150)], "g bigint, n bigint, x double, y double")
-    a, b = (sorted(map(tuple, f(nodes, 4, 0.1).collect())) for f in (graph.neighbours, graph.neighbours_by_cell))
+    a, b = (sorted(map(tuple, f(nodes, 4, 0.1).collect())) for f in (graph.neighbours, graph.neighbours_all_pairs))
     assert a == b and a
 
 
@@ -140,25 +142,152 @@ def test_greedy_merges_in_order_of_probability(spark):
     assert {r.c: r.grp for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
-def test_forward_against_loops():
-    cfg = score.Layers(seed=3, hidden=4, heads=2, layers=1)
-    w = cfg.weights()
-    rng = np.random.default_rng(0)
-    x, src, dst = rng.standard_normal((5, 2)), np.array([0, 1, 2, 3, 4, 0]), np.array([1, 0, 1, 2, 2, 2])
-    edge = rng.standard_normal((6, 4))
-    h = score.norm_rows(np.maximum(x @ w["enc1"].T, 0) @ w["enc2"].T)
-    logits = np.array([[sum(w["0.att"][k][j] * (v if v >= 0 else 0.2 * v) for j, v in enumerate((w["0.src"] @ h[s] + w["0.dst"] @ h[d] + w["0.edge"] @ e)[2 * k : 2 * k + 2])) for k in range(2)] for s, d, e in zip(src, dst, edge)])
-    e = np.exp(logits - logits.max())
-    out = np.zeros((5, 4))
-    for n in range(5):
-        for k in range(2):
-            into = [i for i in range(6) if dst[i] == n]
-            total = sum(e[i, k] for i in into) + 1e-9
-            for i in into:
-                out[n, 2 * k : 2 * k + 2] += e[i, k] / total * (w["0.src"] @ h[src[i]])[2 * k : 2 * k + 2]
-    h = score.norm_rows(h + out)
-    want = [1 / (1 + np.exp(-(w["out"][0] @ np.concatenate([h[s], h[d], abs(h[s] - h[d]), f])))) for s, d, f in zip(src, dst, edge)]
-    assert np.allclose(score.forward(x, src, dst, edge, np.arange(6), w, cfg), want)
+def slow_linear(w, name, x):
+    return [sum(a * b for a, b in zip(row, x, strict=True)) + c for row, c in zip(w[f"{name}.weight"].tolist(), w[f"{name}.bias"].ravel().tolist(), strict=True)]
+
+
+def slow_norm(w, name, x):
+    mean = sum(x) / len(x)
+    var = sum((v - mean) ** 2 for v in x) / len(x)
+    return [(v - mean) / (var + 1e-5) ** 0.5 * a + b for v, a, b in zip(x, w[f"{name}.weight"].ravel().tolist(), w[f"{name}.bias"].ravel().tolist(), strict=True)]
+
+
+def relu(x):
+    return [max(v, 0.0) for v in x]
+
+
+def add(*xs):
+    return [sum(v) for v in zip(*xs, strict=True)]
+
+
+def slow_relations(a, b):
+    cx, cy, w, h, x0, y0, arc, area = range(8)
+    over = [min(a[x0] + a[w], b[x0] + b[w]) - max(a[x0], b[x0]), min(a[y0] + a[h], b[y0] + b[h]) - max(a[y0], b[y0])]
+    share = [min(max(over[0] / max(min(a[w], b[w]), 1e-6), -4), 1), min(max(over[1] / max(min(a[h], b[h]), 1e-6), -4), 1)]
+    inside = lambda p, q: min(p[x0] - q[x0], p[y0] - q[y0], q[x0] + q[w] - p[x0] - p[w], q[y0] + q[h] - p[y0] - p[h])
+    sign = lambda v: (v > 0) - (v < 0)
+    dx, dy = b[cx] - a[cx], b[cy] - a[cy]
+    return [dx, dy, (dx * dx + dy * dy) ** 0.5, *over, *share, inside(a, b), inside(b, a), math.log((a[arc] + 1e-6) / (b[arc] + 1e-6)), sign(a[area]) * sign(b[area])]
+
+
+def slow_trunk(o, w, nodes, src, dst, edges, contour, contours):
+    """Node states and the summary, one number after the other."""
+    h = [slow_norm(w, "encoder.3", slow_linear(w, "encoder.2", relu(slow_linear(w, "encoder.0", x)))) for x in nodes]
+    size = o.hidden // o.heads
+    for i in range(o.layers):
+        c, att = f"convs.{i}", w[f"convs.{i}.att"].reshape(o.heads, size).tolist()
+        source = [slow_linear(w, f"{c}.lin_src", h[s]) for s in src]
+        mixed = [add(s, slow_linear(w, f"{c}.lin_dst", h[d]), slow_linear(w, f"{c}.lin_edge", e)) for s, d, e in zip(source, dst, edges, strict=True)]
+        logit = [[sum(a * (v if v >= 0 else 0.2 * v) for a, v in zip(att[k], z[k * size : (k + 1) * size], strict=True)) for k in range(o.heads)] for z in mixed]
+        top = max(v for z in logit for v in z)
+        new = []
+        for n, own in enumerate(h):
+            into = [j for j, d in enumerate(dst) if d == n]
+            agg = []
+            for k in range(o.heads):
+                e = {j: math.exp(logit[j][k] - top) for j in into}
+                total = sum(e.values()) + 1e-9
+                agg += [sum(e[j] / total * source[j][k * size + x] for j in into) for x in range(size)]
+            new.append(slow_norm(w, f"{c}.norm", add(own, slow_linear(w, f"{c}.out", agg))))
+        h = new
+        if o.contours:
+            c = f"contour_layers.{i}"
+            mean = [[sum(h[n][x] for n in range(len(h)) if contour[n] == k) / max(1, contour.count(k)) for x in range(o.hidden)] for k in range(len(contours))]
+            z = [slow_norm(w, f"{c}.norm_contour", add(m, slow_linear(w, f"{c}.embed", row))) for m, row in zip(mean, contours, strict=True)]
+            q, key, v = ([slow_linear(w, f"{c}.{name}", x) for x in z] for name in ("query", "key", "value"))
+            out = []
+            for a in range(len(z)):
+                row = []
+                for k in range(o.heads):
+                    part = slice(k * size, (k + 1) * size)
+                    score = [sum(x * y for x, y in zip(q[a][part], key[b][part], strict=True)) / size**0.5 + (slow_linear(w, f"{c}.rel_bias", slow_relations(contours[a], contours[b]))[k] if o.related else 0) for b in range(len(z))]
+                    e = [math.exp(s - max(score)) for s in score]
+                    row += [sum(p / sum(e) * v[b][part][x] for b, p in enumerate(e)) for x in range(size)]
+                out.append(add(z[a], slow_linear(w, f"{c}.proj", row)))
+            h = [slow_norm(w, f"{c}.norm", add(own, slow_linear(w, f"{c}.out", out[contour[n]]))) for n, own in enumerate(h)]
+    pooled = [sum(x) / len(h) for x in zip(*h, strict=True)] + [max(x) for x in zip(*h, strict=True)]
+    return h, relu(slow_linear(w, "context.0", pooled)) if o.context else []
+
+
+def slow_head(w, name, x):
+    return slow_linear(w, f"{name}.5", relu(slow_linear(w, f"{name}.3", relu(slow_linear(w, f"{name}.0", x)))))[0]
+
+
+def a_graph(seed=0):
+    rng = np.random.default_rng(seed)
+    contour = [0, 0, 1, 1, 2]
+    rows = np.abs(rng.standard_normal((3, 8)))
+    rows[:, 7] *= [1, -1, 1]
+    src, dst = [0, 1, 2, 3, 4, 0], [1, 0, 1, 2, 2, 2]
+    edges = rng.standard_normal((6, 4))
+    edges[:, 3] = [contour[a] == contour[b] for a, b in zip(src, dst, strict=True)]
+    return model.Graph(rng.standard_normal((5, 13)), np.array(src), np.array(dst), edges, np.array(contour), rows)
+
+
+@pytest.mark.parametrize("off", [{}, {"context": False}, {"relations": False}, {"contours": False, "group": False}])
+def test_forward_of_a_weight_dump_against_loops(off):
+    o = model.Options(hidden=4, heads=2, layers=2, **off)
+    names = {k: getattr(o, k) for k in ("hidden", "layers", "heads", "context", "contours", "relations", "group") if getattr(o, k) is not False}
+    options, weights = engine.model_of(readers.write_weights(names, model.seeded(o, 3)))
+    assert options == o
+    m, g = model.Model(options, weights), a_graph()
+    h, summary = m.trunk(g)
+    plain = [x.tolist() for x in (g.nodes, g.src, g.dst, g.edges, g.contour, g.contours)]
+    want, line = slow_trunk(o, m.w, *plain)
+    assert np.allclose(h, want) and np.allclose(summary, line)
+    some = np.flatnonzero(g.edges[:, 3] == 0)
+    logits = []
+    for j in some.tolist():
+        s, d = plain[1][j], plain[2][j]
+        related = slow_relations(plain[5][plain[4][s]], plain[5][plain[4][d]]) if o.related else []
+        logits.append(slow_head(m.w, "classifier", [*want[s], *want[d], *[abs(x - y) for x, y in zip(want[s], want[d], strict=True)], *plain[3][j], *related, *line]))
+    assert np.allclose(m.logits(h, summary, g, some), logits)
+
+
+def test_merge_scorer_against_loops_and_accumulators():
+    o = model.Options(hidden=4, heads=2, layers=1)
+    m, g = model.Model(o, model.seeded(o, 1)), a_graph(2)
+    h, summary = m.trunk(g)
+    states, rows = m.states(h, g), g.contours.tolist()
+
+    def described(members):
+        s = [states[c].tolist() for c in members]
+        x0, y0 = (min(rows[c][k] for c in members) for k in (4, 5))
+        w, t = max(rows[c][4] + rows[c][2] for c in members) - x0, max(rows[c][5] + rows[c][3] for c in members) - y0
+        arc, area = sum(rows[c][6] for c in members), sum(abs(rows[c][7]) for c in members)
+        return [*[sum(x) / len(s) for x in zip(*s, strict=True)], *[max(x) for x in zip(*s, strict=True)], w, t, len(members), arc, area, w / max(t, 1e-6), arc / max(w + t, 1e-6)]
+
+    one = [model.Group.of(states[c], g.contours[c]) for c in range(3)]
+    both = one[0] + one[2]
+    assert np.allclose(both.described(), described([0, 2])) and np.allclose((both + one[1]).described(), (one[1] + one[2] + one[0]).described())
+    want = slow_head(m.w, "group_head.net", [*described([0, 2]), *described([1]), *described([0, 1, 2]), *summary.tolist(), 0.25])
+    assert m.merge_logit(both.described(), one[1].described(), (both + one[1]).described(), summary, 0.25) == pytest.approx(want)
+
+
+def test_weights_of_another_shape_are_refused():
+    o = model.Options(hidden=4, heads=2, layers=1)
+    w = model.seeded(o)
+    with pytest.raises(ValueError, match="encoder.0.weight"):
+        model.checked(o, {**w, "encoder.0.weight": w["encoder.0.weight"][:2]})
+    with pytest.raises(ValueError):
+        model.Options(hidden=5, heads=2)
+    assert not model.Options.of({"hidden": 4, "heads": 2, "relations": True}).related
+
+
+def test_linear_case():
+    m = model.Model.__new__(model.Model)
+    m.w = {"l.weight": np.array([[1, 0, -1], [0.5, 0.5, 0.5]]), "l.bias": np.array([10.0, -1.0])}
+    assert m.linear("l", np.array([[1.0, 2, 3], [4, 5, 6]])).ravel().tolist() == [8, 2, 8, 6.5]
+
+
+def test_buckets_give_what_single_graphs_give(spark, monkeypatch):
+    points = spark.createDataFrame([(g, c, c // 2, i, 0.3 * c + 0.1 * math.cos(i) + 0.01 * g, 0.1 * math.sin(i)) for g in range(6) for c in range(4) for i in range(6)], "g bigint, c bigint, ch bigint, i int, x double, y double")
+    contours, nodes, edges = engine.build(points)
+    rows = lambda: sorted((r.g, r.e, round(r.prob, 9)) for r in engine.seeded_scorer(nodes, edges, contours).collect())
+    groups = lambda: sorted(map(tuple, model.merged_groups(nodes, edges, graph.contour_features(contours), [0.4, 0.6]).collect()))
+    one = rows(), groups()
+    monkeypatch.setattr(buckets, "ROWS", 100)
+    assert (rows(), groups()) == one and one[0] and len(one[1]) == 2 * 6 * 4
 
 
 def test_pool_files(spark, tmp_path):
@@ -227,7 +356,7 @@ def test_store(spark, tmp_path):
 
 def test_batches_and_splits(spark):
     rows = spark.createDataFrame([(i, w) for i, w in enumerate([5, 5, 30, 1, 1, 1, 1])], "id bigint, w bigint")
-    got = split.edge_budget_batches(rows, "id", "w", 10, 3).orderBy("id").collect()
+    got = split.edge_budget_batches(rows, "id", "w", 10, 3, lanes=1).orderBy("id").collect()
     assert [r.batch for r in got] == [0, 0, 1, 2, 2, 2, 3]
     one = spark.createDataFrame([("a",), ("a",)], "font string")
     assert {r.part for r in split.holdout_by_group(one, "font").collect()} == {"train"}
