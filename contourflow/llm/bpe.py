@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *,
 
     Columns: doc_id, those in also, n_tokens, ids (array of int; left out if not keep_ids), ids_sha256 (of the ids in
     decimal, joined by a space) and decoded_sha256 (of the decoded bytes). A null text is empty: no ids and the hashes
-    of nothing. Repeated rows stay; other columns than those named don't matter. ranks must hold all single bytes that
+    of nothing. Texts of any length are encoded whole; of pairs of equal rank the leftmost merges first. Repeated rows stay, an empty table gives none; other columns than those named don't matter. ranks must hold all single bytes that
     occur; it is broadcast, its size is the vocabulary file's. One map over the rows, nothing is shuffled.
     """
     settings = _shared(docs.sparkSession, ranks, pattern)

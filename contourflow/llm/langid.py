@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import batches, checkpointed
 
@@ -162,5 +163,5 @@ def predict(docs: DataFrame, model: Classifier, held_out: Column | None = None,
                 kept = [(n, some.column(n)) for n in some.schema.names if keep_all or n != "text"]
                 yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[n for n, _ in kept], "lang_pred", "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if keep_all or f.name != "text"]
-    return own.mapInArrow(mapped, ", ".join([*fields, "lang_pred string", "score double"]))
+    fields = [f for f in own.schema if keep_all or f.name != "text"]
+    return own.mapInArrow(mapped, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

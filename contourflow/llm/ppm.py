@@ -193,7 +193,9 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 24 <<
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (of single words) and score: log10 of the
     probability that the trie gives the text, its words lower-cased and parted by single spaces, with its end. Each row
-    gets its row, repeated or not; null texts are empty, one end token. Without training rows all bytes are alike.
+    gets its row, repeated or not; null texts are empty, one end token. Texts of any length are taken whole. Without
+    training rows all bytes are alike; an empty table gives none. Equal texts score alike, whatever their id. Other
+    columns of docs don't matter, whatever their names. Repeated rows of one id are in one block, which one task holds.
 
     Documents are dealt into blocks of about block_bytes by a hash of their id. Each block counts its words and grams,
     the counts are summed by key, every distinct gram is scored once for the corpus, and the values go back to the blocks

@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
 
     component_id is the smallest doc_id of the component. Texts without words (null, empty) have fingerprint zero and
     are linked like any other. Repeated rows stay and each gets its row; a null doc_id counts as larger than any other
-    and stands for a component only if nothing else does. Equal fingerprints are one before any link is sought, so
+    and stands for a component only if nothing else does. Texts of any length are read whole; other columns of docs don't
+    matter, whatever their names; an empty table gives no rows. Equal fingerprints are one before any link is sought, so
     groups of copies cost nothing; the join back to documents is one that Spark may split.
     """
     own = checkpointed(fingerprints(docs, width, seed))
@@ -354,8 +355,8 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
 
     Groups are the components of all pairs of texts whose words (runs of letters and digits, lower-cased) have a shingle
     Jaccard of at least least. Equal texts are one at once, by hash. Then texts of which one of TABLES fingerprints of 48
-    bits is within three bits are linked, as stars and spanning forests, and each link is checked exactly: that finds
-    most, and large groups of copies make few links. What it leaves is found exactly: similar texts share one of their
+    bits is within three bits are linked, as stars and spanning forests, and each link is checked exactly: that settles
+    large groups of copies by few links. What it leaves is found exactly: similar texts share one of their
     prefix shingles, so a shingle whose texts are of one group already is done. Of any other its texts are compared with
     the smallest first, and then all those pairs of different groups that sizes, sketches and the number of shared prefix
     shingles do not rule out. The number of these is bounded by nothing but the texts. Rows without doc_id aren't listed.
@@ -435,7 +436,9 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
 def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one of the smallest doc_id.
 
-    Groups are those of similar_roots. Of rows that share a doc_id one stays. Rows without doc_id stay.
+    Groups are those of similar_roots. Of rows that share a doc_id one stays, that of the smallest text, nulls last. Rows
+    without doc_id stay. Null and empty texts are alike and leave one row. Texts of any length are read whole; all columns
+    of docs are kept, whatever their names; an empty table stays empty.
     """
     roots = similar_roots(docs, width, least)
     first = checkpointed(roots.where("doc_id = root").select("doc_id").distinct())
