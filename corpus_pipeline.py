@@ -13,33 +13,51 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter (null or empty texts too) go."""
+    """Documents whose language can be told; those without any letter (null or empty texts too) go.
+
+    Texts of any length are read whole. Of languages of equal value the first by name is told, and the row stays in any
+    case. Repeated rows stay; all columns are kept, whatever their names; an empty table stays empty.
+    """
     model = langid.fit(docs, common.id_remainder("doc_id", 4) != 2)
-    return langid.predict(docs, model, keep_all=True).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    told = langid.predict(docs.select("text", rest.alias("row")), model, keep_all=True).where(F.col("lang_pred") != langid.UNKNOWN)
+    return told.select(*[F.col(c if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go after their first occurrence, and documents of which nothing else was left.
+    """Repeated runs of lines go after their first occurrence, and documents of which nothing else was left.
 
-    n_chars follows the text.
+    n_chars follows the text. Ties, repeated rows, nulls and long texts as linededup.dedup_lines has them; columns
+    n_lines and n_removed would be replaced, all others are kept.
     """
     out = linededup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest doc_id stays."""
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest doc_id stays.
+
+    Nulls, ties, repeated rows, long texts and columns as simhash.one_of_each has them.
+    """
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Documents and items without text hold and are none; an empty benchmark leaves all. Whole texts of any length are
+    searched; repeated rows share their fate, ties between items don't matter, all columns are kept.
+    """
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the hashes of them and of what they decode to."""
+    """Token ids of each document, and the hashes of them and of what they decode to: doc_id, lang, source, n_tokens, ids,
+    ids_sha256, decoded_sha256.
+
+    A null text has no ids; texts of any length are encoded whole; repeated rows stay; other columns go.
+    """
     return bpe.encode_documents(docs, *vocabulary(), also=("lang", "source"))
 
 
