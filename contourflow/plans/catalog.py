@@ -968,6 +968,18 @@ def connectivity_ceiling(spark, d):
     return rounded(analyze.connectivity_ceiling(_edges(spark, d), _owner(spark, d)), "ceiling")
 
 
+_percent = lambda a, b: f"printf('%.1f%%', CASE WHEN {b} = 0 THEN 0 ELSE 100 * {a} / {b} END)"
+
+
+@query(f"""SELECT unnest(range(5))::INTEGER AS pos, unnest(['edges within contours ' || {_percent('intra', '(intra + inter)')} || ', positive ' || {_percent('intra_positive', 'intra')},
+          'edges between contours ' || {_percent('inter', '(intra + inter)')} || ', positive ' || {_percent('inter_positive', 'inter')}, 'contour pairs ' || pairs || ', positive ' || {_percent('pair_positive', 'pairs')},
+          'characters ' || chars || ', of several contours ' || {_percent('multi', 'chars')} || ', out of reach ' || {_percent('broken', 'multi')}, 'ceiling ' || {_percent('ceiling', '1')}]) AS line FROM ({ORACLES['edge_composition']}), ({ORACLES['connectivity_ceiling']})""")
+def percent_report(spark, d):
+    edges = _edges(spark, d)
+    ceiling = rounded(analyze.connectivity_ceiling(edges, _owner(spark, d)), "ceiling")
+    return analyze.percent_report(analyze.edge_composition(edges, fixtures.nodes(spark, d)), ceiling)
+
+
 _CANDIDATES = f"""(WITH ch AS (SELECT g, ch, list(c ORDER BY c) AS m, avg(cx) AS x FROM CT GROUP BY ALL),
           nb AS (SELECT a.g, a.ch, min({{'gap': abs(a.x - b.x), 'other': b.ch}}).other AS other FROM ch a JOIN ch b ON a.g = b.g AND a.ch <> b.ch GROUP BY ALL),
           cuts AS (SELECT g, ch, m, unnest(range(least(len(m) - 1, 3))) AS k FROM ch WHERE len(m) > 1),
@@ -981,4 +993,4 @@ _CANDIDATES = f"""(WITH ch AS (SELECT g, ch, list(c ORDER BY c) AS m, avg(cx) AS
 @query('SELECT g, ch, kind, k, "left", "right", label, ' + r6("link") + f" FROM {_CANDIDATES}")
 def merge_candidates(spark, d):
     c = _contours(spark, d).select("g", "c", "ch", "cx")
-    return candidates.merge_candidates(c, _pairs(spark, d)).withColumn("left", F.array_join(F.col("left").cast("array<string>"), ",")).withColumn("right", F.array_join(F.col("right").cast("array<string>"), ",")).withColumn("link", F.round("link", 6) + F.lit(0.0))
+    return candidates.merge_candidates(c, _pairs(spark, d)).withColumn("left", F.array_join(F.col("left").cast("array<string>"), ",")).withColumn("right", F.array_join(F.col("right").cast("array<string>"), ",")).withColumn("link", F.round("link", 6) + F.lit(0.0)).withColumn("k", F.col("k").cast("bigint"))
