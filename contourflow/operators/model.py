@@ -289,8 +289,8 @@ def _bucketed(nodes: DataFrame, edges: DataFrame, contours: DataFrame, run, sche
     return dealt(own, links, run, schema, nodes.count())
 
 
-def model_scores(nodes: DataFrame, edges: DataFrame, contours: DataFrame, options: Options = Options(), weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """(g, e, prob) of the edges between contours; graphs without any aren't scored.
+def model_scores(nodes: DataFrame, edges: DataFrame, contours: DataFrame, options: Options = Options(), weights: dict[str, np.ndarray] | None = None, every: bool = False) -> DataFrame:
+    """(g, e, prob) of the edges between contours, or of every edge; graphs without any aren't scored.
 
     nodes has g, n, c and NODE, edges g, e, src, dst and EDGE, contours g, c and CONTOUR. weights are those of a dump
     (readers.read_weights); without, of a model that learned nothing.
@@ -302,7 +302,7 @@ def model_scores(nodes: DataFrame, edges: DataFrame, contours: DataFrame, option
         gs, es, ps = [], [np.empty(0, np.int64)], [np.empty(0)]
         ids = right.column("e").to_numpy()
         for g, graph, rows, _ in _graphs(left, right):
-            some = np.flatnonzero(graph.edges[:, 3] == 0)
+            some = np.flatnonzero(every | (graph.edges[:, 3] == 0))
             if len(some):
                 h, summary = model.trunk(graph)
                 gs += [g] * len(some)

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import logit
 from ..operators import decode, generate, geometry, graph, metrics, model, score, store
 from ..sources import readers
 from ..sources.shared import checkpointed
@@ -109,6 +110,17 @@ def evaluate_merging(points: DataFrame, raw: bytes | None = None, margins: list[
     return metrics.group_sweep(groups, contours.select("g", "c", "ch"), contours.select("g").distinct(), margins)
 
 
+def losses(points: DataFrame, raw: bytes | None = None, pair_weight: float = 0.5, options: GraphOptions = GraphOptions()) -> DataFrame:
+    """One row (point, pair, loss): the two-level loss of a weight dump, or of a model that learned nothing, on lines whose
+    characters are known; edges within contours are scored too."""
+    contours, nodes, edges = build(points, options)
+    how, weights = model_of(raw) if raw else (model.Options(), None)
+    probs = model.model_scores(nodes, edges, graph.contour_features(contours), how, weights, every=True)
+    p = F.greatest(F.least("prob", F.lit(1 - 1e-12)), F.lit(1e-12))
+    rows = edges.join(probs, ["g", "e"]).select("g", "ca", "cb", logit(p).alias("logit"), F.col("label").cast("double").alias("y"))
+    return score.two_level_loss(rows, pair_weight)
+
+
 def export_json(points: DataFrame, texts: DataFrame, scorer=seeded_scorer, options: GraphOptions = GraphOptions(), timing: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(g, payload): each line's text, outlines, nodes and scored edges as JSON; texts has g and text."""
     contours, nodes, edges = build(points, options)

@@ -49,3 +49,20 @@ def test_options():
     with pytest.raises(ValueError):
         engine.CorpusOptions(aspect=(2.0, 1.0))
     assert engine.CorpusOptions().graph.knn == 8
+
+
+def test_loss_of_a_model_against_numpy(spark):
+    import numpy as np
+    from contourflow.operators import graph, model
+
+    points = outlines(spark)
+    contours, nodes, edges = engine.build(points)
+    probs = {(r.g, r.e): r.prob for r in model.model_scores(nodes, edges, graph.contour_features(contours), every=True).collect()}
+    rows = edges.collect()
+    assert len(probs) == len(rows)
+    p, y = np.array([probs[r.g, r.e] for r in rows]), np.array([float(r.label) for r in rows])
+    same = np.array([r.same for r in rows])
+    p_t, a_t = p * y + (1 - p) * (1 - y), 0.25 * y + 0.75 * (1 - y)
+    point = (-a_t * (1 - p_t) ** 2 * np.log(p_t) * np.where(same, 0.05, 1)).sum() / len(rows)
+    got = engine.losses(points).first()
+    assert got.point == pytest.approx(point, rel=1e-6) and got.loss == pytest.approx(0.5 * got.point + 0.5 * got.pair)

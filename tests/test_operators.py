@@ -8,7 +8,7 @@ import pytest
 from contourflow.operators import analyze, buckets, decode, generate, geometry, graph, metrics, model, score, split, store
 from contourflow.plans import engine
 from contourflow.sources import readers
-from contourflow.streaming import streamed_pairs
+from contourflow.streaming import streamed_pairs, windowed
 from pyspark.sql import functions as F
 
 
@@ -397,3 +397,33 @@ def test_streamed_pairs_equal_batch(spark, tmp_path):
     q.stop()
     key = lambda r: tuple(r)
     assert sorted(map(key, spark.table("pairs").collect())) == sorted(map(key, decode.pair_max(df).collect()))
+
+
+def test_windows_drop_what_is_late(spark, tmp_path):
+    rows = [("2024-01-01 00:00:10", True), ("2024-01-01 00:00:50", False), ("2024-01-01 00:02:30", True)]
+    schema = "ts timestamp, label boolean"
+    for k, part in enumerate([rows, [("2024-01-01 00:10:00", True)], [("2024-01-01 00:00:20", True), ("2024-01-01 00:10:30", False)]]):
+        spark.createDataFrame(part, "ts string, label boolean").selectExpr("cast(ts as timestamp) ts", "label").coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    frame = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    assert sorted((str(r.start), r.edges, r.positives) for r in windowed(frame, "ts", "1 minute", "1 minute").collect())[0] == ("2024-01-01 00:00:00", 3, 2)
+    source = tmp_path / "stream"
+    source.mkdir()
+    stream = windowed(spark.readStream.schema(schema).parquet(str(source)), "ts", "1 minute", "1 minute").writeStream.outputMode("update").format("memory").queryName("windows").start()
+    for k in range(3):
+        for f in (tmp_path / "in" / f"k={k}").glob("*.parquet"):
+            f.rename(source / f"{k}.parquet")
+        stream.processAllAvailable()
+    stream.stop()
+    last = {str(r.start): (r.edges, r.positives) for r in spark.table("windows").collect()}
+    assert last["2024-01-01 00:00:00"] == (2, 1) and last["2024-01-01 00:10:00"] == (2, 1)
+
+
+def test_every_kind_of_curve(spark):
+    rows = [(0, 0, "m", 0, 0, 0, 0), (0, 1, "l", 0, 0, 1, 0), (0, 2, "q", 1, 0, 1, 1), (0, 3, "m", 0, 0, 5, 5), (0, 4, "c", 5, 5, 6, 5)]
+    curves = spark.createDataFrame([(g, i, k, float(a), float(b), float(c), float(d), 2.0, 2.0, 3.0, 3.0) for g, i, k, a, b, c, d in rows], "g int, i int, kind string, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    got = {}
+    for r in geometry.flatten_curves(curves, ["g"]).orderBy("i", "s").collect():
+        got.setdefault((r.contour, r.i), []).append((r.x, r.y))
+    assert got[0, 0] == [(0, 0)] and got[0, 1] == [(1, 0)] and got[1, 3] == [(5, 5)] and len(got[0, 2]) == len(got[1, 4]) == 8
+    assert got[0, 2][3] == pytest.approx((0.25 * 1 + 0.5 * 1 + 0.25 * 2, 0.5 * 1 + 0.25 * 2)) and got[0, 2][7] == (2, 2)
+    assert got[1, 4][3] == pytest.approx((5 / 8 + 18 / 8 + 6 / 8 + 3 / 8, 5 / 8 + 15 / 8 + 6 / 8 + 3 / 8)) and got[1, 4][7] == (3, 3)
