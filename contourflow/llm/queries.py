@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, kdsearch, langid, linededup, pii, ppm, simhash, sql, toxicity, urlfilter
+from . import audit, bpe, decontam, kdsearch, langid, linededup, pii, ppm, simhash, sql, toxicity, urlfilter
 from .common import id_remainder, table
 
 #: (verdict, host, path)
@@ -65,6 +65,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = audit.labelled(audit.text_filters(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), {"good": "quality", "toxic": "toxic"})
+    return audit.audit(flags, list("ABCDE"), ["good", "toxic"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
     "op2_kdsearch": op2_kdsearch,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_langid": op9_langid,
     "op10_pii": op10_pii,
+    "op11_audit": op11_audit,
 }
 
-ORACLES: dict[str, str] = {"op2_kdsearch": sql.TOP_K, "op5_linededup": sql.LINE_DEDUP, "op8_urlfilter": sql.url_verdicts(URL_RULES)}
+ORACLES: dict[str, str] = {"op2_kdsearch": sql.TOP_K, "op5_linededup": sql.LINE_DEDUP, "op8_urlfilter": sql.url_verdicts(URL_RULES), "op11_audit": sql.FILTER_AUDIT}

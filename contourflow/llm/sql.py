@@ -27,6 +27,25 @@ o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT
 SELECT d.doc_id, o.text, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.n_removed, 0) AS n_removed FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id
 """
 
+#: The flags of each document as bits, counts for each part and combination of flags, then all orders.
+FILTER_AUDIT = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, doc_id > min(doc_id) OVER (PARTITION BY text) AS again FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+      + 4 * (100 * len(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * len(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(again, false)::INT AS mask
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, mask),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS bit UNION ALL SELECT filter_order || x, step + 1, o.before | o.bit, a.bit FROM o JOIN a ON (o.before | o.bit) & a.bit = 0),
+s AS (SELECT whole.filter_order, o.step, o.before, o.bit FROM o JOIN o AS whole ON whole.step = 5 AND o.step > 0 AND starts_with(whole.filter_order, o.filter_order)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+      FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
 
 def _host(u: str) -> str:
     return f"translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
