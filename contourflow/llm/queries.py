@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontam, kdsearch, langid, linededup, pii, ppm, simhash, sql, toxicity, urlfilter
+from . import audit, bpe, decontam, kdsearch, langid, linededup, pii, ppm, simhash, sql, substrings, toxicity, urlfilter
 from .common import id_remainder, table
 
 #: (verdict, host, path)
@@ -70,6 +70,11 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(flags, list("ABCDE"), ["good", "toxic"])
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("whole")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
     "op2_kdsearch": op2_kdsearch,
@@ -82,6 +87,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_pii": op10_pii,
     "op11_audit": op11_audit,
+    "op12_substrings": op12_substrings,
 }
 
-ORACLES: dict[str, str] = {"op2_kdsearch": sql.TOP_K, "op5_linededup": sql.LINE_DEDUP, "op8_urlfilter": sql.url_verdicts(URL_RULES), "op11_audit": sql.FILTER_AUDIT}
+ORACLES: dict[str, str] = {
+    "op2_kdsearch": sql.TOP_K,
+    "op5_linededup": sql.LINE_DEDUP,
+    "op8_urlfilter": sql.url_verdicts(URL_RULES),
+    "op11_audit": sql.FILTER_AUDIT,
+    "op12_substrings": sql.REPEATED_WINDOWS,
+}

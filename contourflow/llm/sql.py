@@ -46,6 +46,18 @@ r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (befo
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
 """
 
+#: Each window of 50 words, those that start in an earlier document too, and the words that none of these covers.
+REPEATED_WINDOWS = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM w WHERE len(words) >= 50),
+v AS (SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS words FROM p),
+g AS (SELECT doc_id, s, doc_id > min(doc_id) OVER (PARTITION BY words) AS again FROM v),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM g WHERE again),
+x AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+o AS (SELECT x.doc_id, count(*) AS n_words, count(c.i) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL), '')) AS kept FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+
 
 def _host(u: str) -> str:
     return f"translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
