@@ -3,14 +3,77 @@
 from __future__ import annotations
 
 import math
+import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows to a bucket, about.
-ROWS = 65_536
+#: Rows to a bucket, about: nodes, whose edges are some ten times as many.
+ROWS = 4_096
+
+
+class Times(AccumulatorParam):
+    """Wall time of work within tasks, by stage: {stage: (calls, seconds, longest)}, which executors send with their results."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, a: dict, b: dict) -> dict:  # noqa: N802  Spark's name
+        for stage, (n, total, most) in b.items():
+            m, t, x = a.get(stage, (0, 0.0, 0.0))
+            a[stage] = m + n, t + total, max(x, most)
+        return a
+
+
+class Watch:
+    """While it is entered, what dealt runs is timed where it runs. Of each stage the first skip calls of a Python worker warm
+    up and don't count; a task that runs twice counts twice."""
+
+    _now: Watch | None = None
+
+    def __init__(self, spark: SparkSession, skip: int = 0):
+        self.skip, self.id = skip, uuid.uuid4().hex
+        self.times = spark.sparkContext.accumulator({}, Times())
+
+    def __enter__(self) -> Watch:
+        Watch._now = self
+        return self
+
+    def __exit__(self, *error) -> None:
+        Watch._now = None
+
+    def rows(self) -> list[tuple[str, int, float, float]]:
+        """(stage, calls, mean, longest) in milliseconds, the longest mean first."""
+        return sorted(((s, n, 1000 * t / n, 1000 * x) for s, (n, t, x) in self.times.value.items()), key=lambda r: (-r[2], r[0]))
+
+
+_CALLS: dict[tuple[str, str], int] = {}
+
+
+def _watched(run, tables: int):
+    """run of so many tables, timed while a Watch is entered."""
+    call = run
+    if Watch._now is not None:
+        stage, times, skip, watch = run.__qualname__.split(".")[0], Watch._now.times, Watch._now.skip, Watch._now.id
+
+        def call(*given):
+            began = time.perf_counter()
+            out = run(*given)
+            took = time.perf_counter() - began
+            seen = _CALLS[watch, stage] = _CALLS.get((watch, stage), 0) + 1
+            if seen > skip:
+                times.add({stage: (1, took, took)})
+            return out
+
+    return (lambda left, right: call(left, right)) if tables == 2 else lambda table: call(table)
+
+
+def _number(df: DataFrame, rows: int | None):
+    return F.pmod(F.xxhash64("g"), F.lit(max(1, math.ceil((df.count() if rows is None else rows) / ROWS)))).alias("bucket")
 
 
 def dealt(left: DataFrame, right: DataFrame, run, schema: str, rows: int | None = None) -> DataFrame:
@@ -18,9 +81,14 @@ def dealt(left: DataFrame, right: DataFrame, run, schema: str, rows: int | None
 
     Graphs are dealt by a hash of g, so that no value makes a large bucket; one graph is never cut.
     """
-    bucket = F.pmod(F.xxhash64("g"), F.lit(max(1, math.ceil((left.count() if rows is None else rows) / ROWS)))).alias("bucket")
+    bucket = _number(left, rows)
     left, right = (df.select(bucket, "*").toDF("bucket", *df.columns) for df in (left, right))  # so that both sides' columns differ
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, schema)
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_watched(run, 2), schema)
+
+
+def dealt_alone(left: DataFrame, run, schema: str) -> DataFrame:
+    """As dealt, of one table."""
+    return left.select(_number(left, None), "*").groupBy("bucket").applyInArrow(_watched(run, 1), schema)
 
 
 def matrix(table: pa.Table, columns: list[str], order: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.shared import checkpointed
+from ..sources.shared import written
 from .buckets import by_graph, dealt
 from .model import agglomerated
 
@@ -78,27 +78,67 @@ def char_groups(pairs: DataFrame, contours: DataFrame, thresholds: list[float])
     return in_buckets(pairs, contours, run, [], "g bigint, threshold double, c bigint, grp bigint")
 
 
-def char_groups_by_labels(links: DataFrame, contours: DataFrame) -> DataFrame:
-    """(g, c, grp): the same at one threshold for graphs too large for a task.
+def char_groups_by_labels(links: DataFrame, contours: DataFrame, keys: tuple[str, ...] = ("g",)) -> DataFrame:
+    """(keys, c, grp): the same at one threshold for graphs too large for a task; each value of keys is a graph of its own.
 
     Each round every contour takes the least label around it and then the label of its label, so that chains shorten by
-    half; rounds go on until no label changes, and are checkpointed.
+    half; rounds go on until no label changes, and each is written.
     """
-    both = checkpointed(links.select("g", "ca", "cb").union(links.select("g", F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct())
-    labels = contours.select("g", "c", F.col("c").alias("grp"))
+    both = written(links.select(*keys, "ca", "cb").union(links.select(*keys, F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct())
+    labels = contours.select(*keys, "c", F.col("c").alias("grp"))
     while True:
-        near = both.join(labels.withColumnRenamed("c", "cb"), ["g", "cb"]).groupBy("g", F.col("ca").alias("c")).agg(F.min("grp").alias("least"))
-        new = labels.join(near, ["g", "c"], "left").select("g", "c", F.col("grp").alias("old"), F.least("grp", F.coalesce("least", "grp")).alias("grp"))
+        near = both.join(labels.withColumnRenamed("c", "cb"), [*keys, "cb"]).groupBy(*keys, F.col("ca").alias("c")).agg(F.min("grp").alias("least"))
+        new = labels.join(near, [*keys, "c"], "left").select(*keys, "c", F.col("grp").alias("old"), F.least("grp", F.coalesce("least", "grp")).alias("grp"))
         # What a root has learned, its whole tree takes over: the tree's label may only fall.
-        fallen = new.groupBy("g", F.col("old").alias("c")).agg(F.min("grp").alias("least"))
-        new = new.join(fallen.select("g", F.col("c").alias("old"), "least"), ["g", "old"]).select("g", "c", "old", F.least("grp", "least").alias("grp"))
-        over = new.select("g", F.col("c").alias("grp"), F.col("grp").alias("over"))
-        new = checkpointed(new.join(over, ["g", "grp"]).select("g", "c", F.col("over").alias("grp"), (F.col("over") < F.col("old")).alias("moved")))
-        labels = new.select("g", "c", "grp")
+        fallen = new.groupBy(*keys, F.col("old").alias("c")).agg(F.min("grp").alias("least"))
+        new = new.join(fallen.select(*keys, F.col("c").alias("old"), "least"), [*keys, "old"]).select(*keys, "c", "old", F.least("grp", "least").alias("grp"))
+        over = new.select(*keys, F.col("c").alias("grp"), F.col("grp").alias("over"))
+        new = written(new.join(over, [*keys, "grp"]).select(*keys, "c", F.col("over").alias("grp"), (F.col("over") < F.col("old")).alias("moved")))
+        labels = new.select(*keys, "c", "grp")
         if new.where("moved").isEmpty():
             return labels
 
 
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """(g, ca, cb, prob): a maximum spanning forest of each graph, whatever its size; pairs has g, ca, cb, prob.
+
+    Each round every group of contours takes its most probable pair to another group, of equals the smallest by contours, so
+    that no round closes a circle; groups that are joined become one, and of several pairs between two groups the best is
+    kept. Groups at least halve in number each round, so rounds are logarithmic; each is written. Null probabilities and
+    pairs of a contour with itself go.
+    """
+    own = F.struct((-F.col("prob")).alias("less"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+    left = written(pairs.where("ca <> cb and prob is not null").select("g", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), own.alias("x")).groupBy("g", "a", "b").agg(F.min("x").alias("x")))
+    forest = left.where("false").select("g", "x")
+    while not left.isEmpty():
+        both = left.select("g", "a", "b", "x").union(left.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "x"))
+        taken = written(both.groupBy("g", F.col("a").alias("c")).agg(F.min(F.struct("x", "b")).alias("t")).select("g", "c", F.col("t.b").alias("up"), "t.x"))
+        forest = written(forest.union(taken.select("g", "x").distinct()))
+        # Pointers end in two groups that took each other; the smaller is the root of all that lead there.
+        back = taken.select("g", F.col("c").alias("up"), F.col("up").alias("again"))
+        up = taken.join(back, ["g", "up"]).select("g", "c", F.when((F.col("again") == F.col("c")) & (F.col("c") < F.col("up")), F.col("c")).otherwise(F.col("up")).alias("up"))
+        up = written(up)
+        moved = True
+        while moved:
+            over = up.select("g", F.col("c").alias("up"), F.col("up").alias("over"))
+            new = written(up.join(over, ["g", "up"]).select("g", "c", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")))
+            moved, up = not new.where("moved").isEmpty(), new.select("g", "c", "up")
+        one, two = up.select("g", F.col("c").alias("a"), F.col("up").alias("ra")), up.select("g", F.col("c").alias("b"), F.col("up").alias("rb"))
+        left = left.join(one, ["g", "a"]).join(two, ["g", "b"]).where("ra <> rb")
+        left = written(left.groupBy("g", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("x").alias("x")))
+    return forest.select("g", "x.ca", "x.cb", (-F.col("x.less")).alias("prob"))
+
+
+def char_groups_by_forest(pairs: DataFrame, contours: DataFrame, thresholds: list[float]) -> DataFrame:
+    """char_groups for graphs too large for a task: a spanning forest, which connects at each threshold what all pairs do and
+    has fewer links than contours, cut at every threshold; the cuts are labelled in the same rounds."""
+    if not thresholds:
+        return contours.where("false").select("g", F.lit(0.0).alias("threshold"), "c", F.col("c").alias("grp"))
+    forest = spanning_forest(pairs.where(F.col("prob") >= min(thresholds)))
+    each = contours.select("g", "c").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return char_groups_by_labels(at_thresholds(forest, thresholds), each, ("g", "threshold")).select("g", "threshold", "c", "grp")
+
+
 def ordered_groups(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """(g, threshold, pos, grp, members): groups from left to right by their leftmost node, ties to the smaller contour."""
     left = nodes.groupBy("g", "c").agg(F.min("x").alias("x"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from .scan import running
 
 DECORATIVE = 0.3
 
@@ -39,19 +39,8 @@ def list_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds pos: the place of each row in the order, from 0.
-
-    Rows are sorted into ranges and written, each range is counted, and places count on from the ranges before: no task
-    sees all rows. What comes to the driver is one number for each range.
-    """
-    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    before, total = {}, 0
-    for k in sorted(counts):
-        before[k], total = total, total + counts[k]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range")) if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("pos", (start + place).cast("bigint")).drop("_range")
+    """Adds pos: the place of each row in the order, from 0, counted in ranges (scan.running)."""
+    return running(rows, order)
 
 
 def charset(lines: DataFrame, order: str, column: str = "value") -> DataFrame:
@@ -60,16 +49,10 @@ def charset(lines: DataFrame, order: str, column: str = "value") -> DataFrame:
     Lines are placed by the sizes of those before (numbered by ranges), characters within their line.
     """
     kept = list_lines(lines, column).select(F.col(order).alias("line"), F.filter(F.split(column, ""), lambda c: c != "").alias("chars")).where("size(chars) > 0")
-    ranged = checkpointed(kept.repartitionByRange("line").sortWithinPartitions("line").withColumn("range", F.spark_partition_id()))
-    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum(F.size("chars")).alias("n")).collect()}
-    if not sizes:
+    placed = running(kept.withColumn("n", F.size("chars")), ["line"], {"start": "n"})
+    if placed.isEmpty():
         raise ValueError("the character pool is empty")
-    before, total = {}, 0
-    for k in sorted(sizes):
-        before[k], total = total, total + sizes[k]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("range"))
-    so_far = F.coalesce(F.sum(F.size("chars")).over(Window.partitionBy("range").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("start", start + so_far).select("start", F.posexplode("chars").alias("i", "ch")).select((F.col("start") + F.col("i")).cast("bigint").alias("pos"), "ch")
+    return placed.select("start", F.posexplode("chars").alias("i", "ch")).select((F.col("start") + F.col("i")).cast("bigint").alias("pos"), "ch")
 
 
 def weights(rows: DataFrame, column: str) -> DataFrame:

@@ -95,6 +95,36 @@ def pen_positions(marks: DataFrame, line: str, order: list[str], advance: Column
     return marks.withColumn("pen", F.coalesce(F.sum(advance + tracking).over(w), F.lit(0.0)))
 
 
+def shaped(lines: DataFrame, ligatures: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """lines without text, a row for each glyph: at (the code point that its cluster begins with), k (its place) and char.
+
+    ligatures (font, parts, char): where parts stand in a text of that font, char is drawn instead; from left to right, at
+    each place the longest. What is not part of one is drawn as itself. A combining mark is a glyph of its own in the cluster
+    of what it follows, so clusters are what later counts as one character. Empty and null texts have no glyphs.
+    """
+    one, marks = r"(?s:.)", r"\p{M}*"
+    if ligatures is None:
+        lines = lines.withColumn("_any", F.lit(one)).withColumn("_of", F.lit(None).cast("map<string,string>"))
+    else:
+        # An alternation takes the first that fits, so longer ones stand first.
+        known = ligatures.where("parts <> ''").groupBy("font", "parts").agg(F.min("char").alias("char"))
+        longest = F.array_sort(F.collect_list(F.struct((-F.length("parts")).alias("less"), "parts", "char")))
+        fonts = known.groupBy("font").agg(longest.alias("x")).select("font", F.concat(F.array_join(F.transform("x", lambda x: F.regexp_replace(x["parts"], r"([^\p{L}\p{N}])", r"\\$1")), "|"), F.lit(f"|{one}")).alias("_any"), F.map_from_arrays("x.parts", "x.char").alias("_of"))
+        lines = lines.join(fonts, "font", "left").withColumn("_any", F.coalesce("_any", F.lit(one)))
+    clusters = F.regexp_extract_all(text, F.concat(F.lit("(?:"), F.col("_any"), F.lit(f"){marks}")), F.lit(0))
+    glyphs = F.transform(clusters, lambda c: F.regexp_extract_all(c, F.col("_any"), F.lit(0)))
+    ends = F.transform(clusters, lambda _, i: F.length(F.array_join(F.slice(clusters, F.lit(1), i), "")))
+    placed = F.flatten(F.zip_with(ends, glyphs, lambda at, own: F.transform(own, lambda c: F.struct(at.alias("at"), F.coalesce(F.element_at("_of", c), c).alias("char")))))
+    rows = lines.where(F.length(text) > 0).select(*[c for c in lines.columns if c not in (text, "_any", "_of")], F.posexplode(placed).alias("k", "x"))
+    return rows.select("*", F.col("x.at").alias("at"), F.col("x.char").alias("char")).drop("x")
+
+
+def kerned(marks: DataFrame, kerning: DataFrame, line: str) -> DataFrame:
+    """Adds kern: what kerning (font, char, next, kern) has for a glyph and the one after it on its line, else 0."""
+    pairs = kerning.groupBy("font", "char", "next").agg(F.min("kern").alias("kern"))
+    return marks.withColumn("next", F.lead("char").over(Window.partitionBy(line).orderBy("k"))).join(pairs, ["font", "char", "next"], "left").na.fill(0.0, ["kern"]).drop("next")
+
+
 def cluster_ids(marks: DataFrame, line: str, cluster: str) -> DataFrame:
     """Adds char_id: the rank of each cluster among the distinct ones of its line, from 0."""
     return marks.withColumn("char_id", (F.dense_rank().over(Window.partitionBy(line).orderBy(cluster)) - 1).cast("bigint"))

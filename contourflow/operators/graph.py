@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import by_graph, dealt
+from . import near
+from .buckets import dealt, dealt_alone
 from .geometry import EPSILON
 
 KNN, RADIUS, CONTOUR_BRIDGE, STACK_BRIDGE = 8, 0.25, 0.35, 1.0
@@ -25,9 +26,30 @@ def _d2():
     return (F.col("x_a") - F.col("x_b")) ** 2 + (F.col("y_a") - F.col("y_b")) ** 2
 
 
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
 def neighbours(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFrame:
     """(g, a, b, d2): of each node a the k nearest others within radius, inclusive, ties to smaller b.
 
+    Graphs are dealt whole, many to a task, and searched there by a grid that is finer where nodes are dense (near.nearest).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        g, n, x, y = _columns(table, "g", "n", "x", "y")
+        order = np.lexsort([n, g])
+        g, n = g[order], n[order]
+        i, j, d2 = near.nearest(g, x[order], y[order], k, radius)
+        return pa.table({"g": g[i], "a": n[i], "b": n[j], "d2": d2})
+
+    own = nodes.select(F.col("g").cast("bigint").alias("g"), F.col("n").cast("bigint").alias("n"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return dealt_alone(own, run, "g bigint, a bigint, b bigint, d2 double")
+
+
+def neighbours_by_cells(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFrame:
+    """As neighbours, for graphs too large for a task.
+
     Nodes meet only those of their own and the eight surrounding cells of a grid of side radius: a join on graph and
     cell with the distance as residual, then a limited window.
     """
@@ -36,20 +58,20 @@ def neighbours(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFr
     a = cell.select("g", F.col("n").alias("n_a"), F.col("x").alias("x_a"), F.col("y").alias("y_a"), "cx", "cy")
     b = cell.select("g", F.col("n").alias("n_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy")
     b = b.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-    near = a.join(b, ["g", "cx", "cy"]).where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
-    return _nearest(near, k)
+    rows = a.join(b, ["g", "cx", "cy"]).where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
+    return _nearest(rows, k)
 
 
-def _nearest(near: DataFrame, k: int) -> DataFrame:
+def _nearest(rows: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("g", "n_a").orderBy("d2", "n_b")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("g", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d2")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("g", F.col("n_a").alias("a"), F.col("n_b").alias("b"), "d2")
 
 
 def neighbours_all_pairs(nodes: DataFrame, k: int = KNN, radius: float = RADIUS) -> DataFrame:
     """As neighbours, by meeting all nodes of a graph: for small graphs whose nodes all lie within radius."""
     a, b = _two(nodes, ["n", "x", "y"])
-    near = a.join(b, "g").where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
-    return _nearest(near, k)
+    rows = a.join(b, "g").where(F.col("n_a") != F.col("n_b")).withColumn("d2", _d2()).where(F.col("d2") <= radius * radius)
+    return _nearest(rows, k)
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -60,50 +82,52 @@ def undirected(pairs: DataFrame) -> DataFrame:
 def closest_pairs(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(g, ca, cb, d2, a, b): the closest nodes of each two contours of a line, ties to smaller a, then b.
 
-    wanted: (g, ca, cb) with ca < cb, the only pairs sought. Distances are a matrix for each two contours, in blocks.
+    wanted: (g, ca, cb) with ca < cb, the only pairs sought; without, all of each line. Boxes of blocks of nodes bound
+    distances, so that most are never measured (near.closest).
     """
+
+    def run(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        g, n, c, x, y, lines, ids, starts, ends = _by_contour(left)
+        if right is None:
+            bounds = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1], [True]])) if len(lines) else np.zeros(1, np.int64)
+            one, two = near.expanded(np.arange(len(lines)) + 1, np.repeat(bounds[1:], np.diff(bounds)))
+        else:
+            line, ca, cb = _columns(right, "g", "ca", "cb")
+            one, two = (_place(lines, ids, line, v) for v in (ca, cb))
+            known = (one >= 0) & (two >= 0)
+            one, two = one[known], two[known]
+        d2, i, j, _ = near.closest(x, y, starts, ends, one, two)
+        some = np.flatnonzero(np.isfinite(d2))
+        one, two, i, j = one[some], two[some], i[some], j[some]
+        return pa.table({"g": lines[one], "ca": ids[one], "cb": ids[two], "d2": d2[some], "a": n[i], "b": n[j]})
+
+    schema, own = "g bigint, ca bigint, cb bigint, d2 double, a bigint, b bigint", _points(nodes)
     if wanted is None:
-        c = nodes.select("g", "c").distinct()
-        wanted = c.withColumnRenamed("c", "ca").join(c.withColumnRenamed("c", "cb"), "g").where("ca < cb")
+        return dealt_alone(own, run, schema)
+    return dealt(own, wanted.select(*[F.col(k).cast("bigint").alias(k) for k in ("g", "ca", "cb")]), run, schema, nodes.count())
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], [], []]
-        if left.num_rows and right.num_rows:
-            n, c, x, y = (left.column(k).to_numpy() for k in ("n", "c", "x", "y"))
-            ca, cb = right.column("ca").to_numpy(), right.column("cb").to_numpy()
-            for g, rows, pairs in by_graph((left, ["c", "n"]), (right, ["ca", "cb"])):
-                ends = np.searchsorted(c[rows], [ca[pairs], cb[pairs]]), np.searchsorted(c[rows], [ca[pairs], cb[pairs]], side="right")
-                for k, p in enumerate(pairs.tolist()):
-                    one, two = (rows[ends[0][i][k] : ends[1][i][k]] for i in (0, 1))
-                    best = None
-                    for at in range(0, len(one) if len(two) else 0, 1024):
-                        some = one[at : at + 1024]
-                        d2 = (x[some][:, None] - x[two][None, :]) ** 2 + (y[some][:, None] - y[two][None, :]) ** 2
-                        i, j = divmod(int(d2.argmin()), len(two))
-                        if best is None or d2[i, j] < best[0]:
-                            best = float(d2[i, j]), int(n[some[i]]), int(n[two[j]])
-                    if best is not None:
-                        for column, value in zip(out, (g, int(ca[p]), int(cb[p]), *best), strict=True):
-                            column.append(value)
-        names, types = ("g", "ca", "cb", "d2", "a", "b"), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-        return pa.table({k: pa.array(v, t) for k, v, t in zip(names, out, types, strict=True)})
-
-    own = nodes.select("g", F.col("n").cast("bigint").alias("n"), F.col("c").cast("bigint").alias("c"), "x", "y")
-    return dealt(own, wanted.select("g", F.col("ca").cast("bigint").alias("ca"), F.col("cb").cast("bigint").alias("cb")), run, "g bigint, ca bigint, cb bigint, d2 double, a bigint, b bigint", nodes.count())
-
-
-def near_closest_pairs(nodes: DataFrame, contours: DataFrame, bridge: float = CONTOUR_BRIDGE, stack: float = STACK_BRIDGE) -> DataFrame:
-    """closest_pairs of just those contour pairs that may get a bridge.
-
-    The gap between two boxes is a lower bound of any distance, so pairs whose gap passes bridge are left out before
-    points meet; stacked pairs have no such limit and stay.
-    """
-    a, b = _two(contours, ["c", "min_x", "min_y", "max_x", "max_y"])
-    gap_x = F.greatest(F.col("min_x_b") - F.col("max_x_a"), F.col("min_x_a") - F.col("max_x_b"), F.lit(0.0))
-    gap_y = F.greatest(F.col("min_y_b") - F.col("max_y_a"), F.col("min_y_a") - F.col("max_y_b"), F.lit(0.0))
-    near = a.join(b, "g").where((F.col("c_a") < F.col("c_b")) & (gap_x * gap_x + gap_y * gap_y <= bridge * bridge)).select("g", F.col("c_a").alias("ca"), F.col("c_b").alias("cb"))
-    wanted = near.union(stacked_pairs(contours, stack).select("g", "ca", "cb")).distinct()
-    return closest_pairs(nodes, wanted)
+
+def _points(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*[F.col(k).cast("bigint").alias(k) for k in ("g", "n", "c")], *[F.col(k).cast("double").alias(k) for k in ("x", "y")])
+
+
+def _by_contour(nodes: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes in order of graph, contour and number; then the graph and id of each contour, and where its nodes are."""
+    g, n, c, x, y = _columns(nodes, "g", "n", "c", "x", "y")
+    order = np.lexsort([n, c, g])
+    g, n, c, x, y = (v[order] for v in (g, n, c, x, y))
+    starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])) if len(g) else np.empty(0, np.int64)
+    return g, n, c, x, y, g[starts], c[starts], starts, np.append(starts[1:], len(g)) if len(g) else starts
+
+
+def _place(lines: np.ndarray, ids: np.ndarray, line: np.ndarray, contour: np.ndarray) -> np.ndarray:
+    """Where each (line, contour) is among sorted (lines, ids); -1 where it isn't."""
+    if not len(lines) or not len(line):
+        return np.full(len(line), -1)
+    known, at = np.unique(np.concatenate([np.stack([lines, ids], axis=1), np.stack([line, contour], axis=1)]), axis=0, return_inverse=True)
+    places = np.full(len(known), -1)
+    places[at.ravel()[: len(lines)]] = np.arange(len(lines))
+    return places[at.ravel()[len(lines) :]]
 
 
 def stacked_pairs(contours: DataFrame, limit: float = STACK_BRIDGE) -> DataFrame:
@@ -117,15 +141,60 @@ def stacked_pairs(contours: DataFrame, limit: float = STACK_BRIDGE) -> DataFrame
     return rows.select("g", F.col("c_a").alias("ca"), F.col("c_b").alias("cb"), "overlap", "gap")
 
 
+def _undirected(nodes: pa.Table, contours: pa.Table, k: int, radius: float, bridge: float, stack: float):
+    """The nodes of a bucket by contour, and the places (i, j) of its edges, in order of graph and ends."""
+    g, n, c, x, y, lines, ids, starts, ends = _by_contour(nodes)
+    order = np.lexsort([n, g])
+    i, j, _ = near.nearest(g[order], x[order], y[order], k, radius)
+    sides = [(order[i], order[j])]
+    if bridge > 0 or stack > 0:
+        line, cid, *box = _columns(contours, "g", "c", "min_x", "min_y", "max_x", "max_y")
+        at = _place(lines, ids, line, cid)
+        for own in (np.flatnonzero((line == one) & (at >= 0)) for one in np.unique(line)):
+            own = own[np.argsort(cid[own])]
+            one, two, stacked = near.box_pairs(*[b[own] for b in box], bridge, stack, EPSILON)
+            d2, i, j, _ = near.closest(x, y, starts, ends, at[own[one]], at[own[two]])
+            kept = np.isfinite(d2) & (stacked | (d2 <= bridge * bridge if bridge > 0 else False))
+            sides.append((i[kept], j[kept]))
+    i, j = (np.concatenate([s[m] for s in sides]) for m in (0, 1))
+    less = n[i] < n[j]
+    i, j = np.where(less, i, j), np.where(less, j, i)
+    order = np.lexsort([n[j], n[i], g[i]])
+    i, j = i[order], j[order]
+    once = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(i) else np.empty(0, bool)
+    return g, n, c, x, y, i[once], j[once]
+
+
+def _boxes(contours: DataFrame) -> DataFrame:
+    return contours.select(*[F.col(k).cast("bigint").alias(k) for k in ("g", "c")], "min_x", "min_y", "max_x", "max_y")
+
+
 def graph_edges(nodes: DataFrame, contours: DataFrame, k: int = KNN, radius: float = RADIUS, bridge: float = CONTOUR_BRIDGE, stack: float = STACK_BRIDGE) -> DataFrame:
-    """(g, a, b): neighbours, and one bridge for each two contours that are near or stacked; a set."""
-    edges = undirected(neighbours(nodes, k, radius))
-    if bridge <= 0 and stack <= 0:
-        return edges
-    best = near_closest_pairs(nodes, contours, bridge, stack)
-    stacked = stacked_pairs(contours, stack).select("g", "ca", "cb", F.lit(True).alias("stacked"))
-    bridges = best.join(stacked, ["g", "ca", "cb"], "left").where(F.col("stacked") | (F.lit(bridge > 0) & (F.col("d2") <= bridge * bridge)))
-    return edges.union(bridges.select("g", F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    """(g, a, b): neighbours, and one bridge for each two contours that are near or stacked; a set. Graphs are dealt once, and
+    neighbours and bridges found together."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, n, *_, i, j = _undirected(left, right, k, radius, bridge, stack)
+        return pa.table({"g": g[i], "a": n[i], "b": n[j]})
+
+    return dealt(_points(nodes), _boxes(contours), run, "g bigint, a bigint, b bigint", nodes.count())
+
+
+def built_edges(nodes: DataFrame, contours: DataFrame, k: int = KNN, radius: float = RADIUS, bridge: float = CONTOUR_BRIDGE, stack: float = STACK_BRIDGE) -> DataFrame:
+    """edge_features of directed of graph_edges, in the one pass that finds the edges: (g, e, src, dst, ca, cb, dx, dy, dist,
+    same, label)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, n, c, x, y, i, j = _undirected(left, right, k, radius, bridge, stack)
+        ch = left.column("ch").to_numpy(zero_copy_only=False).astype(np.float64)[np.lexsort(_columns(left, "n", "c", "g"))]  # null is no number
+        i, j = np.stack([i, j], axis=1).ravel(), np.stack([j, i], axis=1).ravel()
+        line = g[i]
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], line[1:] != line[:-1]]), np.arange(len(line)), 0)) if len(line) else line
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        return pa.table({"g": line, "e": np.arange(len(line)) - first, "src": n[i], "dst": n[j], "ca": c[i], "cb": c[j], "dx": dx, "dy": dy, "dist": np.sqrt(dx * dx + dy * dy), "same": c[i] == c[j], "label": ch[i] == ch[j]})
+
+    own = nodes.select(*[F.col(m).cast("bigint").alias(m) for m in ("g", "n", "c", "ch")], *[F.col(m).cast("double").alias(m) for m in ("x", "y")])
+    return dealt(own, _boxes(contours), run, "g bigint, e bigint, src bigint, dst bigint, ca bigint, cb bigint, dx double, dy double, dist double, same boolean, label boolean", nodes.count())
 
 
 def directed(edges: DataFrame) -> DataFrame:

@@ -60,6 +60,23 @@ def char_rates(shared: DataFrame) -> DataFrame:
     return rows.groupBy("threshold").agg(F.count("*").alias("chars"), F.count_if("is_split").alias("split"), F.count_if("is_merged").alias("merged"))
 
 
+def tally(own: list[tuple], links: list[tuple], thresholds: list[float]) -> list[tuple]:
+    """(threshold, correct, chars, split, merged, tp, fp, fn, pairs) of one graph: own has (contour, character) and links
+    (ca, cb, prob, label)."""
+    ch, out = {c: x for c, x in own if c is not None}, []
+    n, true = len(links), sum(1 for *_, label in links if label)
+    for t, roots in decode.falling(list(ch), [(p, a, b) for a, b, p, _ in links], thresholds):
+        of_char, of_group = {}, {}
+        for c, r in roots.items():
+            of_char.setdefault(ch[c], set()).add(r)
+            of_group.setdefault(r, set()).add(ch[c])
+        split, merged = sum(len(x) > 1 for x in of_char.values()), sum(any(len(of_group[r]) > 1 for r in x) for x in of_char.values())
+        hits = [label for _, _, p, label in links if p >= t]
+        tp = sum(map(bool, hits))
+        out.append((t, not split and not merged, len(of_char), split, merged, tp, len(hits) - tp, true - tp, n))
+    return out
+
+
 def tallies(pairs: DataFrame, contours: DataFrame, graphs: DataFrame, thresholds: list[float]) -> DataFrame:
     """(g, threshold, correct, chars, split, merged, tp, fp, fn, pairs) of each graph at each threshold, pairs read once.
 
@@ -67,23 +84,9 @@ def tallies(pairs: DataFrame, contours: DataFrame, graphs: DataFrame, thresholds
     merged: those in a group with others.
     """
 
-    def run(own, links):
-        ch, out = {c: x for c, x in own if c is not None}, []
-        n, true = len(links), sum(1 for *_, label in links if label)
-        for t, roots in decode.falling(list(ch), [(p, a, b) for a, b, p, _ in links], thresholds):
-            of_char, of_group = {}, {}
-            for c, r in roots.items():
-                of_char.setdefault(ch[c], set()).add(r)
-                of_group.setdefault(r, set()).add(ch[c])
-            split, merged = sum(len(x) > 1 for x in of_char.values()), sum(any(len(of_group[r]) > 1 for r in x) for x in of_char.values())
-            hits = [label for _, _, p, label in links if p >= t]
-            tp = sum(map(bool, hits))
-            out.append((t, not split and not merged, len(of_char), split, merged, tp, len(hits) - tp, true - tp, n))
-        return out
-
     own = contours.select("g", "c", F.col("ch").cast("bigint").alias("ch"))
     every = own.union(graphs.select("g", F.lit(None), F.lit(None)).distinct())
-    return decode.in_buckets(pairs, every, run, ["ch"], "g bigint, threshold double, correct boolean, chars bigint, split bigint, merged bigint, tp bigint, fp bigint, fn bigint, pairs bigint")
+    return decode.in_buckets(pairs, every, lambda own, links: tally(own, links, thresholds), ["ch"], "g bigint, threshold double, correct boolean, chars bigint, split bigint, merged bigint, tp bigint, fp bigint, fn bigint, pairs bigint")
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -98,7 +101,12 @@ def sweep(pairs: DataFrame, contours: DataFrame, graphs: DataFrame, thresholds:
     One pass over pairs: each graph tallies all thresholds, the tallies are summed. Without any pair the pairs' columns
     are null.
     """
-    sums = tallies(pairs, contours, graphs, thresholds).groupBy("threshold").agg(
+    return summed(tallies(pairs, contours, graphs, thresholds))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """The rows of sweep of the tallies of all graphs."""
+    sums = rows.groupBy("threshold").agg(
         F.avg(F.col("correct").cast("double")).alias("grouping_acc"), F.count("*").alias("graphs"), *[F.sum(c).alias(c) for c in ("chars", "split", "merged", "tp", "fp", "fn", "pairs")],
     ).where("chars > 0")
     rows = scored(sums.withColumn("char_split_rate", ratio(F.col("split"), F.col("chars"))).withColumn("char_merge_rate", ratio(F.col("merged"), F.col("chars"))))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import by_graph, dealt, matrix
+from .gradient import Traced, binned
 
 #: Columns of a node, of an edge and of a contour, in the order that weights expect.
 NODE = ["x", "y", "tan_x", "tan_y", "off_x", "off_y", "cx", "cy", "w", "h", "arc", "cos_phase", "sin_phase"]
@@ -119,18 +120,12 @@ def relations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([dx, dy, np.hypot(dx, dy), *over, *share, depth(0, 1), depth(1, 0), arc, turn], axis=-1)
 
 
-def segment_sum(values: np.ndarray, bins: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values summed by bin; empty bins are 0."""
-    out = np.zeros((n, *values.shape[1:]))
-    if len(bins):
-        order = np.argsort(bins, kind="stable")
-        own = bins[order]
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        out[own[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+def segment_sum(values, bins: np.ndarray, n: int):
+    """Rows of values, plain or traced, summed by bin; empty bins are 0."""
+    return values.binned(bins, n) if isinstance(values, Traced) else binned(values, bins, n)
 
 
-def segment_mean(values: np.ndarray, bins: np.ndarray, n: int) -> np.ndarray:
+def segment_mean(values, bins: np.ndarray, n: int):
     return segment_sum(values, bins, n) / np.maximum(np.bincount(bins, minlength=n), 1)[:, None]
 
 
@@ -147,8 +142,10 @@ class Graph:
 
 
 class Model:
-    def __init__(self, options: Options, weights: dict[str, np.ndarray]):
-        self.options, self.w = options, checked(options, weights)
+    """The forward pass, of plain weights or traced ones. kept is what training drops some of; else it changes nothing."""
+
+    def __init__(self, options: Options, weights: dict[str, np.ndarray], kept=lambda x: x):
+        self.options, self.w, self.kept = options, checked(options, weights), kept
 
     def linear(self, name: str, x: np.ndarray) -> np.ndarray:
         return x @ self.w[f"{name}.weight"].T + self.w[f"{name}.bias"]
@@ -158,7 +155,7 @@ class Model:
         return centred / np.sqrt((centred * centred).mean(axis=-1, keepdims=True) + eps) * self.w[f"{name}.weight"] + self.w[f"{name}.bias"]
 
     def perceptron(self, name: str, x: np.ndarray) -> np.ndarray:
-        x = np.maximum(self.linear(f"{name}.0", x), 0)
+        x = self.kept(np.maximum(self.linear(f"{name}.0", x), 0))
         return self.linear(f"{name}.5", np.maximum(self.linear(f"{name}.3", x), 0))[..., 0]
 
     def encoded(self, x: np.ndarray) -> np.ndarray:
@@ -172,7 +169,7 @@ class Model:
         logit = (np.where(x >= 0, x, 0.2 * x) * self.w[f"{name}.att"]).sum(axis=-1)
         e = np.exp(logit - (logit.max() if logit.size else 0.0))
         total = segment_sum(e, g.dst, len(h)) + 1e-9
-        message = segment_sum(source * e[..., None], g.dst, len(h)) / total[..., None]
+        message = segment_sum(source * self.kept(e)[..., None], g.dst, len(h)) / total[..., None]
         return self.norm(f"{name}.norm", h + self.linear(f"{name}.out", message.reshape(len(h), -1)))
 
     def contoured(self, i: int, h: np.ndarray, g: Graph, related: np.ndarray | None) -> np.ndarray:
@@ -184,7 +181,7 @@ class Model:
         if related is not None:
             logit = logit + self.linear(f"{name}.rel_bias", related).transpose(2, 0, 1)
         e = np.exp(logit - logit.max(axis=-1, keepdims=True)) if n else logit
-        mixed = (e / e.sum(axis=-1, keepdims=True) @ v).transpose(1, 0, 2).reshape(n, -1)
+        mixed = (self.kept(e / e.sum(axis=-1, keepdims=True)) @ v).transpose(1, 0, 2).reshape(n, -1)
         z = z + self.linear(f"{name}.proj", mixed)
         return self.norm(f"{name}.norm", h + self.linear(f"{name}.out", z)[g.contour])
 
@@ -211,9 +208,10 @@ class Model:
     def states(self, h: np.ndarray, g: Graph) -> np.ndarray:
         return segment_mean(h, g.contour, len(g.contours))
 
-    def merge_logit(self, left: np.ndarray, right: np.ndarray, union: np.ndarray, summary: np.ndarray, link: float) -> float:
+    def merge_logit(self, left, right, union, summary, link: float):
+        """Whether two described groups belong together, of which union is what they make, and link what links them most."""
         line = summary if len(summary) else np.zeros(self.options.hidden)
-        return float(self.perceptron("group_head.net", np.concatenate([left, right, union, line, [link]])))
+        return self.perceptron("group_head.net", np.concatenate([left, right, union, line, [link]]))
 
 
 @dataclass(frozen=True)
@@ -282,10 +280,10 @@ def _graphs(nodes: pa.Table, edges: pa.Table):
         yield g, Graph(x[a], np.searchsorted(n[a], src[u]), np.searchsorted(n[a], dst[u]), edge[u], contour, rows[a][first]), u, ids
 
 
-def _bucketed(nodes: DataFrame, edges: DataFrame, contours: DataFrame, run, schema: str) -> DataFrame:
+def _bucketed(nodes: DataFrame, edges: DataFrame, contours: DataFrame, run, schema: str, also: tuple[str, ...] = ()) -> DataFrame:
     rows = contours.select("g", "c", *[F.col(f).alias(f"_{f}") for f in CONTOUR])
     own = nodes.select("g", "n", "c", *NODE).join(rows, ["g", "c"])
-    links = edges.select("g", "e", "src", "dst", *[F.col(f).cast("double").alias(f) for f in EDGE])
+    links = edges.select("g", "e", "src", "dst", *[F.col(f).cast("double").alias(f) for f in EDGE], *also)
     return dealt(own, links, run, schema, nodes.count())
 
 
@@ -342,7 +340,7 @@ def merged_groups(nodes: DataFrame, edges: DataFrame, contours: DataFrame, margi
             for margin in margins:
                 def merges(a, b, link, margin=margin):
                     one, two = group(a), group(b)  # noqa: B023
-                    return sigmoid(np.float64(model.merge_logit(one.described(), two.described(), (one + two).described(), summary, link))) >= margin  # noqa: B023
+                    return sigmoid(model.merge_logit(one.described(), two.described(), (one + two).described(), summary, link)) >= margin  # noqa: B023
 
                 found = agglomerated(len(ids), [(a, b, p) for (a, b), p in best.items()], merges, floor)
                 for column, values in zip(out, ([g] * len(ids), [margin] * len(ids), ids.tolist(), ids[found].tolist()), strict=True):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
 from . import model
+from .scan import running
 
 FORMAT_VERSION = 4
 U16 = 65535
@@ -27,7 +28,7 @@ def validate(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> DataFra
 
 
 def record_violations(records: DataFrame) -> DataFrame:
-    """One row: how many nested records (readers.SHARD_SCHEMA) break each rule, nulls as breaks.
+    """One row: how many nested records (shards.SCHEMA) break each rule, nulls as breaks.
 
     Dimensions and sizes of the arrays, edges within the nodes, contour ids with a contour, ids within 16 bits, and flags
     that are 0 or 1. Everything is aggregated before the shuffle; no array leaves its row.
@@ -110,14 +111,14 @@ def dist_drift(edges: DataFrame) -> DataFrame:
 
 
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
-    """(column, id): distinct values in order, from 0. Only distinct values meet in the numbering."""
-    return rows.select(column).distinct().withColumn("id", F.row_number().over(Window.orderBy(column)) - 1)
+    """(column, id): distinct values in order, from 0, numbered in ranges."""
+    return running(rows.select(column).distinct(), [column]).withColumnRenamed("pos", "id")
 
 
 def offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """Adds offset: the sum of the sizes before each key. sizes has one row for each graph."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
+    """Adds offset: the sum of the sizes before each key. sizes has one row for each graph; ranges of them are summed in
+    parallel (scan.running)."""
+    return running(sizes, [key], {"offset": size}).drop("pos")
 
 
 def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bce_with_logits, focal, leaky_relu, logit, sigmoid
-from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, split, store
+from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, split, store, train
 from ..operators.metrics import THRESHOLDS
 from ..sources import fixtures, readers
 from ..sources.fixtures import table
@@ -119,7 +119,7 @@ def _contours(spark, d):
 
 def _edges(spark, d):
     n = fixtures.nodes(spark, d)
-    return graph.edge_features(graph.directed(graph.graph_edges(n, _contours(spark, d))), n)
+    return graph.built_edges(n, _contours(spark, d))
 
 
 def _scores(spark, d):
@@ -467,6 +467,11 @@ def knn_radius_all_pairs(spark, d):
     return rounded(graph.neighbours_all_pairs(fixtures.nodes(spark, d)), "d2")
 
 
+@query("SELECT g, a, b, " + r6("d2") + " FROM KN")
+def knn_radius_by_cells(spark, d):
+    return rounded(graph.neighbours_by_cells(fixtures.nodes(spark, d)), "d2")
+
+
 @query("SELECT g, a, b FROM UD")
 def undirected_pairs(spark, d):
     return graph.undirected(graph.neighbours(fixtures.nodes(spark, d)))
@@ -499,7 +504,8 @@ def edge_features(spark, d):
 
 @query("SELECT g, e, label FROM EF")
 def edge_labels(spark, d):
-    return _edges(spark, d).select("g", "e", "label")
+    n = fixtures.nodes(spark, d)
+    return graph.edge_features(graph.directed(graph.graph_edges(n, _contours(spark, d))), n).select("g", "e", "label")
 
 
 @query("SELECT g, c, " + r6("cx", "cy", w="max_x - min_x", h="max_y - min_y", min_x="min_x", min_y="min_y", arc="arc", area="area") + " FROM NM")
@@ -730,6 +736,31 @@ def merge_scorer_sweep(spark, d):
     return rounded(engine.evaluate_merging(fixtures.points(spark, d)), "grouping_acc", "char_split_rate", "char_merge_rate")
 
 
+_LIGATURES = [("serif", "th", "\ue000"), ("serif", "the", "\ue001"), ("serif", "an", "\ue002"), ("serif", "ing", "\ue003"), ("sans", "on", "\ue004")]
+_KERNING = [("serif", "\ue001", " ", -40.0), ("serif", "a", "t", -25.0), ("sans", "o", "f", -15.0), ("sans", "\ue004", "e", 30.0)]
+
+
+@query(f"""SELECT conv_id, turn, count(*) AS glyphs, count(DISTINCT k) AS clusters, sum(500 + coalesce(kern, 0)) AS width FROM (SELECT *, lead(char) OVER (PARTITION BY conv_id, turn ORDER BY k, j) AS next FROM (
+          SELECT conv_id, turn, font, k, generate_subscripts(parts, 1) AS j, unnest(list_transform(parts, lambda p: coalesce(of[p], p))) AS char FROM (SELECT conv_id, turn, font, k, of, regexp_extract_all(part, anyone) AS parts FROM (
+          SELECT *, generate_subscripts(regexp_extract_all(text, '(?:' || anyone || ')\\p{{M}}*'), 1) AS k, unnest(regexp_extract_all(text, '(?:' || anyone || ')\\p{{M}}*')) AS part FROM (SELECT *, CASE font WHEN 'serif' THEN 'the|ing|th|an|(?s:.)' ELSE 'on|(?s:.)' END AS anyone,
+          CASE font WHEN 'serif' THEN MAP {{{', '.join(f"'{p}': '{c}'" for f, p, c in _LIGATURES if f == "serif")}}} ELSE MAP {{{', '.join(f"'{p}': '{c}'" for f, p, c in _LIGATURES if f == "sans")}}} END AS of
+          FROM (SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN 'serif' ELSE 'sans' END AS font FROM conversations WHERE length(text) > 0)))))) c
+          LEFT JOIN (VALUES {', '.join(f"('{f}', '{a}', '{b}', {k})" for f, a, b, k in _KERNING)}) n(font, char, next, kern) ON n.font = c.font AND n.char = c.char AND n.next = c.next GROUP BY conv_id, turn""")
+def shaped_glyphs(spark, d):
+    """Texts as glyphs with ligatures and kerning: how many glyphs and clusters, and how wide."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, "serif").otherwise("sans").alias("font"), F.struct("conv_id", "turn").alias("line"))
+    marks = geometry.shaped(lines, spark.createDataFrame(_LIGATURES, "font string, parts string, char string"))
+    marks = geometry.kerned(marks, spark.createDataFrame(_KERNING, "font string, char string, next string, kern double"), "line")
+    return marks.groupBy("conv_id", "turn").agg(F.count("*").alias("glyphs"), F.count_distinct("at").alias("clusters"), F.sum(F.lit(500) + F.col("kern")).alias("width"))
+
+
+@query()
+def training(spark, d):
+    """Two epochs of a small model over the outlines: what each cost."""
+    trained = engine.train_model(fixtures.points(spark, d), model.Options(hidden=8), train.Recipe(epochs=2, graphs=256, rate=0.01))
+    return rounded(spark.createDataFrame([tuple(h.values()) for h in trained.history], "epoch int, loss double, point double, pair double, part double, rate double, graphs long, skipped long, score double"), "loss", "point", "pair", "part", "rate", "score")
+
+
 # H: losses
 
 _FOCAL = "(0.25::DOUBLE * y + 0.75::DOUBLE * (1 - y)) * pow(1 - (p * y + (1 - p) * (1 - y)), 2) * (greatest({z}, 0) - {z} * y + ln(1 + exp(-abs({z}))))"
@@ -776,6 +807,11 @@ def char_groups(spark, d):
     return _groups(spark, d)
 
 
+@query("SELECT g, threshold, c, grp FROM GR")
+def char_groups_by_forest(spark, d):
+    return decode.char_groups_by_forest(_pairs(spark, d), _owner(spark, d).select("g", "c"), THRESHOLDS)
+
+
 @query("SELECT g, c, grp FROM GR WHERE threshold = 0.3::DOUBLE")
 def char_groups_by_labels(spark, d):
     return decode.char_groups_by_labels(_pairs(spark, d).where("prob >= 0.3").select("g", "ca", "cb"), _owner(spark, d).select("g", "c"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logit
-from ..operators import decode, generate, geometry, graph, metrics, model, score, store
-from ..sources import readers
+from ..operators import candidates, decode, generate, geometry, graph, metrics, model, score, store, train
+from ..sources import readers, shards
 from ..sources.shared import checkpointed
 
 
@@ -55,15 +54,15 @@ class CorpusOptions:
 
 
 def build(points: DataFrame, options: GraphOptions = GraphOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """contours, nodes and edges of outlines: points has g, c, ch, i, x, y in em."""
-    stats = geometry.contour_stats(points, ["g", "c"], carry=["ch"])
-    kept = graph.dense_contours(stats).drop("c").withColumnRenamed("new_c", "c")
-    ids = graph.dense_contours(stats).select("g", "c", "new_c")
-    own = points.join(ids, ["g", "c"]).drop("c").withColumnRenamed("new_c", "c")
+    """contours, nodes and edges of outlines: points has g, c, ch, i, x, y in em. Each is written once; all that follows reads
+    them."""
+    dense = checkpointed(graph.dense_contours(geometry.contour_stats(points, ["g", "c"], carry=["ch"])))
+    kept = dense.drop("c").withColumnRenamed("new_c", "c")
+    own = points.join(dense.select("g", "c", "new_c"), ["g", "c"]).drop("c").withColumnRenamed("new_c", "c")
     samples = geometry.resample(own, ["g", "c"], options.spacing, options.fewest, options.most)
-    nodes = graph.node_features(samples, kept).join(kept.select("g", "c", "ch"), ["g", "c"])
-    pairs = graph.graph_edges(nodes, graph.normalized(kept), options.knn, options.radius, options.contour_bridge, options.stack_bridge)
-    return kept, nodes, graph.edge_features(graph.directed(pairs), nodes)
+    nodes = checkpointed(graph.node_features(samples, kept).join(kept.select("g", "c", "ch"), ["g", "c"]))
+    edges = checkpointed(graph.built_edges(nodes, graph.normalized(kept), options.knn, options.radius, options.contour_bridge, options.stack_bridge))
+    return kept, nodes, edges
 
 
 def seeded_scorer(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> DataFrame:
@@ -121,6 +120,32 @@ def losses(points: DataFrame, raw: bytes | None = None, pair_weight: float = 0.5
     return score.two_level_loss(rows, pair_weight)
 
 
+def train_model(points: DataFrame, how: model.Options = model.Options(), recipe: train.Recipe = train.Recipe(), held: DataFrame | None = None, options: GraphOptions = GraphOptions(), thresholds: list[float] = metrics.THRESHOLDS) -> train.Trained:
+    """A model fitted to lines whose characters are known. The epoch that groups the held lines best stays, or, without
+    any, that of the smallest loss. The merge scorer, if how has one, learns from merge candidates of the same lines."""
+    contours, nodes, edges = build(points, options)
+    rows = graph.contour_features(contours)
+    cands = None
+    if how.group:
+        links = edges.where("false").select("g", "ca", "cb", F.lit(0.0).alias("prob"))
+        cands = candidates.merge_candidates(contours.where("ch is not null").select("g", "c", "ch", "cx"), links, recipe.seed)
+    judge = None
+    if held is not None:
+        own = build(held, options)
+
+        def judge(weights: dict[str, np.ndarray]) -> float:
+            probs = model.model_scores(own[1], own[2], graph.contour_features(own[0]), how, weights)
+            swept = metrics.sweep(decode.pair_max(decode.filled(own[2], probs)), own[0].select("g", "c", "ch"), own[0].select("g").distinct(), thresholds)
+            return metrics.best(swept).first()["grouping_acc"]
+
+    return train.fit(train.whole_graphs(nodes, edges, rows, cands), how, recipe, judge=judge)
+
+
+def dumped(trained: train.Trained) -> bytes:
+    """The weight dump of a trained model, as trained_scorer and others take it."""
+    return readers.write_weights(asdict(trained.options), trained.weights)
+
+
 def export_json(points: DataFrame, texts: DataFrame, scorer=seeded_scorer, options: GraphOptions = GraphOptions(), timing: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(g, payload): each line's text, outlines, nodes and scored edges as JSON; texts has g and text."""
     contours, nodes, edges = build(points, options)
@@ -154,34 +179,37 @@ def lines(spark, options: CorpusOptions, body: list[str], decorative: list[str],
     return generate.layout_draws(rows, "g", options.tracking, options.tracking_skew, options.aspect, options.jitter, options.noise, options.seed)
 
 
-def laid_out(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions()) -> DataFrame:
+def laid_out(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions(), ligatures: DataFrame | None = None, kerning: DataFrame | None = None) -> DataFrame:
     """(g, c, ch, i, x, y) in em: the outlines of each line's characters, set side by side.
 
-    glyphs has font, char, upem, advance, dx, dy; outlines font, char, k, i, x, y, all in font units. Characters without
+    glyphs has font, char, upem, advance, dx, dy; outlines font, char, k, i, x, y, all in font units; ligatures font, parts,
+    char, where char is a glyph's; kerning font, char, next, kern. Characters without
     a glyph take no room, glyphs without an outline (spaces) only room. Each point is moved by pen and offset, by the
     glyph's own baseline jitter and its own noise, then scaled in x.
     """
     seed = options.seed
-    marks = lines.select("g", "font", "tracking", "aspect", "jitter", "noise", F.posexplode(F.split("text", "")).alias("at", "char")).where("char <> ''")
+    marks = geometry.shaped(lines.select("g", "font", "text", "tracking", "aspect", "jitter", "noise"), ligatures).withColumnRenamed("k", "place")
     marks = geometry.cluster_ids(marks, "g", "at").join(glyphs, ["font", "char"])
-    marks = geometry.pen_positions(marks, "g", ["at"], F.col("advance"), F.col("tracking") * F.col("upem"))
-    spread = lambda what, cap, *of: (2 * generate.draw(seed, F.concat_ws(",", "g", "at", *of), what) - 1) * F.col(cap) * F.col("upem")
+    if kerning is not None:
+        marks = geometry.kerned(marks.withColumnRenamed("place", "k"), kerning, "g").withColumnRenamed("k", "place").withColumn("advance", F.col("advance") + F.col("kern")).drop("kern")
+    marks = geometry.pen_positions(marks, "g", ["place"], F.col("advance"), F.col("tracking") * F.col("upem"))
+    spread = lambda what, cap, *of: (2 * generate.draw(seed, F.concat_ws(",", "g", "place", *of), what) - 1) * F.col(cap) * F.col("upem")
     marks = marks.withColumn("up", F.col("dy") + F.when(F.col("jitter") > 0, spread("baseline", "jitter")).otherwise(0.0))
     points = marks.join(outlines, ["font", "char"])
     noise = [F.when(F.col("noise") > 0, spread(what, "noise", "k", "i")).otherwise(0.0) for what in ("noise x", "noise y")]
     points = geometry.affine(points, F.col("pen") + F.col("dx"), F.col("up"), *noise, F.col("aspect"))
     em = F.col("upem") * options.em_scale
-    number = F.dense_rank().over(Window.partitionBy("g").orderBy("at", "k")) - 1
+    number = F.dense_rank().over(Window.partitionBy("g").orderBy("place", "k")) - 1
     return points.select("g", number.cast("bigint").alias("c"), F.col("char_id").alias("ch"), "i", (F.col("x") / em).alias("x"), ((F.col("y") + F.lit(options.baseline) * F.col("upem")) / em).alias("y"))
 
 
-def generate_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions()) -> tuple[DataFrame, DataFrame]:
+def generate_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions(), ligatures: DataFrame | None = None, kerning: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): a nested record for each line, with its text and font, and (g, reason) of the lines that gave none.
 
     Reasons: no font, no glyphs (nothing to draw), small (fewer than eight nodes, or no edge).
     """
     lines = checkpointed(lines)
-    contours, nodes, edges = map(checkpointed, build(checkpointed(laid_out(lines, glyphs, outlines, options)), options.graph))
+    contours, nodes, edges = build(checkpointed(laid_out(lines, glyphs, outlines, options, ligatures, kerning)), options.graph)
     kept = store.reject_small(store.graph_sizes(nodes, edges)).select("g")
     records = readers.records(nodes, edges, graph.contour_features(contours), lines.join(kept, "g", "left_semi").select("g", "text", "font"))
     drawn = contours.select("g").distinct().withColumn("drawn", F.lit(True))
@@ -193,26 +221,7 @@ def generate_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, op
 
 def write_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, folder: str, options: CorpusOptions = CorpusOptions()) -> DataFrame:
     """Writes a corpus to the shards of a folder; (shard, n) of each."""
-    return readers.write_shards(generate_corpus(lines, glyphs, outlines, options)[0], folder, options.shard_size, options.count)
-
-
-@dataclass
-class Clock:
-    """Wall time by stage, in milliseconds; the first skip rounds of each stage warm up and don't count."""
-
-    skip: int = 0
-    rounds: dict[str, list[float]] = field(default_factory=dict)
-
-    def run(self, stage: str, work: Callable):
-        began = time.perf_counter()
-        out = work()
-        self.rounds.setdefault(stage, []).append(1000 * (time.perf_counter() - began))
-        return out
-
-    def means(self) -> list[tuple[str, float]]:
-        """Stages with their mean, the longest first."""
-        counted = {k: v[self.skip :] for k, v in self.rounds.items()}
-        return sorted(((k, sum(v) / len(v)) for k, v in counted.items() if v), key=lambda x: (-x[1], x[0]))
+    return shards.write(generate_corpus(lines, glyphs, outlines, options)[0], folder, options.shard_size, options.count)
 
 
 def main(arguments: list[str] | None = None) -> None:

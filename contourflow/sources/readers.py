@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import struct
+import warnings
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,20 +15,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators import model, store
 from ..operators.generate import list_lines
-
-SHARD_SCHEMA = (
-    "text string, font string, num_nodes bigint, node_dim int, num_edges bigint, num_contours bigint, node_features array<float>, edge_index array<bigint>, "
-    "edge_features array<float>, contour_features array<float>, edge_labels array<smallint>, node_char_ids array<bigint>, node_contour_ids array<bigint>"
-)
-
+from . import shards
+from .shared import checkpointed
 
 #: The first four bytes of the font files that are taken.
 FONT_MAGIC = ("00010000", "4F54544F", "74746366", "74727565")
 
 
 def binary_pool(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("ttf", "otf", "ttc"), magic: tuple[str, ...] = FONT_MAGIC) -> DataFrame:
-    """(name, length, valid) of the files of those kinds right in a folder, by name; valid: they begin with one of magic,
-    in hex. Files that can't be read, by name or content, are flagged and not skipped; drop them by where("valid").
+    """(name, length, valid, reason) of the files of those kinds right in a folder, by name; valid: they begin with one of
+    magic, in hex. Reason is null for those, else unreadable or unknown. usable_pool drops the others. Spark lists no empty files.
 
     Only the paths are listed by Spark; of each file the first four bytes are read, whatever its size."""
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path", "length").where(F.col("path").rlike(rf"(?i)\.({'|'.join(kinds)})$"))
@@ -40,12 +36,26 @@ def binary_pool(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("ttf
                 try:
                     fs, at = pa.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
                     with fs.open_input_stream(at) as f:
-                        out.append(f.read(4).hex().upper() in magic)
+                        out.append(None if f.read(4).hex().upper() in magic else "unknown")
                 except (OSError, pa.ArrowInvalid):
-                    out.append(False)
-            yield pa.RecordBatch.from_arrays([part.column("path"), part.column("length"), pa.array(out, pa.bool_())], names=["path", "length", "valid"])
+                    out.append("unreadable")
+            yield pa.RecordBatch.from_arrays([part.column("path"), part.column("length"), pa.array(out, pa.string())], names=["path", "length", "reason"])
+
+    checked = names.mapInArrow(heads, "path string, length bigint, reason string")
+    return checked.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("reason").isNull().alias("valid"), "reason").orderBy("name")
+
 
-    return names.mapInArrow(heads, "path string, length bigint, valid boolean").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "valid").orderBy("name")
+def usable_pool(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("ttf", "otf", "ttc"), magic: tuple[str, ...] = FONT_MAGIC) -> DataFrame:
+    """(name, length) of the valid files of a pool. The others are skipped with a warning that counts them by reason; a pool
+    without any valid file is an error."""
+    pool = checkpointed(binary_pool(spark, folder, kinds, magic))
+    skipped = {r["reason"]: r["count"] for r in pool.where("not valid").groupBy("reason").count().orderBy("reason").collect()}
+    if skipped:
+        warnings.warn(f"{folder}: skipped {', '.join(f'{n} {why}' for why, n in skipped.items())}", stacklevel=2)
+    usable = pool.where("valid").select("name", "length")
+    if usable.isEmpty():
+        raise ValueError(f"no usable file in {folder}")
+    return usable
 
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:
@@ -53,92 +63,8 @@ def list_file(spark: SparkSession, path: str) -> DataFrame:
     return list_lines(spark.read.text(path))
 
 
-def unpack(raw: bytes):
-    """One MessagePack value."""
-    return _value(memoryview(raw), 0)[0]
-
-
-def _value(b: memoryview, at: int):
-    tag = b[at]
-    at += 1
-    if tag < 0x80:
-        return tag, at
-    if tag >= 0xE0:
-        return tag - 256, at
-    if tag < 0x90:
-        return _pairs(b, at, tag & 15)
-    if tag < 0xA0:
-        return _items(b, at, tag & 15)
-    if tag < 0xC0:
-        return str(b[at : at + (tag & 31)], "utf-8"), at + (tag & 31)
-    if tag in (0xC0, 0xC2, 0xC3):
-        return {0xC0: None, 0xC2: False, 0xC3: True}[tag], at
-    numbers = {0xCA: ">f", 0xCB: ">d", 0xCC: ">B", 0xCD: ">H", 0xCE: ">I", 0xCF: ">Q", 0xD0: ">b", 0xD1: ">h", 0xD2: ">i", 0xD3: ">q"}
-    if tag in numbers:
-        size = struct.calcsize(numbers[tag])
-        return struct.unpack_from(numbers[tag], b, at)[0], at + size
-    sizes = {0xC4: ">B", 0xC5: ">H", 0xC6: ">I", 0xD9: ">B", 0xDA: ">H", 0xDB: ">I", 0xDC: ">H", 0xDD: ">I", 0xDE: ">H", 0xDF: ">I"}
-    if tag not in sizes:
-        raise ValueError(f"MessagePack type {tag:#x} isn't supported")
-    n = struct.unpack_from(sizes[tag], b, at)[0]
-    at += struct.calcsize(sizes[tag])
-    if tag in (0xC4, 0xC5, 0xC6):
-        return bytes(b[at : at + n]), at + n
-    if tag in (0xD9, 0xDA, 0xDB):
-        return str(b[at : at + n], "utf-8"), at + n
-    return _items(b, at, n) if tag < 0xDE else _pairs(b, at, n)
-
-
-def _items(b: memoryview, at: int, n: int):
-    out = []
-    for _ in range(n):
-        x, at = _value(b, at)
-        out.append(x)
-    return out, at
-
-
-def _pairs(b: memoryview, at: int, n: int):
-    flat, at = _items(b, at, 2 * n)
-    return dict(zip(flat[::2], flat[1::2], strict=True)), at
-
-
-def _sized(n: int, short: int, limit: int, tags: str) -> bytes:
-    """The head of a string, list or map of n parts: short + n up to limit, else a tag for 8 (strings only), 16 or 32 bits."""
-    if n <= limit:
-        return bytes([short | n])
-    for tag, (top, form) in zip(bytes.fromhex(tags), [(0xFF, ">B"), (0xFFFF, ">H"), (0xFFFFFFFF, ">I")][-len(tags) // 2 :], strict=True):
-        if n <= top:
-            return bytes([tag]) + struct.pack(form, n)
-    raise ValueError(f"{n} parts are too many")
-
-
-def pack(x) -> bytes:
-    """One value as MessagePack: None, booleans, numbers, strings, bytes, lists, numpy arrays (f32, u32 or u8) and dicts."""
-    if isinstance(x, np.ndarray):
-        tag, form = {"f": (0xCA, ">f4"), "u": (0xCE, ">u4") if x.dtype.itemsize > 1 else (0xCC, "u1"), "i": (0xCE, ">u4")}[x.dtype.kind]
-        rows = np.empty(len(x), dtype=[("t", "u1"), ("v", form)])
-        rows["t"], rows["v"] = tag, x
-        return _sized(len(x), 0x90, 15, "dcdd") + rows.tobytes()
-    if x is None or isinstance(x, bool):
-        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[x]
-    if isinstance(x, int):
-        if 0 <= x < 0x80:
-            return bytes([x])
-        return struct.pack(">BQ", 0xCF, x) if x >= 0 else struct.pack(">Bq", 0xD3, x)
-    if isinstance(x, float):
-        return struct.pack(">Bd", 0xCB, x)
-    if isinstance(x, str):
-        raw = x.encode()
-        return _sized(len(raw), 0xA0, 31, "d9dadb") + raw
-    if isinstance(x, bytes):
-        return _sized(len(x), 0, -1, "c4c5c6") + x
-    if isinstance(x, dict):
-        return _sized(len(x), 0x80, 15, "dedf") + b"".join(pack(k) + pack(v) for k, v in x.items())
-    return _sized(len(x), 0x90, 15, "dcdd") + b"".join(map(pack, x))
-
-
 def records(nodes: DataFrame, edges: DataFrame, contours: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(g, and the columns of SHARD_SCHEMA): one nested row for each graph that has an edge, as records are exchanged.
+    """(g, and the columns of shards.SCHEMA): one nested row for each graph that has an edge, as records are exchanged.
 
     nodes has g, n, c, ch and model.NODE, edges g, e, src, dst, label and model.EDGE, contours g, c and model.CONTOUR,
     provenance g, text, font. Node ids of edges become places in the order of n, contours are in the order of c. Edges are
@@ -159,52 +85,6 @@ def records(nodes: DataFrame, edges: DataFrame, contours: DataFrame, provenance:
     )
 
 
-def write_shards(rows: DataFrame, folder: str, size: int, count: int) -> DataFrame:
-    """Writes records (SHARD_SCHEMA and g) to shard_00000.msgpack and on in folder, graph g to shard g div size; (shard, n).
-
-    There is a file for each shard of count graphs; graphs that were filtered out leave shorter ones. A shard is one
-    task's, its size records bound it; a task that runs again writes the same file anew. folder is any address that
-    pyarrow opens and all executors reach.
-    """
-    names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
-
-    def write(key, group):
-        out = []
-        for r in group[group["num_nodes"].notna()].sort_values("g").to_dict("records"):
-            arrays = {c: np.asarray(r[c], dtype) for c, dtype in [("node_features", "f4"), ("edge_index", "u4"), ("edge_features", "f4"), ("contour_features", "f4"), ("edge_labels", "u1"), ("node_char_ids", "u4"), ("node_contour_ids", "u4")]}
-            numbers = {c: int(r[c]) for c in ("num_nodes", "node_dim", "num_contours")}
-            out.append({**numbers, "edge_dim": len(model.EDGE), "contour_dim": len(model.CONTOUR), **arrays, "text": r["text"], "font": r["font"]})
-        fs, at = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
-        fs.create_dir(at, recursive=True)
-        with fs.open_output_stream(f"{at}/shard_{int(key[0]):05}.msgpack") as f:
-            f.write(pack(out))
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(out)]})
-
-    own = rows.select("g", *names).withColumn("shard", F.expr(f"g div {size}"))
-    every = rows.sparkSession.range((count + size - 1) // size).select(F.col("id").alias("shard"))
-    return own.unionByName(every, allowMissingColumns=True).groupBy("shard").applyInPandas(write, "shard bigint, n bigint")
-
-
-def shards(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
-    """Records of a folder's .msgpack shards, in order of name; the first limit shards unless that is 0."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.msgpack").load(folder)
-    if files.isEmpty():
-        raise ValueError(f"no shards in {folder}")
-    if limit:
-        files = files.orderBy("path").limit(limit)
-
-    names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
-
-    def decoded(parts):
-        for pdf in parts:
-            for raw in pdf.content:
-                rows = [{"text": "", "font": "", "num_edges": len(r.get("edge_labels", ())), **r} for r in unpack(bytes(raw))]
-                for at in range(0, len(rows), 64):  # a few records at a time
-                    yield pd.DataFrame(rows[at : at + 64], columns=names)
-
-    return files.select("content").mapInPandas(decoded, SHARD_SCHEMA)
-
-
 #: Fixed values of the weight dump's format.
 MAGIC, VERSION = b"GNNW", 1
 
@@ -281,7 +161,7 @@ def opened(spark: SparkSession, path: str) -> DataFrame:
     """A packed store (a folder with a graphs table) or a folder of shards, whichever path holds."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/graphs")
     packed = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-    return spark.read.parquet(f"{path}/graphs") if packed else shards(spark, path)
+    return spark.read.parquet(f"{path}/graphs") if packed else shards.read(spark, path)
 
 
 def packed(spark: SparkSession, path: str, name: str, ids: DataFrame | list[int] | None = None, shards: int = 0) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +25,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that a lost executor costs no recomputation."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as Parquet in the shared folder, parted by columns that later reads choose by. The files go when this process ends.
+
+    Rounds that join what the round before has made must use this, not checkpointed: a checkpoint keeps the estimate of its
+    plan, which every such join squares until planning itself takes all the time; of files Spark knows the true size.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    atexit.register(_removed, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

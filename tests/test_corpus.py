@@ -2,12 +2,13 @@
 
 import math
 import struct
+import unicodedata
 
 import numpy as np
 import pytest
-from contourflow.operators import analyze, decode, generate, metrics, split, store
+from contourflow.operators import analyze, buckets, decode, generate, geometry, graph, metrics, split, store
 from contourflow.plans import engine
-from contourflow.sources import readers
+from contourflow.sources import msgpack, readers, shards
 from pyspark.sql import functions as F
 
 
@@ -65,8 +66,8 @@ def test_corpus_to_shards_and_back(spark, tmp_path):
     written = engine.write_corpus(lines, glyphs, outlines, str(tmp_path / "out"), options).collect()
     assert sorted(r.shard for r in written) == [0, 1, 2] and sum(r.n for r in written) == 25 - len(reasons)
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"shard_{k:05}.msgpack" for k in range(3)]
-    columns = [c.split()[0] for c in readers.SHARD_SCHEMA.split(", ")]
-    back = readers.shards(spark, str(tmp_path / "out")).select(columns)
+    columns = [c.split()[0] for c in shards.SCHEMA.split(", ")]
+    back = shards.read(spark, str(tmp_path / "out")).select(columns)
     assert sorted(map(repr, back.collect())) == sorted(map(repr, kept.select(columns).collect()))
     assert set(store.record_violations(back).first()) == {0} and store.check_widths(back) == 13
     r = kept.first()
@@ -88,8 +89,8 @@ def test_texts_in_turn_and_mixed(spark):
 
 def test_messagepack_round_trip():
     x = {"a": [1, -5, 2**40, 1.5, None, True], "b": "é" * 300, "c": b"\0" * 70_000, "d": {str(i): i for i in range(20)}, "e": list(range(70_000))}
-    assert readers.unpack(readers.pack(x)) == x
-    assert readers.unpack(readers.pack([np.array([0.5, 2], "f4"), np.array([7, 2**32 - 1], "u4"), np.array([1, 0], "u1")])) == [[0.5, 2.0], [7, 2**32 - 1], [1, 0]]
+    assert msgpack.unpack(msgpack.pack(x)) == x
+    assert msgpack.unpack(msgpack.pack([np.array([0.5, 2], "f4"), np.array([7, 2**32 - 1], "u4"), np.array([1, 0], "u1")])) == [[0.5, 2.0], [7, 2**32 - 1], [1, 0]]
 
 
 def test_packed_store_subsets(spark, tmp_path):
@@ -156,12 +157,91 @@ def test_reports(spark):
     assert shown == ["二        1        0   0.0000", "x         2        2   1.0000", "... 1 more"]
 
 
-def test_clock_leaves_warm_up_out():
-    clock = engine.Clock(skip=1)
-    for _ in range(3):
-        assert clock.run("a", lambda: 7) == 7
-    clock.run("b", lambda: None)
-    assert [k for k, _ in clock.means()] == ["a"] and len(clock.rounds["a"]) == 3
+def test_stage_times_come_from_the_tasks(spark):
+    nodes = spark.range(600).selectExpr("id % 30 as g", "id as n", "id % 4 as c", "cast(id % 17 as double) as x", "cast(id % 13 as double) as y")
+    with buckets.Watch(spark) as watch:
+        graph.neighbours(nodes).count()
+        graph.closest_pairs(nodes).count()
+    rows = {r[0]: r for r in watch.rows()}
+    assert set(rows) == {"neighbours", "closest_pairs"} and all(n >= 1 and 0 < mean <= most for _, n, mean, most in rows.values())
+    graph.neighbours(nodes).count()
+    assert {r[0]: r[1] for r in watch.rows()} == {k: r[1] for k, r in rows.items()}
+    with buckets.Watch(spark, skip=10**6) as watch:
+        graph.neighbours(nodes).count()
+    assert watch.rows() == []
+
+
+def test_quantiles_equal_numpy(spark):
+    draw = np.random.default_rng(4)
+    for values in (draw.integers(0, 9, 400).astype(float), draw.lognormal(0, 8, 333), np.array([2.5]), np.array([-1e300, 0.0, 5e-324, 1e300]), np.repeat(7.0, 50)):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        shares = [0.0, 0.3, 0.5, 0.95, 1.0]
+        assert np.allclose(analyze.quantiles(rows, "v", shares), np.quantile(values, shares), rtol=1e-12)
+        assert analyze.ranked(rows.where("v is not null"), "v", list(range(len(values)))[:40], cells=5) == sorted(values.tolist())[:40]
+    assert analyze.quantiles(rows.limit(0), "v", [0.5]) == [None]
+
+
+def test_shards_appear_only_when_all_are_written(spark, tmp_path):
+    row = {"text": "Ag", "font": "f", "num_nodes": 1, "node_dim": 1, "num_edges": 1, "num_contours": 1, "node_features": [0.5], "edge_index": [0, 0], "edge_features": [0.0], "contour_features": [1.0], "edge_labels": [1], "node_char_ids": [0], "node_contour_ids": [0]}
+    rows = spark.createDataFrame([row | {"g": g} for g in range(40) if g // 10 != 2], shards.SCHEMA + ", g bigint")
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    assert {r.shard: r.n for r in shards.write(rows, good, 10, 50).collect()} == {0: 10, 1: 10, 2: 0, 3: 10, 4: 0}
+    assert sorted(p.name for p in (tmp_path / "good").iterdir()) == [f"shard_{k:05}.msgpack" for k in range(5)]
+    back = shards.read(spark, good)
+    assert back.count() == 30 and back.rdd.getNumPartitions() == 5 and shards.read(spark, good, 2).count() == 20 and shards.read(spark, good, 2).rdd.getNumPartitions() == 2
+    fails = rows.withColumn("text", F.when(F.col("g") == 35, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        shards.write(fails, bad, 10, 40)
+    assert not (tmp_path / "bad").exists() or not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
+    shards.write(rows.limit(7), good, 10, 10)
+    assert shards.read(spark, good, 1).count() == 7
+
+
+def test_unusable_files_are_skipped_with_a_warning(spark, tmp_path):
+    for name, head in {"b.ttf": b"\0\1\0\0", "a.otf": b"OTTO", "c.ttc": b"junk", "e.ttf": b""}.items():
+        (tmp_path / name).write_bytes(head)
+    with pytest.warns(UserWarning, match="skipped 1 unknown"):
+        assert [r.name for r in readers.usable_pool(spark, str(tmp_path)).orderBy("name").collect()] == ["a.otf", "b.ttf"]
+    with pytest.warns(UserWarning), pytest.raises(ValueError):
+        readers.usable_pool(spark, str(tmp_path), kinds=("ttc",))
+
+
+def slow_shape(text, ligatures):
+    out, at = [], 0
+    while at < len(text):
+        fits = [p for p in ligatures if text.startswith(p, at)]
+        part = max(fits, key=len, default=text[at])
+        mark = unicodedata.category(text[at]).startswith("M") and bool(out)
+        out.append((out[-1][0] if mark else at, ligatures.get(part, part)))
+        at += len(part)
+    return out
+
+
+def test_ligatures_take_the_longest_and_make_one_cluster(spark):
+    table = {"fi": "FI", "ffi": "FFI", "ff": "FF", "f.": "DOT", "🙂a": "SMILE", "\\E": "ESC"}
+    texts = ["office fluffi fig", "ffffi", "f.i\\Ex", "e\u0301fi\u0302", "🙂a🙂b", "", None, "\u0301fi", "a\nfi"]
+    lines = spark.createDataFrame([(i, "serif", t) for i, t in enumerate(texts)] + [(50, "other", "fi")], "g bigint, font string, text string")
+    rows = geometry.shaped(lines, spark.createDataFrame([("serif", k, v) for k, v in table.items()] + [("third", "of", "x")], "font string, parts string, char string"))
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.g, r.k)):
+        got.setdefault(r.g, []).append((r.at, r.char))
+    assert got.pop(50) == [(0, "f"), (1, "i")]
+    assert got == {i: slow_shape(t, table) for i, t in enumerate(texts) if t}
+    plain = geometry.shaped(lines)
+    assert plain.where("g = 0").count() == len(texts[0]) and plain.where("g = 4").count() == 4
+    kern = spark.createDataFrame([("serif", "FFI", "c", -3.0), ("serif", "c", "e", 2.0)], "font string, char string, next string, kern double")
+    assert [r.kern for r in geometry.kerned(rows.where("g = 0"), kern, "g").orderBy("k").collect()][:4] == [0.0, -3.0, 2.0, 0.0]
+
+
+def test_a_ligature_is_one_character_of_a_line(spark):
+    glyphs, outlines = font(spark)
+    options = engine.CorpusOptions(count=1)
+    lines = spark.createDataFrame([(0, "aab", "f", 0.0, 1.0, 0.0, 0.0)], "g bigint, text string, font string, tracking double, aspect double, jitter double, noise double")
+    ligature = spark.createDataFrame([("f", "aa", "b")], "font string, parts string, char string")
+    kern = spark.createDataFrame([("f", "b", "b", 100.0)], "font string, char string, next string, kern double")
+    plain, joined, moved = (engine.laid_out(lines, glyphs, outlines, options, *more).collect() for more in ((), (ligature,), (ligature, kern)))
+    assert len({r.ch for r in plain}) == 3 and len({r.ch for r in joined}) == 2
+    assert max(r.x for r in moved) > max(r.x for r in joined)
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from contourflow.operators import analyze, buckets, decode, generate, geometry, graph, metrics, model, score, split, store
 from contourflow.plans import engine
-from contourflow.sources import readers
+from contourflow.sources import readers, shards
 from contourflow.streaming import streamed_pairs, windowed
 from pyspark.sql import functions as F
 
@@ -324,11 +324,11 @@ def test_shards(spark, tmp_path):
     record = {"text": "Ag", "num_nodes": 2, "node_dim": 1, "num_edges": 1, "num_contours": 1, "node_features": [0.5, 1.5], "edge_index": [0, 1], "edge_features": [0.0], "contour_features": [1.0], "edge_labels": [1], "node_char_ids": [4294967295, 0], "node_contour_ids": [0, 0]}
     for k in range(3):
         (tmp_path / f"shard_{k:05}.msgpack").write_bytes(packed([record, record | {"font": f"f{k}"}]))
-    rows = readers.shards(spark, str(tmp_path), limit=2).collect()
+    rows = shards.read(spark, str(tmp_path), limit=2).collect()
     assert len(rows) == 4 and rows[0].text == "Ag" and rows[0].font == "" and rows[0].node_features == [0.5, 1.5] and rows[0].node_char_ids[0] == 4294967295
     with pytest.raises(ValueError):
         (tmp_path / "none").mkdir()
-        readers.shards(spark, str(tmp_path / "none"))
+        shards.read(spark, str(tmp_path / "none"))
 
 
 def test_weights_round_trip():
