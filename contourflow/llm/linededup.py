@@ -5,15 +5,17 @@ Everything is a DataFrame or SQL expression; no Python runs on the executors.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: A chunk ends after a line if the hash rolled over it and the line before is 0 modulo this.
-DIVISOR = 4
-#: A single repeated line goes if it has so many words.
-LONE_WORDS = 40
+#: A chunk ends after a line if the hash rolled over so many lines up to it is 0 modulo DIVISOR.
+ROLLED, DIVISOR = 4, 4
+#: Of the rolling hash: a prime below 2^31, so that no product passes 64 bits, and a factor.
+PRIME, FACTOR = 2_147_483_647, 1_103_515_245
 #: What can't be told from an empty line.
 _BLANK = r"^[\x20\x09-\x0D]*$"
 CHUNK, PAIR, LINE = 0, 1, 2
@@ -23,6 +25,12 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
+def rolled(hashes: list[Column]) -> Column:
+    """The polynomial of some neighbouring lines' hashes, null if there are fewer lines."""
+    own = [F.pmod(h, F.lit(PRIME)) for h in hashes]
+    return functools.reduce(lambda r, h: F.pmod(r * F.lit(FACTOR) + h, F.lit(PRIME)), own)
+
+
 def _of(*columns: str) -> Column:
     """A join key that no aggregation is dealt by, so that both sides of the join are dealt anew and Spark may split what
     is hot."""
@@ -33,9 +41,9 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     """Rows (id, th, seq, pos, to, h, p, starts, ends, size), one for each line that isn't blank; docs has id, th, text.
 
     pos numbers all lines of the document, seq those that aren't blank, to is the next such line's pos plus one. h is
-    the line's hash, p that of it and the next. ends: the hash rolled over the line and the one before is 0 modulo
-    DIVISOR, or the document ends; starts: the line before ends. So boundaries come from the lines alone and are the same wherever two
-    lines occur, whatever stands around them.
+    the line's hash, p that of it and the next. ends: the hash rolled over the last ROLLED lines is 0 modulo DIVISOR, or the
+    document ends; starts: the line before ends. So boundaries come from the lines alone and are the same wherever ROLLED
+    lines follow each other, whatever stands around them.
     """
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     filled = F.filter(numbered, lambda x: ~x["line"].rlike(_BLANK))
@@ -44,10 +52,10 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     once = docs.where("id is not null and text is not null").select("id", "th", own.alias("x")).dropDuplicates(["id", "th"])
     rows = once.select("id", "th", F.posexplode("x").alias("seq", "x")).select("id", "th", "seq", "x.*")
     by = Window.partitionBy("id", "th").orderBy("seq")
-    cut = lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(DIVISOR)) == 0
-    one, two, on = F.lag("h").over(by), F.lag("h", 2).over(by), F.lead("h").over(by)
-    starts = one.isNull() | (two.isNotNull() & cut(two, one))
-    ends = on.isNull() | (one.isNotNull() & cut(one, F.col("h")))
+    one, on = F.lag("h").over(by), F.lead("h").over(by)
+    rows = rows.withColumn("rolled", rolled([F.lag("h", k).over(by) if k else F.col("h") for k in reversed(range(ROLLED))]))
+    cut = F.pmod("rolled", F.lit(DIVISOR)) == 0
+    starts, ends = one.isNull() | F.coalesce(F.lag(cut).over(by), F.lit(False)), on.isNull() | F.coalesce(cut, F.lit(False))
     return rows.select("id", "th", "seq", "pos", (F.lead("pos").over(by) + 1).alias("to"), "h", F.when(on.isNotNull(), F.xxhash64("h", on)).alias("p"), starts.alias("starts"), ends.alias("ends"), "size")
 
 
@@ -70,12 +78,13 @@ def chunks(lines: DataFrame) -> DataFrame:
     return whole.where("starts and ends and n > 1").select("id", "th", "seq", "n", "pos", "to", "h")
 
 
-def candidates(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
+def candidates(docs: DataFrame, lone_words: int | None = None, chunked: bool = True) -> DataFrame:
     """Rows (id, th, kind, seq, n, pos, to, h) of what occurs more than once by its hash; docs has id, th, text.
 
     First whole chunks. What stands at the ends of a repeated passage shares its chunk with other lines; it is found at
     the finest scale, as pairs of neighbouring lines. Pairs inside a chunk that an earlier one repeats are left out: they
-    occur in the earlier one. Lines long enough for lone_words words are candidates too.
+    occur in the earlier one, so what chunks find is neither paired nor compared line by line (chunked: False leaves chunks
+    out, to see what they save). Lines long enough for lone_words words are candidates too.
     """
     lines = checkpointed(hashed_lines(docs))
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_of("h"))
@@ -84,7 +93,7 @@ def candidates(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFram
     lines = lines.withColumn("fresh", F.coalesce(F.col("starts") | (F.lag("seq").over(by) != F.col("seq") - 1), F.lit(True)))
     lines = lines.withColumn("start", F.max(F.when(F.col("fresh"), F.col("seq"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     lines = checkpointed(lines.drop("fresh"))
-    whole = checkpointed(repeated(chunks(lines), "h"))
+    whole = checkpointed(repeated(chunks(lines.where(F.lit(chunked))), "h"))
     gone = whole.where("again").select("id", "th", F.col("seq").alias("start"), F.col("n").alias("long"))
     left = lines.join(gone, ["id", "th", "start"], "left")
     pairs = left.where("p is not null and (long is null or seq = start + long - 1)").select("id", "th", "seq", F.lit(2).alias("n"), "pos", "to", F.col("p").alias("h"))
@@ -95,7 +104,7 @@ def candidates(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFram
     return out
 
 
-def removals(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
+def removals(docs: DataFrame, lone_words: int | None = None) -> DataFrame:
     """Rows (id, th, kept, n_gone): of documents that lose lines, the stretches (from, n) of lines that stay, and how many go.
 
     docs has id, th, text and row (all other columns).
@@ -126,10 +135,10 @@ def removals(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
     return runs.groupBy("id", "th").agg(F.concat(stay, rest).alias("kept"), F.sum(F.col("to") - F.col("pos")).cast("bigint").alias("n_gone"))
 
 
-def dedup_lines(docs: DataFrame, lone_words: int | None = LONE_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, lone_words: int | None = None) -> DataFrame:
     """docs with repeated runs of lines removed from text, and the counts n_lines and n_removed added.
 
-    A run is two neighbouring lines or more, or a single line of lone_words words (None: no single line). Of each run that the corpus holds
+    A run is two neighbouring lines or more; or, if lone_words is given, a single line of that many words. Of each run that the corpus holds
     more than once, byte for byte, the occurrence of the smallest doc_id, then the first in it, stays: a line goes if it
     and a neighbour stand side by side somewhere earlier too. So the first occurrence of each line always stays. Runs
     are found as content-defined chunks, and at their ends as pairs of lines, whatever lines stand before and after.

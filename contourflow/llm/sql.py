@@ -14,13 +14,12 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
-#: A line goes if it and a neighbour stood side by side before, or if it has 40 words and stood before; blank lines between such go too.
+#: A line goes if it and a neighbour stood side by side before; blank lines between such go too.
 LINE_DEDUP = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 f AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-p AS (SELECT doc_id, pos, next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) > 1 AS pair,
-      len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 40 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS lone FROM f),
-g AS (SELECT doc_id, pos, pair OR lone OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM p),
+p AS (SELECT doc_id, pos, next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) > 1 AS pair FROM f),
+g AS (SELECT doc_id, pos, pair OR coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM p),
 a AS (SELECT l.doc_id, l.pos, line, CASE WHEN gone IS NOT NULL THEN gone ELSE coalesce(last_value(gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
       AND first_value(gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) END AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos),
 o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM a GROUP BY doc_id)

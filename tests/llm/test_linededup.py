@@ -9,7 +9,7 @@ def long(tag, n=30):
     return " ".join(f"{tag}{i}" for i in range(n))
 
 
-def brute(rows, lone=40):
+def brute(rows, lone=None):
     """(doc_id, hash) -> (text, lines removed); rows of (doc_id, hash, text)."""
     out, seen = {}, set()
     for i, h, text in sorted({r for r in rows if r[0] is not None and r[2] is not None}):
@@ -18,7 +18,7 @@ def brute(rows, lone=40):
         gone = set()
         for a, p in enumerate(filled):
             for key, own in [((lines[p], *[lines[q] for q in filled[a + 1 : a + 2]]), {a, a + 1}), ((lines[p],), {a})]:
-                if len(key) == 2 or len(own) == 1 and len(lines[p].split()) >= lone:
+                if len(key) == 2 or len(own) == 1 and lone is not None and len(lines[p].split()) >= lone:
                     gone |= own if key in seen else set()
                     seen.add(key)
         drop = {filled[a] for a in gone} | {p for a in gone if a + 1 in gone for p in range(filled[a], filled[a + 1])}
@@ -26,10 +26,10 @@ def brute(rows, lone=40):
     return out
 
 
-def same_as_brute(spark, rows):
+def same_as_brute(spark, rows, lone=None):
     docs = spark.createDataFrame([(*r, "x", 1, 2, "k", 3, 4) for r in rows], "doc_id bigint, text string, gone string, _id int, _th int, k string, row int, id int").withColumn("h", F.xxhash64("text"))
-    want = brute([(r.doc_id, r.h, r.text) for r in docs.collect()])
-    got = linededup.dedup_lines(docs)
+    want = brute([(r.doc_id, r.h, r.text) for r in docs.collect()], lone)
+    got = linededup.dedup_lines(docs, lone)
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
     got = got.collect()
     assert len(got) == len(rows)
@@ -40,15 +40,25 @@ def same_as_brute(spark, rows):
     return got
 
 
-@pytest.mark.parametrize("n", [1, 2, 8])
-def test_equals_brute_force(spark, n):
+@pytest.mark.parametrize(("n", "lone"), [(1, 40), (2, None), (8, None), (8, 40)])
+def test_equals_brute_force(spark, n, lone):
     rng = random.Random(n)
     line = lambda k: " ".join(f"w{rng.randrange(300)}" for _ in range(k))
     common, passages = [line(3) for _ in range(30)], ["\n".join(line(rng.choice([5, 8, 50])) for _ in range(n)) for _ in range(30)]
     pick = [lambda: rng.choice(passages), lambda: rng.choice(common), lambda: line(6), lambda: "", lambda: " \r"]
     rows = [(d, "\n".join(rng.choice(pick)() for _ in range(rng.randint(1, 6)))) for d in range(200)]
     rows += [*rows[:5], (7, "another"), (None, passages[0]), (900, None), (901, ""), (902, "\n\n"), (903, "a\na\na\nb\na\na")]
-    same_as_brute(spark, rows)
+    same_as_brute(spark, rows, lone)
+
+
+def test_chunks_leave_less_to_pairs(spark):
+    rng = random.Random(1)
+    passages = ["\n".join(long(f"p{k}x{j}y", 3) for j in range(24)) for k in range(20)]
+    rows = [(d, f"{long(f'a{d}q')}\n{passages[d % 20]}\n{long(f'b{d}q')}\n{long(f'c{rng.randrange(9)}q')}") for d in range(300)]
+    docs = spark.createDataFrame(rows, "id bigint, text string").withColumn("th", F.xxhash64("text"))
+    counts = [dict(linededup.candidates(docs, chunked=c).groupBy("kind").count().collect()) for c in (True, False)]
+    chunks, pairs, alone = counts[0][linededup.CHUNK], counts[0][linededup.PAIR], counts[1][linededup.PAIR]
+    assert linededup.CHUNK not in counts[1] and chunks > 300 and pairs < 0.6 * alone, (chunks, pairs, alone)
 
 
 @pytest.mark.parametrize("n", [2, 4, 16])
@@ -64,7 +74,7 @@ def test_passages_after_a_common_line_go_whole(spark, n):
 def test_long_texts(spark):
     block = "\n".join(f"line {i} of the block" for i in range(5_000))
     rows = [(1, block), (2, f"before\n{block}\nafter"), (3, "\n".join(f"line {i} of the block\nnew {i}" for i in range(5_000))), (4, "word " * 300_000), (5, "word " * 300_000)]
-    got = {r.doc_id: r for r in same_as_brute(spark, rows)}
+    got = {r.doc_id: r for r in same_as_brute(spark, rows, 40)}
     assert got[2].text == "before\nafter" and got[3].n_removed == 0 and got[5].text == ""
 
 
@@ -76,7 +86,7 @@ def test_passages_go_wherever_they_stand(spark):
     rows += [(20, f"{long('e')}\n{passage}"), (20, f"{long('e')}\n{passage}"), (None, passage), (21, passage), (21, "same id, other text")]
     rows = [(*r, "x")[:3] for r in rows]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, h string")
-    got = linededup.dedup_lines(docs).collect()
+    got = linededup.dedup_lines(docs, lone_words=40).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -90,7 +100,7 @@ def test_passages_go_wherever_they_stand(spark):
     assert [r.text for r in by[20]] == [long("e")] * 2 and by[None][0].text == passage
     assert sorted(r.text for r in by[21]) == ["", "same id, other text"]
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
-    assert linededup.dedup_lines(docs, lone_words=None).where("doc_id = 11").first().text == f"{lone}\n{long('d')}"
+    assert linededup.dedup_lines(docs).where("doc_id = 11").first().text == f"{lone}\n{long('d')}"
 
 
 def test_repeats_within_a_document(spark):
