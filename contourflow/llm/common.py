@@ -48,14 +48,14 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def valid_text(column: str = "text") -> Column:
-    """A text with what isn't UTF-8 replaced by U+FFFD; null is empty."""
-    return F.make_valid_utf8(F.coalesce(F.col(column), F.lit("")))
+def repaired(docs: DataFrame, column: str = "text") -> DataFrame:
+    """docs with what isn't UTF-8 in a text replaced by U+FFFD: Parquet and Spark let any bytes be a string."""
+    return docs.withColumn(column, F.make_valid_utf8(column))
 
 
 def raw_text(column: str = "text") -> Column:
-    """The UTF-8 bytes of a text; null is empty."""
-    return F.coalesce(F.col(column), F.lit("")).cast("binary")
+    """The UTF-8 bytes of a text, what isn't UTF-8 replaced by U+FFFD; null is empty."""
+    return F.make_valid_utf8(F.coalesce(F.col(column), F.lit(""))).cast("binary")
 
 
 def words_of(raw: bytes) -> list[bytes]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import batches, stored
+from .common import batches, repaired, stored
 from .simhash import majority
 
 WIDTH, LEAST = 5, 0.8
@@ -51,36 +51,61 @@ def simhash(grams: list[tuple]) -> int:
     return sum(h << (64 * i) for i, h in enumerate(halves))
 
 
+def _flips(bits: int, most: int) -> np.ndarray:
+    """All masks of so many bits with at most most of them set."""
+    masks = np.arange(1 << bits, dtype=np.uint32)
+    return masks[np.bitwise_count(masks) <= most].astype(np.uint64)
+
+
 class HammingIndex:
     """All stored fingerprints within radius of a query, by blocks.
 
-    The bits are cut into n_blocks; of radius differing bits some block has at most radius // n_blocks. Each block's
-    distinct values are a table; a query takes from each table the values within so many bits and misses nothing; what
-    it finds is verified. Of four blocks of 32 bits, within nine bits each, an unrelated fingerprint passes one in 4 %.
+    The bits are cut into four blocks; of radius differing bits some block has at most radius // 4. A block is looked up by
+    its halves, one of which then differs in at most half as many bits: all those variants of a half are looked up in a
+    table of the halves, and what has one of them is kept if the whole block is near. So nothing is missed, and a query asks
+    for as many values however many fingerprints there are. Of four blocks of 32 bits, within nine bits each, an unrelated
+    fingerprint passes one in 4 %. Of few fingerprints all blocks are compared, which finds the same.
     """
 
-    def __init__(self, fingerprints: list[int], radius: int = RADIUS, n_blocks: int = 4, bits: int = BITS):
-        self.fps, self.radius, self.n, self.size = fingerprints, radius, n_blocks, bits // n_blocks
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        blocks = np.array([self._blocks(fp) for fp in fingerprints], dtype=np.uint64).reshape(-1, n_blocks)
-        for b in range(n_blocks):
-            order = np.argsort(blocks[:, b], kind="stable")
-            values, starts = np.unique(blocks[order, b], return_index=True)
-            self.tables.append((values, np.append(starts, len(order)), order))
+    BLOCKS, FEW = 4, 2_048
+    FLIPS = _flips(BITS // BLOCKS // 2, RADIUS // BLOCKS // 2)
+
+    def __init__(self, fingerprints: list[int], radius: int = RADIUS):
+        self.radius, self.size = radius, BITS // self.BLOCKS
+        self.words = np.array([[fp >> (64 * i) & (1 << 64) - 1 for i in range(BITS // 64)] for fp in fingerprints], dtype=np.uint64).reshape(-1, BITS // 64)
+        self.blocks = np.array([self._blocks(fp) for fp in fingerprints], dtype=np.uint64).reshape(-1, self.BLOCKS)
+        self.halves: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(fingerprints) > self.FEW:
+            for k in range(2 * self.BLOCKS):
+                half = self._half(self.blocks, k).astype(np.int64)
+                starts = np.concatenate([[0], np.cumsum(np.bincount(half, minlength=1 << self.size // 2))])
+                self.halves.append((starts, np.argsort(half, kind="stable")))
 
     def _blocks(self, fp: int) -> list[int]:
-        return [(fp >> (self.size * i)) & ((1 << self.size) - 1) for i in range(self.n)]
+        return [(fp >> (self.size * i)) & ((1 << self.size) - 1) for i in range(self.BLOCKS)]
 
-    def proposed(self, fp: int) -> set[int]:
+    def _half(self, blocks: np.ndarray, k: int) -> np.ndarray:
+        return blocks[..., k // 2] >> np.uint64(self.size // 2 * (k % 2)) & np.uint64((1 << self.size // 2) - 1)
+
+    def proposed(self, fp: int) -> np.ndarray:
         """What some block finds."""
-        found: set[int] = set()
-        for (values, starts, order), x in zip(self.tables, self._blocks(fp), strict=True):
-            for v in np.flatnonzero(np.bitwise_count(values ^ np.uint64(x)) <= self.radius // self.n).tolist():
-                found.update(order[starts[v] : starts[v + 1]].tolist())
-        return found
+        own, most = np.array(self._blocks(fp), dtype=np.uint64), self.radius // self.BLOCKS
+        if not self.halves:
+            return np.flatnonzero((np.bitwise_count(self.blocks ^ own) <= most).any(axis=1))
+        found = []
+        for k, (starts, order) in enumerate(self.halves):
+            value = (self._half(own, k) ^ self.FLIPS).astype(np.int64)
+            low, sizes = starts[value], starts[value + 1] - starts[value]
+            held = np.flatnonzero(sizes)
+            low, sizes = low[held], sizes[held]
+            some = order[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)]
+            found.append(some[np.bitwise_count(self.blocks[some, k // 2] ^ own[k // 2]) <= most])
+        return np.unique(np.concatenate(found))
 
     def near(self, fp: int) -> list[int]:
-        return sorted(i for i in self.proposed(fp) if (self.fps[i] ^ fp).bit_count() <= self.radius)
+        some = self.proposed(fp)
+        own = np.array([fp >> (64 * i) & (1 << 64) - 1 for i in range(BITS // 64)], dtype=np.uint64)
+        return some[np.bitwise_count(self.words[some] ^ own).sum(axis=1, dtype=np.int64) <= self.radius].tolist()
 
 
 class Benchmark:
@@ -101,17 +126,33 @@ class Benchmark:
             self.indexes[n] = own, HammingIndex([simhash(shingles(self.items[k][1])) for k in own])
         self.widths = sorted({min(WIDTH, len(w)) for _, w in self.items})
         self.codes: dict[int, tuple[np.ndarray, list[list[int]], np.ndarray]] = {}
+        self.held: list[np.ndarray] = [np.empty(0, np.uint64)] * len(self.items)
         for width in self.widths:
-            of: dict[int, set[int]] = defaultdict(set)
-            for k, (_, w) in enumerate(self.items):
-                if min(WIDTH, len(w)) == width:
-                    ids = np.array([self.vocabulary[x] for x in w], dtype=np.uint64)
-                    for c in self._code(ids, width).tolist():
-                        of[c].add(k)
+            own = [k for k, (_, w) in enumerate(self.items) if min(WIDTH, len(w)) == width]
+            each = {k: Counter(self._code(np.array([self.vocabulary[x] for x in self.items[k][1]], dtype=np.uint64), width).tolist()) for k in own}
+            often = Counter(c for counts in each.values() for c in counts)
+            of: dict[int, list[int]] = defaultdict(list)
+            for k, counts in each.items():
+                self.held[k] = np.array(sorted(counts), dtype=np.uint64)
+                for c in self._rarest(counts, often):
+                    of[c].append(k)
             keys = np.array(sorted(of), dtype=np.uint64)
             filter_ = np.zeros(1 << 20, dtype=bool)
             filter_[keys >> np.uint64(44)] = True
-            self.codes[width] = keys, [sorted(of[c]) for c in keys.tolist()], filter_
+            self.codes[width] = keys, [of[c] for c in keys.tolist()], filter_
+
+    @staticmethod
+    def _rarest(counts: Counter, often: Counter) -> list[int]:
+        """Shingles of an item, those that the fewest items have first, of which any window as similar as LEAST holds one: as
+        many occurrences as such a window may lack, and one more."""
+        total = sum(counts.values())
+        left, out = total - math.ceil(LEAST * total - 1e-9) + 1, []
+        for c in sorted(counts, key=lambda c: (often[c], c)):
+            if left <= 0:
+                break
+            out.append(c)
+            left -= counts[c]
+        return out
 
     @staticmethod
     def _code(ids: np.ndarray, width: int) -> np.ndarray:
@@ -127,12 +168,25 @@ class Benchmark:
             h ^= h >> np.uint64(29)
         return np.where(known, h * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1), np.uint64(0))
 
+    @staticmethod
+    def _around(code: np.ndarray, begin: int, size: int, seen: list[int], n: int, held: np.ndarray) -> np.ndarray:
+        """The places of a text, at most n words from one of those seen, where a shingle is one of held."""
+        out, done = [], 0
+        for p in seen:
+            low, high = max(done, p - n), min(size, p + n)
+            if high > low:
+                some = code[begin + low : begin + high]
+                where = np.minimum(np.searchsorted(held, some), len(held) - 1)
+                out.append(low + np.flatnonzero(held[where] == some))
+                done = high
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
         """For each text (item_id, start, number of words, similarity) of the best window of each item that it holds.
 
         Windows are as long as the item, or the whole text if that is shorter. A window as similar as LEAST to an item
-        shares so many shingles with it; only windows that hold that many shingles of some item are fingerprinted, which
-        loses none. The fingerprint proposes the items of its length, and those are compared exactly. A whole text
+        holds one of its rarest shingles, and so many of all its shingles. Around where the rarest occur the others are
+        counted, and only windows that hold enough are fingerprinted, which loses none. The fingerprint proposes the items of its length, and those are compared exactly. A whole text
         shorter than the item has another length than any fingerprint; it is compared with the item itself.
         """
         words = [words_of(t) if t else [] for t in texts]
@@ -145,9 +199,10 @@ class Benchmark:
         ids = np.array(stream, dtype=np.uint64)
         begins = np.cumsum(sizes + WIDTH) - sizes - WIDTH
         hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+        coded: dict[int, np.ndarray] = {}
         for width in self.widths:
             keys, items, filter_ = self.codes[width]
-            code = self._code(ids, width)
+            coded[width] = code = self._code(ids, width)
             at = np.flatnonzero(filter_[code >> np.uint64(44)] & (code != 0))
             where = np.minimum(np.searchsorted(keys, code[at]), len(keys) - 1)
             fits = keys[where] == code[at]
@@ -158,14 +213,15 @@ class Benchmark:
                     hits[d, k].append(p)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for (d, k), places in hits.items():
+        for (d, k), seen in hits.items():
             n = len(self.items[k][1])
             need = LEAST * max(1, n - WIDTH + 1) - 1e-9
+            places = self._around(coded[min(WIDTH, n)], int(begins[d]), int(sizes[d]), sorted(seen), n, self.held[k])
             if len(places) < need:
                 continue
             size = min(n, int(sizes[d]))
             span = max(0, size - min(WIDTH, size))  # from a window's start to its last shingle's
-            p = np.array(sorted(places))
+            p = places
             starts = np.unique(np.clip((p[:, None] - np.array([0, span])[None, :]).ravel(), 0, sizes[d] - size))
             starts = np.unique(np.concatenate([np.arange(max(0, a - 1), min(int(sizes[d]) - size, a + 1) + 1) for a in starts.tolist()]))
             inside = np.searchsorted(p, starts + span, side="right") - np.searchsorted(p, starts, side="left")
@@ -191,7 +247,7 @@ class Benchmark:
 
 def _slices(items: DataFrame, limit: int = SLICE):
     """The items in parts of about limit bytes, each small enough to be sent to all executors, and how many parts there are."""
-    items = items.where("text is not null").select("item_id", "text")
+    items = repaired(items.where("text is not null").select("item_id", "text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / limit))
     for i in range(n):
@@ -211,7 +267,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, limit: int = SLICE) -> DataFra
     out = None
     for part, n in _slices(items, limit):
         shared = _send(docs, part)
-        found = docs.select("doc_id", "text").mapInArrow(_leaks_by(shared, schema), schema)
+        found = repaired(docs.select("doc_id", "text")).mapInArrow(_leaks_by(shared, schema), schema)
         if n > 1:  # written before the next slice is sent, so that the driver holds one at a time
             found = stored(found)
             shared.destroy()
@@ -260,6 +316,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, limit: int = SLICE) -> Data
 
         return mapped
 
+    docs = repaired(docs)
     for part, n in _slices(items, limit):
         shared = _send(docs, part)
         docs = docs.mapInArrow(keep(shared), schema)

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from contourflow.llm import decontam
@@ -71,6 +72,45 @@ def test_index_proposes_few_of_unrelated_items():
     assert share < 0.05
 
 
+def test_tables_of_halves_find_what_comparing_all_blocks_finds():
+    rng = random.Random(8)
+    fps = [rng.getrandbits(decontam.BITS) for _ in range(decontam.HammingIndex.FEW + 500)]
+    index, plain = decontam.HammingIndex(fps), decontam.HammingIndex(fps)
+    plain.halves = []
+    assert index.halves
+    for i in range(60):
+        q = fps[i] ^ sum(1 << b for b in rng.sample(range(decontam.BITS), rng.randrange(60)))
+        assert index.proposed(q).tolist() == plain.proposed(q).tolist() and index.near(q) == [j for j, x in enumerate(fps) if (x ^ q).bit_count() <= decontam.RADIUS]
+
+
+def seconds(work, rounds=3):
+    best = float("inf")
+    for _ in range(rounds):
+        began = time.perf_counter()
+        work()
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+def test_cost_of_a_query_grows_less_than_the_index():
+    rng = random.Random(9)
+    queries = [rng.getrandbits(decontam.BITS) for _ in range(50)]
+    small, large = (decontam.HammingIndex([rng.getrandbits(decontam.BITS) for _ in range(n)]) for n in (10_000, 80_000))
+    few, many = (seconds(lambda index=index: [index.near(q) for q in queries]) for index in (small, large))
+    assert many < 6 * few, (few, many)
+
+
+def test_a_common_opening_costs_no_more_for_more_items():
+    rng = random.Random(10)
+    opening = "which of the following statements is"
+    items = [(k, opening + " " + " ".join(f"v{rng.randrange(50_000)}" for _ in range(20))) for k in range(4_000)]
+    text = " ".join(f"{opening} w{i}" for i in range(400))
+    some, every = (decontam.Benchmark(items[:n]) for n in (500, 4_000))
+    few, many = (seconds(lambda b=b: b.leaks([text, text])) for b in (some, every))
+    assert many < 2 * few + 0.05, (few, many)
+    assert [x[0] for x in every.leaks([f"{text} {items[7][1]} {text}"])[0]] == [7]
+
+
 def test_radius_loses_nothing_at_the_least_similarity():
     rng = random.Random(5)
     worst = 0
