@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import batches, checkpointed
+from .common import batches, checkpointed, repaired
 
 #: Labelled documents that the classifier is fitted on, at most: as many of each language, those of the smallest id hashes.
 SAMPLE = 3_000
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, use: Column) -> Classifier:
     in the landmarks' own kernel. Of no rows, every text is UNKNOWN.
     """
     own = docs.where(use & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    own = repaired(own)
     texts = own.join(F.broadcast(chosen(own)), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"), F.first("weight").alias("weight"))
 
     def mapped(parts):
@@ -152,7 +153,7 @@ def predict(docs: DataFrame, model: Classifier, held_out: Column | None = None,
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.column, model.landmarks, model.alpha))
     own = docs if keep_all else docs.select("doc_id", held_out.alias("held_out"), "text")
-    own = own.drop("lang_pred", "score")
+    own = repaired(own.drop("lang_pred", "score"))
 
     def mapped(parts):
         classifier = Classifier(*shared.value)

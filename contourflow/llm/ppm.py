@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, raw_text, release, stored, words_of
+from .common import batches, raw_text, release, repaired, stored, words_of
 
 #: Bytes of context at most.
 ORDER = 5
@@ -202,6 +202,7 @@ def score_documents(docs: DataFrame, held_out: Column, block_bytes: int = 24 <<
     that have the key. So what is gathered grows with the corpus, and no part of it is broadcast or cut.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    docs = repaired(docs)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(least_blocks, math.ceil(n_bytes / block_bytes))
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("bigint")

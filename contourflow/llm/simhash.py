@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, components, raw_text, release, stored, words_of
+from .common import batches, checkpointed, components, raw_text, release, repaired, stored, words_of
 
 RADIUS = 3
 _ONE = np.uint64(1)
@@ -361,7 +361,7 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     the smallest first, and then all those pairs of different groups that sizes, sketches and the number of shared prefix
     shingles do not rule out. The number of these is bounded by nothing but the texts. Rows without doc_id aren't listed.
     """
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
+    known = repaired(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
     frequent = known.sparkSession.sparkContext.broadcast(_frequent(known, width))
 
     def mapped(parts):

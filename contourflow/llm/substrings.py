@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, valid_text
+from .common import batches, raw_text, stored
 
 WINDOW = 50
 #: Words of a group; a window's least group decides its shard.
@@ -239,7 +239,7 @@ def scanned(docs: DataFrame, window: int, group: int) -> DataFrame:
             rows = pa.StructArray.from_arrays([pa.array(f) for f in flat], names=["key", "first", "n"])
             yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(wholes, pa.string()), pa.ListArray.from_arrays(offsets, rows)], names=["id", "n_words", "whole", "spans"])
 
-    return docs.select("doc_id", valid_text().cast("binary").alias("raw")).mapInArrow(mapped, f"id {kind}, n_words bigint, whole string, spans array<struct<key:bigint,first:int,n:int>>")
+    return docs.select("doc_id", raw_text().alias("raw")).mapInArrow(mapped, f"id {kind}, n_words bigint, whole string, spans array<struct<key:bigint,first:int,n:int>>")
 
 
 def _key(*columns: str):
@@ -254,7 +254,7 @@ def candidates(docs: DataFrame, seen: DataFrame) -> DataFrame:
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(_key("key"))
     rows = rows.withColumn("k", _key("key")).join(shared, "k", "left_semi").drop("k")
     listed = rows.groupBy("id", "whole").agg(F.array_sort(F.collect_list(F.struct("first", "n", "key"))).alias("spans"))
-    texts = docs.select(_key("doc_id"), valid_text().cast("binary").alias("raw"))
+    texts = docs.select(_key("doc_id"), raw_text().alias("raw"))
     return listed.withColumn("k", F.struct(F.col("id").alias("doc_id"))).join(texts, "k").select("id", "whole", "raw", "spans")
 
 

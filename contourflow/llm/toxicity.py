@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed
+from .common import batches, checkpointed, repaired
 
 #: Labelled documents of each class that the model is fitted on, at most; those of the smallest id hashes.
 SAMPLE = 8_000
@@ -141,7 +141,7 @@ def _chosen(docs: DataFrame, labels: DataFrame, use: Column) -> tuple[DataFrame,
     some = [of.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in ("toxic = 1", "toxic <> 1")]
     some = checkpointed(some[0].union(some[1]))
     # At most 2 * SAMPLE rows of two numbers are broadcast.
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = repaired(docs.where("text is not null").select("doc_id", "text")).join(F.broadcast(some), "doc_id")
     # Of rows that share a doc_id one counts, so that what is fitted on stays bounded.
     chosen = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", (F.col("toxic") == 1).alias("toxic"))
     return checkpointed(chosen), labelled
@@ -248,4 +248,4 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             )
 
     schema = f"doc_id {kind}, held_out boolean, score double, predicted int, n_passages int, passages array<struct<start:int,end:int,score:double,evidence:double>>"
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(scored, schema)
+    return repaired(docs.select("doc_id", held_out.alias("held_out"), "text")).mapInArrow(scored, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, stored, valid_text
+from .common import batches, checkpointed, raw_text, stored
 
 #: What a word is made of.
 RUN = "[A-Za-zÀ-ÿ]"
@@ -63,7 +63,7 @@ def words_of_documents(docs: DataFrame, delete_one_in: int = DELETE_ONE_IN, leas
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), valid_text().cast("binary").alias("raw"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), raw_text().alias("raw"))
     return own.mapInArrow(mapped, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
