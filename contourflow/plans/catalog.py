@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bce_with_logits, focal, leaky_relu, logit, sigmoid
+from ..functions import leaky_relu, logit, sigmoid
 from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, split, store, train
 from ..operators.metrics import THRESHOLDS
 from ..sources import fixtures, readers
@@ -740,7 +740,7 @@ _LIGATURES = [("serif", "th", "\ue000"), ("serif", "the", "\ue001"), ("serif", "
 _KERNING = [("serif", "\ue001", " ", -40.0), ("serif", "a", "t", -25.0), ("sans", "o", "f", -15.0), ("sans", "\ue004", "e", 30.0)]
 
 
-@query(f"""SELECT conv_id, turn, count(*) AS glyphs, count(DISTINCT k) AS clusters, sum(500 + coalesce(kern, 0)) AS width FROM (SELECT *, lead(char) OVER (PARTITION BY conv_id, turn ORDER BY k, j) AS next FROM (
+@query(f"""SELECT conv_id, turn, count(*) AS glyphs, count(DISTINCT k) AS clusters, sum(500 + coalesce(kern, 0))::DOUBLE AS width FROM (SELECT *, lead(char) OVER (PARTITION BY conv_id, turn ORDER BY k, j) AS next FROM (
           SELECT conv_id, turn, font, k, generate_subscripts(parts, 1) AS j, unnest(list_transform(parts, lambda p: coalesce(of[p], p))) AS char FROM (SELECT conv_id, turn, font, k, of, regexp_extract_all(part, anyone) AS parts FROM (
           SELECT *, generate_subscripts(regexp_extract_all(text, '(?:' || anyone || ')\\p{{M}}*'), 1) AS k, unnest(regexp_extract_all(text, '(?:' || anyone || ')\\p{{M}}*')) AS part FROM (SELECT *, CASE font WHEN 'serif' THEN 'the|ing|th|an|(?s:.)' ELSE 'on|(?s:.)' END AS anyone,
           CASE font WHEN 'serif' THEN MAP {{{', '.join(f"'{p}': '{c}'" for f, p, c in _LIGATURES if f == "serif")}}} ELSE MAP {{{', '.join(f"'{p}': '{c}'" for f, p, c in _LIGATURES if f == "sans")}}} END AS of

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logit
-from ..operators import candidates, decode, generate, geometry, graph, metrics, model, score, store, train
+from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, store, train
 from ..sources import readers, shards
 from ..sources.shared import checkpointed
 
@@ -225,22 +225,27 @@ def write_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, folde
 
 
 def main(arguments: list[str] | None = None) -> None:
-    """sweep, merge, segment or export of the outlines in a Parquet table (g, c, ch, i, x, y)."""
+    """Of the outlines in a Parquet table (g, c, ch, i, x, y): sweep, merge, segment, export, analyze, pack (a store in --out)
+    or train (a weight dump in --out)."""
     import argparse
 
     from pyspark.sql import SparkSession
 
     options = argparse.ArgumentParser(description=main.__doc__)
-    options.add_argument("what", choices=["sweep", "merge", "segment", "export"])
+    options.add_argument("what", choices=["sweep", "merge", "segment", "export", "analyze", "pack", "train"])
     options.add_argument("points")
-    options.add_argument("--out", help="folder for the rows as Parquet; else they are shown")
+    options.add_argument("--out", help="folder for the rows as Parquet, else they are shown; for pack and train where the store or dump goes")
     options.add_argument("--weights", help="a weight dump")
     options.add_argument("--threshold", type=float, default=0.5)
     options.add_argument("--knn", type=int, default=graph.KNN)
     options.add_argument("--radius", type=float, default=graph.RADIUS)
     options.add_argument("--contour-bridge", type=float, default=graph.CONTOUR_BRIDGE)
     options.add_argument("--stack-bridge", type=float, default=graph.STACK_BRIDGE)
+    options.add_argument("--epochs", type=int, default=train.Recipe.epochs)
+    options.add_argument("--hidden", type=int, default=model.Options.hidden)
     given = options.parse_args(arguments)
+    if given.what in ("pack", "train") and not given.out:
+        options.error(f"{given.what} needs --out")
     points = SparkSession.builder.getOrCreate().read.parquet(given.points)
     how = GraphOptions(given.knn, given.radius, given.contour_bridge, given.stack_bridge)
     raw = None
@@ -254,6 +259,20 @@ def main(arguments: list[str] | None = None) -> None:
         rows = metrics.group_report(evaluate_merging(points, raw, options=how)).orderBy("margin")
     elif given.what == "segment":
         rows = segment(points, scorer, given.threshold, how).orderBy("g", "pos")
+    elif given.what == "analyze":
+        contours, nodes, edges = build(points, how)
+        rows = analyze.edge_composition(edges, nodes).join(analyze.pair_edge_stats(decode.pair_max(edges.withColumn("prob", F.lit(0.0)))))
+    elif given.what == "pack":
+        contours, nodes, edges = build(points, how)
+        store.write({"graphs": store.graph_sizes(nodes, edges), "nodes": nodes, "edges": store.packed_edges(edges), "contours": contours}, given.out)
+        return
+    elif given.what == "train":
+        trained = train_model(points, model.Options(hidden=given.hidden), train.Recipe(epochs=given.epochs), options=how)
+        fs, at = shards.opened(given.out)
+        with fs.open_output_stream(at) as f:
+            f.write(dumped(trained))
+        print("\n".join(", ".join(f"{k} {v:.4g}" for k, v in h.items()) for h in trained.history))
+        return
     else:
         rows = export_json(points, points.select("g").distinct().withColumn("text", F.lit("")), scorer, how)
     if given.out:

@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators import model, store
 from ..operators.generate import list_lines
@@ -176,31 +175,3 @@ def packed(spark: SparkSession, path: str, name: str, ids: DataFrame | list[int]
     if isinstance(ids, DataFrame):
         return rows.join(ids.select("g").distinct(), "g", "left_semi")
     return rows.where(F.col("g").isin([int(i) for i in ids]))
-
-
-def session_scorer(path: str, columns: list[str], output: str, providers: tuple[str, ...] = ("CUDAExecutionProvider", "CPUExecutionProvider")):
-    """A function of frames that adds column output: what an ONNX model at path makes of columns, in Arrow batches.
-
-    The session is opened once in each worker; providers that the machine lacks are left out with a warning, the CPU
-    stays. path must be reachable from all executors; the model takes one float matrix and gives one value a row.
-    """
-
-    def scored(frame: DataFrame) -> DataFrame:
-        def run(parts):
-            import warnings
-
-            import onnxruntime
-
-            there = [p for p in providers if p in onnxruntime.get_available_providers()]
-            if there[:1] != list(providers[:1]):
-                warnings.warn(f"{providers[0]} isn't there, {there or ['CPUExecutionProvider']} is used", stacklevel=1)
-            session = onnxruntime.InferenceSession(path, providers=there or ["CPUExecutionProvider"])
-            name = session.get_inputs()[0].name
-            for part in parts:
-                x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float32)
-                y = np.asarray(session.run(None, {name: x})[0]).reshape(len(x)) if len(x) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(y.astype(np.float64))], names=[*part.schema.names, output])
-
-        return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(output, DoubleType())]))
-
-    return scored

@@ -251,27 +251,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
     engine.main(["merge", str(tmp_path / "in")])
     assert "best" in capsys.readouterr().out
-
-
-def onnx_mean() -> bytes:
-    """An ONNX model that gives each row's mean, byte by byte."""
-    def part(field, x):
-        return bytes([field << 3]) + bytes([x]) if isinstance(x, int) else bytes([field << 3 | 2, len(x)]) + x
-
-    attribute = lambda name, kind, body: part(5, part(1, name) + body + b"\xa0\x01" + bytes([kind]))
-    node = part(1, b"x") + part(2, b"y") + part(4, b"ReduceMean") + attribute(b"axes", 7, part(8, 1)) + attribute(b"keepdims", 2, part(3, 0))
-    kind = lambda *dims: part(2, part(1, part(1, 1) + part(2, b"".join(part(1, part(2, d) if isinstance(d, bytes) else part(1, d)) for d in dims))))
-    graph = part(1, node) + part(2, b"g") + part(11, part(1, b"x") + kind(b"n", 2)) + part(12, part(1, b"y") + kind(b"n"))
-    return part(1, 8) + part(7, graph) + part(8, part(1, b"") + part(2, 13))
-
-
-@pytest.mark.filterwarnings("ignore")
-def test_session_of_an_exchanged_model(spark, tmp_path):
-    pytest.importorskip("onnxruntime")
-    (tmp_path / "m.onnx").write_bytes(onnx_mean())
-    rows = spark.createDataFrame([(i, float(i), 2.0) for i in range(10)], "id bigint, a double, b double").repartition(3)
-    got = readers.session_scorer(str(tmp_path / "m.onnx"), ["a", "b"], "mean")(rows).collect()
-    assert {r.id: r.mean for r in got} == {i: (i + 2) / 2 for i in range(10)}
+    engine.main(["analyze", str(tmp_path / "in")])
+    assert "decision_share" in capsys.readouterr().out
+    engine.main(["pack", str(tmp_path / "in"), "--out", str(tmp_path / "store")])
+    assert store.read(spark, str(tmp_path / "store"), "graphs").count() == 2
+    engine.main(["train", str(tmp_path / "in"), "--out", str(tmp_path / "dump"), "--epochs", "1", "--hidden", "4"])
+    assert "loss" in capsys.readouterr().out and engine.model_of((tmp_path / "dump").read_bytes())[0].hidden == 4
 
 
 def test_weight_dump_without_options(spark):
