@@ -16,6 +16,8 @@ from .common import checkpointed
 ROLLED, DIVISOR = 4, 4
 #: Of the rolling hash: a prime below 2^31, so that no product passes 64 bits, and a factor.
 PRIME, FACTOR = 2_147_483_647, 1_103_515_245
+#: The query and the pipeline drop a single repeated line too if it has so many words.
+LONE_WORDS = 40
 #: What can't be told from an empty line.
 _BLANK = r"^[\x20\x09-\x0D]*$"
 CHUNK, PAIR, LINE = 0, 1, 2
@@ -84,7 +86,7 @@ def candidates(docs: DataFrame, lone_words: int | None = None, chunked: bool = T
     First whole chunks. What stands at the ends of a repeated passage shares its chunk with other lines; it is found at
     the finest scale, as pairs of neighbouring lines. Pairs inside a chunk that an earlier one repeats are left out: they
     occur in the earlier one, so what chunks find is neither paired nor compared line by line (chunked: False leaves chunks
-    out, to see what they save). Lines long enough for lone_words words are candidates too.
+    out, to see what they save). Lines long enough for lone_words words are candidates too, but for those in such a chunk.
     """
     lines = checkpointed(hashed_lines(docs))
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_of("h"))
@@ -100,7 +102,7 @@ def candidates(docs: DataFrame, lone_words: int | None = None, chunked: bool = T
     out = whole.select("id", "th", F.lit(CHUNK).alias("kind"), "seq", "n", "pos", "to", "h")
     out = out.union(repeated(pairs, "h").select("id", "th", F.lit(PAIR), "seq", "n", "pos", "to", "h"))
     if lone_words is not None:
-        out = out.union(lines.where(F.col("size") >= 2 * lone_words - 1).select("id", "th", F.lit(LINE), "seq", F.lit(1), "pos", F.col("pos") + 1, "h"))
+        out = out.union(left.where((F.col("size") >= 2 * lone_words - 1) & F.col("long").isNull()).select("id", "th", F.lit(LINE), "seq", F.lit(1), "pos", F.col("pos") + 1, "h"))
     return out
 
 

@@ -39,7 +39,7 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.LONE_WORDS)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

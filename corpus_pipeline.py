@@ -25,12 +25,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go after their first occurrence, and documents of which nothing else was left.
+    """Repeated runs of lines, and single lines of 40 words or more, go after their first occurrence, and documents of which nothing else was left.
 
     n_chars follows the text. Ties, repeated rows, nulls and long texts as linededup.dedup_lines has them; columns
     n_lines and n_removed would be replaced, all others are kept.
     """
-    out = linededup.dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    out = linededup.dedup_lines(docs, linededup.LONE_WORDS).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*[f"`{c}`" for c in docs.columns])
 

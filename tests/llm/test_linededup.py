@@ -116,3 +116,19 @@ def test_empty_lines_part_no_passage(spark):
     assert got[0].text == rows[0][1] and got[0].n_removed == 0
     for i in range(1, 5):
         assert got[i].text == f"{long(f'a{i}q')}\n\n\n{long(f'b{i}q')}" and got[i].n_removed == 3 + i % 2
+
+
+def test_query_and_pipeline_drop_single_long_lines(spark, tmp_path):
+    import corpus_pipeline
+    import duckdb
+    from contourflow.llm import queries
+
+    rows = [(1, f"{long('a')}\n{long('lone', 40)}"), (2, f"{long('lone', 40)}\n{long('b')}"), (3, f"{long('c')}\n{long('short', 39)}"), (4, f"{long('short', 39)}\n{long('d')}")]
+    spark.createDataFrame([(*r, 9) for r in rows], "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, rows[0][1], 2, 0), (2, long("b"), 2, 1), (3, rows[2][1], 2, 0), (4, rows[3][1], 2, 0)]
+    assert sorted(map(tuple, queries.QUERIES["op5_linededup"](spark, str(tmp_path)).select("doc_id", "text", "n_lines", "n_removed").collect())) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(queries.ORACLES["op5_linededup"]).project("doc_id, text, n_lines, n_removed").fetchall()) == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == {i: t for i, t, *_ in want}
