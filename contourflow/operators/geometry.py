@@ -113,8 +113,11 @@ def shaped(lines: DataFrame, ligatures: DataFrame | None = None, text: str = "te
         lines = lines.join(fonts, "font", "left").withColumn("_any", F.coalesce("_any", F.lit(one)))
     clusters = F.regexp_extract_all(text, F.concat(F.lit("(?:"), F.col("_any"), F.lit(f"){marks}")), F.lit(0))
     glyphs = F.transform(clusters, lambda c: F.regexp_extract_all(c, F.col("_any"), F.lit(0)))
-    ends = F.transform(clusters, lambda _, i: F.length(F.array_join(F.slice(clusters, F.lit(1), i), "")))
-    placed = F.flatten(F.zip_with(ends, glyphs, lambda at, own: F.transform(own, lambda c: F.struct(at.alias("at"), F.coalesce(F.element_at("_of", c), c).alias("char")))))
+    # A mark for each code point, true where a cluster begins: what a lambda refers to outside itself is computed anew for
+    # each element, so the text before a cluster must not be measured there.
+    begins = F.flatten(F.transform(clusters, lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: i == 1)))
+    starts = F.filter(F.transform(begins, lambda first, at: F.when(first, at)), lambda at: at.isNotNull())
+    placed = F.flatten(F.zip_with(starts, glyphs, lambda at, own: F.transform(own, lambda c: F.struct(at.alias("at"), F.coalesce(F.element_at("_of", c), c).alias("char")))))
     rows = lines.where(F.length(text) > 0).select(*[c for c in lines.columns if c not in (text, "_any", "_of")], F.posexplode(placed).alias("k", "x"))
     return rows.select("*", F.col("x.at").alias("at"), F.col("x.char").alias("char")).drop("x")
 

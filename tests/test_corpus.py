@@ -2,6 +2,7 @@
 
 import math
 import struct
+import time
 import unicodedata
 
 import numpy as np
@@ -262,3 +263,12 @@ def test_command_line(spark, tmp_path, capsys):
 def test_weight_dump_without_options(spark):
     head = struct.pack("<II", 1, 2)
     assert readers.read_weights(b"GNNW" + struct.pack("<II", 1, 14) + b'{"tensors":[]}') == ({}, {}) and len(head) == 8
+
+
+def test_long_texts_are_shaped_in_time_that_grows_with_them(spark):
+    text = "theán😀́ " * 4_000
+    lines = spark.createDataFrame([(1, "serif", text)], "g int, font string, text string")
+    began = time.monotonic()
+    rows = geometry.shaped(lines, spark.createDataFrame([("serif", "the", "T"), ("serif", "th", "t")], "font string, parts string, char string")).orderBy("k").collect()
+    assert time.monotonic() - began < 60
+    assert [(r.at, r.char) for r in rows] == [(9 * n + at, c) for n in range(4_000) for at, c in [(0, "T"), (3, "a"), (3, "́"), (5, "n"), (6, "😀"), (6, "́"), (8, " ")]]
