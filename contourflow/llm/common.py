@@ -79,11 +79,11 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
 
     Each round every node points at its smallest neighbour, pointers are doubled until all are at a node that points at
-    itself, and the edges are contracted to those; rounds and doublings are logarithmic. Every round is written to the
-    checkpoint folder. Nodes of no edge get no row. Self-links and nulls are dropped, repeated links count once.
+    itself, and the edges are contracted to those; rounds and doublings are logarithmic. Every round is written as Parquet, of
+    which Spark knows the true size: a checkpoint keeps its plan's estimate, which each join of a round with itself squares. Nodes of no edge get no row. Self-links and nulls are dropped, repeated links count once.
     """
     edges = edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
+    edges = stored(edges)
     roots = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -91,16 +91,16 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
         moved = True
         while moved:
             over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            up = checkpointed(up.join(over, "up").select("node", F.col("over").alias("up"), (F.col("up") != F.col("over")).alias("moved")))
+            up = stored(up.join(over, "up").select("node", F.col("over").alias("up"), (F.col("up") != F.col("over")).alias("moved")))
             moved = not up.where("moved").isEmpty()
         if roots is None:
             roots = up.select("node", F.col("up").alias("root"))
         else:
             step = up.select(F.col("node").alias("root"), "up")
-            roots = checkpointed(roots.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+            roots = stored(roots.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         left, right = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         edges = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = checkpointed(edges)
+        edges = stored(edges)
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import batches, checkpointed, components, raw_text, release, repaired, stored, words_of
 
 RADIUS = 3
+#: Variants that a cell holds at once: some 100 MB.
+AT_ONCE = 1 << 21
 _ONE = np.uint64(1)
 _BITS = _ONE << np.arange(64, dtype=np.uint64)
 
@@ -80,13 +82,13 @@ def _variants(bits: int, cell_bits: int, even: bool, cell_flip: int) -> tuple[np
     return mask[at], size[at]
 
 
-def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints whose balls meet in variants with the top bits cell.
 
     All that share a variant and are at most one bit from it are linked to the smallest of them; so is each that is two
     bits from it. Two that are both two bits away and linked at all also meet in a variant one bit from each. Variants
-    are taken in 2**slice_bits parts by the bits below the top ones, which bounds memory. Of all these links a spanning
-    forest is returned.
+    are taken in parts of about at_once by the bits below the top ones, which bounds memory; each part forms all variants
+    again, so the number of parts goes by that of variants. Of all these links a spanning forest is returned.
     """
     flips = _top(fps, bits, cell_bits) ^ np.uint64(cell)
     odd = _parity(fps)
@@ -99,6 +101,8 @@ def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, slice_bits: int
                 if len(masks):
                     balls.append((own, masks, sizes))
     out_a, out_b = [], []
+    slice_bits = max(0, math.ceil(math.log2(max(1, sum(len(own) * len(masks) for own, masks, _ in balls) / at_once))))
+    slice_bits = min(slice_bits, 12, bits - cell_bits)
     down = np.uint64(max(0, bits - cell_bits - slice_bits))
     for part in range(1 << slice_bits):
         values, owners, dists = [], [], []
@@ -213,8 +217,7 @@ def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 4096, most:
     def meet_by(cell_bits: int):
         def meet(key, group):
             fps = np.sort(group.column("fp").to_numpy().view(np.uint64))
-            slices = max(0, math.ceil(math.log2(max(1, len(fps) / 2048))))
-            a, b = _meet(fps, key[1].as_py(), bits, cell_bits, min(slices, 12, bits - cell_bits))
+            a, b = _meet(fps, key[1].as_py(), bits, cell_bits)
             return pa.table({"t": np.full(len(a), key[0].as_py(), np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
 
         return meet
@@ -227,6 +230,8 @@ def ball_links(distinct: DataFrame, bits: int = 64, per_cell: int = 4096, most:
             dense = sent.groupBy("t", "cell").count().where(F.col("count") > most * per_cell).select("t", "cell")
             dense = None if dense.isEmpty() else checkpointed(dense)
         calm = sent if dense is None else sent.join(dense, ["t", "cell"], "left_anti")
+        # Few bytes ask for much work here: told how many partitions, Spark doesn't join small ones.
+        calm = calm.repartition(max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "t", "cell")
         links = calm.groupBy("t", "cell").applyInArrow(meet_by(after), "t int, a bigint, b bigint")
         out = links if out is None else out.union(links)
         if dense is None:

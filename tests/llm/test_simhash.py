@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import xxhash
 from contourflow.llm import simhash
 from contourflow.llm.common import components
@@ -168,3 +169,18 @@ def test_copies_inside_a_family_of_letters(spark):
     rows = [(i, " ".join(w)) for i, w in zip(ids, itertools.chain(*pairs), strict=True)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(map(min, ids[::2], ids[1::2]))
+
+
+def test_a_cell_gives_the_same_links_in_any_number_of_parts():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**16, 3_000, dtype=np.uint64) << np.uint64(32)
+    fps = np.unique(np.concatenate([fps, fps ^ simhash._BITS[rng.integers(0, 60, 3_000)]]))
+    one, many = simhash._meet(fps, 0, 64, 0, 1 << 30), simhash._meet(fps, 0, 64, 0, 1 << 16)
+    roots = lambda links: simhash._forest(*links)[0].size
+    assert len(one[0]) == roots(many) == roots((np.concatenate([one[0], many[0]]), np.concatenate([one[1], many[1]]))) > 0
+
+
+def test_rounds_of_components_keep_true_sizes(spark):
+    edges = spark.range(2_000).selectExpr("cast(pmod(hash(id), 100000) as bigint) a", "cast(pmod(hash(id + 1), 100000) as bigint) b")
+    roots = components(edges)
+    assert int(str(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 30
