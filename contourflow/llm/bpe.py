@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,17 +73,20 @@ class PerfectHash:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; memo_size bounds the pre-tokens whose ids are remembered."""
+    """Encoder and decoder of one vocabulary; memo_size bounds the pre-tokens whose ids are remembered, as bytes of int32."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 500_000, whole: PerfectHash | None = None):
+    #: Bytes of a pre-token up to which scanning all its pairs is faster than a heap; tokens that are spelled out at once.
+    SHORT, AT_ONCE = 64, 1 << 16
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_size: int = 200_000, whole: PerfectHash | None = None):
         self.find = regex.compile(pattern).findall
         self.whole = whole or PerfectHash(list(ranks))
         self.rank_at = [ranks[k] for k in self.whole.keys]
         size = max(ranks.values(), default=-1) + 1
-        self.token = [b""] * size
+        token = [b""] * size
         for k, r in ranks.items():
-            self.token[r] = k
-        self.digits = [str(i) for i in range(size)]
+            token[r] = k
+        self.token, self.digits = _spelled(token), _spelled([b"%d " % i for i in range(size)])
         self.byte = [ranks.get(bytes([i]), -1) for i in range(256)]
         #: What two tokens merge to, by the first's id times 2**20 plus the second's.
         self.merged = {(ranks[k[:i]] << 20) | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
@@ -102,7 +105,7 @@ class Codec:
                 if ids is None:
                     raw = piece.encode()
                     slot = codec.whole.slot(raw)
-                    ids = (codec.rank_at[slot],) if slot >= 0 else tuple(codec.merge(raw))
+                    ids = array("i", (codec.rank_at[slot],) if slot >= 0 else codec.merge(raw)).tobytes()
                 self[piece] = ids
                 return ids
 
@@ -116,6 +119,18 @@ class Codec:
         """
         n, merged = len(raw), self.merged.get
         ids = [self.byte[x] for x in raw]
+        if n <= self.SHORT:
+            none = len(self.byte) << 32
+            pair = [merged((a << 20) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+            while pair and (r := min(pair)) < none:
+                i = pair.index(r)
+                ids[i] = r
+                del ids[i + 1], pair[i]
+                if i < len(pair):
+                    pair[i] = merged((r << 20) | ids[i + 1], none)
+                if i:
+                    pair[i - 1] = merged((ids[i - 1] << 20) | r, none)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pair = [merged((a << 20) | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
         pair.append(-1)
@@ -148,32 +163,64 @@ class Codec:
             i = after[i]
         return out
 
+    def packed(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.find(text))), dtype=np.int32)
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.find(text))))
+        return self.packed(text).tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        return b"".join(self._spell(self.token, ids))
+
+    def hashes(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the ids in decimal, joined by a space, and of what they decode to."""
+        shown, decoded, left = sha256(), sha256(), len(ids)
+        for part in self._spell(self.digits, ids):
+            left -= self.AT_ONCE
+            shown.update(part if left > 0 else part[:-1])
+        for part in self._spell(self.token, ids):
+            decoded.update(part)
+        return shown.hexdigest(), decoded.hexdigest()
+
+    def _spell(self, table: tuple[np.ndarray, np.ndarray, np.ndarray], ids):
+        """The bytes that ids stand for in a table of _spelled, some at once."""
+        flat, starts, sizes = table
+        for at in range(0, len(ids), self.AT_ONCE):
+            own = np.asarray(ids[at : at + self.AT_ONCE])
+            n = sizes[own]
+            ends = np.cumsum(n, dtype=np.int32)
+            yield flat[np.repeat(starts[own] - ends + n, n) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+
+
+def _spelled(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings side by side, where each begins and how long it is."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int32)
+    return np.frombuffer(b"".join(strings), dtype=np.uint8), np.cumsum(sizes, dtype=np.int32) - sizes, sizes
+
 
-    def shown(self, ids) -> str:
-        return " ".join(map(self.digits.__getitem__, ids))
+class _Vocabulary:
+    """What is broadcast. The codec is built once in each Python worker and goes there with the broadcast, which Spark drops
+    when the worker runs a task that doesn't need it: what was remembered doesn't stay for later stages."""
 
+    def __init__(self, *settings):
+        self.settings, self.codec = settings, None
 
-_codecs: dict[tuple, Codec] = {}
+    def __getstate__(self) -> dict:
+        return {"settings": self.settings, "codec": None}
 
 
-def _codec(settings) -> Codec:
-    """The codec of a broadcast vocabulary, built once in each Python worker."""
-    ranks, pattern, whole, key = settings.value
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern, whole=whole)
-    return _codecs[key]
+def _codec(shared) -> Codec:
+    """The codec of a broadcast vocabulary."""
+    own = shared.value
+    if own.codec is None:
+        ranks, pattern, whole = own.settings
+        own.codec = Codec(ranks, pattern, whole=whole)
+    return own.codec
 
 
 def _shared(spark: SparkSession, ranks: dict[bytes, int], pattern: str):
     """The vocabulary and its perfect hash, made once on the driver; as large as the vocabulary file."""
-    key = (pattern, len(ranks), xxhash.xxh64_intdigest(b"\n".join(b"%b %d" % x for x in ranks.items())))
-    return spark.sparkContext.broadcast((ranks, pattern, PerfectHash(list(ranks)), key))
+    return spark.sparkContext.broadcast(_Vocabulary(ranks, pattern, PerfectHash(list(ranks))))
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, keep_ids: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
@@ -193,13 +240,14 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *,
         for part in batches(parts, 4 << 20):
             ids, ends, counts, first, second = [], [0], [], [], []
             for raw in part.column("_raw").to_pylist():
-                own = codec.encode(raw.decode("utf-8", "replace"))
+                own = codec.packed(raw.decode("utf-8", "replace"))
                 if keep_ids:
-                    ids.append(np.array(own, dtype=np.int32))
+                    ids.append(own)
                     ends.append(ends[-1] + len(own))
                 counts.append(len(own))
-                first.append(sha256(codec.shown(own).encode()).hexdigest())
-                second.append(sha256(codec.decode(own)).hexdigest())
+                shown, decoded = codec.hashes(own)
+                first.append(shown)
+                second.append(decoded)
             columns = [part.column(c) for c in ("doc_id", *also)] + [pa.array(counts, pa.int64())]
             if keep_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -60,6 +61,7 @@ def _parity(x: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(x) & 1).astype(bool)
 
 
+@functools.cache
 def _pairs(bits: int) -> np.ndarray:
     """The pairs of bits that an even fingerprint flips: those within the same half. Any three bits hold such a pair, so
     the third bit is left for the odd fingerprint to flip."""
@@ -70,8 +72,10 @@ def _top(x: np.ndarray, bits: int, cell_bits: int) -> np.ndarray:
     return x >> np.uint64(bits - cell_bits) if cell_bits else x * np.uint64(0)
 
 
+@functools.lru_cache(1 << 14)
 def _variants(bits: int, cell_bits: int, even: bool, cell_flip: int) -> tuple[np.ndarray, np.ndarray]:
-    """Masks, and how many bits each flips, of the variants whose top cell_bits bits differ in just cell_flip."""
+    """Masks, and how many bits each flips, of the variants whose top cell_bits bits differ in just cell_flip. Kept, as every
+    cell asks for the same ones."""
     masks, sizes = [np.zeros(1, np.uint64), _BITS[:bits]], [np.zeros(1, np.int8), np.ones(bits, np.int8)]
     if even:
         pairs = _pairs(bits)
@@ -93,13 +97,12 @@ def _meet(fps: np.ndarray, cell: int, bits: int, cell_bits: int, at_once: int =
     flips = _top(fps, bits, cell_bits) ^ np.uint64(cell)
     odd = _parity(fps)
     balls: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for flip in np.unique(flips):
-        for even in (True, False):
-            own = np.flatnonzero((flips == flip) & (odd != even))
-            if len(own):
-                masks, sizes = _variants(bits, cell_bits, even, int(flip))
-                if len(masks):
-                    balls.append((own, masks, sizes))
+    order = np.lexsort([odd, flips])
+    bounds = np.flatnonzero((np.diff(flips[order]) != 0) | (np.diff(odd[order]) != 0)) + 1
+    for own in np.split(order, bounds) if len(order) else []:
+        masks, sizes = _variants(bits, cell_bits, not odd[own[0]], int(flips[own[0]]))
+        if len(masks):
+            balls.append((own, masks, sizes))
     out_a, out_b = [], []
     slice_bits = max(0, math.ceil(math.log2(max(1, sum(len(own) * len(masks) for own, masks, _ in balls) / at_once))))
     slice_bits = min(slice_bits, 12, bits - cell_bits)
@@ -268,7 +271,10 @@ _tokens = re.compile(r"\w+").findall
 
 def table_fingerprints(words: set[str]) -> np.ndarray:
     """One fingerprint for each table, of the same word hashes mixed anew; no words: all zero."""
-    own = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    return _table_fingerprints(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64))
+
+
+def _table_fingerprints(own: np.ndarray) -> np.ndarray:
     out = np.zeros(TABLES, dtype=np.uint64)
     for t in range(TABLES):
         h = (own ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -284,9 +290,12 @@ SAMPLE, FREQUENT, SKETCH = 8_000, 100_000, 16
 
 def shingle_set(words: list[str], width: int = 5) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles that jaccard compares."""
+    return _shingle_set(words, {w: xxhash.xxh64_intdigest(w) for w in set(words)}, width)
+
+
+def _shingle_set(words: list[str], hashes: dict[str, int], width: int) -> np.ndarray:
     size = min(width, len(words))
-    memo = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-    own = np.array([memo[w] for w in words], dtype=np.uint64)
+    own = np.array(list(map(hashes.__getitem__, words)), dtype=np.uint64)
     h = np.full(len(own) - size + 1, size, dtype=np.uint64)
     for i in range(size):
         h = (h ^ own[i : len(own) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -374,8 +383,9 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
             fps, sizes, prefixes, sketches = [np.empty(0, np.uint64)], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for t in part.column("text").to_pylist():
                 words = _tokens((t or "").lower())
-                own = shingle_set(words, width)
-                fps.append(table_fingerprints(set(words)))
+                hashes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+                own = _shingle_set(words, hashes, width)
+                fps.append(_table_fingerprints(np.array(list(hashes.values()), dtype=np.uint64)))
                 sizes.append(len(own))
                 prefixes.append(prefix(own, *frequent.value, least))
                 sketches.append(sketch(own))

@@ -49,3 +49,26 @@ def test_decode_column(spark):
     docs = spark.createDataFrame([(1, "round trip"), (2, None)], "doc_id bigint, text string")
     got = bpe.decode_ids(bpe.encode_documents(docs, ranks, pattern), ranks)
     assert {r.doc_id: bytes(r.decoded) for r in got.collect()} == {1: b"round trip", 2: b""}
+
+
+def test_a_worker_keeps_a_codec_no_longer_than_its_broadcast():
+    import pickle
+
+    ranks, pattern = vocabulary()
+    own = bpe._Vocabulary(ranks, pattern, bpe.PerfectHash([]))
+    own.codec = "built"
+    assert pickle.loads(pickle.dumps(own)).codec is None
+    assert not [x for x in vars(bpe).values() if isinstance(x, dict) and any(isinstance(v, bpe.Codec) for v in x.values())] and not hasattr(bpe, "_codecs")
+
+
+def test_short_and_long_merges_and_spelling_in_parts():
+    ranks, pattern = vocabulary()
+    codec, own = bpe.Codec(ranks, pattern), reference()
+    raw = [b"thoninti", b"aaaaaaaaaaaaaaaaaaaaaaaa", "wörthlich".encode(), b"qwzxjkv" * 9]
+    short = [codec.merge(x) for x in raw]
+    codec.SHORT, codec.AT_ONCE = 0, 7
+    assert short == [codec.merge(x) for x in raw]
+    for text in TEXTS:
+        ids = own.encode_ordinary(text)
+        assert codec.packed(text).tolist() == ids and codec.decode(ids) == text.encode()
+        assert codec.hashes(codec.packed(text)) == (hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())

@@ -184,3 +184,8 @@ def test_rounds_of_components_keep_true_sizes(spark):
     edges = spark.range(2_000).selectExpr("cast(pmod(hash(id), 100000) as bigint) a", "cast(pmod(hash(id + 1), 100000) as bigint) b")
     roots = components(edges)
     assert int(str(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 30
+
+
+def test_masks_of_variants_are_made_once():
+    """Every cell asks for the same ones; making them anew took most of near-dedup's time."""
+    assert simhash._variants(48, 14, True, 3) is simhash._variants(48, 14, True, 3) and simhash._pairs(48) is simhash._pairs(48)
