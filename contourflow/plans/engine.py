@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import logit
 from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, store, train
 from ..sources import readers, shards
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
 
 
 @dataclass(frozen=True)
@@ -55,13 +55,13 @@ class CorpusOptions:
 
 def build(points: DataFrame, options: GraphOptions = GraphOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """contours, nodes and edges of outlines: points has g, c, ch, i, x, y in em. Each is written once; all that follows reads
-    them."""
+    them. Nodes and edges are Parquet: of a checkpoint, rows of plain numbers, they would take most of the disk."""
     dense = checkpointed(graph.dense_contours(geometry.contour_stats(points, ["g", "c"], carry=["ch"])))
     kept = dense.drop("c").withColumnRenamed("new_c", "c")
     own = points.join(dense.select("g", "c", "new_c"), ["g", "c"]).drop("c").withColumnRenamed("new_c", "c")
     samples = geometry.resample(own, ["g", "c"], options.spacing, options.fewest, options.most)
-    nodes = checkpointed(graph.node_features(samples, kept).join(kept.select("g", "c", "ch"), ["g", "c"]))
-    edges = checkpointed(graph.built_edges(nodes, graph.normalized(kept), options.knn, options.radius, options.contour_bridge, options.stack_bridge))
+    nodes = written(graph.node_features(samples, kept).join(kept.select("g", "c", "ch"), ["g", "c"]))
+    edges = written(graph.built_edges(nodes, graph.normalized(kept), options.knn, options.radius, options.contour_bridge, options.stack_bridge))
     return kept, nodes, edges
 
 
@@ -209,7 +209,7 @@ def generate_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, op
     Reasons: no font, no glyphs (nothing to draw), small (fewer than eight nodes, or no edge).
     """
     lines = checkpointed(lines)
-    contours, nodes, edges = build(checkpointed(laid_out(lines, glyphs, outlines, options, ligatures, kerning)), options.graph)
+    contours, nodes, edges = build(written(laid_out(lines, glyphs, outlines, options, ligatures, kerning)), options.graph)
     kept = store.reject_small(store.graph_sizes(nodes, edges)).select("g")
     records = readers.records(nodes, edges, graph.contour_features(contours), lines.join(kept, "g", "left_semi").select("g", "text", "font"))
     drawn = contours.select("g").distinct().withColumn("drawn", F.lit(True))
