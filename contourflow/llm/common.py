@@ -71,6 +71,26 @@ def batches(parts, limit: int):
             yield part.slice(at, rows)
 
 
+#: Bits of the bitmap that may_hold tells keys by: 4 MB, whatever their number.
+HOLD_BITS = 1 << 25
+
+
+def may_hold(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows with a boolean _held added, which is false only where keys (a table of one column of that type) lack the value.
+
+    A bitmap of the keys' hashes goes to all tasks, so that rows which are surely not among the keys needn't be shuffled. More
+    keys than it has bits make more rows true, never one false that isn't; what is true must be joined to be sure.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(HOLD_BITS))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bits = keys.select(place(keys.columns[0]).alias("_at")).select(F.expr("_at div 32768").alias("_map"), (F.col("_at") % 32768).alias("_at"))
+    maps = stored(bits.repartition(parts, "_map").groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+    at = place(column) % 32768
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+    return rows.join(F.broadcast(maps), F.floor(place(column) / 32768) == F.col("_map"), "left").select(*[rows[f"`{c}`"] for c in rows.columns], held.alias("_held"))
+
+
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

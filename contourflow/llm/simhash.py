@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, checkpointed, components, raw_text, release, repaired, stored, words_of
+from .common import batches, checkpointed, components, may_hold, raw_text, release, repaired, stored, words_of
 
 RADIUS = 3
 #: Variants that a cell holds at once: some 100 MB.
@@ -283,6 +283,8 @@ def _table_fingerprints(own: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Slices of the prefix shingles, by value, that are searched for shared ones in turn: a slice's shuffles go before the next.
+PASSES = 4
 #: Of the exact path: documents of the sample that frequent shingles are looked up in, how many of them count, and words of 64 bits in
 #: a text's parity sketch. They bear on the cost alone, not on what is found.
 SAMPLE, FREQUENT, SKETCH = 8_000, 100_000, 16
@@ -405,7 +407,8 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     def similar(pairs):
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        bodies = known.join(texts.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi")
+        some = may_hold(known, "doc_id", ids).where("_held").drop("_held")  # else all texts would be shuffled for a few
+        bodies = some.join(texts.select(F.col("rep").alias("doc_id"), "text_key"), ["doc_id", "text_key"], "left_semi")
         bodies = stored(bodies.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
         return checkpointed(_verified(pairs, bodies, width, least).where("ok").select("a", "b"))
 
@@ -423,10 +426,14 @@ def similar_roots(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFr
     found = similar(alike.union(near))
     del by_table, alike, links, ends, near
     release(known.sparkSession)
-    keyed = texts.select("rep", F.explode("prefix").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select(F.struct("key").alias("k"))
-    left = stored(keyed.withColumn("k", F.struct("key")).join(several, "k", "left_semi").select("key", "rep"))
-    release(known.sparkSession)
+    shared = []
+    for at in range(PASSES):
+        keyed = texts.select("rep", F.explode("prefix").alias("key")).where(F.pmod("key", F.lit(PASSES)) == at)
+        several = keyed.groupBy("key").count().where("count > 1").select(F.struct("key").alias("k"))
+        shared.append(stored(keyed.withColumn("k", F.struct("key")).join(several, "k", "left_semi").select("key", "rep")))
+        del keyed, several
+        release(known.sparkSession)
+    left = functools.reduce(DataFrame.union, shared)
 
     def unsettled(left):
         """The rows of left whose key has texts of different groups, with root."""
@@ -456,9 +463,12 @@ def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     of docs are kept, whatever their names; an empty table stays empty.
     """
     roots = similar_roots(docs, width, least)
-    first = checkpointed(roots.where("doc_id = root").select("doc_id").distinct())
+    ids = stored(roots.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("root")).alias("first")))
+    release(docs.sparkSession)
     rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    # Rows whose doc_id is neither repeated nor to go stay where they are; only what may be is shuffled.
+    own = may_hold(rows.where("doc_id is not null"), "doc_id", ids.where("n > 1 or not first").select("doc_id"))
     by = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "text")
-    chosen = rows.join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(by)).where("n = 1")
-    chosen = chosen.select("row").union(rows.where("doc_id is null").select("row"))
+    chosen = own.where("_held").join(ids.where("first").select("doc_id"), "doc_id", "left_semi").withColumn("n", F.row_number().over(by)).where("n = 1")
+    chosen = chosen.select("row").union(own.where("not _held").select("row")).union(rows.where("doc_id is null").select("row"))
     return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

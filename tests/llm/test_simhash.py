@@ -4,7 +4,8 @@ import random
 import numpy as np
 import xxhash
 from contourflow.llm import simhash
-from contourflow.llm.common import components
+from contourflow.llm.common import components, may_hold
+from pyspark.sql import functions as F
 
 
 def slow_fingerprint(text):
@@ -189,3 +190,37 @@ def test_rounds_of_components_keep_true_sizes(spark):
 def test_masks_of_variants_are_made_once():
     """Every cell asks for the same ones; making them anew took most of near-dedup's time."""
     assert simhash._variants(48, 14, True, 3) is simhash._variants(48, 14, True, 3) and simhash._pairs(48) is simhash._pairs(48)
+
+
+def shuffled(spark, run):
+    """What run returns, and the bytes that its stages shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = written()
+    out = run()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """The disk that near-dedup takes is that of its shuffles; whole texts went through four of them."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"{rng.randrange(10**9):x}" for _ in range(2_000))) for i in range(150)]
+    rows += [(500 + i, rows[i][1] + " more") for i in range(3)] + [(7, rows[7][1]), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).cache()
+    docs.count()
+    got, n = shuffled(spark, lambda: sorted(r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect()))
+    assert got == list(range(150)) and n < 2 * sum(len(t or "") for _, t in rows)
+
+
+def test_bitmap_never_loses_a_key(spark):
+    for kind in ("bigint", "string"):
+        rows = spark.range(40_000).select((F.col("id") * 7919).cast(kind).alias("k"), F.lit(1).alias("a b"), (F.col("id") % 40 == 0).alias("is"))
+        told = may_hold(rows, "k", rows.where("is").select("k"))
+        assert told.columns == ["k", "a b", "is", "_held"] and told.count() == 40_000
+        assert told.where("is and not _held").count() == 0 and told.where("not is and _held").count() < 100
+        assert may_hold(rows, "k", rows.where("k is null").select("k")).where("_held").count() == 0
