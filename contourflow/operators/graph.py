@@ -180,21 +180,53 @@ def graph_edges(nodes: DataFrame, contours: DataFrame, k: int = KNN, radius: flo
     return dealt(_points(nodes), _boxes(contours), run, "g bigint, a bigint, b bigint", nodes.count())
 
 
+def _known_points(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*[F.col(m).cast("bigint").alias(m) for m in ("g", "n", "c", "ch")], *[F.col(m).cast("double").alias(m) for m in ("x", "y")])
+
+
+def _both_ways(left: pa.Table, right: pa.Table, k: int, radius: float, bridge: float, stack: float):
+    """The nodes of a bucket, and of its edges both ways, in order, the places (i, j), where their graph's first one stands, dx,
+    dy and label."""
+    g, n, c, x, y, i, j = _undirected(left, right, k, radius, bridge, stack)
+    ch = left.column("ch").to_numpy(zero_copy_only=False).astype(np.float64)[np.lexsort(_columns(left, "n", "c", "g"))]  # null is no number
+    i, j = np.stack([i, j], axis=1).ravel(), np.stack([j, i], axis=1).ravel()
+    line = g[i]
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], line[1:] != line[:-1]]), np.arange(len(line)), 0)) if len(line) else line
+    return g, n, c, i, j, first, x[j] - x[i], y[j] - y[i], ch[i] == ch[j]
+
+
 def built_edges(nodes: DataFrame, contours: DataFrame, k: int = KNN, radius: float = RADIUS, bridge: float = CONTOUR_BRIDGE, stack: float = STACK_BRIDGE) -> DataFrame:
     """edge_features of directed of graph_edges, in the one pass that finds the edges: (g, e, src, dst, ca, cb, dx, dy, dist,
     same, label)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, n, c, x, y, i, j = _undirected(left, right, k, radius, bridge, stack)
-        ch = left.column("ch").to_numpy(zero_copy_only=False).astype(np.float64)[np.lexsort(_columns(left, "n", "c", "g"))]  # null is no number
-        i, j = np.stack([i, j], axis=1).ravel(), np.stack([j, i], axis=1).ravel()
-        line = g[i]
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], line[1:] != line[:-1]]), np.arange(len(line)), 0)) if len(line) else line
-        dx, dy = x[j] - x[i], y[j] - y[i]
-        return pa.table({"g": line, "e": np.arange(len(line)) - first, "src": n[i], "dst": n[j], "ca": c[i], "cb": c[j], "dx": dx, "dy": dy, "dist": np.sqrt(dx * dx + dy * dy), "same": c[i] == c[j], "label": ch[i] == ch[j]})
-
-    own = nodes.select(*[F.col(m).cast("bigint").alias(m) for m in ("g", "n", "c", "ch")], *[F.col(m).cast("double").alias(m) for m in ("x", "y")])
-    return dealt(own, _boxes(contours), run, "g bigint, e bigint, src bigint, dst bigint, ca bigint, cb bigint, dx double, dy double, dist double, same boolean, label boolean", nodes.count())
+        g, n, c, i, j, first, dx, dy, label = _both_ways(left, right, k, radius, bridge, stack)
+        return pa.table({"g": g[i], "e": np.arange(len(i)) - first, "src": n[i], "dst": n[j], "ca": c[i], "cb": c[j], "dx": dx, "dy": dy, "dist": np.sqrt(dx * dx + dy * dy), "same": c[i] == c[j], "label": label})
+
+    return dealt(_known_points(nodes), _boxes(contours), run, "g bigint, e bigint, src bigint, dst bigint, ca bigint, cb bigint, dx double, dy double, dist double, same boolean, label boolean", nodes.count())
+
+
+def built_lists(nodes: DataFrame, contours: DataFrame, k: int = KNN, radius: float = RADIUS, bridge: float = CONTOUR_BRIDGE, stack: float = STACK_BRIDGE) -> DataFrame:
+    """built_edges as records list them, a row for each graph that has edges: (g, edge_index, edge_features, edge_labels).
+
+    edge_index has all sources, then all ends, as places in the order of n; edge_features dx, dy, dist, same of each edge. A
+    bucket has its graphs whole, so their edges needn't be sent on one by one to be listed. n is unique within a graph.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, n, c, i, j, first, dx, dy, label = _both_ways(left, right, k, radius, bridge, stack)
+        order, place = np.lexsort([n, g]), np.empty(len(g), np.int64)
+        place[order] = np.arange(len(g)) - np.searchsorted(g, g)  # g is in order
+        starts = np.unique(first)
+        sizes = np.diff(np.append(starts, len(i)))
+        lists = lambda values, width: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width * sizes)), pa.int32()), pa.array(values))
+        at = np.arange(len(i)) + first
+        ends = np.empty(2 * len(i), np.int32)
+        ends[at], ends[at + np.repeat(sizes, sizes)] = place[i], place[j]
+        f = np.stack([dx, dy, np.sqrt(dx * dx + dy * dy), c[i] == c[j]], axis=1).astype(np.float32)
+        return pa.table({"g": g[i[starts]], "edge_index": lists(ends, 2), "edge_features": lists(f.ravel(), 4), "edge_labels": lists(label.astype(np.int16), 1)})
+
+    return dealt(_known_points(nodes), _boxes(contours), run, "g bigint, edge_index array<int>, edge_features array<float>, edge_labels array<smallint>", nodes.count())
 
 
 def directed(edges: DataFrame) -> DataFrame:

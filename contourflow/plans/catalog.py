@@ -528,7 +528,7 @@ def _records(spark, d):
     n = fixtures.nodes(spark, d)
     n = n.select(*n.columns, *[F.lit(0.0).alias(c) for c in model.NODE if c not in n.columns])
     names = n.select("g").distinct().select("g", F.concat(F.lit("line "), F.col("g")).alias("text"), F.concat(F.lit("font "), F.col("g") % 3).alias("font"))
-    return readers.records(n, _edges(spark, d), graph.contour_features(_contours(spark, d)), names)
+    return readers.records(n, graph.built_lists(n, _contours(spark, d)), graph.contour_features(_contours(spark, d)), names)
 
 
 @query("SELECT " + ", ".join(f"count(*) FILTER (g % 10 = {k})::BIGINT AS {n}" for k, n in enumerate(["nodes_dim", "edges_dim", "edges_size", "contours_dim", "ids_size", "edges_range", "contours_range", "wide", "flags"])) + " FROM (SELECT DISTINCT g FROM ND)")

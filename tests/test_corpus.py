@@ -1,6 +1,7 @@
 """Corpora: layout against loops, records, shards on disk, and what reads them again."""
 
 import math
+import random
 import struct
 import time
 import unicodedata
@@ -8,7 +9,7 @@ import unicodedata
 import numpy as np
 import pytest
 from contourflow.operators import analyze, buckets, decode, generate, geometry, graph, metrics, split, store
-from contourflow.plans import engine
+from contourflow.plans import catalog, engine
 from contourflow.sources import msgpack, readers, shards
 from pyspark.sql import functions as F
 
@@ -292,3 +293,20 @@ def test_records_deal_edges_by_graph_alone(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert by[1].edge_index == [0, 2, 1, 2, 0, 1] and by[2].edge_index == [2, 1] and by[1].num_edges == 3
     assert by[1].edge_features == [float(e) for e in (0, 1, 4) for _ in range(4)]
+
+
+def test_edges_listed_in_buckets_are_those_of_built_edges(spark):
+    rng = random.Random(6)
+    # Graph 3 has no edge; numbers aren't in the order of contours; a character may be unknown.
+    rows = [(g, n, (n * 7 + g) % 4, rng.choice([0, 1, None]), rng.random() * (1 if g != 3 else 0) + 50 * (g == 3) * n, rng.random()) for g in (1, 2, 3, 4) for n in rng.sample(range(100), 30 if g != 3 else 2)]
+    nodes = spark.createDataFrame(rows, "g bigint, n bigint, c bigint, ch bigint, x double, y double")
+    contours = nodes.groupBy("g", "c").agg(*[f(k).alias(f"{m}_{k}") for m, f in (("min", F.min), ("max", F.max)) for k in ("x", "y")])
+    got, want = graph.built_lists(nodes, contours), readers._listed(nodes, graph.built_edges(nodes, contours))
+    rows = lambda df: {r.g: tuple(r)[1:] for r in df.collect()}
+    assert rows(got) == rows(want) and len(rows(got)) == 3
+    assert graph.built_lists(nodes.limit(0), contours).count() == 0
+
+
+def test_records_of_built_graphs_send_no_edge_alone(spark):
+    plan = catalog.QUERIES["validate_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "edge_index#" in plan and "src#" not in plan and "dst#" not in plan
