@@ -46,17 +46,33 @@ def resample(points: DataFrame, keys: list[str], spacing: float = SPACING, fewes
     segs = with_next(points, keys).withColumn("len", step).withColumn("hi", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     segs = segs.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
     segs = segs.withColumn("total", F.max("hi").over(whole)).withColumn("m", F.count("*").over(whole)).where((F.col("m") >= LEAST_POINTS) & (F.col("total") > EPSILON))
-    count = F.least(F.greatest(F.floor(F.col("total") * scale / spacing + 0.5), F.lit(fewest)), F.lit(most)).cast("int")
-    segs = segs.withColumn("count", count).withColumn("last", F.col("i") == F.max("i").over(whole))
-    # The targets of each segment by arithmetic: k with lo < k * total / count <= hi, and k = 0 for the first.
-    near = F.sequence(F.greatest(F.floor(F.col("lo") * F.col("count") / F.col("total")) - 1, F.lit(0)), F.least(F.ceil(F.col("hi") * F.col("count") / F.col("total")) + 1, F.col("count") - 1))
-    target = F.col("k") * F.col("total") / F.col("count")
-    rows = segs.where(F.col("hi") > F.col("lo")).select("*", F.explode(near).alias("k")).withColumn("target", target)
-    rows = rows.where((F.col("k") <= F.col("count") - 1) & (((F.col("target") > F.col("lo")) & ((F.col("target") <= F.col("hi")) | F.col("last"))) | ((F.col("lo") == 0) & (F.col("k") == 0))))
+    segs = segs.withColumn("count", sample_count(F.col("total"), spacing, fewest, most, scale)).withColumn("last", F.col("i") == F.max("i").over(whole))
+    rows = segs.where(F.col("hi") > F.col("lo")).select("*", F.explode(sample_range(F.col("total"))).alias("k")).withColumn("target", F.col("k") * F.col("total") / F.col("count"))
+    x, y, tx, ty = sampled()
+    return rows.where(falls_within()).select(*keys, "k", (F.col("target") / F.col("total")).alias("t"), x.alias("x"), y.alias("y"), tx.alias("tx"), ty.alias("ty"))
+
+
+def sample_count(total: Column, spacing: float, fewest: int, most: int, scale: float = 1.0) -> Column:
+    return F.least(F.greatest(F.floor(total * scale / spacing + 0.5), F.lit(fewest)), F.lit(most)).cast("int")
+
+
+def sample_range(total: Column) -> Column:
+    """The targets of a segment (lo, hi) by arithmetic, and those beside them: k with lo < k * total / count <= hi, and k = 0 for
+    the first. falls_within tells which are its own."""
+    return F.sequence(F.greatest(F.floor(F.col("lo") * F.col("count") / total) - 1, F.lit(0)), F.least(F.ceil(F.col("hi") * F.col("count") / total) + 1, F.col("count") - 1))
+
+
+def falls_within() -> Column:
+    """Whether target k of count lies on its segment."""
+    return (F.col("k") <= F.col("count") - 1) & (((F.col("target") > F.col("lo")) & ((F.col("target") <= F.col("hi")) | F.col("last"))) | ((F.col("lo") == 0) & (F.col("k") == 0)))
+
+
+def sampled() -> tuple[Column, Column, Column, Column]:
+    """x, y and the unit tangent where target lies on its segment from (x, y) to (nx, ny)."""
     floor_ = F.greatest(F.col("len"), F.lit(EPSILON))
     f = F.least(F.greatest((F.col("target") - F.col("lo")) / floor_, F.lit(0.0)), F.lit(1.0))
     dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
-    return rows.select(*keys, "k", (F.col("target") / F.col("total")).alias("t"), (F.col("x") + dx * f).alias("x"), (F.col("y") + dy * f).alias("y"), (dx / floor_).alias("tx"), (dy / floor_).alias("ty"))
+    return F.col("x") + dx * f, F.col("y") + dy * f, dx / floor_, dy / floor_
 
 
 def moved_left(points: DataFrame) -> DataFrame:

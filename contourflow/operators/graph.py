@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import near
 from .buckets import dealt, dealt_alone
-from .geometry import EPSILON
+from .geometry import EPSILON, FEWEST, LEAST_POINTS, MOST, SPACING, falls_within, sample_count, sample_range, sampled, with_next
 
 KNN, RADIUS, CONTOUR_BRIDGE, STACK_BRIDGE = 8, 0.25, 0.35, 1.0
 
@@ -214,21 +215,30 @@ def built_lists(nodes: DataFrame, contours: DataFrame, k: int = KNN, radius: flo
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, n, c, i, j, first, dx, dy, label = _both_ways(left, right, k, radius, bridge, stack)
-        order, place = np.lexsort([n, g]), np.empty(len(g), np.int64)
-        place[order] = np.arange(len(g)) - np.searchsorted(g, g)  # g is in order
-        starts = np.unique(first)
-        sizes = np.diff(np.append(starts, len(i)))
-        lists = lambda values, width: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(width * sizes)), pa.int32()), pa.array(values))
-        at = np.arange(len(i)) + first
-        ends = np.empty(2 * len(i), np.int32)
-        ends[at], ends[at + np.repeat(sizes, sizes)] = place[i], place[j]
-        f = np.stack([dx, dy, np.sqrt(dx * dx + dy * dy), c[i] == c[j]], axis=1).astype(np.float32)
-        return pa.table({"g": g[i[starts]], "edge_index": lists(ends, 2), "edge_features": lists(f.ravel(), 4), "edge_labels": lists(label.astype(np.int16), 1)})
+        return edge_lists(left, right, k, radius, bridge, stack)
 
     return dealt(_known_points(nodes), _boxes(contours), run, "g bigint, edge_index array<int>, edge_features array<float>, edge_labels array<smallint>", nodes.count())
 
 
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """values as lists of so many each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
+def edge_lists(nodes: pa.Table, contours: pa.Table, k: int, radius: float, bridge: float, stack: float) -> pa.Table:
+    """built_lists of the graphs of a bucket, in order of g."""
+    g, n, c, i, j, first, dx, dy, label = _both_ways(nodes, contours, k, radius, bridge, stack)
+    order, place = np.lexsort([n, g]), np.empty(len(g), np.int64)
+    place[order] = np.arange(len(g)) - np.searchsorted(g, g)  # g is in order
+    starts = np.unique(first)
+    sizes = np.diff(np.append(starts, len(i)))
+    at = np.arange(len(i)) + first
+    ends = np.empty(2 * len(i), np.int32)
+    ends[at], ends[at + np.repeat(sizes, sizes)] = place[i], place[j]
+    f = np.stack([dx, dy, np.sqrt(dx * dx + dy * dy), c[i] == c[j]], axis=1).astype(np.float32)
+    return pa.table({"g": g[i[starts]], "edge_index": lists(ends, 2 * sizes), "edge_features": lists(f.ravel(), 4 * sizes), "edge_labels": lists(label.astype(np.int16), sizes)})
+
+
 def directed(edges: DataFrame) -> DataFrame:
     """(g, e, src, dst): each edge both ways, numbered in order of the undirected edge, the way from a first."""
     both = edges.select("g", "a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
@@ -265,6 +275,47 @@ def node_features(samples: DataFrame, contours: DataFrame) -> DataFrame:
     return rows.select("g", number.cast("bigint").alias("n"), "c", "x", "y", F.col("tx").alias("tan_x"), F.col("ty").alias("tan_y"), (F.col("x") - F.col("cx")).alias("off_x"), (F.col("y") - F.col("cy")).alias("off_y"), "cx", "cy", "w", "h", "arc", F.cos(2 * math.pi * F.col("t")).alias("cos_phase"), F.sin(2 * math.pi * F.col("t")).alias("sin_phase"))
 
 
+def outline_samples(points: DataFrame, line: list[str], spacing: float = SPACING, fewest: int = FEWEST, most: int = MOST) -> DataFrame:
+    """What dense_contours, resample, node_features and contour_features give of outlines (line, c, ch, i, x, y), in one table: a
+    row for each contour, whose k is null, and one for each of its nodes, in order of c and k. Beside line, c, ch and k there are the
+    features of nodes, and min_x, min_y, max_x, max_y and area of the contour, counted from the leftmost one.
+
+    There are windows by line alone, or by line and contour, and no joins: rows that are dealt by some of line stay where they are.
+    """
+    keys = [*line, "c"]
+    w = Window.partitionBy(*keys).orderBy("i")
+    whole, so_far = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2)
+    rows = with_next(points, keys).withColumn("len", step).withColumn("cross", F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
+    rows = rows.select(
+        *keys, "i", "x", "y", "nx", "ny", "len", F.min("ch").over(whole).alias("ch"), F.count("*").over(whole).alias("m"), F.sum("len").over(whole).alias("arc"), (F.sum("cross").over(whole) / 2).alias("area"),
+        F.avg("x").over(whole).alias("cx"), F.avg("y").over(whole).alias("cy"), *[f("x" if c == "x" else "y").over(whole).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in "xy"],
+        F.sum("len").over(so_far).alias("hi"), F.row_number().over(w).alias("at"),
+    )
+    rows = rows.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).where((F.col("m") >= LEAST_POINTS) & (F.col("arc") > EPSILON))
+    left = F.coalesce(F.min("min_x").over(Window.partitionBy(*line)), F.lit(0.0))
+    rows = rows.withColumn("left", left).withColumn("c", (F.dense_rank().over(Window.partitionBy(*line).orderBy("c")) - 1).cast("bigint"))
+    rows = rows.withColumns({c: F.col(c) - F.col("left") for c in ("cx", "min_x", "max_x")})
+    rows = rows.withColumn("count", sample_count(F.col("arc"), spacing, fewest, most)).withColumn("last", F.col("at") == F.col("m"))
+    own = F.when(F.col("hi") > F.col("lo"), sample_range(F.col("arc"))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.select("*", F.explode(F.when(F.col("at") == 1, F.concat(F.array(F.lit(None).cast("bigint")), own)).otherwise(own)).alias("k"))
+    rows = rows.withColumn("target", F.col("k") * F.col("arc") / F.col("count")).where(F.col("k").isNull() | falls_within())
+    x, y, tan_x, tan_y = sampled()
+    x, t = x - F.col("left"), F.col("target") / F.col("arc")
+    return rows.select(
+        *keys, "ch", "k", x.alias("x"), y.alias("y"), tan_x.alias("tan_x"), tan_y.alias("tan_y"), (x - F.col("cx")).alias("off_x"), (y - F.col("cy")).alias("off_y"), "cx", "cy", (F.col("max_x") - F.col("min_x")).alias("w"), (F.col("max_y") - F.col("min_y")).alias("h"),
+        "arc", F.cos(2 * math.pi * t).alias("cos_phase"), F.sin(2 * math.pi * t).alias("sin_phase"), "min_x", "min_y", "max_x", "max_y", "area",
+    )
+
+
+def numbered_nodes(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The nodes, with n, and contours of a bucket of outline_samples, in order of graph, contour and k."""
+    rows = rows.sort_by([(c, "ascending") for c in ("g", "c", "k")])
+    nodes = rows.filter(pc.is_valid(rows.column("k")))
+    g = nodes.column("g").to_numpy()
+    return nodes.append_column("n", pa.array(np.arange(len(g)) - np.searchsorted(g, g))), rows.filter(pc.is_null(rows.column("k")))
+
+
 def contour_features(contours: DataFrame) -> DataFrame:
     """The 8 features of each contour."""
     return normalized(contours).select("g", "c", "cx", "cy", (F.col("max_x") - F.col("min_x")).alias("w"), (F.col("max_y") - F.col("min_y")).alias("h"), "min_x", "min_y", "arc", "area")

@@ -14,6 +14,8 @@ from .scan import running
 
 FORMAT_VERSION = 4
 U16 = 65535
+#: Nodes of a graph that is kept, at least.
+LEAST_NODES = 8
 
 
 def validate(nodes: DataFrame, edges: DataFrame, contours: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def statistics(graphs: DataFrame) -> DataFrame:
     return rows.withColumn("pos_ratio", ratio(F.col("positives"), F.col("edges")))
 
 
-def reject_small(graphs: DataFrame, least_nodes: int = 8) -> DataFrame:
+def reject_small(graphs: DataFrame, least_nodes: int = LEAST_NODES) -> DataFrame:
     return graphs.where((F.col("num_nodes") >= least_nodes) & (F.col("num_edges") > 0))
 
 

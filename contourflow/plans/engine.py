@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logit
 from ..operators import analyze, candidates, decode, generate, geometry, graph, metrics, model, score, store, train
+from ..operators.buckets import ROWS
 from ..sources import readers, shards
 from ..sources.shared import checkpointed, written
 
@@ -179,44 +181,50 @@ def lines(spark, options: CorpusOptions, body: list[str], decorative: list[str],
     return generate.layout_draws(rows, "g", options.tracking, options.tracking_skew, options.aspect, options.jitter, options.noise, options.seed)
 
 
-def laid_out(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions(), ligatures: DataFrame | None = None, kerning: DataFrame | None = None) -> DataFrame:
-    """(g, c, ch, i, x, y) in em: the outlines of each line's characters, set side by side.
+def laid_out(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions(), ligatures: DataFrame | None = None, kerning: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, g, c, ch, i, x, y) in em: the outlines of each line's characters, set side by side. by: columns of lines that tell
+    what they are dealt by; rows that are dealt by them stay where they are.
 
     glyphs has font, char, upem, advance, dx, dy; outlines font, char, k, i, x, y, all in font units; ligatures font, parts,
     char, where char is a glyph's; kerning font, char, next, kern. Characters without
     a glyph take no room, glyphs without an outline (spaces) only room. Each point is moved by pen and offset, by the
     glyph's own baseline jitter and its own noise, then scaled in x.
     """
-    seed = options.seed
-    marks = geometry.shaped(lines.select("g", "font", "text", "tracking", "aspect", "jitter", "noise"), ligatures).withColumnRenamed("k", "place")
-    marks = geometry.cluster_ids(marks, "g", "at").join(glyphs, ["font", "char"])
+    seed, line = options.seed, [*by, "g"]
+    marks = geometry.shaped(lines.select(*line, "font", "text", "tracking", "aspect", "jitter", "noise"), ligatures).withColumnRenamed("k", "place")
+    marks = geometry.cluster_ids(marks, line, "at").join(glyphs, ["font", "char"])
     if kerning is not None:
-        marks = geometry.kerned(marks.withColumnRenamed("place", "k"), kerning, "g").withColumnRenamed("k", "place").withColumn("advance", F.col("advance") + F.col("kern")).drop("kern")
-    marks = geometry.pen_positions(marks, "g", ["place"], F.col("advance"), F.col("tracking") * F.col("upem"))
+        marks = geometry.kerned(marks.withColumnRenamed("place", "k"), kerning, line).withColumnRenamed("k", "place").withColumn("advance", F.col("advance") + F.col("kern")).drop("kern")
+    marks = geometry.pen_positions(marks, line, ["place"], F.col("advance"), F.col("tracking") * F.col("upem"))
     spread = lambda what, cap, *of: (2 * generate.draw(seed, F.concat_ws(",", "g", "place", *of), what) - 1) * F.col(cap) * F.col("upem")
     marks = marks.withColumn("up", F.col("dy") + F.when(F.col("jitter") > 0, spread("baseline", "jitter")).otherwise(0.0))
     points = marks.join(outlines, ["font", "char"])
     noise = [F.when(F.col("noise") > 0, spread(what, "noise", "k", "i")).otherwise(0.0) for what in ("noise x", "noise y")]
     points = geometry.affine(points, F.col("pen") + F.col("dx"), F.col("up"), *noise, F.col("aspect"))
     em = F.col("upem") * options.em_scale
-    number = F.dense_rank().over(Window.partitionBy("g").orderBy("place", "k")) - 1
-    return points.select("g", number.cast("bigint").alias("c"), F.col("char_id").alias("ch"), "i", (F.col("x") / em).alias("x"), ((F.col("y") + F.lit(options.baseline) * F.col("upem")) / em).alias("y"))
+    number = F.dense_rank().over(Window.partitionBy(*line).orderBy("place", "k")) - 1
+    return points.select(*line, number.cast("bigint").alias("c"), F.col("char_id").alias("ch"), "i", (F.col("x") / em).alias("x"), ((F.col("y") + F.lit(options.baseline) * F.col("upem")) / em).alias("y"))
 
 
 def generate_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, options: CorpusOptions = CorpusOptions(), ligatures: DataFrame | None = None, kerning: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): a nested record for each line, with its text and font, and (g, reason) of the lines that gave none.
 
     Reasons: no font, no glyphs (nothing to draw), small (fewer than eight nodes, or no edge).
+
+    Only the lines are written and shuffled: they are dealt in buckets of whole lines, and what is drawn of a line, its samples
+    and its edges stay in the task that makes its record. Fonts are written too, so that Spark knows which are small enough to
+    be sent to all tasks; larger ones are joined by shuffles.
     """
-    lines = checkpointed(lines)
-    contours, nodes, edges = build(written(laid_out(lines, glyphs, outlines, options, ligatures, kerning)), options.graph)
-    kept = store.reject_small(store.graph_sizes(nodes, edges)).select("g")
-    records = readers.records(nodes, edges, graph.contour_features(contours), lines.join(kept, "g", "left_semi").select("g", "text", "font"))
-    drawn = contours.select("g").distinct().withColumn("drawn", F.lit(True))
+    lines, glyphs, outlines = written(lines), written(glyphs), written(outlines)
+    # A character has some 32 nodes.
+    buckets = max(1, math.ceil((lines.agg(F.sum(F.length("text"))).first()[0] or 0) * 32 / ROWS))
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, math.ceil(buckets / 16))
     known = glyphs.select("font").distinct().withColumn("known", F.lit(True))
-    reason = F.when(F.col("known").isNull(), "no font").when(F.col("drawn").isNull(), "no glyphs").otherwise("small")
-    rejects = generate.rejected(lines.select("g", "font"), kept, "g").join(known, "font", "left").join(drawn, "g", "left")
-    return records, rejects.select("g", reason.alias("reason"))
+    lines = lines.join(known, "font", "left").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).repartition(tasks, "bucket")
+    how = options.graph
+    rows = graph.outline_samples(laid_out(lines, glyphs, outlines, options, ligatures, kerning, ("bucket",)), ["bucket", "g"], how.spacing, how.fewest, how.most)
+    given = rows, lines.select("bucket", "g", "text", "font", F.coalesce("known", F.lit(False)).alias("known")), how.knn, how.radius, how.contour_bridge, how.stack_bridge
+    return readers.built_records(*given), readers.built_rejects(*given)
 
 
 def write_corpus(lines: DataFrame, glyphs: DataFrame, outlines: DataFrame, folder: str, options: CorpusOptions = CorpusOptions()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import struct
 import time
 import unicodedata
@@ -78,6 +79,17 @@ def test_corpus_to_shards_and_back(spark, tmp_path):
         store.check_widths(back.union(back.withColumn("node_dim", F.lit(2))))
 
 
+def test_corpora_write_and_shuffle_lines_alone(spark, monkeypatch):
+    kept, write = [], engine.written
+    monkeypatch.setattr(engine, "written", lambda df, *by: kept.append(set(df.columns)) or write(df, *by))
+    glyphs, outlines = font(spark)
+    options = engine.CorpusOptions(count=25)
+    for rows in engine.generate_corpus(engine.lines(spark, options, ["f"], [], ["a", "b"]), glyphs, outlines, options):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == ["bucket", "bucket", "font"], plan
+    assert {"g", "text"} <= kept[0] and all(not c & {"g", "n", "e", "src"} for c in kept[1:]) and len(kept) == 3
+
+
 def test_texts_in_turn_and_mixed(spark):
     texts = spark.createDataFrame([(0, "ab"), (1, "ba"), (2, "bb")], "pos bigint, text string")
     rows = engine.lines(spark, engine.CorpusOptions(count=7), ["f"], [], ["x"], texts, 3).orderBy("g").collect()
