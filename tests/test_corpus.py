@@ -79,6 +79,22 @@ def test_corpus_to_shards_and_back(spark, tmp_path):
         store.check_widths(back.union(back.withColumn("node_dim", F.lit(2))))
 
 
+def test_records_of_dealt_lines_equal_those_of_tables(spark):
+    glyphs, outlines = font(spark)
+    odd = [("f", c, 0, i, x, y) for c, shape in (("2", [(0.0, 0.0), (9.0, 0.0)]), ("0", [(5.0, 5.0)] * 4), ("3", [(0.0, 0.0), (0.0, 0.0), (30.0, 0.0), (0.0, 30.0)])) for i, (x, y) in enumerate(shape)]
+    glyphs = glyphs.union(spark.createDataFrame([("f", c, 1000.0, 100.0, 0.0, 0.0) for c in "203"], glyphs.schema))
+    outlines = outlines.union(spark.createDataFrame(odd, outlines.schema))
+    texts = ["ab a", "a20b3", "", None, "2", " ", "3", "b\u0301a", "??", "0a" * 20, "ab"]
+    lines = spark.createDataFrame([(7 * g - 3, t, "lost" if g == 10 else "f", 0.05, 1.1, 0.02, 0.005) for g, t in enumerate(texts)] + [(500, "a", None, 0.0, 1.0, 0.0, 0.0)], LINE)
+    got, rejects = engine.generate_corpus(lines, glyphs, outlines)
+    contours, nodes, edges = engine.build(engine.laid_out(lines, glyphs, outlines))
+    kept = store.reject_small(store.graph_sizes(nodes, edges)).select("g")
+    want = readers.records(nodes, edges, graph.contour_features(contours), lines.join(kept, "g", "left_semi").select("g", "text", "font"))
+    assert got.dtypes == want.dtypes and got.count() == 4
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {(r.g + 3) // 7: r.reason for r in rejects.collect()} == {2: "no glyphs", 3: "no glyphs", 4: "no glyphs", 5: "no glyphs", 6: "small", 8: "no glyphs", 10: "no font", 71: "no font"}
+
+
 def test_corpora_write_and_shuffle_lines_alone(spark, monkeypatch):
     kept, write = [], engine.written
     monkeypatch.setattr(engine, "written", lambda df, *by: kept.append(set(df.columns)) or write(df, *by))
